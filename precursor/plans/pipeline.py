@@ -1,0 +1,142 @@
+"""M5: the whole analysis for many targets in one pass.
+
+Stages and where they are cut (materialised under the shared scratch folder,
+keyed by a fingerprint of the inputs' snapshot and the stage's parameters):
+
+1. ``flat``      - payload parsed once (S1, P1-P4).
+2. ``context``   - anchors + window join + exclusions (F6-F14, J1, J2, W1, P5-P8).
+   Reused by the prefix aggregation, the message counts and the tokens.
+3. ``events``    - normalised, tokenised, ordered, collapsed events (N1-N10, O2, W2).
+4. ``sequences`` - one sequence per (target, run) (A3).
+5. ``patterns``  - top-k closed patterns per target (M1-M3, O4, O5).
+
+Everything after that (support, examples, evidence, report tables) is lazy.
+"""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+
+from precursor.functions.payload import flatten_intervals
+from precursor.operators import anchors as anc
+from precursor.operators import context as ctx
+from precursor.operators import evidence as ev
+from precursor.operators import mining as mn
+from precursor.operators import sequences as sq
+from precursor.plans.config import AnalysisConfig
+from precursor.sources.cache import fingerprint, materialize, snapshot_id
+
+
+def prepare_intervals(intervals: DataFrame, snapshot: str | None = None) -> DataFrame:
+    """Flat interval table, written once per input snapshot (parse once)."""
+    spark = intervals.sparkSession
+    snap = snapshot or _snapshot(spark, intervals)
+    return materialize(flatten_intervals(intervals), "flat", fingerprint("flat", snap))
+
+
+def _snapshot(spark: SparkSession, *dfs: DataFrame) -> str:
+    try:
+        files = snapshot_id(spark, *dfs)
+    except Exception:
+        files = None
+    # The plan hash covers in-memory inputs and the adapter's expressions.
+    return fingerprint(files, [df.semanticHash() for df in dfs])
+
+
+class Analysis:
+    """Lazy, stage-cached analysis of ``intervals`` and ``jobs`` under ``cfg``."""
+
+    def __init__(self, spark: SparkSession, intervals: DataFrame, jobs: DataFrame, cfg: AnalysisConfig,
+                 flat: DataFrame | None = None, cache: bool = True):
+        self.spark = spark
+        self.intervals = intervals
+        self.jobs_raw = jobs
+        self.cfg = cfg
+        self.cache = cache
+        self._flat = flat
+        self.snapshot = _snapshot(spark, intervals, jobs)
+
+    def _fp(self, stage: str) -> str:
+        return fingerprint(stage, self.snapshot, self.cfg.stage_description(stage))
+
+    def _cut(self, df: DataFrame, stage: str) -> DataFrame:
+        return materialize(df, stage, self._fp(stage)) if self.cache else df
+
+    # -- stages -----------------------------------------------------------------
+    @cached_property
+    def flat(self) -> DataFrame:
+        if self._flat is not None:
+            return self._flat
+        if not self.cache:
+            return flatten_intervals(self.intervals)
+        return prepare_intervals(self.intervals, fingerprint(self.snapshot, "intervals"))
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        return self.jobs_raw
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        c = self.cfg
+        found = anc.find_anchors(self.flat, self.jobs, c.targets, c.start, c.end, c.job_includes,
+                                 c.job_excludes, c.excluded_origin, c.display_value)
+        return self._cut(found, "anchors")
+
+    def context_plan(self) -> DataFrame:
+        c = self.cfg
+        return ctx.context_events(self.flat, self.anchors, c.targets, c.start, c.end, c.lookback, c.lookahead,
+                                  c.closing_reason, c.began_reason, c.began_keep_backend, c.noise_rules)
+
+    @cached_property
+    def context(self) -> DataFrame:
+        return self._cut(self.context_plan(), "context")
+
+    @cached_property
+    def events(self) -> DataFrame:
+        c = self.cfg
+        return self._cut(sq.token_events(self.context, c.node_compat, c.token_boundary, c.min_runs), "events")
+
+    @cached_property
+    def sequences(self) -> DataFrame:
+        return self._cut(sq.build_sequences(self.events), "sequences")
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        c = self.cfg
+        top = mn.topk_closed(self.sequences, c.k, c.min_runs, c.max_pattern_length)
+        return self._cut(top, "patterns")
+
+    # -- drill-down ---------------------------------------------------------------
+    @cached_property
+    def support(self) -> DataFrame:
+        return ev.pattern_support(self.sequences, self.patterns)
+
+    @cached_property
+    def examples(self) -> DataFrame:
+        return ev.pattern_examples(self.support, ev.first_token_occurrence(self.events))
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        runs = self.support.select("target_id", "job_id").distinct()
+        supporting = self.anchors.join(runs, ["target_id", "job_id"], "left_semi")
+        c = self.cfg
+        return ev.window_evidence(self.flat, supporting, c.lookback, c.lookahead, c.excluded_origin)
+
+    @cached_property
+    def n_runs(self) -> DataFrame:
+        return ev.runs_with_context(self.events)
+
+    def targets_frame(self) -> DataFrame:
+        """The target list as a small DataFrame (one row per target; bounded by the parameter list)."""
+        rows = [(i, t.name or f"target-{i}", t.label, t.ignore_label) for i, t in enumerate(self.cfg.targets)]
+        return self.spark.createDataFrame(rows, "target_id int, target_name string, target_label string, ignore_label string")
+
+
+def run(spark: SparkSession, intervals: DataFrame, jobs: DataFrame, cfg: AnalysisConfig, **kw) -> Analysis:
+    """Build an :class:`Analysis`; stages run when their DataFrames are used."""
+    return Analysis(spark, intervals, jobs, cfg, **kw)
+
+
+__all__ = ["Analysis", "run", "prepare_intervals"]
