@@ -48,6 +48,28 @@ def frequent_sequences(sequences: DataFrame, min_count: int, max_length: int,
     return out.select(F.transform("sequence", lambda s: s[0]).alias("pattern"), F.col("freq").cast("long"))
 
 
+def frequent_sequences_by_key(sequences: DataFrame, min_count: int, max_length: int | None = None,
+                              key: str = "target_id") -> DataFrame:
+    """M1 for all keys in one PrefixSpan pass: ``(key, pattern, freq)``.
+
+    Items are namespaced with the key, so no pattern mixes keys and every
+    support is counted within its own key; ``min_count`` is an absolute count.
+    ``max_length=None`` bounds patterns by the longest sequence only (exact).
+    """
+    stats = sequences.agg(F.count("*").alias("n"), F.max(F.size("sequence")).alias("mx")).first()
+    n, longest = stats["n"], stats["mx"] or 1
+    cap = longest if max_length is None else min(longest, max_length)
+    tagged = sequences.select(F.transform("sequence", lambda x: F.concat_ws("\u0001", F.col(key).cast("string"), x))
+                              .alias("sequence"))
+    out = frequent_sequences(tagged, min_count, cap, n_sequences=n)
+    first = F.get("pattern", 0)
+    return out.select(
+        F.substring_index(first, "\u0001", 1).cast(sequences.schema[key].dataType).alias(key),
+        F.transform("pattern", lambda x: F.substring(x, F.instr(x, "\u0001") + 1, 1 << 30)).alias("pattern"),
+        "freq",
+    )
+
+
 def one_item_deletions(pattern_col: str = "pattern"):
     """All patterns obtained by deleting one item of ``pattern``."""
     p = F.col(pattern_col)

@@ -63,9 +63,12 @@ def support_table(a: Analysis) -> DataFrame:
 def report_nested(a: Analysis) -> DataFrame:
     """One record per (target, pattern, run); examples nested as parsed JSON (Variant)."""
     ex = (a.examples.groupBy("target_id", "rank", "job_id")
-          .agg(F.array_sort(F.collect_list(F.struct("item_pos", "event", "example_time",
-                                                    F.try_parse_json("example_payload").alias("payload"))))
-               .alias("examples")))
+          .agg(F.array_sort(F.collect_list(F.struct("item_pos", "event", "example_time", "example_event_id",
+                                                    "example_payload"))).alias("_ex"))
+          .select("target_id", "rank", "job_id", F.transform("_ex", lambda e: F.struct(
+              e["item_pos"].alias("item_pos"), e["event"].alias("event"), e["example_time"].alias("example_time"),
+              e["example_event_id"].alias("example_event_id"),
+              F.try_parse_json(e["example_payload"]).alias("payload"))).alias("examples")))
     s = support_table(a).join(ex, ["target_id", "rank", "job_id"], "left")
     t = F.broadcast(a.targets_frame().select("target_id", "target_label"))
     return s.join(t, "target_id").select(
