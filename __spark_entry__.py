@@ -138,7 +138,7 @@ def q_namespace_fallback(spark, sf):
 
 def q_payload_text(spark, sf):
     a = _analysis(spark, sf)
-    pj = F.col("payload_json")
+    pj = P.payload_text(P.parse_payload("payload"))
     paths = {"source": "$.source", "display": "$.display", "backend": "$.locator.keys.backend-disruption-name",
              "reason": "$.message.reason", "message": "$.message.humanMessage", "pod": "$.locator.keys.pod",
              "node": "$.locator.keys.node", "keys_ns": "$.locator.keys.ns"}

@@ -14,7 +14,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from precursor.functions.payload import parse_payload, payload_text
 from precursor.functions.text import is_subsequence
+from precursor.operators.anchors import time_range
 
 KEYS = ("target_id", "job_id")
 
@@ -38,20 +40,50 @@ def first_row_per_run(events: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def first_token_occurrence(events: DataFrame) -> DataFrame:
-    """A5: earliest occurrence of each token in each run: ``(target_id, job_id, event, e_from_time, e_event_id, e_payload)``."""
+    """A5: earliest occurrence of each token in each run: ``(target_id, job_id, event, e_from_time, e_event_id)``."""
     w = Window.partitionBy(*KEYS, "event").orderBy(F.col("e_from_time").asc(), F.col("e_event_id").asc())
     return (events.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-            .select(*KEYS, "event", "e_from_time", "e_event_id", "e_payload"))
+            .select(*KEYS, "event", "e_from_time", "e_event_id"))
 
 
-def pattern_examples(support: DataFrame, first_occ: DataFrame) -> DataFrame:
-    """One example row per pattern item per supporting run (the item's first occurrence in the run)."""
+def _time_bounds(rows: DataFrame, lo_col: str, hi_col: str | None = None):
+    """(min, max) of two time columns of ``rows`` - two scalars, the only values brought to the driver."""
+    b = rows.agg(F.min(lo_col).alias("lo"), F.max(hi_col or lo_col).alias("hi")).first()
+    return (b["lo"], b["hi"]) if b is not None and b["lo"] is not None else (None, None)
+
+
+def fetch_payloads(flat: DataFrame, rows: DataFrame, event_col: str = "event_id",
+                   time_col: str = "from_time") -> DataFrame:
+    """``(job_id, event_id, payload_json)`` for the given rows of the flat table.
+
+    The wide payload column is read only here, for the few rows a report shows.
+    Literal time bounds let the scan skip row groups (the flat table is written
+    sorted by time within each file); the keys are a semi-join filter.
+    """
+    keys = rows.select("job_id", F.col(event_col).alias("event_id"), F.col(time_col).alias("_t"))
+    lo, hi = _time_bounds(keys, "_t")
+    f = flat.where(time_range("from_time", lo, hi)) if lo is not None else flat.where(F.lit(False))
+    return (f.select("job_id", "event_id", "payload")
+            .join(keys.select("job_id", "event_id").distinct(), ["job_id", "event_id"], "left_semi")
+            .select("job_id", "event_id", payload_text(parse_payload("payload")).alias("payload_json")))
+
+
+def pattern_examples(support: DataFrame, first_occ: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
+    """One example row per pattern item per supporting run (the item's first occurrence in the run).
+
+    ``payloads`` (``target_id, job_id, event_id, payload_json``, e.g. :func:`window_rows`)
+    attaches the example's payload text as ``example_payload``.
+    """
     items = support.select("target_id", "job_id", "rank", "pattern",
                            F.posexplode("pattern").alias("item_pos", "event"))
-    return (items.join(first_occ, [*KEYS, "event"])
-            .select("target_id", "rank", "job_id", "item_pos", "event",
-                    F.col("e_from_time").alias("example_time"), F.col("e_event_id").alias("example_event_id"),
-                    F.col("e_payload").alias("example_payload")))
+    out = (items.join(first_occ, [*KEYS, "event"])
+           .select("target_id", "rank", "job_id", "item_pos", "event",
+                   F.col("e_from_time").alias("example_time"), F.col("e_event_id").alias("example_event_id")))
+    if payloads is None:
+        return out
+    pay = payloads.select("target_id", "job_id", F.col("event_id").alias("example_event_id"),
+                          F.col("payload_json").alias("example_payload"))
+    return out.join(pay, [*KEYS, "example_event_id"], "left").select(*out.columns, "example_payload")
 
 
 def pattern_item_rows(events: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -65,20 +97,29 @@ def token_dictionary(events: DataFrame) -> DataFrame:
     return events.select("target_id", "event_hash", "event", "e_reason").distinct()
 
 
-def window_evidence(flat: DataFrame, anchors: DataFrame, lookback: dt.timedelta, lookahead: dt.timedelta,
-                    excluded_origin: str | None = None) -> DataFrame:
-    """Every interval of the given runs within ``[d - lookback, d + lookahead]`` of the anchor.
+def window_rows(flat: DataFrame, anchors: DataFrame, lookback: dt.timedelta, lookahead: dt.timedelta) -> DataFrame:
+    """J3 core: every interval of the anchors' runs within ``[d - lookback, d + lookahead]``, with payload text.
 
-    Only the origin filter applies; rows are ordered by time inside each run
-    at the sink (``sortWithinPartitions`` after partitioning by run).
+    Literal bounds of all windows (two scalars from the small anchor table)
+    reach the parquet scan; the anchors are the broadcast side of the join.
+    This is the only stage that reads the wide payload column.
     """
-    e = flat if excluded_origin is None else flat.where(F.col("origin") != excluded_origin)
     a = anchors.select("target_id", "job_id", "d_from_time")
+    lo, hi = _time_bounds(a, "d_from_time")
+    e = flat.where(time_range("from_time", lo - lookback, hi + lookahead)) if lo is not None else flat.where(F.lit(False))
     d = F.col("d_from_time")
-    out = (e.join(a, "job_id")
-           .where(F.col("from_time").between(d - F.lit(lookback), d + F.lit(lookahead))))
+    out = e.join(a, "job_id").where(F.col("from_time").between(d - F.lit(lookback), d + F.lit(lookahead)))
     return out.select("target_id", "job_id", "d_from_time", "event_id", "from_time", "to_time",
-                      "origin", "source", "reason", "message", "payload_json")
+                      "origin", "source", "reason", "message",
+                      payload_text(parse_payload("payload")).alias("payload_json"))
+
+
+def window_evidence(rows: DataFrame, excluded_origin: str | None = None) -> DataFrame:
+    """The search-window rows shown as evidence - all but the excluded origin.
+
+    Rows are ordered by time within each run at the sink (see the report writer).
+    """
+    return rows if excluded_origin is None else rows.where(F.col("origin") != excluded_origin)
 
 
 def runs_with_context(events: DataFrame) -> DataFrame:

@@ -34,17 +34,34 @@ def distinct_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols).distinct()
 
 
+def _in_enough_runs(df: DataFrame, group: Sequence[str], run_col: str, min_runs: int,
+                    with_counts: bool) -> DataFrame:
+    """Groups of ``df`` seen in at least ``min_runs`` distinct runs.
+
+    For the usual ``min_runs=2`` without counts the test is ``min(run) < max(run)``:
+    one algebraic aggregation, combined map-side, so a hot value is reduced to
+    one row per task before the shuffle.  Otherwise a distinct count.
+    """
+    if min_runs == 2 and not with_counts:
+        return (df.groupBy(*group).agg(F.min(run_col).alias("_lo"), F.max(run_col).alias("_hi"))
+                .where(F.col("_lo") < F.col("_hi")).select(*group))
+    out = df.groupBy(*group).agg(F.countDistinct(run_col).alias("n_runs")).where(F.col("n_runs") >= min_runs)
+    return out if with_counts else out.select(*group)
+
+
 def shared_prefixes(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_id",),
-                    run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2) -> DataFrame:
+                    run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
+                    with_counts: bool = True) -> DataFrame:
     """A2: delimiter-boundary prefixes of the names that occur in at least ``min_runs`` runs.
 
-    Returns ``(*keys, prefix, n_runs)``.  Null and empty names are skipped.
+    Returns ``(*keys, prefix, n_runs)`` (``n_runs`` only ``with_counts``).  Null and
+    empty names are skipped.
     """
-    pairs = distinct_pairs(df.where(_present(name_col)), [*keys, run_col, name_col])
-    exploded = pairs.select(*keys, run_col, F.explode(dash_prefixes(name_col, delimiter)).alias("prefix"))
-    return (exploded.groupBy(*keys, "prefix")
-            .agg(F.countDistinct(run_col).alias("n_runs"))
-            .where(F.col("n_runs") >= min_runs))
+    rows = df.where(_present(name_col)).select(*keys, run_col, name_col)
+    if with_counts or min_runs != 2:
+        rows = rows.distinct()  # min/max below need no de-duplication
+    exploded = rows.select(*keys, run_col, F.explode(dash_prefixes(name_col, delimiter)).alias("prefix"))
+    return _in_enough_runs(exploded, [*keys, "prefix"], run_col, min_runs, with_counts)
 
 
 def prefix_mapping(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_id",),
@@ -56,16 +73,19 @@ def prefix_mapping(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_
     name (``foobar-2`` can map to ``foo-...`` when ``foo`` is shared); with
     ``token_boundary=True`` only delimiter-boundary prefixes are tried.
     """
-    shared = shared_prefixes(df, name_col, keys, run_col, delimiter, min_runs).select(*keys, "prefix")
+    shared = shared_prefixes(df, name_col, keys, run_col, delimiter, min_runs, with_counts=False)
     names = distinct_pairs(df.where(_present(name_col)), [*keys, name_col]).withColumnRenamed(name_col, "name")
     if token_boundary:
         cands = dash_prefixes("name", delimiter)
     else:
         cands = F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring("name", 1, n))
     cand = names.select(*keys, "name", F.explode(cands).alias("prefix"))
+    # Every candidate is a character prefix of the name, so the longest match is
+    # substring(name, 1, max length): a hash aggregation on an int.
     best = (cand.join(shared, [*keys, "prefix"])
             .groupBy(*keys, "name")
-            .agg(F.max_by("prefix", F.length("prefix")).alias("best")))
+            .agg(F.max(F.length("prefix")).alias("_len"))
+            .select(*keys, "name", F.expr("substring(name, 1, _len)").alias("best")))
     mapped = (F.when(F.col("best").isNull() | (F.col("best") == F.col("name")), F.col("name"))
               .otherwise(F.concat(F.col("best"), F.lit(GENERALISED_SUFFIX))))
     return (names.join(best, [*keys, "name"], "left")
@@ -82,6 +102,26 @@ def generalize_prefix(df: DataFrame, name_col: str, keys: Sequence[str] = ("targ
     return df.join(m, [*keys, name_col], "left").select(*cols)
 
 
+def generalize_prefixes(df: DataFrame, name_cols: Sequence[str], keys: Sequence[str] = ("target_id",),
+                        run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
+                        token_boundary: bool = False) -> DataFrame:
+    """N6 for several name columns in one pass (e.g. pods and namespaces).
+
+    The columns are stacked as ``(kind, name)`` rows with one scan, so the
+    prefix aggregations run once with ``kind`` as an extra key; each column is
+    then joined back to its part of the (small) mapping.
+    """
+    stacked = df.select(*keys, run_col, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("name")) for c in name_cols])))
+    m = prefix_mapping(stacked, "name", ["kind", *keys], run_col, delimiter, min_runs, token_boundary)
+    out = df
+    for c in name_cols:
+        part = (m.where(F.col("kind") == c).select(*keys, F.col("name").alias(c), F.col("mapped").alias("__mapped")))
+        cols = [F.col("__mapped").alias(x) if x == c else F.col(x) for x in out.columns]
+        out = out.join(part, [*keys, c], "left").select(*cols)
+    return out
+
+
 def runs_per_value(df: DataFrame, col: str, keys: Sequence[str] = ("target_id",),
                    run_col: str = "job_id") -> DataFrame:
     """A1: number of distinct runs per non-null value: ``(*keys, col, n_runs)``."""
@@ -92,7 +132,8 @@ def runs_per_value(df: DataFrame, col: str, keys: Sequence[str] = ("target_id",)
 def blank_rare(df: DataFrame, col: str, keys: Sequence[str] = ("target_id",),
                run_col: str = "job_id", min_runs: int = 2) -> DataFrame:
     """A value seen in fewer than ``min_runs`` runs becomes ``''``; NULL stays NULL."""
-    counts = runs_per_value(df, col, keys, run_col).withColumnRenamed("n_runs", "__n")
-    blanked = F.when(F.col("__n") < min_runs, F.lit("")).otherwise(F.col(col))
+    common = (_in_enough_runs(df.where(F.col(col).isNotNull()), [*keys, col], run_col, min_runs, False)
+              .withColumn("__common", F.lit(True)))
+    blanked = F.when(F.col(col).isNotNull() & F.col("__common").isNull(), F.lit("")).otherwise(F.col(col))
     cols = [blanked.alias(c) if c == col else F.col(c) for c in df.columns]
-    return df.join(counts, [*keys, col], "left").select(*cols)
+    return df.join(common, [*keys, col], "left").select(*cols)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precursor.functions.text import event_hash, event_token, mask_message, mask_pod_suffix, node_flag
-from precursor.operators.names import blank_rare, generalize_prefix
+from precursor.operators.names import blank_rare, generalize_prefixes
 from precursor.schema import EVENT_FIELDS, EVENT_SORT_FIELDS
 
 KEYS = ("target_id", "job_id")
@@ -25,8 +25,8 @@ def normalize_context(ctx: DataFrame, node_compat: bool = False, token_boundary:
     """N1-N6 on context rows: mask pods, flag nodes, generalise pods and namespaces, mask and blank messages."""
     df = (ctx.withColumn("e_pod", mask_pod_suffix("e_pod"))
           .withColumn("e_node", node_flag("e_node", compat=node_compat)))
-    df = generalize_prefix(df, "e_pod", ("target_id",), "job_id", min_runs=min_runs, token_boundary=token_boundary)
-    df = generalize_prefix(df, "e_ns", ("target_id",), "job_id", min_runs=min_runs, token_boundary=token_boundary)
+    df = generalize_prefixes(df, ["e_pod", "e_ns"], ("target_id",), "job_id", min_runs=min_runs,
+                             token_boundary=token_boundary)
     df = df.withColumn("e_message", mask_message("e_message"))
     return blank_rare(df, "e_message", ("target_id",), "job_id", min_runs=min_runs)
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from precursor.functions.payload import flatten_intervals
 from precursor.operators import anchors as anc
@@ -33,7 +34,10 @@ def prepare_intervals(intervals: DataFrame, snapshot: str | None = None) -> Data
     """Flat interval table, written once per input snapshot (parse once)."""
     spark = intervals.sparkSession
     snap = snapshot or _snapshot(spark, intervals)
-    return materialize(flatten_intervals(intervals), "flat", fingerprint("flat", snap))
+    # Sorted by time inside each file: row-group min/max stats then let literal
+    # time filters skip data (range filters, payload fetches of the report).
+    flat = flatten_intervals(intervals).sortWithinPartitions("from_time")
+    return materialize(flat, "flat", fingerprint("flat", snap))
 
 
 def _snapshot(spark: SparkSession, *dfs: DataFrame) -> str:
@@ -111,18 +115,35 @@ class Analysis:
     # -- drill-down ---------------------------------------------------------------
     @cached_property
     def support(self) -> DataFrame:
-        return ev.pattern_support(self.sequences, self.patterns)
+        return self._cut(ev.pattern_support(self.sequences, self.patterns), "support")
+
+    @cached_property
+    def window_rows(self) -> DataFrame:
+        """All intervals in the search windows of the supporting runs, with payload text."""
+        runs = self.support.select("target_id", "job_id").distinct()
+        supporting = self.anchors.join(runs, ["target_id", "job_id"], "left_semi")
+        c = self.cfg
+        return self._cut(ev.window_rows(self.flat, supporting, c.lookback, c.lookahead), "window_rows")
+
+    @cached_property
+    def support_detail(self) -> DataFrame:
+        """M4: supporting runs with their anchor and its payload text."""
+        anchors = self.anchors.select("target_id", "job_id", "job_name", "job_url", "d_from_time",
+                                      "d_backend_disruption_name", "d_event_id")
+        pay = self.window_rows.select("target_id", "job_id", F.col("event_id").alias("d_event_id"),
+                                      F.col("payload_json").alias("d_payload"))
+        return (self.support.join(anchors, ["target_id", "job_id"])
+                .join(pay, ["target_id", "job_id", "d_event_id"], "left")
+                .select("target_id", "rank", "freq", "job_id", "job_name", "job_url", "d_from_time",
+                        "d_backend_disruption_name", "d_event_id", "d_payload"))
 
     @cached_property
     def examples(self) -> DataFrame:
-        return ev.pattern_examples(self.support, ev.first_token_occurrence(self.events))
+        return ev.pattern_examples(self.support, ev.first_token_occurrence(self.events), self.window_rows)
 
     @cached_property
     def evidence(self) -> DataFrame:
-        runs = self.support.select("target_id", "job_id").distinct()
-        supporting = self.anchors.join(runs, ["target_id", "job_id"], "left_semi")
-        c = self.cfg
-        return ev.window_evidence(self.flat, supporting, c.lookback, c.lookahead, c.excluded_origin)
+        return ev.window_evidence(self.window_rows, self.cfg.excluded_origin)
 
     @cached_property
     def n_runs(self) -> DataFrame:

@@ -53,11 +53,8 @@ def patterns_table(a: Analysis) -> DataFrame:
 
 def support_table(a: Analysis) -> DataFrame:
     """M4: supporting runs of each pattern with the run's anchor."""
-    anchors = a.anchors.select("target_id", "job_id", "job_name", "job_url", "d_from_time",
-                               "d_backend_disruption_name", "d_payload")
-    return (a.support.join(anchors, ["target_id", "job_id"])
-            .select("target_id", "rank", "freq", "job_id", "job_name", "job_url", "d_from_time",
-                    "d_backend_disruption_name", "d_payload"))
+    return a.support_detail.select("target_id", "rank", "freq", "job_id", "job_name", "job_url", "d_from_time",
+                                   "d_backend_disruption_name", "d_payload")
 
 
 def report_nested(a: Analysis) -> DataFrame:

@@ -62,7 +62,7 @@ PAYLOAD_FIELDS: dict[str, str] = {
 
 # Columns of the flat interval table, in order.
 FLAT_COLUMNS: list[str] = (
-    ["job_id", "event_id", "from_time", "to_time", "origin", "payload", "payload_json"]
+    ["job_id", "event_id", "from_time", "to_time", "origin", "payload"]
     + list(PAYLOAD_FIELDS)
     + ["namespace"]
 )
@@ -79,7 +79,6 @@ ANCHOR_FIELDS: dict[str, str] = {
     "d_connection": "connection",
     "d_backend_disruption_name": "backend",
     "d_message": "message",
-    "d_payload": "payload",
     "d_event_id": "event_id",
 }
 
@@ -102,7 +101,6 @@ CONTEXT_FIELDS: dict[str, str] = {
     "e_roles": "roles",
     "e_message": "message",
     "e_locator": "locator",
-    "e_payload": "payload_json",
 }
 
 # --- Fixed values: the event fields that make up a token, in the reference's order ---

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from precursor.sources.intervals import spread
+
 
 def _s(c: Column) -> Column:
     return c.cast("string")
@@ -79,6 +81,6 @@ def jobs_from_customer(customer: DataFrame) -> DataFrame:
 
 def read_adapted(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(intervals, jobs) for a test-data folder holding ``events`` and ``customer``."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return intervals_from_events(events), jobs_from_customer(customer)

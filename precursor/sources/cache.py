@@ -18,9 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from precursor.session import scratch_dir
 
 
+# Bumped whenever the columns of a materialised stage change, so that a cache in a
+# persistent scratch folder is never read back with an old layout.
+LAYOUT_VERSION = 2
+
+
 def fingerprint(*parts) -> str:
-    """md5 of the canonical JSON of ``parts`` (dict keys sorted, non-JSON values as str)."""
-    text = json.dumps(parts, sort_keys=True, default=str, separators=(",", ":"))
+    """md5 of the canonical JSON of ``parts`` and the layout version (dict keys sorted)."""
+    text = json.dumps([LAYOUT_VERSION, parts], sort_keys=True, default=str, separators=(",", ":"))
     return hashlib.md5(text.encode("utf-8")).hexdigest()
 
 

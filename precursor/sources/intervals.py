@@ -21,9 +21,44 @@ def _load(spark: SparkSession, source) -> DataFrame:
     return spark.table(source)
 
 
+def _input_bytes(df: DataFrame) -> int | None:
+    """Total size of the files behind ``df`` (file metadata only; nothing is executed)."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a small file input over all cores before CPU-heavy map work (JSON parsing).
+
+    An input smaller than ``cores * spark.sql.files.maxPartitionBytes`` may be read
+    by fewer tasks than there are cores (one row group is one task).  A larger
+    input is split by the scan itself and is returned unchanged: it is never
+    reshuffled.  Only file metadata is consulted.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
+    split_bytes = int(split) if split.isdigit() else 128 * 1024 * 1024
+    size = _input_bytes(df)
+    if size is not None and size < cores * split_bytes:
+        return df.repartition(cores)
+    return df
+
+
 def read_intervals(spark: SparkSession, source) -> DataFrame:
     """Native interval rows (``job_id, event_id, from_time, to_time, origin, interval, interval_json``)."""
     df = _load(spark, source)
+    if not isinstance(source, DataFrame):
+        df = spread(df)
     if "event_id" not in df.columns:
         df = df.withColumn("event_id", F.monotonically_increasing_id())
     return df.select(*INTERVAL_COLUMNS)
