@@ -34,18 +34,19 @@ def frequent_sequences(sequences: DataFrame, min_count: int, max_length: int,
                        max_local_proj_db_size: int = 32_000_000) -> DataFrame:
     """M1: ``(pattern array<string>, freq long)`` for patterns in >= ``min_count`` sequences."""
     n = n_sequences if n_sequences is not None else sequences.count()
-    if n == 0:
+    if n < min_count:  # no pattern can reach the threshold (and minSupport may not exceed 1)
         return sequences.sparkSession.createDataFrame([], "pattern array<string>, freq long")
     ps = PrefixSpan(
         # (c - 0.5) / n: PrefixSpan rounds minSupport * n up, which gives exactly c.
-        minSupport=min(1.0, (min_count - 0.5) / n),
+        minSupport=(min_count - 0.5) / n,
         maxPatternLength=max(1, int(max_length)),
         maxLocalProjDBSize=max_local_proj_db_size,
         sequenceCol="_items",
     )
     items = sequences.select(F.transform(seq_col, lambda x: F.array(x)).alias("_items"))
     out = ps.findFrequentSequentialPatterns(items)
-    return out.select(F.transform("sequence", lambda s: s[0]).alias("pattern"), F.col("freq").cast("long"))
+    return (out.select(F.transform("sequence", lambda s: s[0]).alias("pattern"), F.col("freq").cast("long"))
+            .where(F.col("freq") >= min_count))
 
 
 def frequent_sequences_by_key(sequences: DataFrame, min_count: int, max_length: int | None = None,

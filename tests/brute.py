@@ -1,0 +1,113 @@
+"""Brute-force references in plain Python, written from the definitions (for small fixtures only)."""
+
+from __future__ import annotations
+
+import itertools
+import json
+import re
+from collections import defaultdict
+
+
+def is_subsequence(pattern, sequence) -> bool:
+    pos = 0
+    for item in sequence:
+        if pos < len(pattern) and item == pattern[pos]:
+            pos += 1
+    return pos == len(pattern)
+
+
+def prefix_map(pairs, min_runs: int = 2, delimiter: str = "-") -> dict:
+    """name -> generalised name, for (run, name) pairs; character-level prefix lookup."""
+    runs = defaultdict(set)
+    for run, name in pairs:
+        if not name:
+            continue
+        parts = name.split(delimiter)
+        for i in range(1, len(parts) + 1):
+            runs[delimiter.join(parts[:i])].add(run)
+    out = {}
+    for _, name in pairs:
+        if not name:
+            continue
+        best = None
+        for n in range(len(name), -1, -1):
+            if len(runs.get(name[:n], ())) >= min_runs:
+                best = name[:n]
+                break
+        out[name] = name if best is None or best == name else best + "-..."
+    return out
+
+
+def supports(seqs: dict) -> dict:
+    """pattern tuple -> number of sequences containing it (all ordered subsequences)."""
+    count = defaultdict(int)
+    for seq in seqs.values():
+        seen = set()
+        for r in range(1, len(seq) + 1):
+            for idx in itertools.combinations(range(len(seq)), r):
+                seen.add(tuple(seq[i] for i in idx))
+        for p in seen:
+            count[p] += 1
+    return dict(count)
+
+
+def closed(pats: dict) -> dict:
+    return {p: s for p, s in pats.items()
+            if not any(len(q) == len(p) + 1 and t == s and is_subsequence(p, q) for q, t in pats.items())}
+
+
+def topk(closed_pats: dict, k: int, min_count: int = 2) -> list:
+    items = [(p, s) for p, s in closed_pats.items() if s >= min_count]
+    items.sort(key=lambda x: (-x[1], -len(x[0]), " > ".join(x[0])))
+    return items[:k]
+
+
+# --------------------------------------------------------------------------- 3-valued logic
+def like(v, pat):
+    if v is None or pat is None:
+        return None
+    rx = "".join(".*" if ch == "%" else "." if ch == "_" else re.escape(ch) for ch in pat)
+    return re.fullmatch(rx, v, flags=re.S) is not None
+
+
+def and3(*xs):
+    if any(x is False for x in xs):
+        return False
+    if any(x is None for x in xs):
+        return None
+    return True
+
+
+def or3(*xs):
+    if any(x is True for x in xs):
+        return True
+    if any(x is None for x in xs):
+        return None
+    return False
+
+
+def not3(x):
+    return None if x is None else (not x)
+
+
+def eq(a, b):
+    return None if a is None or b is None else a == b
+
+
+def scalar(text, path):
+    """Scalar JSON extraction: NULL for missing, JSON null, objects and arrays."""
+    if text is None:
+        return None
+    try:
+        v = json.loads(text)
+    except ValueError:
+        return None
+    for part in path[2:].split("."):
+        if not isinstance(v, dict) or part not in v:
+            return None
+        v = v[part]
+    if v is None or isinstance(v, (dict, list)):
+        return None
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return str(v)
