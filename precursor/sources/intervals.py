@@ -21,11 +21,8 @@ def _load(spark: SparkSession, source) -> DataFrame:
     return spark.table(source)
 
 
-def _input_bytes(df: DataFrame) -> int | None:
-    """Total size of the files behind ``df`` (file metadata only; nothing is executed)."""
-    files = df.inputFiles()
-    if not files:
-        return None
+def _input_bytes(df: DataFrame, files: list[str]) -> int:
+    """Total size of ``files`` (file metadata only; nothing is executed)."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -46,10 +43,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:       # at least one split per core already: no file is even looked at
+        return df
     split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
     split_bytes = int(split) if split.isdigit() else 128 * 1024 * 1024
-    size = _input_bytes(df)
-    if size is not None and size < cores * split_bytes:
+    if not files or _input_bytes(df, files) < cores * split_bytes:
         return df.repartition(cores)
     return df
 

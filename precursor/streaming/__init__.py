@@ -1,0 +1,7 @@
+"""Incremental ingest.
+
+The reference has no streaming surface (no watermarks, windows or state).  The
+one step that benefits from running continuously is the parse-once ingest of
+new interval files into the flat interval table; :mod:`precursor.streaming.ingest`
+runs exactly that step with Structured Streaming.
+"""

@@ -1,0 +1,33 @@
+"""Parse newly arrived interval files into the flat table with Structured Streaming.
+
+A stateless stream: file source -> :func:`flatten_intervals` -> parquet sink in
+append mode.  The checkpoint (in the shared scratch folder by default) records
+which files were processed, so each file is parsed exactly once, also across
+restarts and lost executors.  ``availableNow`` processes the backlog in
+bounded micro-batches and stops, which suits a scheduled ingest.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from precursor.functions.payload import flatten_intervals
+from precursor.schema import INTERVALS_SCHEMA
+from precursor.session import scratch_dir
+
+
+def flatten_stream(spark: SparkSession, source_path: str, sink_path: str, checkpoint_path: str | None = None,
+                   schema: StructType = INTERVALS_SCHEMA, max_files_per_trigger: int | None = None,
+                   available_now: bool = True) -> StreamingQuery:
+    """Start the incremental flattening of ``source_path`` (native interval parquet) into ``sink_path``."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    flat = flatten_intervals(reader.parquet(source_path))
+    ckpt = checkpoint_path or f"{scratch_dir(spark)}/precursor/stream-flat"
+    writer = (flat.writeStream.format("parquet").outputMode("append")
+              .option("path", sink_path).option("checkpointLocation", ckpt))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()
