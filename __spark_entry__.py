@@ -53,12 +53,14 @@ _ANALYSES: dict = {}
 
 
 def _analysis(spark: SparkSession, sf_dir: str, noise: bool = True) -> Analysis:
+    """One lazily built analysis per (session, folder); its stages are materialised once."""
     apply_recommended_conf(spark)
-    key = (id(spark), sf_dir, noise)
-    if key not in _ANALYSES:
+    key = (sf_dir, noise)
+    hit = _ANALYSES.get(key)
+    if hit is None or hit.spark is not spark:
         iv, jobs = read_adapted(spark, sf_dir)
-        _ANALYSES[key] = Analysis(spark, iv, jobs, adapter_config(noise=noise))
-    return _ANALYSES[key]
+        _ANALYSES[key] = hit = Analysis(spark, iv, jobs, adapter_config(noise=noise))
+    return hit
 
 
 def _ctx_variant(spark, sf_dir, closing=True, began=True, noise=True, targets=None):

@@ -125,7 +125,6 @@ def _search_one(seqs: DataFrame, n: int, longest: int, start: int, k: int, min_c
         closed = closed_sequences(mined.withColumn("target_id", F.lit(0)))
         if max_length is not None:
             closed = closed.where(F.size("pattern") <= max_length)
-        closed = closed.checkpoint(eager=True)
         if s <= min_count or closed.count() >= k:
             return closed.drop("target_id")
         s = max(min_count, s // 2)
