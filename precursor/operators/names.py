@@ -102,19 +102,26 @@ def generalize_prefix(df: DataFrame, name_col: str, keys: Sequence[str] = ("targ
     return df.join(m, [*keys, name_col], "left").select(*cols)
 
 
-def generalize_prefixes(df: DataFrame, name_cols: Sequence[str], keys: Sequence[str] = ("target_id",),
-                        run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
-                        token_boundary: bool = False) -> DataFrame:
-    """N6 for several name columns in one pass (e.g. pods and namespaces).
+def prefix_mappings(df: DataFrame, name_cols: Sequence[str], keys: Sequence[str] = ("target_id",),
+                    run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
+                    token_boundary: bool = False) -> DataFrame:
+    """N6 for several name columns at once: ``(kind, *keys, name, mapped)``.
 
-    The columns are stacked as ``(kind, name)`` rows with one scan, so the
-    prefix aggregations run once with ``kind`` as an extra key; each column is
-    then joined back to its part of the (small) mapping.
+    The columns are stacked as ``(kind, name)`` rows with one scan, so the prefix
+    aggregations run once with ``kind`` as an extra key.  Materialise the result
+    when several columns are mapped (see :func:`apply_mappings`): a per-column
+    filter on ``kind`` would otherwise be pushed into, and duplicate, the plan.
     """
     stacked = df.select(*keys, run_col, F.inline(F.array(*[
         F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("name")) for c in name_cols])))
-    m = prefix_mapping(stacked, "name", ["kind", *keys], run_col, delimiter, min_runs, token_boundary)
+    return prefix_mapping(stacked, "name", ["kind", *keys], run_col, delimiter, min_runs, token_boundary)
+
+
+def apply_mappings(df: DataFrame, mappings: DataFrame, name_cols: Sequence[str],
+                   keys: Sequence[str] = ("target_id",)) -> DataFrame:
+    """Replace each name column by its mapped name (NULL and empty names become NULL)."""
     out = df
+    m = mappings
     for c in name_cols:
         part = (m.where(F.col("kind") == c).select(*keys, F.col("name").alias(c), F.col("mapped").alias("__mapped")))
         cols = [F.col("__mapped").alias(x) if x == c else F.col(x) for x in out.columns]
@@ -122,6 +129,14 @@ def generalize_prefixes(df: DataFrame, name_cols: Sequence[str], keys: Sequence[
     return out
 
 
+def generalize_prefixes(df: DataFrame, name_cols: Sequence[str], keys: Sequence[str] = ("target_id",),
+                        run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
+                        token_boundary: bool = False) -> DataFrame:
+    """N6 + J4 for several name columns (lazy; the mapping is planned once per column)."""
+    m = prefix_mappings(df, name_cols, keys, run_col, delimiter, min_runs, token_boundary)
+    return apply_mappings(df, m, name_cols, keys)
+
+
 def runs_per_value(df: DataFrame, col: str, keys: Sequence[str] = ("target_id",),
                    run_col: str = "job_id") -> DataFrame:
     """A1: number of distinct runs per non-null value: ``(*keys, col, n_runs)``."""

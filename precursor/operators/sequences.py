@@ -14,21 +14,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precursor.functions.text import event_hash, event_token, mask_message, mask_pod_suffix, node_flag
-from precursor.operators.names import blank_rare, generalize_prefixes
+from precursor.operators.names import apply_mappings, blank_rare, prefix_mappings
 from precursor.schema import EVENT_FIELDS, EVENT_SORT_FIELDS
 
 KEYS = ("target_id", "job_id")
 
 
+# Within one target every run has exactly one anchor, so the anchor's interval id
+# identifies the run: a long, which keeps "seen in >= 2 runs" a hash aggregation.
+RUN_KEY = "d_event_id"
+NAME_COLS = ("e_pod", "e_ns")
+
+
+def masked_context(ctx: DataFrame, node_compat: bool = False) -> DataFrame:
+    """Pod suffix masked, node flagged."""
+    return (ctx.withColumn("e_pod", mask_pod_suffix("e_pod"))
+            .withColumn("e_node", node_flag("e_node", compat=node_compat)))
+
+
+def name_mappings(ctx: DataFrame, token_boundary: bool = False, min_runs: int = 2) -> DataFrame:
+    """N6 for pods and namespaces of the context: ``(kind, target_id, name, mapped)``."""
+    return prefix_mappings(masked_context(ctx), list(NAME_COLS), ("target_id",), RUN_KEY,
+                           min_runs=min_runs, token_boundary=token_boundary)
+
+
 def normalize_context(ctx: DataFrame, node_compat: bool = False, token_boundary: bool = False,
-                      min_runs: int = 2) -> DataFrame:
-    """N1-N6 on context rows: mask pods, flag nodes, generalise pods and namespaces, mask and blank messages."""
-    df = (ctx.withColumn("e_pod", mask_pod_suffix("e_pod"))
-          .withColumn("e_node", node_flag("e_node", compat=node_compat)))
-    df = generalize_prefixes(df, ["e_pod", "e_ns"], ("target_id",), "job_id", min_runs=min_runs,
-                             token_boundary=token_boundary)
+                      min_runs: int = 2, mappings: DataFrame | None = None) -> DataFrame:
+    """N1-N6 on context rows: mask pods, flag nodes, generalise pods and namespaces, mask and blank messages.
+
+    ``mappings`` is the (materialised) result of :func:`name_mappings`; without it
+    the mapping is planned inline.
+    """
+    df = masked_context(ctx, node_compat)
+    m = mappings if mappings is not None else name_mappings(ctx, token_boundary, min_runs)
+    df = apply_mappings(df, m, list(NAME_COLS), ("target_id",))
     df = df.withColumn("e_message", mask_message("e_message"))
-    return blank_rare(df, "e_message", ("target_id",), "job_id", min_runs=min_runs)
+    return blank_rare(df, "e_message", ("target_id",), RUN_KEY, min_runs=min_runs)
 
 
 def drop_all_null(df: DataFrame, fields: Sequence[str] = tuple(f for f in EVENT_FIELDS if f not in ("e_diff", "e_node"))) -> DataFrame:
@@ -68,7 +89,7 @@ def build_sequences(events: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def token_events(ctx: DataFrame, node_compat: bool = False, token_boundary: bool = False,
-                 min_runs: int = 2) -> DataFrame:
+                 min_runs: int = 2, mappings: DataFrame | None = None) -> DataFrame:
     """Normalised, tokenised, ordered and collapsed events of every run."""
-    df = normalize_context(ctx, node_compat, token_boundary, min_runs)
+    df = normalize_context(ctx, node_compat, token_boundary, min_runs, mappings)
     return ordered_events(add_tokens(drop_all_null(df)))

@@ -57,7 +57,7 @@ class AnalysisConfig:
         d = self.describe()
         if stage in ("anchors", "context"):
             return {k: d[k] for k in ("targets", "range", "window", "jobs", "admission", "exclusions", "noise")}
-        if stage == "events":
+        if stage in ("events", "name_map"):
             return {k: d[k] for k in ("targets", "range", "window", "jobs", "admission", "exclusions",
                                       "noise", "normalise")} | {"min_runs": self.min_runs}
         return d

@@ -97,10 +97,17 @@ class Analysis:
     def context(self) -> DataFrame:
         return self._cut(self.context_plan(), "context")
 
+    @cached_property
+    def name_map(self) -> DataFrame:
+        """Pod and namespace mapping, computed once for both columns."""
+        c = self.cfg
+        return self._cut(sq.name_mappings(self.context, c.token_boundary, c.min_runs), "name_map")
+
     @cached_property
     def events(self) -> DataFrame:
         c = self.cfg
-        return self._cut(sq.token_events(self.context, c.node_compat, c.token_boundary, c.min_runs), "events")
+        ev_ = sq.token_events(self.context, c.node_compat, c.token_boundary, c.min_runs, self.name_map)
+        return self._cut(ev_, "events")
 
     @cached_property
     def sequences(self) -> DataFrame:

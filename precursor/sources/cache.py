@@ -20,7 +20,7 @@ from precursor.session import scratch_dir
 
 # Bumped whenever the columns of a materialised stage change, so that a cache in a
 # persistent scratch folder is never read back with an old layout.
-LAYOUT_VERSION = 2
+LAYOUT_VERSION = 3
 
 
 def fingerprint(*parts) -> str:
