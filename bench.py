@@ -2,7 +2,7 @@
 
 Env: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS`` (default 8).
 Prints one JSON line.  Every stage is timed cold (a fresh scratch folder, so no
-materialised stage is reused); a warm-up on sf0.001 runs first and is not counted.
+materialised stage is reused); a warm-up on sf0.01 runs first and is not counted.
 """
 
 from __future__ import annotations
@@ -53,8 +53,10 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=cpus)
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="precursor-bench-"))
 
-    warm = tempfile.mkdtemp(prefix="precursor-warm-")
-    run_pipeline(spark, "/root/testdata/sf0.001", warm)
+    # Warm-up (not timed): large enough for the JVM to compile the hot paths.
+    warm_sf = os.environ.get("BENCH_WARMUP_SF_DIR", "/root/testdata/sf0.01")
+    if os.path.exists(f"{warm_sf}/events.parquet"):
+        run_pipeline(spark, warm_sf, tempfile.mkdtemp(prefix="precursor-warm-"))
 
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="precursor-bench-"))
     out = tempfile.mkdtemp(prefix="precursor-report-")

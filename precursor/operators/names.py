@@ -121,9 +121,8 @@ def apply_mappings(df: DataFrame, mappings: DataFrame, name_cols: Sequence[str],
                    keys: Sequence[str] = ("target_id",)) -> DataFrame:
     """Replace each name column by its mapped name (NULL and empty names become NULL)."""
     out = df
-    m = mappings
     for c in name_cols:
-        part = (m.where(F.col("kind") == c).select(*keys, F.col("name").alias(c), F.col("mapped").alias("__mapped")))
+        part = (mappings.where(F.col("kind") == c).select(*keys, F.col("name").alias(c), F.col("mapped").alias("__mapped")))
         cols = [F.col("__mapped").alias(x) if x == c else F.col(x) for x in out.columns]
         out = out.join(part, [*keys, c], "left").select(*cols)
     return out

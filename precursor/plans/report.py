@@ -15,6 +15,8 @@ collects the unbounded list of runs into one record.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,27 +75,30 @@ def report_nested(a: Analysis) -> DataFrame:
         "d_backend_disruption_name", F.try_parse_json("d_payload").alias("target_payload"), "examples")
 
 
-def write_report(a: Analysis, path: str, mode: str = "overwrite") -> dict[str, str]:
-    """Write all report tables under ``path`` (parquet partitioned by target; nested report as JSON)."""
+def write_report(a: Analysis, path: str, mode: str = "overwrite", parallelism: int = 4) -> dict[str, str]:
+    """Write all report tables under ``path`` (parquet partitioned by target; nested report as JSON lines).
+
+    The tables are independent, so they are written by concurrent Spark jobs.
+    """
+    nested = report_nested(a)
     tables = {
-        "target_summary": target_summary(a),
-        "patterns": patterns_table(a),
-        "pattern_support": support_table(a),
-        "pattern_examples": a.examples,
-        "window_evidence": a.evidence,
+        "target_summary": (target_summary(a), False),
+        "patterns": (patterns_table(a), True),
+        "pattern_support": (support_table(a), True),
+        "pattern_examples": (a.examples, True),
+        "window_evidence": (a.evidence.repartition("target_id", "job_id")
+                            .sortWithinPartitions("target_id", "job_id", "from_time"), True),
+        "report_nested": (nested.select("target_id", F.to_json(F.struct(*nested.columns)).alias("value")), True),
     }
-    out = {}
-    for name, df in tables.items():
+
+    def write(item: tuple[str, tuple[DataFrame, bool]]) -> tuple[str, str]:
+        name, (df, by_target) = item
         p = f"{path}/{name}"
-        if name == "window_evidence":
-            df = df.repartition("target_id", "job_id").sortWithinPartitions("target_id", "job_id", "from_time")
         w = df.write.mode(mode)
-        if name != "target_summary":
+        if by_target:
             w = w.partitionBy("target_id")
-        w.parquet(p)
-        out[name] = p
-    nested = report_nested(a)
-    nested.select("target_id", F.to_json(F.struct(*[c for c in nested.columns])).alias("value")) \
-        .write.mode(mode).partitionBy("target_id").text(f"{path}/report_nested")
-    out["report_nested"] = f"{path}/report_nested"
-    return out
+        (w.text(p) if name == "report_nested" else w.parquet(p))
+        return name, p
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return dict(pool.map(write, tables.items()))

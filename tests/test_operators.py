@@ -5,7 +5,6 @@ from __future__ import annotations
 import brute
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from precursor.functions.text import is_subsequence
 from precursor.operators import evidence as EV
@@ -156,4 +155,3 @@ def test_first_anchor_tiebreak(spark):
 def test_no_rows_on_empty_sequences(spark):
     empty = spark.createDataFrame([], "target_id int, job_id string, sequence array<string>")
     assert MN.topk_closed(empty, k=3).count() == 0
-    assert F is not None
