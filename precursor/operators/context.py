@@ -37,9 +37,13 @@ def relative_position(d_time: Column | str = "d_from_time", e_time: Column | str
     return F.when(diff == 0, F.lit("at_d")).when(diff <= 0, F.lit("after_d")).otherwise(F.lit("before_d"))
 
 
-def exclude_closing(reason: str) -> Column:
-    """``reason NOT LIKE x``; a NULL reason gives NULL and drops the row."""
-    return ~F.col("reason").like(reason)
+def exclude_closing(reason: str, keep_null_reason: bool = False) -> Column:
+    """``reason NOT LIKE x``; a NULL reason gives NULL and drops the row (Q6).
+
+    ``keep_null_reason=True`` keeps rows without a reason instead.
+    """
+    cond = ~F.col("reason").like(reason)
+    return (cond | F.col("reason").isNull()) if keep_null_reason else cond
 
 
 def began_unless(began_reason: str, keep_backend_like: str) -> Column:
@@ -67,11 +71,11 @@ def context_events(flat: DataFrame, anchors: DataFrame, targets: Sequence[Target
                    lookback: dt.timedelta, lookahead: dt.timedelta,
                    closing_reason: str | None = None,
                    began_reason: str | None = None, began_keep_backend: str | None = None,
-                   noise_rules: Sequence[NoiseRule] = ()) -> DataFrame:
+                   noise_rules: Sequence[NoiseRule] = (), keep_null_reason: bool = False) -> DataFrame:
     """Context rows of every anchor, after all exclusions (F10-F14), projected."""
     e = flat.where(time_range("from_time", start, end))
     if closing_reason is not None:
-        e = e.where(exclude_closing(closing_reason))
+        e = e.where(exclude_closing(closing_reason, keep_null_reason))
     if began_reason is not None:
         e = e.where(began_unless(began_reason, began_keep_backend))
     joined = e.join(anchors, "job_id").where(in_window(lookback, lookahead))

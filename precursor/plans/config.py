@@ -31,6 +31,7 @@ class AnalysisConfig:
     closing_reason: str | None = None
     began_reason: str | None = None
     began_keep_backend: str | None = None
+    keep_null_reason: bool = False
     noise_rules: Sequence[NoiseRule] = field(default_factory=list)
     k: int = 25
     min_runs: int = 2
@@ -46,7 +47,7 @@ class AnalysisConfig:
             "window": [self.lookback.total_seconds(), self.lookahead.total_seconds()],
             "jobs": [list(self.job_includes), list(self.job_excludes)],
             "admission": [self.excluded_origin, self.display_value],
-            "exclusions": [self.closing_reason, self.began_reason, self.began_keep_backend],
+            "exclusions": [self.closing_reason, self.began_reason, self.began_keep_backend, self.keep_null_reason],
             "noise": [[str(r.anchor_pred), str(r.event_pred)] for r in self.noise_rules],
             "mining": [self.k, self.min_runs, self.max_pattern_length],
             "normalise": [self.node_compat, self.token_boundary],

@@ -91,7 +91,8 @@ class Analysis:
     def context_plan(self) -> DataFrame:
         c = self.cfg
         return ctx.context_events(self.flat, self.anchors, c.targets, c.start, c.end, c.lookback, c.lookahead,
-                                  c.closing_reason, c.began_reason, c.began_keep_backend, c.noise_rules)
+                                  c.closing_reason, c.began_reason, c.began_keep_backend, c.noise_rules,
+                                  c.keep_null_reason)
 
     @cached_property
     def context(self) -> DataFrame:

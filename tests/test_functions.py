@@ -72,6 +72,13 @@ def test_field_like_never_null_and_ops_propagate_null(spark):
     assert [r["c"] for r in out] == [True, True, None]
 
 
+def test_exclude_closing_null_reason(spark):
+    from precursor.operators.context import exclude_closing
+    df = spark.createDataFrame([(0, "Ended"), (1, "Began"), (2, None)], "i int, reason string")
+    assert sorted(r["i"] for r in df.where(exclude_closing("Ended")).collect()) == [1]           # Q6
+    assert sorted(r["i"] for r in df.where(exclude_closing("Ended", True)).collect()) == [1, 2]
+
+
 def test_bool_criterion_compares_text(spark):
     df = one_col(spark, ["true", "false", None])
     out = df.select("i", C.FieldLike("v", True).column().alias("r"))
