@@ -294,7 +294,7 @@ def q_window_join(spark, sf):
     a = _analysis(spark, sf)
     c = a.cfg
     e = a.flat.where(AN.time_range("from_time", c.start, c.end))
-    j = e.join(a.anchors, "job_id").where(CX.in_window(c.lookback, c.lookahead))
+    j = CX.window_join(e, a.anchors, c.lookback, c.lookahead)
     return j.select("target_id", "job_id", F.col("event_id").alias("e_event_id"))
 
 

@@ -57,6 +57,30 @@ def in_window(lookback: dt.timedelta, lookahead: dt.timedelta) -> Column:
     return F.col("from_time").between(d - _interval(lookback), d + _interval(lookahead))
 
 
+def _bucket(ts: Column, width_us: int) -> Column:
+    """Time bucket of ``ts``: whole ``width_us`` steps since the (zone-less) epoch."""
+    micros = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts)
+    return F.floor(micros / F.lit(width_us)).cast("long")
+
+
+def window_join(e: DataFrame, anchors: DataFrame, lookback: dt.timedelta, lookahead: dt.timedelta) -> DataFrame:
+    """Intervals of the anchor's run within ``[d - lookback, d + lookahead]``.
+
+    The equi key is ``(job_id, time bucket)`` with buckets as wide as the window:
+    each interval carries the bucket of its own time, each anchor is exploded to
+    the (at most two) buckets its window covers, so every matching pair meets in
+    exactly one bucket.  Small anchor sets are broadcast by the optimizer; beyond
+    the threshold the shuffle is keyed by run *and* time, so a run holding a
+    large share of all rows is spread over its buckets instead of one task.
+    """
+    width = max(1, int((lookback + lookahead) / dt.timedelta(microseconds=1)))
+    d = F.col("d_from_time")
+    a = anchors.withColumn("_b", F.explode(F.sequence(_bucket(d - _interval(lookback), width),
+                                                      _bucket(d + _interval(lookahead), width))))
+    e = e.withColumn("_b", _bucket(F.col("from_time"), width))
+    return e.join(a, ["job_id", "_b"]).where(in_window(lookback, lookahead)).drop("_b")
+
+
 def context_projection(df: DataFrame) -> DataFrame:
     """Anchor columns plus the ``e_*`` fields and ``e_diff``."""
     anchor_cols = [c for c in df.columns if c.startswith("d_")]
@@ -78,7 +102,7 @@ def context_events(flat: DataFrame, anchors: DataFrame, targets: Sequence[Target
         e = e.where(exclude_closing(closing_reason, keep_null_reason))
     if began_reason is not None:
         e = e.where(began_unless(began_reason, began_keep_backend))
-    joined = e.join(anchors, "job_id").where(in_window(lookback, lookahead))
+    joined = window_join(e, anchors, lookback, lookahead)
     joined = joined.where(~target_case(targets, "condition"))   # F11: not the target itself
     joined = joined.where(~target_case(targets, "ignore"))      # F12: not on the ignore list
     for rule in noise_rules:                                     # F14

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from precursor.functions.payload import parse_payload, payload_text
 from precursor.functions.text import is_subsequence
 from precursor.operators.anchors import time_range
+from precursor.operators.context import window_join
 
 KEYS = ("target_id", "job_id")
 
@@ -107,8 +108,7 @@ def window_rows(flat: DataFrame, anchors: DataFrame, lookback: dt.timedelta, loo
     a = anchors.select("target_id", "job_id", "d_from_time")
     lo, hi = _time_bounds(a, "d_from_time")
     e = flat.where(time_range("from_time", lo - lookback, hi + lookahead)) if lo is not None else flat.where(F.lit(False))
-    d = F.col("d_from_time")
-    out = e.join(a, "job_id").where(F.col("from_time").between(d - F.lit(lookback), d + F.lit(lookahead)))
+    out = window_join(e, a, lookback, lookahead)
     return out.select("target_id", "job_id", "d_from_time", "event_id", "from_time", "to_time",
                       "origin", "source", "reason", "message",
                       payload_text(parse_payload("payload")).alias("payload_json"))

@@ -70,3 +70,17 @@ def test_first_anchor_uses_group_limit(a):
     c = a.cfg
     df = AN.find_anchors(a.flat, a.jobs, c.targets, c.start, c.end, c.job_includes, c.job_excludes, c.excluded_origin)
     assert "WindowGroupLimit" in plan(df)
+
+
+def test_window_join_without_broadcast_is_keyed_by_run_and_time(a, spark):
+    rows = lambda df: sorted(map(tuple, df.select("target_id", "job_id", "e_event_id", "e_diff").collect()))
+    expected = rows(a.context_plan())
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = a.context_plan()
+        p = plan(df)
+        assert "SortMergeJoin [job_id" in p and "_b" in p.split("SortMergeJoin", 1)[1].split("\n", 1)[0]
+        assert rows(df) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
