@@ -1,11 +1,11 @@
 """Context: the intervals of a run inside the search window round its anchor.
 
-The window join is an equi join on ``job_id`` with the time range as a residual
-condition.  Anchors hold at most one row per (target, run), so the join emits at
-most ``#targets`` rows per interval before the range cuts them; the anchor side
-is small and is broadcast by the optimizer when its size allows it.  The date
-range is applied to the context side as a literal filter as well, so it reaches
-the parquet scan.
+The window join (:func:`window_join`) is an equi join on ``(job_id, time
+bucket)`` with the exact time range as a residual condition.  Anchors hold at
+most one row per (target, run), so the join emits at most ``#targets`` rows per
+interval before the range cuts them; the anchor side is broadcast by the
+optimizer when its size allows it.  The date range is applied to the context
+side as a literal filter as well, so it reaches the parquet scan.
 """
 
 from __future__ import annotations

@@ -3,14 +3,18 @@
 Stages and where they are cut (materialised under the shared scratch folder,
 keyed by a fingerprint of the inputs' snapshot and the stage's parameters):
 
-1. ``flat``      - payload parsed once (S1, P1-P4).
-2. ``context``   - anchors + window join + exclusions (F6-F14, J1, J2, W1, P5-P8).
-   Reused by the prefix aggregation, the message counts and the tokens.
-3. ``events``    - normalised, tokenised, ordered, collapsed events (N1-N10, O2, W2).
-4. ``sequences`` - one sequence per (target, run) (A3).
-5. ``patterns``  - top-k closed patterns per target (M1-M3, O4, O5).
-
-Everything after that (support, examples, evidence, report tables) is lazy.
+1. ``flat``        - payload parsed once (S1, P1-P4).
+2. ``anchors``     - first admitted interval per (target, run) (F6-F9, J1, W1, P5).
+3. ``context``     - window join + exclusions (F10-F14, J2, P6-P8); read by the name
+   mapping, the message statistic and the tokens.
+4. ``name_map``    - pod and namespace generalisation, once for both columns (A2, J5, N6).
+5. ``events``      - normalised, tokenised, ordered, collapsed events (N1-N10, O2, W2).
+6. ``sequences``   - one sequence per (target, run) (A3).
+7. ``patterns``    - top-k closed patterns per target (M1-M3, O4, O5).
+8. ``support``     - supporting runs of each pattern (J6).
+9. ``window_rows`` - intervals in the windows of supporting runs, with payload text (J3).
+
+Examples, evidence and the report tables are lazy views over these.
 """
 
 from __future__ import annotations
