@@ -55,7 +55,12 @@ def _compare(lhs: Column, op: str, value) -> Column:
 
 
 def _field_col(f: "Field | str", prefix: str = "") -> Column:
+    """A flat column, or - for a JSON path such as ``$.message.foo`` outside the flat
+    schema - the scalar at that path of the row's payload (parsed for this test only)."""
     name = f.value if isinstance(f, Field) else f
+    if name.startswith("$"):
+        from precursor.functions.payload import json_scalar_text
+        return json_scalar_text(F.col(prefix + "payload"), name)
     return F.col(prefix + name)
 
 

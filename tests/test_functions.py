@@ -79,6 +79,13 @@ def test_exclude_closing_null_reason(spark):
     assert sorted(r["i"] for r in df.where(exclude_closing("Ended", True)).collect()) == [1, 2]
 
 
+def test_criterion_on_json_path_outside_the_flat_schema(spark):
+    df = spark.createDataFrame([(0, '{"message":{"foo":"bar-1"}}'), (1, '{"message":{"foo":{"x":1}}}'), (2, None)],
+                               "i int, payload string")
+    out = df.select("i", C.FieldLike("$.message.foo", "bar-%").column().alias("r"))
+    assert collect(out) == [True, False, False]
+
+
 def test_bool_criterion_compares_text(spark):
     df = one_col(spark, ["true", "false", None])
     out = df.select("i", C.FieldLike("v", True).column().alias("r"))
