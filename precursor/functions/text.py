@@ -13,17 +13,10 @@ from typing import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- Fixed values: masking patterns and replacements (must equal the reference's) ---
-POD_SUFFIX_PATTERN = r"-[0-9a-fA-F]{8,10}(-.*|$)"
-POD_SUFFIX_MASK = "-xxxxxxxxxx"
-NODE_NAME_PATTERN = r"[a-zA-Z0-9.-]+"
-HEX_PATTERN = r"[0-9a-fA-F]{8,30}"
-HEX_MASK = "xxxxxxxxxx"
-NUMBER_PATTERN = r"[0-9]{1,30}"
-NUMBER_MASK = "###"
-NULL_PLACEHOLDER = "_"
-TOKEN_SEPARATOR = ":"
-# --- end of fixed values ---
+from precursor.fixed import (DISPLAY_SEPARATOR, HEX_MASK, HEX_PATTERN, NODE_MISSING, NODE_NAME_PATTERN,
+                             NODE_PRESENT, NULL_PLACEHOLDER, NUMBER_MASK, NUMBER_PATTERN, POD_SUFFIX_MASK,
+                             POD_SUFFIX_PATTERN, TOKEN_ASSIGN, TOKEN_SEPARATOR, NAME_DELIMITER)
+
 
 
 def _c(c: Column | str) -> Column:
@@ -44,8 +37,8 @@ def node_flag(node: Column | str, compat: bool = False) -> Column:
     """
     n = _c(node)
     if compat:
-        return F.regexp_replace(F.coalesce(n, F.lit("no")), NODE_NAME_PATTERN, "yes")
-    return F.when(n.isNull(), F.lit("no")).otherwise(F.lit("yes"))
+        return F.regexp_replace(F.coalesce(n, F.lit(NODE_MISSING)), NODE_NAME_PATTERN, NODE_PRESENT)
+    return F.when(n.isNull(), F.lit(NODE_MISSING)).otherwise(F.lit(NODE_PRESENT))
 
 
 def mask_hex(msg: Column | str) -> Column:
@@ -63,7 +56,7 @@ def mask_message(msg: Column | str) -> Column:
     return mask_numbers(mask_hex(msg))
 
 
-def dash_prefixes(name: Column | str, delimiter: str = "-") -> Column:
+def dash_prefixes(name: Column | str, delimiter: str = NAME_DELIMITER) -> Column:
     """All delimiter-boundary prefixes of ``name``: ``a-b-c`` -> [a, a-b, a-b-c]."""
     parts = F.split(_c(name), _regex_literal(delimiter), -1)
     return F.transform(
@@ -79,7 +72,7 @@ def _regex_literal(s: str) -> str:
 def event_token(fields: Sequence[str]) -> Column:
     """``field=value`` pairs joined by ``:``; NULL values become ``_``."""
     return F.concat_ws(TOKEN_SEPARATOR, *[
-        F.concat(F.lit(f + "="), F.coalesce(F.col(f).cast("string"), F.lit(NULL_PLACEHOLDER)))
+        F.concat(F.lit(f + TOKEN_ASSIGN), F.coalesce(F.col(f).cast("string"), F.lit(NULL_PLACEHOLDER)))
         for f in fields
     ])
 
@@ -91,7 +84,7 @@ def event_hash(token: Column | str) -> Column:
 
 def display_text(token: Column | str) -> Column:
     """Token as readable text - every ``:`` becomes a blank."""
-    return F.translate(_c(token), TOKEN_SEPARATOR, " ")
+    return F.translate(_c(token), TOKEN_SEPARATOR, DISPLAY_SEPARATOR)
 
 
 def is_subsequence(sequence: Column | str, pattern: Column | str) -> Column:

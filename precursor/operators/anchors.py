@@ -12,6 +12,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from precursor.fixed import DISPLAY_TRUE
 from precursor.functions.criteria import Target, job_name_filter, matching_targets
 from precursor.schema import ANCHOR_FIELDS
 
@@ -30,7 +31,7 @@ def filter_jobs(jobs: DataFrame, start, end, includes: Sequence[str] = (), exclu
     return jobs.where(time_range("job_start", start, end) & job_name_filter(F.col("job_name"), includes, excludes))
 
 
-def anchor_admission(excluded_origin: str | None, display_value: str | None = "true") -> Column:
+def anchor_admission(excluded_origin: str | None, display_value: str | None = DISPLAY_TRUE) -> Column:
     """origin differs from ``excluded_origin`` (a NULL origin is dropped) and display = 'true'."""
     cond = F.lit(True)
     if excluded_origin is not None:
@@ -65,7 +66,7 @@ def anchor_projection(df: DataFrame) -> DataFrame:
 
 def find_anchors(flat: DataFrame, jobs: DataFrame, targets: Sequence[Target], start, end,
                  includes: Sequence[str] = (), excludes: Sequence[str] = (),
-                 excluded_origin: str | None = None, display_value: str | None = "true") -> DataFrame:
+                 excluded_origin: str | None = None, display_value: str | None = DISPLAY_TRUE) -> DataFrame:
     """At most one anchor per ``(target_id, job_id)``.
 
     The job table is joined without a hint: the optimizer broadcasts it when its

@@ -16,6 +16,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from precursor import fixed as fx
 from precursor.functions.criteria import NoiseRule, Target, target_case
 from precursor.operators.anchors import time_range
 from precursor.schema import CONTEXT_FIELDS
@@ -34,7 +35,8 @@ def relative_position(d_time: Column | str = "d_from_time", e_time: Column | str
     d = F.col(d_time) if isinstance(d_time, str) else d_time
     e = F.col(e_time) if isinstance(e_time, str) else e_time
     diff = F.timestamp_diff("SECOND", e, d)
-    return F.when(diff == 0, F.lit("at_d")).when(diff <= 0, F.lit("after_d")).otherwise(F.lit("before_d"))
+    return (F.when(diff == 0, F.lit(fx.AT_ANCHOR)).when(diff <= 0, F.lit(fx.AFTER_ANCHOR))
+            .otherwise(F.lit(fx.BEFORE_ANCHOR)))
 
 
 def exclude_closing(reason: str, keep_null_reason: bool = False) -> Column:

@@ -24,9 +24,8 @@ from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# --- Fixed value: separator of pattern items in the text form of a pattern ---
+# Separator of pattern items in the text form of a pattern (our own convention).
 PATTERN_SEPARATOR = " > "
-# --- end of fixed values ---
 
 
 def frequent_sequences(sequences: DataFrame, min_count: int, max_length: int,

@@ -18,11 +18,10 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precursor.fixed import GENERALISED_SUFFIX, NAME_DELIMITER
+
 from precursor.functions.text import dash_prefixes
 
-# --- Fixed value: suffix of a generalised name ---
-GENERALISED_SUFFIX = "-..."
-# --- end of fixed values ---
 
 
 def _present(col: str):
@@ -50,7 +49,7 @@ def _in_enough_runs(df: DataFrame, group: Sequence[str], run_col: str, min_runs:
 
 
 def shared_prefixes(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_id",),
-                    run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
+                    run_col: str = "job_id", delimiter: str = NAME_DELIMITER, min_runs: int = 2,
                     with_counts: bool = True) -> DataFrame:
     """A2: delimiter-boundary prefixes of the names that occur in at least ``min_runs`` runs.
 
@@ -65,7 +64,7 @@ def shared_prefixes(df: DataFrame, name_col: str, keys: Sequence[str] = ("target
 
 
 def prefix_mapping(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_id",),
-                   run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
+                   run_col: str = "job_id", delimiter: str = NAME_DELIMITER, min_runs: int = 2,
                    token_boundary: bool = False) -> DataFrame:
     """``(*keys, name, mapped)`` for every distinct non-empty name.
 
@@ -93,7 +92,7 @@ def prefix_mapping(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_
 
 
 def generalize_prefix(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_id",),
-                      run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
+                      run_col: str = "job_id", delimiter: str = NAME_DELIMITER, min_runs: int = 2,
                       token_boundary: bool = False) -> DataFrame:
     """N6 + J4: replace ``name_col`` by its mapped name; NULL and empty names become NULL."""
     m = prefix_mapping(df, name_col, keys, run_col, delimiter, min_runs, token_boundary)
@@ -103,7 +102,7 @@ def generalize_prefix(df: DataFrame, name_col: str, keys: Sequence[str] = ("targ
 
 
 def prefix_mappings(df: DataFrame, name_cols: Sequence[str], keys: Sequence[str] = ("target_id",),
-                    run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
+                    run_col: str = "job_id", delimiter: str = NAME_DELIMITER, min_runs: int = 2,
                     token_boundary: bool = False) -> DataFrame:
     """N6 for several name columns at once: ``(kind, *keys, name, mapped)``.
 
@@ -129,7 +128,7 @@ def apply_mappings(df: DataFrame, mappings: DataFrame, name_cols: Sequence[str],
 
 
 def generalize_prefixes(df: DataFrame, name_cols: Sequence[str], keys: Sequence[str] = ("target_id",),
-                        run_col: str = "job_id", delimiter: str = "-", min_runs: int = 2,
+                        run_col: str = "job_id", delimiter: str = NAME_DELIMITER, min_runs: int = 2,
                         token_boundary: bool = False) -> DataFrame:
     """N6 + J4 for several name columns (lazy; the mapping is planned once per column)."""
     m = prefix_mappings(df, name_cols, keys, run_col, delimiter, min_runs, token_boundary)

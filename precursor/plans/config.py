@@ -8,6 +8,14 @@ from typing import Sequence
 
 from pyspark.sql import functions as F
 
+from precursor.fixed import (REFERENCE_BACKEND_FAMILIES, REFERENCE_BEGAN_KEEP_BACKEND,
+                             REFERENCE_BEGAN_REASON, REFERENCE_CLOSING_REASON, REFERENCE_JOB_EXCLUDES,
+                             REFERENCE_JOB_INCLUDES, REFERENCE_NODE_IGNORE_REASON, REFERENCE_NODE_SOURCE,
+                             REFERENCE_NOISE_ALERT, REFERENCE_NOISE_ALERT_MESSAGE, REFERENCE_NOISE_BACKEND,
+                             REFERENCE_NOISE_ETCD, REFERENCE_NOISE_FAILED_SCHEDULING, REFERENCE_NOISE_KUBE_EVENT,
+                             REFERENCE_NOISE_NAMESPACES, REFERENCE_OBSERVER_ORIGIN, REFERENCE_SPAN_DAYS,
+                             REFERENCE_TOP_K, REFERENCE_WINDOW_AFTER_SECONDS, REFERENCE_WINDOW_BEFORE_SECONDS,
+                             DISPLAY_TRUE, MIN_RUNS)
 from precursor.functions.criteria import Field, FieldLike, NoiseRule, Target
 
 
@@ -27,7 +35,7 @@ class AnalysisConfig:
     job_includes: Sequence[str] = ()
     job_excludes: Sequence[str] = ()
     excluded_origin: str | None = None
-    display_value: str | None = "true"
+    display_value: str | None = DISPLAY_TRUE
     closing_reason: str | None = None
     began_reason: str | None = None
     began_keep_backend: str | None = None
@@ -64,32 +72,6 @@ class AnalysisConfig:
         return d
 
 
-# --- Fixed values: the reference's workload (targets, window, job filter, exclusions) ---
-REFERENCE_OBSERVER_ORIGIN = "e2e-events-observer.json"
-REFERENCE_CLOSING_REASON = "DisruptionEnded"
-REFERENCE_BEGAN_REASON = "DisruptionBegan"
-REFERENCE_BEGAN_KEEP_BACKEND = "%-liveness-%"
-REFERENCE_JOB_INCLUDES = ("4.18", "azure")
-REFERENCE_JOB_EXCLUDES = ("single-node",)
-REFERENCE_BACKEND_FAMILIES = (
-    "service-load-balancer-%",
-    "ingress-to-%",
-    "cache-kube-api-%",
-    "cache-%",
-    "kube-api-%",
-    "openshift-api-%",
-    "oauth-api-%",
-)
-REFERENCE_NODE_SOURCE = "NodeUnexpectedNotReady"
-REFERENCE_NODE_IGNORE_REASON = "NotReady"
-REFERENCE_NOISE_BACKEND = "service-load-balancer-with-pdb-reused-connections"
-REFERENCE_NOISE_NAMESPACES = ("openshift-kube-apiserver", "openshift-image-registry", "openshift-cluster-csi-drivers")
-REFERENCE_NOISE_KUBE_EVENT = "KubeEvent"
-REFERENCE_NOISE_FAILED_SCHEDULING = "FailedScheduling"
-REFERENCE_NOISE_ETCD = "EtcdLog"
-REFERENCE_NOISE_ALERT = "Alert"
-REFERENCE_NOISE_ALERT_MESSAGE = "%KubeDaemon%"
-# --- end of fixed values ---
 
 
 def reference_targets() -> list[Target]:
@@ -110,18 +92,20 @@ def reference_noise_rule() -> NoiseRule:
     return NoiseRule(F.col("d_backend_disruption_name") == REFERENCE_NOISE_BACKEND, event)
 
 
-def reference_config(start_date: str, span_days: int = 15) -> AnalysisConfig:
+def reference_config(start_date: str, span_days: int = REFERENCE_SPAN_DAYS) -> AnalysisConfig:
     """The reference's workload for ``[start_date, start_date + span_days]``."""
     start = dt.datetime.fromisoformat(start_date)
     return AnalysisConfig(
         targets=reference_targets(),
         start=str(start), end=str(start + dt.timedelta(days=span_days)),
-        lookback=dt.timedelta(seconds=40), lookahead=dt.timedelta(seconds=1),
+        lookback=dt.timedelta(seconds=REFERENCE_WINDOW_AFTER_SECONDS),
+        lookahead=dt.timedelta(seconds=REFERENCE_WINDOW_BEFORE_SECONDS),
         job_includes=REFERENCE_JOB_INCLUDES, job_excludes=REFERENCE_JOB_EXCLUDES,
         excluded_origin=REFERENCE_OBSERVER_ORIGIN,
         closing_reason=REFERENCE_CLOSING_REASON,
         began_reason=REFERENCE_BEGAN_REASON, began_keep_backend=REFERENCE_BEGAN_KEEP_BACKEND,
         noise_rules=[reference_noise_rule()],
+        k=REFERENCE_TOP_K, min_runs=MIN_RUNS,
     )
 
 

@@ -20,11 +20,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precursor.fixed import NO_MATCH
+
 from precursor.functions.text import display_text
 from precursor.operators.mining import PATTERN_SEPARATOR, pattern_text, support_fraction
 from precursor.plans.pipeline import Analysis
 
-NO_MATCH = "No matching intervals found in search."
 
 
 def target_summary(a: Analysis) -> DataFrame:

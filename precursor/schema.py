@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from precursor import fixed as fx
+
 INTERVALS_SCHEMA = T.StructType([
     T.StructField("job_id", T.StringType()),
     T.StructField("event_id", T.LongType()),
@@ -32,33 +34,31 @@ JOBS_SCHEMA = T.StructType([
     T.StructField("job_start", T.TimestampNTZType()),
 ])
 
-# --- Fixed values: JSON paths of the payload fields (must equal the reference's) ---
 # flat column name -> JSON path inside the payload
 PAYLOAD_FIELDS: dict[str, str] = {
-    "source": "$.source",
-    "level": "$.level",
-    "display": "$.display",
-    "locator_type": "$.locator.type",
-    "locator": "$.locator",
-    "keys_namespace": "$.locator.keys.namespace",
-    "keys_ns": "$.locator.keys.ns",
-    "disruption": "$.locator.keys.disruption",
-    "route": "$.locator.keys.route",
-    "connection": "$.locator.keys.connection",
-    "backend": "$.locator.keys.backend-disruption-name",
-    "node": "$.locator.keys.node",
-    "pod": "$.locator.keys.pod",
-    "container": "$.locator.keys.container",
-    "uid": "$.locator.keys.uid",
-    "row": "$.locator.keys.row",
-    "reason": "$.message.reason",
-    "cause": "$.message.cause",
-    "message": "$.message.humanMessage",
-    "count": "$.message.count",
-    "roles": "$.message.roles",
-    "constructed": "$.message.annotations.constructed",
+    "source": fx.PATH_SOURCE,
+    "level": fx.PATH_LEVEL,
+    "display": fx.PATH_DISPLAY,
+    "locator_type": fx.PATH_LOCATOR_TYPE,
+    "locator": fx.PATH_LOCATOR,
+    "keys_namespace": fx.PATH_KEYS_NAMESPACE,
+    "keys_ns": fx.PATH_KEYS_NS,
+    "disruption": fx.PATH_KEYS_DISRUPTION,
+    "route": fx.PATH_KEYS_ROUTE,
+    "connection": fx.PATH_KEYS_CONNECTION,
+    "backend": fx.PATH_KEYS_BACKEND_DISRUPTION_NAME,
+    "node": fx.PATH_KEYS_NODE,
+    "pod": fx.PATH_KEYS_POD,
+    "container": fx.PATH_KEYS_CONTAINER,
+    "uid": fx.PATH_KEYS_UID,
+    "row": fx.PATH_KEYS_ROW,
+    "reason": fx.PATH_REASON,
+    "cause": fx.PATH_CAUSE,
+    "message": fx.PATH_MESSAGE_HUMAN_MESSAGE,
+    "count": fx.PATH_MESSAGE_COUNT,
+    "roles": fx.PATH_MESSAGE_ROLES,
+    "constructed": fx.PATH_MESSAGE_ANNOTATIONS_CONSTRUCTED,
 }
-# --- end of fixed values ---
 
 # Columns of the flat interval table, in order.
 FLAT_COLUMNS: list[str] = (
@@ -103,21 +103,8 @@ CONTEXT_FIELDS: dict[str, str] = {
     "e_locator": "locator",
 }
 
-# --- Fixed values: the event fields that make up a token, in the reference's order ---
-EVENT_FIELDS: list[str] = [
-    "e_diff",
-    "e_source",
-    "e_node",
-    "e_ns",
-    "e_pod",
-    "e_container",
-    "e_reason",
-    "e_cause",
-    "e_roles",
-    "e_row",
-    "e_message",
-]
-# --- end of fixed values ---
+# The event fields that make up a token, in order.
+EVENT_FIELDS: list[str] = list(fx.EVENT_FIELDS)
 
 # Order of events inside one run (after ``e_from_time``); see ordered_events.
-EVENT_SORT_FIELDS: list[str] = ["e_source", "e_ns", "e_reason", "e_message"]
+EVENT_SORT_FIELDS: list[str] = list(fx.EVENT_SORT_FIELDS)
