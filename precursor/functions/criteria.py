@@ -17,6 +17,8 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from precursor.fixed import REFERENCE_BEGAN_REASON
+
 
 class Field(Enum):
     """Payload fields a criterion can test: name -> flat column."""
@@ -164,7 +166,7 @@ class Target:
         return "[" + " AND ".join(c.label for c in self.ignore) + "]" if self.ignore else ""
 
 
-def disruption_target(backend_like: str, *extra, began_reason: str = "DisruptionBegan",
+def disruption_target(backend_like: str, *extra, began_reason: str = REFERENCE_BEGAN_REASON,
                       name: str | None = None) -> Target:
     """preset target - backend LIKE x AND reason = began AND display = true, plus extras."""
     crit = list(extra) + [
