@@ -84,3 +84,16 @@ def test_window_join_without_broadcast_is_keyed_by_run_and_time(a, spark):
         assert rows(df) == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_events_stage_hash_aggregates_and_reads_one_name_map(a):
+    p = plan(SQ.token_events(a.context, mappings=a.name_map))
+    assert "SortAggregate" not in p                      # run key is a long: hash aggregation
+    assert "Generate inline" not in p                    # the name mapping is read, not re-planned
+
+
+def test_topk_windows_use_group_limit(a):
+    from precursor.operators import mining as MN
+    assert "WindowGroupLimit" in plan(MN.start_thresholds(a.sequences, 25))
+    freq = MN.frequent_sequences_by_key(a.sequences, 2)
+    assert "WindowGroupLimit" in plan(MN.topk_patterns(freq, 25))
