@@ -130,7 +130,7 @@ def _search_one(seqs: DataFrame, n: int, longest: int, start: int, k: int, min_c
 
 
 def topk_closed(sequences: DataFrame, k: int = 25, min_count: int = 2, max_length: int | None = None,
-                parallelism: int = 4) -> DataFrame:
+                parallelism: int = 8) -> DataFrame:
     """M3: the top-k closed patterns of each target (``target_id, pattern, freq, rank``).
 
     ``sequences`` is ``(target_id, job_id, sequence)``; it is checkpointed once so
