@@ -56,15 +56,18 @@ def _snapshot(spark: SparkSession, *dfs: DataFrame) -> str:
 class Analysis:
     """Lazy, stage-cached analysis of ``intervals`` and ``jobs`` under ``cfg``."""
 
-    def __init__(self, spark: SparkSession, intervals: DataFrame, jobs: DataFrame, cfg: AnalysisConfig,
+    def __init__(self, spark: SparkSession, intervals: DataFrame | None, jobs: DataFrame, cfg: AnalysisConfig,
                  flat: DataFrame | None = None, cache: bool = True):
+        """``flat``: an already prepared flat interval table (then ``intervals`` may be None)."""
+        if intervals is None and flat is None:
+            raise ValueError("give the native intervals or a prepared flat table")
         self.spark = spark
         self.intervals = intervals
         self.jobs_raw = jobs
         self.cfg = cfg
         self.cache = cache
         self._flat = flat
-        self.snapshot = _snapshot(spark, intervals, jobs)
+        self.snapshot = _snapshot(spark, intervals if intervals is not None else flat, jobs)
 
     def _fp(self, stage: str) -> str:
         return fingerprint(stage, self.snapshot, self.cfg.stage_description(stage))

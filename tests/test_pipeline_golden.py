@@ -71,3 +71,12 @@ def test_report_tables(analysis, tmp_path):
                         "report_nested"}
     ev = a.evidence.collect()
     assert ev and all(r["origin"] != golden.OBS for r in ev)
+
+
+def test_analysis_on_prepared_flat_table(analysis, spark):
+    from precursor.plans.pipeline import prepare_intervals
+    a, want = analysis
+    flat = prepare_intervals(a.intervals)
+    b = Analysis(spark, None, a.jobs_raw, a.cfg, flat=flat)
+    got = {(r["target_id"], r["rank"], tuple(r["pattern"]), r["freq"]) for r in b.patterns.collect()}
+    assert got == want["patterns"]
