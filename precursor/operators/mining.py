@@ -162,8 +162,9 @@ def topk_closed(sequences: DataFrame, k: int = 25, min_count: int = 2, max_lengt
 
 
 def support_fraction(freq_col: str = "freq", runs_col: str = "n_runs"):
-    """Integer share of runs in percent, ``freq * 100 // runs``."""
-    return F.expr(f"({freq_col} * 100) div {runs_col}")
+    """Integer share of runs in percent, ``freq * 100 // runs`` (exact integer division)."""
+    a, b = F.col(freq_col) * 100, F.col(runs_col)
+    return ((a - a % b) / b).cast("long")
 
 
 __all__ = ["frequent_sequences", "closed_sequences", "topk_patterns", "topk_closed",

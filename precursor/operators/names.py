@@ -84,7 +84,7 @@ def prefix_mapping(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_
     best = (cand.join(shared, [*keys, "prefix"])
             .groupBy(*keys, "name")
             .agg(F.max(F.length("prefix")).alias("_len"))
-            .select(*keys, "name", F.expr("substring(name, 1, _len)").alias("best")))
+            .select(*keys, "name", F.substring(F.col("name"), F.lit(1), F.col("_len")).alias("best")))
     mapped = (F.when(F.col("best").isNull() | (F.col("best") == F.col("name")), F.col("name"))
               .otherwise(F.concat(F.col("best"), F.lit(GENERALISED_SUFFIX))))
     return (names.join(best, [*keys, "name"], "left")

@@ -7,6 +7,8 @@ column expressions: the adapter is a map-only stage, it never shuffles.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def intervals_from_events(events: DataFrame) -> DataFrame:
         _s(uid).alias("job_id"),
         F.col("event_id"),
         F.col("ts").alias("from_time"),
-        (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("to_time"),
+        (F.col("ts") + F.lit(dt.timedelta(seconds=1))).alias("to_time"),
         F.when(k % 25 == 24, F.lit("observer")).otherwise(F.lit("collector")).alias("origin"),
         F.when(even, payload).alias("interval"),
         F.when(~even, payload).alias("interval_json"),
