@@ -47,28 +47,12 @@ def first_token_occurrence(events: DataFrame) -> DataFrame:
             .select(*KEYS, "event", "e_from_time", "e_event_id"))
 
 
-def _time_bounds(rows: DataFrame, lo_col: str, hi_col: str | None = None):
-    """(min, max) of two time columns of ``rows`` - two scalars, the only values brought to the driver."""
-    b = rows.agg(F.min(lo_col).alias("lo"), F.max(hi_col or lo_col).alias("hi")).first()
+def _time_bounds(rows: DataFrame, col: str):
+    """(min, max) of a time column - two scalars, the only values brought to the driver."""
+    b = rows.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     return (b["lo"], b["hi"]) if b is not None and b["lo"] is not None else (None, None)
 
 
-def fetch_payloads(flat: DataFrame, rows: DataFrame, event_col: str = "event_id",
-                   time_col: str = "from_time") -> DataFrame:
-    """``(job_id, event_id, payload_json)`` for the given rows of the flat table.
-
-    The wide payload column is read only here, for the few rows a report shows.
-    Literal time bounds let the scan skip row groups (the flat table is written
-    sorted by time within each file); the keys are a semi-join filter.
-    """
-    keys = rows.select("job_id", F.col(event_col).alias("event_id"), F.col(time_col).alias("_t"))
-    lo, hi = _time_bounds(keys, "_t")
-    f = flat.where(time_range("from_time", lo, hi)) if lo is not None else flat.where(F.lit(False))
-    return (f.select("job_id", "event_id", "payload")
-            .join(keys.select("job_id", "event_id").distinct(), ["job_id", "event_id"], "left_semi")
-            .select("job_id", "event_id", payload_text(parse_payload("payload")).alias("payload_json")))
-
-
 def pattern_examples(support: DataFrame, first_occ: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
     """One example row per pattern item per supporting run (the item's first occurrence in the run).
 

@@ -48,6 +48,14 @@ def test_prefix_generalisation_property(spark, pairs):
     assert spark_map(spark, pairs) == brute.prefix_map(pairs)
 
 
+def test_generalize_prefix_single_column(spark):
+    df = spark.createDataFrame([(0, "1", "pod-a-1"), (0, "2", "pod-a-2"), (0, "2", ""), (0, "3", None)],
+                               "target_id int, job_id string, e_pod string")
+    out = sorted(((r["job_id"], r["e_pod"]) for r in NM.generalize_prefix(df, "e_pod").collect()),
+                 key=lambda x: (x[0], x[1] or ""))
+    assert out == [("1", "pod-a-..."), ("2", None), ("2", "pod-a-..."), ("3", None)]
+
+
 def test_generalize_prefixes_two_columns(spark):
     df = spark.createDataFrame([(0, "1", "pod-a-1", "ns-x"), (0, "2", "pod-a-2", "ns-x"), (0, "2", None, "ns-y-2")],
                                "target_id int, job_id string, e_pod string, e_ns string")
