@@ -10,7 +10,8 @@
 * M3 :func:`topk_closed` - the k best closed patterns by support.  PrefixSpan
   takes a support threshold, not k, so the threshold is searched: start at the
   support of the k-th most frequent single token and halve until at least k
-  closed patterns are found or the floor (2 runs) is reached.  The result is
+  closed patterns are found or the floor (2 runs) is reached.  Targets that
+  share a threshold are mined by one PrefixSpan pass.  The result is
   exact: the closed set mined at threshold ``s`` holds every closed pattern
   with support >= s, and all others rank below them.
 """
@@ -49,19 +50,21 @@ def frequent_sequences(sequences: DataFrame, min_count: int, max_length: int,
 
 
 def frequent_sequences_by_key(sequences: DataFrame, min_count: int, max_length: int | None = None,
-                              key: str = "target_id") -> DataFrame:
+                              key: str = "target_id", n_sequences: int | None = None,
+                              longest: int | None = None) -> DataFrame:
     """M1 for all keys in one PrefixSpan pass: ``(key, pattern, freq)``.
 
     Items are namespaced with the key, so no pattern mixes keys and every
     support is counted within its own key; ``min_count`` is an absolute count.
     ``max_length=None`` bounds patterns by the longest sequence only (exact).
     """
-    stats = sequences.agg(F.count("*").alias("n"), F.max(F.size("sequence")).alias("mx")).first()
-    n, longest = stats["n"], stats["mx"] or 1
+    if n_sequences is None or longest is None:
+        stats = sequences.agg(F.count("*").alias("n"), F.max(F.size("sequence")).alias("mx")).first()
+        n_sequences, longest = stats["n"], stats["mx"] or 1
     cap = longest if max_length is None else min(longest, max_length)
     tagged = sequences.select(F.transform("sequence", lambda x: F.concat_ws("\u0001", F.col(key).cast("string"), x))
                               .alias("sequence"))
-    out = frequent_sequences(tagged, min_count, cap, n_sequences=n)
+    out = frequent_sequences(tagged, min_count, cap, n_sequences=n_sequences)
     first = F.get("pattern", 0)
     return out.select(
         F.substring_index(first, "\u0001", 1).cast(sequences.schema[key].dataType).alias(key),
@@ -114,19 +117,17 @@ def start_thresholds(sequences: DataFrame, k: int, keys: Sequence[str] = ("targe
     return stats.join(kth, list(keys), "left")
 
 
-def _search_one(seqs: DataFrame, n: int, longest: int, start: int, k: int, min_count: int,
-                max_length: int | None) -> DataFrame:
-    """Threshold search for one target; returns its closed patterns at the final threshold."""
+def _mine_group(seqs: DataFrame, targets: list, rows: dict, threshold: int, max_length: int | None) -> DataFrame:
+    """Closed patterns of several targets that share the current threshold, in one PrefixSpan pass."""
+    group = seqs.where(F.col("target_id").isin(targets))
+    n = sum(rows[t]["n"] for t in targets)
+    longest = max(rows[t]["max_len"] or 1 for t in targets)
     cap = longest if max_length is None else min(longest, max_length + 1)
-    s = max(min_count, start)
-    while True:
-        mined = frequent_sequences(seqs, s, cap, n_sequences=n).checkpoint(eager=True)
-        closed = closed_sequences(mined.withColumn("target_id", F.lit(0)))
-        if max_length is not None:
-            closed = closed.where(F.size("pattern") <= max_length)
-        if s <= min_count or closed.count() >= k:
-            return closed.drop("target_id")
-        s = max(min_count, s // 2)
+    mined = frequent_sequences_by_key(group, threshold, cap, n_sequences=n, longest=longest).checkpoint(eager=True)
+    closed = closed_sequences(mined)
+    if max_length is not None:
+        closed = closed.where(F.size("pattern") <= max_length)
+    return closed
 
 
 def topk_closed(sequences: DataFrame, k: int = 25, min_count: int = 2, max_length: int | None = None,
@@ -134,28 +135,45 @@ def topk_closed(sequences: DataFrame, k: int = 25, min_count: int = 2, max_lengt
     """M3: the top-k closed patterns of each target (``target_id, pattern, freq, rank``).
 
     ``sequences`` is ``(target_id, job_id, sequence)``; it is checkpointed once so
-    every mining round reads it instead of recomputing the upstream plan.
-    Targets are mined by concurrent Spark jobs (one thread per target).
+    every mining round reads it instead of recomputing the upstream plan.  In each
+    round, targets that share the current threshold are mined together by one
+    PrefixSpan pass (items namespaced by target, so each target is still mined
+    at its own threshold only); groups with different thresholds run as
+    concurrent jobs.  A target is done when it has k closed patterns or its
+    threshold reached ``min_count``; otherwise its threshold is halved.
     ``max_length=None`` mines without a length limit (exact).
     """
     spark = sequences.sparkSession
     seqs = sequences.select("target_id", "job_id", "sequence").checkpoint(eager=True)
-    plan = start_thresholds(seqs, k).collect()   # one row per target
-
-    def run(row) -> DataFrame:
-        t = row["target_id"]
-        one = seqs.where(F.col("target_id") == t)
-        closed = _search_one(one, row["n"], row["max_len"] or 1, row["start"] or min_count, k, min_count, max_length)
-        return closed.withColumn("target_id", F.lit(t))
-
-    parts: list[DataFrame] = []
-    if plan:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(plan)))) as pool:
-            parts = list(pool.map(run, plan))
-    if not parts:
+    rows = {r["target_id"]: r.asDict() for r in start_thresholds(seqs, k).collect()}   # one row per target
+    todo = {t: max(min_count, r["start"] or min_count) for t, r in rows.items()}
+    done: list[DataFrame] = []
+
+    def round_for(item) -> tuple[int, list, DataFrame, dict]:
+        threshold, targets = item
+        closed = _mine_group(seqs, targets, rows, threshold, max_length)
+        counts = {r["target_id"]: r["n"] for r in closed.groupBy("target_id").agg(F.count("*").alias("n")).collect()}
+        return threshold, targets, closed, counts
+
+    while todo:
+        groups: dict[int, list] = {}
+        for t, thr in todo.items():
+            groups.setdefault(thr, []).append(t)
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(groups)))) as pool:
+            results = list(pool.map(round_for, groups.items()))
+        for threshold, targets, closed, counts in results:
+            finished = [t for t in targets if threshold <= min_count or counts.get(t, 0) >= k]
+            if finished:
+                done.append(closed.where(F.col("target_id").isin(finished)))
+            for t in targets:
+                if t in finished:
+                    del todo[t]
+                else:
+                    todo[t] = max(min_count, threshold // 2)
+    if not done:
         return spark.createDataFrame([], "target_id int, pattern array<string>, freq long, rank int")
-    allp = parts[0]
-    for p in parts[1:]:
+    allp = done[0]
+    for p in done[1:]:
         allp = allp.unionByName(p)
     top = topk_patterns(allp, k, min_count=min_count)
     return top.select(F.col("target_id").cast("int"), "pattern", "freq", "rank")
