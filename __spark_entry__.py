@@ -32,7 +32,7 @@ from precursor.operators import names as NM  # noqa: E402
 from precursor.operators import sequences as SQ  # noqa: E402
 from precursor.plans import report as RP  # noqa: E402
 from precursor.plans.config import adapter_config  # noqa: E402
-from precursor.plans.pipeline import Analysis  # noqa: E402
+from precursor.plans.analysis import Analysis  # noqa: E402
 from precursor.session import apply_recommended_conf  # noqa: E402
 from precursor.sources import cache as CA  # noqa: E402
 from precursor.sources.adapter import read_adapted  # noqa: E402
@@ -463,7 +463,7 @@ def q_pattern_support_detail(spark, sf):
                     _ts("d_from_time").alias("d_from_time"), "d_backend_disruption_name")
 
 
-def q_pipeline_all_targets(spark, sf):
+def q_all_targets_patterns(spark, sf):
     a = _analysis(spark, sf)
     return RP.patterns_table(a).select("target_id", "rank", "freq", "n_runs", "share_pct", "length",
                                        "pattern_text", "display")
@@ -476,7 +476,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: top-k closed patterns of every target with share and readable items (sf0.001)."""
-    return queries()["pipeline_all_targets"](spark, SF_SMOKE)
+    return queries()["all_targets_patterns"](spark, SF_SMOKE)
 
 
 def _long_ints(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -622,7 +622,7 @@ _ORACLE = {
     "pattern_support_detail": f"""SELECT s.target_id, s.rank, s.freq, s.job_id, a.job_name, a.job_url,
         {_t('a.d_from_time', 'd_from_time')}, a.d_backend_disruption_name
       FROM support s JOIN anchors a ON a.target_id = s.target_id AND a.job_id = s.job_id""",
-    "pipeline_all_targets": """SELECT t.target_id, t.rank, t.freq, r.n_runs, (t.freq * 100) // r.n_runs AS share_pct,
+    "all_targets_patterns": """SELECT t.target_id, t.rank, t.freq, r.n_runs, (t.freq * 100) // r.n_runs AS share_pct,
         t.length, t.pattern_text, replace(t.pattern_text, ':', ' ') AS display
       FROM topk t JOIN runs r USING (target_id)""",
 }

@@ -19,12 +19,12 @@ sys.path.insert(0, HERE)
 
 from precursor.plans import report  # noqa: E402
 from precursor.plans.config import adapter_config  # noqa: E402
-from precursor.plans.pipeline import Analysis  # noqa: E402
+from precursor.plans.analysis import Analysis  # noqa: E402
 from precursor.session import local_session  # noqa: E402
 from precursor.sources.adapter import read_adapted  # noqa: E402
 
 
-def run_pipeline(spark, sf_dir: str, out_dir: str) -> dict[str, float]:
+def run_analysis(spark, sf_dir: str, out_dir: str) -> dict[str, float]:
     iv, jobs = read_adapted(spark, sf_dir)
     a = Analysis(spark, iv, jobs, adapter_config())
     times: dict[str, float] = {}
@@ -56,14 +56,14 @@ def main() -> None:
     # Warm-up (not timed): large enough for the JVM to compile the hot paths.
     warm_sf = os.environ.get("BENCH_WARMUP_SF_DIR", "/root/testdata/sf0.01")
     if os.path.exists(f"{warm_sf}/events.parquet"):
-        run_pipeline(spark, warm_sf, tempfile.mkdtemp(prefix="precursor-warm-"))
+        run_analysis(spark, warm_sf, tempfile.mkdtemp(prefix="precursor-warm-"))
 
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="precursor-bench-"))
     out = tempfile.mkdtemp(prefix="precursor-report-")
     t0 = time.perf_counter()
-    times = run_pipeline(spark, sf_dir, out)
+    times = run_analysis(spark, sf_dir, out)
     total = round(time.perf_counter() - t0, 3)
-    print(json.dumps({"metric": "pipeline_total_sec", "value": total, "unit": "sec", "queries": times, "sf": sf,
+    print(json.dumps({"metric": "analysis_total_sec", "value": total, "unit": "sec", "queries": times, "sf": sf,
                       "cpus": cpus}))
     spark.stop()
 

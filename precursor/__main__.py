@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 
 from precursor.plans import report
 from precursor.plans.config import REFERENCE_JOB_EXCLUDES, REFERENCE_JOB_INCLUDES, reference_config
-from precursor.plans.pipeline import Analysis
+from precursor.plans.analysis import Analysis
 from precursor.session import apply_recommended_conf
 from precursor.sources.intervals import read_intervals, read_jobs
 

@@ -24,7 +24,7 @@ from precursor.fixed import NO_MATCH
 
 from precursor.functions.text import display_text
 from precursor.operators.mining import PATTERN_SEPARATOR, pattern_text, support_fraction
-from precursor.plans.pipeline import Analysis
+from precursor.plans.analysis import Analysis
 
 
 

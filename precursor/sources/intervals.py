@@ -69,5 +69,5 @@ def read_jobs(spark: SparkSession, source) -> DataFrame:
 
 
 def read_flat_intervals(spark: SparkSession, source) -> DataFrame:
-    """The flat interval table written by :func:`precursor.plans.pipeline.prepare_intervals`."""
+    """The flat interval table written by :func:`precursor.plans.analysis.prepare_intervals`."""
     return _load(spark, source)

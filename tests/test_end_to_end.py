@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from precursor.plans import report
 from precursor.plans.config import reference_config
-from precursor.plans.pipeline import Analysis
+from precursor.plans.analysis import Analysis
 from precursor.schema import INTERVALS_SCHEMA, JOBS_SCHEMA
 
 
@@ -74,7 +74,7 @@ def test_report_tables(analysis, tmp_path):
 
 
 def test_analysis_on_prepared_flat_table(analysis, spark):
-    from precursor.plans.pipeline import prepare_intervals
+    from precursor.plans.analysis import prepare_intervals
     a, want = analysis
     flat = prepare_intervals(a.intervals)
     b = Analysis(spark, None, a.jobs_raw, a.cfg, flat=flat)

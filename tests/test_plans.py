@@ -7,7 +7,7 @@ import pytest
 from precursor.operators import evidence as EV
 from precursor.operators import sequences as SQ
 from precursor.plans.config import adapter_config
-from precursor.plans.pipeline import Analysis
+from precursor.plans.analysis import Analysis
 from precursor.sources.adapter import read_adapted
 
 SF = "/root/testdata/sf0.001"

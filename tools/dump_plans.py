@@ -15,7 +15,7 @@ from precursor.operators import evidence as EV  # noqa: E402
 from precursor.operators import mining as MN  # noqa: E402
 from precursor.operators import sequences as SQ  # noqa: E402
 from precursor.plans.config import adapter_config  # noqa: E402
-from precursor.plans.pipeline import Analysis  # noqa: E402
+from precursor.plans.analysis import Analysis  # noqa: E402
 from precursor.session import local_session  # noqa: E402
 from precursor.sources.adapter import read_adapted  # noqa: E402
 
