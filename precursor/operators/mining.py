@@ -32,10 +32,11 @@ PATTERN_SEPARATOR = " > "
 def frequent_sequences(sequences: DataFrame, min_count: int, max_length: int,
                        seq_col: str = "sequence", n_sequences: int | None = None,
                        max_local_proj_db_size: int = 32_000_000) -> DataFrame:
-    """M1: ``(pattern array<string>, freq long)`` for patterns in >= ``min_count`` sequences."""
+    """M1: ``(pattern array<item>, freq long)`` for patterns in >= ``min_count`` sequences."""
     n = n_sequences if n_sequences is not None else sequences.count()
     if n < min_count:  # no pattern can reach the threshold (and minSupport may not exceed 1)
-        return sequences.sparkSession.createDataFrame([], "pattern array<string>, freq long")
+        item = sequences.schema[seq_col].dataType.elementType.simpleString()
+        return sequences.sparkSession.createDataFrame([], f"pattern array<{item}>, freq long")
     ps = PrefixSpan(
         # (c - 0.5) / n: PrefixSpan rounds minSupport * n up, which gives exactly c.
         minSupport=(min_count - 0.5) / n,
@@ -117,13 +118,50 @@ def start_thresholds(sequences: DataFrame, k: int, keys: Sequence[str] = ("targe
     return stats.join(kth, list(keys), "left")
 
 
-def _mine_group(seqs: DataFrame, targets: list, rows: dict, threshold: int, max_length: int | None) -> DataFrame:
-    """Closed patterns of several targets that share the current threshold, in one PrefixSpan pass."""
+def _item(token):
+    """64-bit item id of a token within its target (the target is part of the hash)."""
+    return F.xxhash64(F.col("target_id"), token)
+
+
+def token_items(seqs: DataFrame) -> DataFrame:
+    """Dictionary ``(target_id, token, item)`` of the distinct tokens of each target."""
+    return (seqs.select("target_id", F.explode(F.array_distinct("sequence")).alias("token")).distinct()
+            .withColumn("item", _item(F.col("token"))))
+
+
+def _items_unique(dictionary: DataFrame) -> bool:
+    """True when no two (target, token) pairs share an item id (one small aggregation)."""
+    r = dictionary.agg(F.count("*").alias("n"), F.countDistinct("item").alias("d")).first()
+    return r["n"] == r["d"]
+
+
+def _decode(mined: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``(pattern array<long>, freq)`` -> ``(target_id, pattern array<string>, freq)``."""
+    ex = mined.select("pattern", "freq", F.posexplode("pattern").alias("pos", "item"))
+    return (ex.join(dictionary, "item")
+            .groupBy("target_id", "pattern", "freq")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
+            .select("target_id", F.transform("_t", lambda s: s["token"]).alias("pattern"), "freq"))
+
+
+def _mine_group(seqs: DataFrame, targets: list, rows: dict, threshold: int, max_length: int | None,
+                dictionary: DataFrame | None = None) -> DataFrame:
+    """Closed patterns of several targets that share the current threshold, in one PrefixSpan pass.
+
+    With a collision-free ``dictionary`` PrefixSpan mines 64-bit item ids (small
+    shuffles, small frequent-item lists on the driver) and patterns are decoded
+    back to tokens; otherwise it mines the token strings, namespaced by target.
+    """
     group = seqs.where(F.col("target_id").isin(targets))
     n = sum(rows[t]["n"] for t in targets)
     longest = max(rows[t]["max_len"] or 1 for t in targets)
     cap = longest if max_length is None else min(longest, max_length + 1)
-    mined = frequent_sequences_by_key(group, threshold, cap, n_sequences=n, longest=longest).checkpoint(eager=True)
+    if dictionary is not None:
+        hashed = group.select(F.transform("sequence", _item).alias("sequence"))
+        mined = _decode(frequent_sequences(hashed, threshold, cap, n_sequences=n), dictionary)
+    else:
+        mined = frequent_sequences_by_key(group, threshold, cap, n_sequences=n, longest=longest)
+    mined = mined.checkpoint(eager=True)
     closed = closed_sequences(mined)
     if max_length is not None:
         closed = closed.where(F.size("pattern") <= max_length)
@@ -137,9 +175,10 @@ def topk_closed(sequences: DataFrame, k: int = 25, min_count: int = 2, max_lengt
     ``sequences`` is ``(target_id, job_id, sequence)``; it is checkpointed once so
     every mining round reads it instead of recomputing the upstream plan.  In each
     round, targets that share the current threshold are mined together by one
-    PrefixSpan pass (items namespaced by target, so each target is still mined
+    PrefixSpan pass (item ids include the target, so each target is still mined
     at its own threshold only); groups with different thresholds run as
-    concurrent jobs.  A target is done when it has k closed patterns or its
+    concurrent jobs.  Items are 64-bit ids of the tokens (checked free of
+    collisions once; the token strings are mined otherwise).  A target is done when it has k closed patterns or its
     threshold reached ``min_count``; otherwise its threshold is halved.
     ``max_length=None`` mines without a length limit (exact).
     """
@@ -148,10 +187,13 @@ def topk_closed(sequences: DataFrame, k: int = 25, min_count: int = 2, max_lengt
     rows = {r["target_id"]: r.asDict() for r in start_thresholds(seqs, k).collect()}   # one row per target
     todo = {t: max(min_count, r["start"] or min_count) for t, r in rows.items()}
     done: list[DataFrame] = []
+    dictionary = token_items(seqs) if rows else None   # cheap to derive again from the checkpointed sequences
+    if dictionary is not None and not _items_unique(dictionary):
+        dictionary = None   # a 64-bit collision: mine the exact token strings instead
 
     def round_for(item) -> tuple[int, list, DataFrame, dict]:
         threshold, targets = item
-        closed = _mine_group(seqs, targets, rows, threshold, max_length)
+        closed = _mine_group(seqs, targets, rows, threshold, max_length, dictionary)
         counts = {r["target_id"]: r["n"] for r in closed.groupBy("target_id").agg(F.count("*").alias("n")).collect()}
         return threshold, targets, closed, counts
 
