@@ -163,3 +163,20 @@ def test_first_anchor_tiebreak(spark):
 def test_no_rows_on_empty_sequences(spark):
     empty = spark.createDataFrame([], "target_id int, job_id string, sequence array<string>")
     assert MN.topk_closed(empty, k=3).count() == 0
+
+
+def test_hashed_and_string_mining_agree(spark):
+    """The 64-bit id path and the token-string fallback (used on an id collision) give the same patterns."""
+    s0 = {"1": list("abcab"), "2": list("bcab"), "3": list("cab"), "4": list("ab")}
+    s1 = {"1": list("xyx"), "2": list("yx"), "5": list("xy")}
+    seqs = seq_df(spark, s0, 0).unionByName(seq_df(spark, s1, 1))
+    rows = {r["target_id"]: r.asDict() for r in MN.start_thresholds(seqs, 5).collect()}
+    dictionary = MN.token_items(seqs)
+    assert MN._items_unique(dictionary)
+    hashed = MN._mine_group(seqs, [0, 1], rows, 2, None, dictionary)
+    strings = MN._mine_group(seqs, [0, 1], rows, 2, None, None)
+    as_set = lambda df: {(r["target_id"], tuple(r["pattern"]), r["freq"]) for r in df.collect()}
+    assert as_set(hashed) == as_set(strings)
+    want = {(t, p, f) for t, s in ((0, s0), (1, s1)) for p, f in brute.closed(
+        {p: f for p, f in brute.supports(s).items() if f >= 2}).items()}
+    assert as_set(hashed) == want
