@@ -158,10 +158,14 @@ def _mine_group(seqs: DataFrame, targets: list, rows: dict, threshold: int, max_
     cap = longest if max_length is None else min(longest, max_length + 1)
     if dictionary is not None:
         hashed = group.select(F.transform("sequence", _item).alias("sequence"))
-        mined = _decode(frequent_sequences(hashed, threshold, cap, n_sequences=n), dictionary)
-    else:
-        mined = frequent_sequences_by_key(group, threshold, cap, n_sequences=n, longest=longest)
-    mined = mined.checkpoint(eager=True)
+        mined = frequent_sequences(hashed, threshold, cap, n_sequences=n).checkpoint(eager=True)
+        # ids include the target, so patterns of different targets never match: closedness
+        # needs no target key, and only the closed patterns are decoded to tokens
+        closed = closed_sequences(mined, keys=())
+        if max_length is not None:
+            closed = closed.where(F.size("pattern") <= max_length)
+        return _decode(closed, dictionary)
+    mined = frequent_sequences_by_key(group, threshold, cap, n_sequences=n, longest=longest).checkpoint(eager=True)
     closed = closed_sequences(mined)
     if max_length is not None:
         closed = closed.where(F.size("pattern") <= max_length)
