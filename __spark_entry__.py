@@ -9,6 +9,7 @@ length limit).  For comparison with DuckDB, timestamps are returned as text
 
 from __future__ import annotations
 
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -493,8 +494,23 @@ def _long_ints(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     return run
 
 
+def _optional(module: str):
+    """A module of the corpus part, or None where that part (or one of its own modules) is not installed."""
+    try:
+        return importlib.import_module(module)
+    except ModuleNotFoundError as e:
+        if e.name in ("precursor.llm", "precursor.llm.queries", "corpus_pipeline"):
+            return None
+        raise
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _long_ints(v) for k, v in _QUERIES.items()}
+    out = {k: _long_ints(v) for k, v in _QUERIES.items()}
+    if corpus := _optional("precursor.llm.queries"):
+        out |= corpus.QUERIES
+    if pipeline := _optional("corpus_pipeline"):
+        out["pipeline"] = pipeline.run
+    return out
 
 
 # ---------------------------------------------------------------------------- oracle
@@ -633,4 +649,8 @@ def oracle_sql() -> dict[str, str]:
     for k, v in _ORACLE.items():
         sel, flags = v if isinstance(v, tuple) else (v, {})
         out[k] = O.q("\nSELECT * FROM (" + sel + ") AS oracle_result", **flags)
+    if corpus := _optional("precursor.llm.queries"):
+        out |= corpus.ORACLE_SQL
+    if (pipeline := _optional("corpus_pipeline")) and pipeline.ORACLE_SQL:
+        out["pipeline"] = pipeline.ORACLE_SQL
     return out
