@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precursor.llm import exact_dedup, hilbert_shards, ss_packing, warc_salvage
+from precursor.llm import decontaminate, exact_dedup, hilbert_shards, ss_packing, warc_salvage, zstd_langid
+from precursor.llm.common import importable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,6 +21,18 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "grown_shard", F.lit(None).cast("int"))
 
 
+def held_out(id: str = "doc_id"):
+    """A fifth of the documents, by checksum of the id: never learnt from."""
+    return F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op3_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = zstd_langid.learn(docs, ~F.coalesce(held_out(), F.lit(True)))
+    rows = docs.select("doc_id", "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    return zstd_langid.identify(rows, model, keep=("doc_id", "held_out"))
+
+
 def op4_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(_table(spark, sf_dir, "documents"),
                                     extra={"text_sha256": F.sha2("_norm", 256)})
@@ -28,6 +42,10 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss_packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_salvage.read_archives(warc_salvage.write_archives(_table(spark, sf_dir, "pages")),
                                          with_payload=False)
@@ -37,7 +55,9 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hilbert_shards, op4_progressive_dedup, op6_sum_of_squares_packing, op9_warc_salvage)}
+    f.__name__: f for f in (
+        op1_hilbert_shards, op3_zstd_language, op4_progressive_dedup, op6_sum_of_squares_packing, op8_containment_search,
+        op9_warc_salvage)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_progressive_dedup": r"""
