@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precursor.llm import decontaminate, exact_dedup, hilbert_shards, ss_packing, warc_salvage, zstd_langid
+from precursor.llm import chosen_path, decontaminate, exact_dedup, hilbert_shards, ss_packing, warc_salvage, zstd_langid
 from precursor.llm.common import importable
 
 
@@ -42,6 +42,10 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss_packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 def op8_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,8 +60,8 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_hilbert_shards, op3_zstd_language, op4_progressive_dedup, op6_sum_of_squares_packing, op8_containment_search,
-        op9_warc_salvage)}
+        op1_hilbert_shards, op3_zstd_language, op4_progressive_dedup, op6_sum_of_squares_packing,
+        op7_chosen_path_join, op8_containment_search, op9_warc_salvage)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_progressive_dedup": r"""
