@@ -313,18 +313,19 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int
 def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: the smallest id of each class stays, with all columns.
 
-    Of rows that agree in id and class one stays.  Column names starting with ``_`` are reserved.
+    Of rows that agree in id and class one stays.
     """
     found = written(similarity_classes(docs, threshold, id=id, text=text, row_hash=True).where("class_size > 1")
                     .select(F.col(id).alias("_id"), "class_id", "_row"), "cpj-kept")
     # the row that stays of each class, by its id and text
-    stays = found.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(
-        F.min("_row").alias("_keep"), F.count("*").alias("_same"))
-    dropped = written(found.join(stays, found["class_id"].eqNullSafe(stays["class_id"]), "left")
-                      .where(~(F.col("_id").eqNullSafe(found["class_id"]) & (F.col("_row") == F.col("_keep"))))
+    stays = written(found.where(F.col("_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("_class")).agg(
+        F.min("_row").alias("_keep"), F.count("*").alias("_same")), "cpj-stays")
+    dropped = written(found.join(stays, F.col("class_id").eqNullSafe(F.col("_class")), "left")
+                      .where(~(F.col("_id").eqNullSafe(F.col("class_id")) & (F.col("_row") == F.col("_keep"))))
                       .select("_id", "_row").distinct(), "cpj-dropped")
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
-    out = hashed.join(dropped, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_row")), "left_anti")
+    out = docs.select(F.struct("*").alias("_doc"), F.col(id).cast("long").alias("_doc_id"),
+                      F.xxhash64(text).alias("_text_hash"))
+    out = out.join(dropped, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_row")), "left_anti")
     if not stays.where("_same > 1").isEmpty():  # rows that repeat both id and text
-        out = out.dropDuplicates([id, "_text_hash"])
-    return out.select(docs.columns)
+        out = out.dropDuplicates(["_doc_id", "_text_hash"])
+    return out.select("_doc.*")

@@ -82,14 +82,13 @@ def dedup_report(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
 
 def dedup_filter(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (column names starting with ``_`` are reserved)."""
-    cols = docs.columns
-    hashed = _full_hash(docs, text).drop("_norm")
-    groups = written(_groups(hashed.select(F.col(id).alias("_id"), "_full"), "_id")
-                     .select("_full", F.col("_first._id").alias("_keep")), "exact-groups")
-    alone = hashed.where(F.col("_full").isNull())
+    """The rows of ``docs`` that stay, with all their columns (whatever their names)."""
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id).alias("_id"), F.col(text).alias("_text"))
+    hashed = _full_hash(rows, "_text").select("_doc", "_id", "_full")
+    groups = written(_groups(hashed.select("_id", "_full"), "_id")
+                     .select("_full", F.col("_first._id").alias("_keep"), F.lit(True).alias("_many")), "exact-groups")
+    alone = hashed.where(F.col("_full").isNull()).select("_doc.*")
     some = hashed.where(F.col("_full").isNotNull()).join(groups, "_full", "left")
-    single = some.where(F.col("_keep").isNull() & F.col(id).isNotNull())
-    first = some.where(F.col("_keep").eqNullSafe(F.col(id)))
-    return (alone.select(cols).unionByName(single.select(cols))
-            .unionByName(first.dropDuplicates(["_full"]).select(cols)))
+    single = some.where(F.col("_many").isNull()).select("_doc.*")
+    first = some.where(F.col("_many") & F.col("_keep").eqNullSafe(F.col("_id")))
+    return alone.unionByName(single).unionByName(first.dropDuplicates(["_full"]).select("_doc.*"))
