@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precursor.llm import chosen_path, decontaminate, exact_dedup, hilbert_shards, ss_packing, warc_salvage, zstd_langid
+from precursor.llm import chosen_path, decontaminate, exact_dedup, hilbert_shards, prefix_parsing, ss_packing, warc_salvage, zstd_langid
 from precursor.llm.common import importable
 
 
@@ -21,6 +21,10 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "grown_shard", F.lit(None).cast("int"))
 
 
+def op2_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_parsing.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def held_out(id: str = "doc_id"):
     """A fifth of the documents, by checksum of the id: never learnt from."""
     return F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(5)) == 0
@@ -60,8 +64,8 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_hilbert_shards, op3_zstd_language, op4_progressive_dedup, op6_sum_of_squares_packing,
-        op7_chosen_path_join, op8_containment_search, op9_warc_salvage)}
+        op1_hilbert_shards, op2_prefix_free_parsing, op3_zstd_language, op4_progressive_dedup,
+        op6_sum_of_squares_packing, op7_chosen_path_join, op8_containment_search, op9_warc_salvage)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_progressive_dedup": r"""
