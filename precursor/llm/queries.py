@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precursor.llm import chosen_path, decontaminate, exact_dedup, hilbert_shards, prefix_parsing, ss_packing, warc_salvage, zstd_langid
+from precursor.llm import chosen_path, decontaminate, disclosure, exact_dedup, hilbert_shards, prefix_parsing, ss_packing, warc_salvage, zstd_langid
 from precursor.llm.common import importable
 
 
@@ -42,6 +42,19 @@ def op4_progressive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     extra={"text_sha256": F.sha2("_norm", 256)})
 
 
+def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.personal_data(_table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*disclosure.KINDS))
+
+    def n(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[n(k) for k in disclosure.KINDS],
+        F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss_packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +78,7 @@ def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_hilbert_shards, op2_prefix_free_parsing, op3_zstd_language, op4_progressive_dedup,
-        op6_sum_of_squares_packing, op7_chosen_path_join, op8_containment_search, op9_warc_salvage)}
+        op5_disclosure, op6_sum_of_squares_packing, op7_chosen_path_join, op8_containment_search, op9_warc_salvage)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_progressive_dedup": r"""
