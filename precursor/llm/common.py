@@ -94,7 +94,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(data: bytes, piece: int = 4 * BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, piece: int = 4 * BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of every word of UTF-8 text, a bounded piece at a time."""
     starts, hashes, lo = [], [], 0
     raw = np.frombuffer(data, dtype=np.uint8)
@@ -130,7 +130,7 @@ def shingles_of(texts: Sequence[str | None], n: int = SHINGLE_WORDS) -> tuple[np
     data = [(" ".join(t.split()) if not t.isascii() and _WIDE_SPACE.search(t) else t).encode("utf-8", "surrogatepass")
             for t in (t or "" for t in texts)]
     first = np.cumsum([0, *(len(d) + 1 for d in data)])  # one space behind each text
-    where, h = _word_hashes(b" ".join(data))
+    where, h = word_hashes(b" ".join(data))
     word = np.searchsorted(where, first)
     start, count = word[:-1], np.diff(word)
     made = np.where(count >= n, count - n + 1, np.minimum(count, 1))
