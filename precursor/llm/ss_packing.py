@@ -16,6 +16,7 @@ gives the same pieces, since its input split and the sequence numbers derived fr
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -34,7 +35,7 @@ END_ID = 1
 MAX_OPEN = 4096
 #: Parts of texts whose ids a worker remembers between blocks (a cache: it changes no result).
 CACHED_PARTS = 1_000_000
-#: Parts made of these characters are split into words here; the rest is left to the tokeniser.
+# Parts made of these characters are split into words here; the rest is left to the tokeniser.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,!?]+")
 _WORDS = re.compile(r"[a-zà-öø-ÿß]+|[.,!?]+")
 #: Texts encoded together.
@@ -54,12 +55,45 @@ class _Seen(dict):
         return part
 
 
+def _word_encoder(tok) -> Callable[[str], bytes] | None:
+    """Ids of one lower-case word, by rank merging with the vocabulary's own merges.
+
+    The word end is marked by a byte that UTF-8 never has: a letter and the mark merge first, then
+    the vocabulary's merges follow in their order.  None for a vocabulary of another kind.
+    """
+    spec = json.loads(tok.to_str())
+    model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or "Lowercase" not in json.dumps(spec["normalizer"]):
+        return None
+    # the byte alphabet: printable bytes stand for themselves, the others are numbered from 256 on
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+    def raw(token: str) -> bytes:
+        return bytes(byte[c] for c in token.removesuffix(suffix)) + b"\xff" * token.endswith(suffix)
+
+    vocab = {t: i for t, i in model["vocab"].items() if all(c in byte for c in t.removesuffix(suffix))}
+    ranks = {bytes([b]): b for b in range(256)}
+    ends = (t for t in sorted(vocab, key=vocab.get) if len(t) == 1 + len(suffix) and t.endswith(suffix))
+    merged = ("".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"])
+    for token in (*ends, *merged):
+        ranks.setdefault(raw(token), len(ranks))
+    ids = {ranks[raw(t)]: i for t, i in vocab.items() if raw(t) in ranks}
+    out = [np.array([ids.get(r, 0)], dtype="<u4").tobytes() for r in range(len(ranks))]
+
+    import tiktoken
+
+    merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    return lambda word: b"".join([out[r] for r in merge(word.encode() + b"\xff")])
+
+
 def encoder(path: str | None) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian uint32 ids, one encoder per worker process.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so the ids of a text
-    are those of its space-separated parts.  Parts are remembered and the unknown ones of a block of
-    texts are encoded in one call.
+    are those of its space-separated parts.  Parts are remembered; an unknown part of plain words is
+    encoded word by word, any other by the tokeniser.
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
@@ -72,41 +106,31 @@ def encoder(path: str | None) -> Callable[[list[str]], list[bytes]]:
         tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     else:
         tok = Tokenizer.from_file(path)
-    parts_seen = _Seen()
-    words_seen: dict[str, bytes] = {}
-
-    def encoded(parts: list[str]) -> Iterator[bytes]:
-        return (np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch(parts, add_special_tokens=False))
+    seen = _Seen()
+    word_ids = _word_encoder(tok)
 
     def learn(parts: set[str]) -> None:
-        """Encode new parts; those of plain letters by their lower-case words, which repeat more often."""
-        whole, split = [], {}
-        for p in parts:
-            if _PLAIN.fullmatch(p):
-                split[p] = _WORDS.findall(p.lower())
-            else:
-                whole.append(p)
-        new = list({w for ws in split.values() for w in ws if w not in words_seen})
-        words_seen.update(zip(new, encoded(new), strict=True))
-        parts_seen.update((p, b"".join([words_seen[w] for w in ws])) for p, ws in split.items())
-        parts_seen.update(zip(whole, encoded(whole), strict=True))
+        whole = [p for p in parts if not (word_ids and _PLAIN.fullmatch(p))]
+        for p in parts.difference(whole):
+            seen[p] = b"".join([word_ids(w) for w in _WORDS.findall(p.lower())])
+        for p, e in zip(whole, tok.encode_batch(whole, add_special_tokens=False), strict=True):
+            seen[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        for seen in (parts_seen, words_seen):
-            if len(seen) > CACHED_PARTS:
-                seen.clear()
+        if len(seen) > CACHED_PARTS:
+            seen.clear()
         # a special token's string may span parts, so such a text is encoded whole
-        found = [list(map(parts_seen.__getitem__, [t] if "<|" in t else t.replace("\n", " ").split(" ")))
+        found = [list(map(seen.__getitem__, [t] if "<|" in t else t.replace("\n", " ").split(" ")))
                  for t in texts]
-        new = parts_seen.new
+        new = seen.new
         if not new:
             return [b"".join(x) for x in found]
         learn(new)
-        out = [b"".join([x if type(x) is bytes else parts_seen[x] for x in xs]) for xs in found]
+        out = [b"".join([x if type(x) is bytes else seen[x] for x in xs]) for xs in found]
         for p in new:
             if len(p) > 64:  # too long to be worth remembering
-                del parts_seen[p]
-        parts_seen.new = set()
+                del seen[p]
+        seen.new = set()
         return out
 
     _ENCODERS[path] = encode
