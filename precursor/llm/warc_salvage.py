@@ -151,7 +151,10 @@ class Salvage:
             k, colon, v = line.partition(b":")
             if not colon:
                 raise _Failure("header")
-            headers[k.decode("latin-1").lower()] = v.strip().decode("utf-8", "replace")
+            name = k.decode("latin-1").lower()
+            if name in headers and name != "warc-concurrent-to":  # two records run into each other
+                raise _Failure("repeated header")
+            headers[name] = v.strip().decode("utf-8", "replace")
         size = headers.get("content-length", "")
         if not (size.isascii() and size.isdigit()):
             raise _Failure("content length")

@@ -1,0 +1,138 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+from llm.conftest import EDGE
+from pyspark.sql import functions as F
+
+from precursor.llm import prefix_parsing
+from precursor.llm.exact_dedup import dedup_filter, dedup_report
+
+
+def _norm(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+def _exact_brute(rows):
+    """(id, keep, size, sha) of each row and the number of rows that stay."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(_norm(r[1]), []).append(r[0])
+    key = lambda i: (i is None, i or 0)
+    return [(r[0], min(groups[_norm(r[1])], key=key), len(groups[_norm(r[1])]),
+             hashlib.sha256(_norm(r[1]).encode()).hexdigest()) for r in rows], len(groups)
+
+
+def _exact_rows():
+    rng = random.Random(1)
+    parts = ["alpha", "beta", " ", "  ", "\t", "\n", " ", "gamma"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))) for i in range(300)]
+    prefix = "p" * 300  # equal length and prefix, different ends
+    return rows + [(400 + i, prefix + str(i % 4)) for i in range(12)] + EDGE
+
+
+def test_exact_groups(make_docs):
+    rows = _exact_rows()
+    got = dedup_report(make_docs(rows), extra={"sha": F.sha2("_norm", 256)}).collect()
+    want, n_groups = _exact_brute(rows)
+    order = lambda x: (x[0] is None, x[0] or 0, *map(str, x[1:]))
+    assert sorted(((r[0], r["keep_id"], r["group_size"], r["sha"]) for r in got), key=order) == sorted(want, key=order)
+    kept = [r for r in got if r["kept"]]
+    assert len(kept) == n_groups and all(r["keep_id"] == r["doc_id"] for r in kept)
+
+
+def test_exact_filter_keeps_one_row_per_group_and_all_columns(make_docs):
+    rows = _exact_rows()
+    docs = make_docs(rows)
+    out = dedup_filter(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    want, n_groups = _exact_brute(rows)
+    assert len(got) == n_groups == len({_norm(r["text"]) for r in got})
+    keep = {(w[1], w[3]) for w in want}
+    assert {(r["doc_id"], hashlib.sha256(_norm(r["text"]).encode()).hexdigest()) for r in got} == keep
+
+
+def test_exact_empty_and_plan_without_python(make_docs):
+    assert dedup_report(make_docs([])).count() == 0
+    assert dedup_filter(make_docs([])).count() == 0
+    plan = dedup_report(make_docs(EDGE))._jdf.queryExecution().toString()
+    assert not re.search(r"Python|Arrow|Pandas", plan)
+
+
+# ---------------------------------------------------------------------------- repeated strings
+def _repeats_brute(rows, length):
+    """Rows in order (id, text); rows that agree in both are one document."""
+    seen, out = {}, {}
+    for doc, text in rows:
+        data = (text or "").encode()
+        cut = bytearray(len(data))
+        for s in range(len(data) - length + 1):
+            w = data[s:s + length]
+            if seen.setdefault(w, (doc, s)) != (doc, s):
+                cut[s:s + length] = b"\x01" * length
+        spans = sum(1 for i, c in enumerate(cut) if c and (i == 0 or not cut[i - 1]))
+        rest = bytes(b for b, c in zip(data, cut, strict=True) if not c)
+        out[doc] = (len(data), sum(cut), spans, hashlib.sha256(rest).hexdigest())
+    return out
+
+
+def _check_repeats(make_docs, rows, length=prefix_parsing.LENGTH):
+    got = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+           for r in prefix_parsing.remove_repeats(make_docs(rows), length).collect()}
+    assert got == _repeats_brute(sorted(rows, key=lambda r: r[0]), length)
+    return got
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_equal_brute_force(make_docs, seed):
+    rng = random.Random(seed)
+    passages = ["".join(rng.choice("abcdé \n") for _ in range(n)) for n in (99, 100, 101, 150, 400, 37)]
+
+    def text():
+        return "".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choice("xyz ü") for _ in range(rng.randint(0, 90)))
+                       for _ in range(rng.randint(0, 6)))
+
+    got = _check_repeats(make_docs, [(i * 3 % 101, text()) for i in range(101)] + [(200, None), (201, "")])
+    assert sum(v[1] for v in got.values()) > 0
+
+
+def test_repeats_of_one_byte_periods_and_long_texts(make_docs):
+    rng = random.Random(5)
+    long = "".join(rng.choice("ab cd") for _ in range(3000))
+    rows = [(1, "a" * 99), (2, "a" * 100), (3, "a" * 350), (4, "ab" * 120), (5, "ab" * 90 + "c"), (6, long),
+            (7, "z" + long[500:2500] + "z"), (8, long + long)]
+    _check_repeats(make_docs, rows)
+
+
+def test_repeats_in_pieces_of_a_long_text(make_docs):
+    rng = random.Random(6)
+    block = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    long = "".join(rng.choice("abcdefgh ") for _ in range(prefix_parsing.PIECE - 2500)) + block + block[::-1] + block
+    _check_repeats(make_docs, [(2, long), (3, block), (9, long[1000:1500])])
+
+
+def test_repeats_of_repeated_rows_and_empty_table(make_docs):
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(250))
+    docs = make_docs([(1, text), (1, text), (2, "x" + text), (None, "y" + text[:150])])
+    got = sorted((str(r["doc_id"]), r["n_removed"]) for r in prefix_parsing.remove_repeats(docs).collect())
+    # a null id comes first, rows that agree in id and text are the same document
+    assert got == [("1", 150), ("1", 150), ("2", 250), ("None", 0)]
+    assert prefix_parsing.remove_repeats(make_docs([])).count() == 0
+    edge = [r for r in EDGE if r[0] != 7]
+    assert prefix_parsing.remove_repeats(make_docs(edge)).count() == len(edge)
+
+
+def test_repeats_with_hot_triggers(make_docs):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(180))
+    rows = [(i, "".join(rng.choice("stuvwxyz ") for _ in range(rng.randint(0, 150))) + passage[rng.randint(0, 40):]
+             + "".join(rng.choice("stuvwxyz ") for _ in range(rng.randint(0, 150)))) for i in range(60)]
+    plain = _check_repeats(make_docs, rows)
+    hot = {r["doc_id"]: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+           for r in prefix_parsing.remove_repeats(make_docs(rows), together=3).collect()}
+    assert hot == plain
