@@ -26,7 +26,6 @@ PATH_KEYS_NAMESPACE = "$.locator.keys.namespace"
 PATH_KEYS_NS = "$.locator.keys.ns"
 
 # the reference's workload
-REFERENCE_START_DATE = "2024-11-11"
 REFERENCE_SPAN_DAYS = 15
 REFERENCE_WINDOW_BEFORE_SECONDS = 1    # the anchor may lie this much before the event (lookahead)
 REFERENCE_WINDOW_AFTER_SECONDS = 40    # the anchor may lie this much after the event (lookback)

@@ -19,6 +19,7 @@ Examples, evidence and the report tables are lazy views over these.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,23 +35,20 @@ from precursor.plans.config import AnalysisConfig
 from precursor.sources.cache import fingerprint, materialize, snapshot_id
 
 
+def _snapshot(*dfs: DataFrame) -> str:
+    """Identity of the data and plans of ``dfs``; a new one each time when their data cannot be identified."""
+    files = snapshot_id(*dfs) or uuid.uuid4().hex
+    # the plans cover what is computed from the files, such as the adapter's expressions
+    plans = [df._jdf.queryExecution().analyzed().canonicalized().toString() for df in dfs]
+    return fingerprint(files, plans, [df.semanticHash() for df in dfs], [df.schema.json() for df in dfs])
+
+
 def prepare_intervals(intervals: DataFrame, snapshot: str | None = None) -> DataFrame:
     """Flat interval table, written once per input snapshot (parse once)."""
-    spark = intervals.sparkSession
-    snap = snapshot or _snapshot(spark, intervals)
     # Sorted by time inside each file: row-group min/max stats then let literal
     # time filters skip data (range filters, payload fetches of the report).
     flat = flatten_intervals(intervals).sortWithinPartitions("from_time")
-    return materialize(flat, "flat", fingerprint("flat", snap))
-
-
-def _snapshot(spark: SparkSession, *dfs: DataFrame) -> str:
-    try:
-        files = snapshot_id(spark, *dfs)
-    except Exception:
-        files = None
-    # The plan hash covers in-memory inputs and the adapter's expressions.
-    return fingerprint(files, [df.semanticHash() for df in dfs])
+    return materialize(flat, "flat", fingerprint("flat", snapshot or _snapshot(intervals)))
 
 
 class Analysis:
@@ -67,7 +65,9 @@ class Analysis:
         self.cfg = cfg
         self.cache = cache
         self._flat = flat
-        self.snapshot = _snapshot(spark, intervals if intervals is not None else flat, jobs)
+        # the flat table depends on the intervals alone: a new job file doesn't parse them again
+        self.intervals_snapshot = _snapshot(intervals if intervals is not None else flat)
+        self.snapshot = fingerprint(self.intervals_snapshot, _snapshot(jobs))
 
     def _fp(self, stage: str) -> str:
         return fingerprint(stage, self.snapshot, self.cfg.stage_description(stage))
@@ -82,7 +82,7 @@ class Analysis:
             return self._flat
         if not self.cache:
             return flatten_intervals(self.intervals)
-        return prepare_intervals(self.intervals, fingerprint(self.snapshot, "intervals"))
+        return prepare_intervals(self.intervals, self.intervals_snapshot)
 
     @cached_property
     def jobs(self) -> DataFrame:
@@ -124,7 +124,7 @@ class Analysis:
     @cached_property
     def patterns(self) -> DataFrame:
         c = self.cfg
-        top = mn.topk_closed(self.sequences, c.k, c.min_runs, c.max_pattern_length)
+        top = mn.topk_closed(self.sequences, c.k, c.min_runs)
         return self._cut(top, "patterns")
 
     # -- drill-down ---------------------------------------------------------------

@@ -43,21 +43,20 @@ class AnalysisConfig:
     noise_rules: Sequence[NoiseRule] = field(default_factory=list)
     k: int = 25
     min_runs: int = 2
-    max_pattern_length: int | None = None
     node_compat: bool = False
     token_boundary: bool = False
 
     def describe(self) -> dict:
         """Canonical description (for fingerprints and report headings)."""
         return {
-            "targets": [[t.label, t.ignore_label] for t in self.targets],
+            "targets": [repr(t) for t in self.targets],  # every field, not the display label
             "range": [self.start, self.end],
             "window": [self.lookback.total_seconds(), self.lookahead.total_seconds()],
             "jobs": [list(self.job_includes), list(self.job_excludes)],
             "admission": [self.excluded_origin, self.display_value],
             "exclusions": [self.closing_reason, self.began_reason, self.began_keep_backend, self.keep_null_reason],
             "noise": [[str(r.anchor_pred), str(r.event_pred)] for r in self.noise_rules],
-            "mining": [self.k, self.min_runs, self.max_pattern_length],
+            "mining": [self.k, self.min_runs],
             "normalise": [self.node_compat, self.token_boundary],
         }
 

@@ -21,51 +21,59 @@ def _s(c: Column) -> Column:
 
 def intervals_from_events(events: DataFrame) -> DataFrame:
     """events(event_id, ts, user_id, event_type, props) -> native interval rows."""
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    h = F.md5(F.col("event_id").cast("string"))
-    et = F.col("event_type")
-    uid = F.col("user_id")
     base = events.select(
-        "event_id", "ts", "user_id", "event_type", k.alias("k"), h.alias("h"),
+        "event_id", "ts", "user_id", "event_type", F.get_json_object("props", "$.k").try_cast("int").alias("k"),
+        F.md5(F.col("event_id").cast("string")).alias("h"),
     )
-    k, h = F.col("k"), F.col("h")
+    k, h, et, uid, eid = F.col("k"), F.col("h"), F.col("event_type"), F.col("user_id"), F.col("event_id")
+    null = F.lit(None).cast("string")
+    # six rows in ten are coarse: times by the hour and few different tokens, so that runs share patterns
+    coarse = k % 5 < 3
+
+    def fine(value: Column, when: Column | None = None) -> Column:
+        return F.when(~coarse if when is None else ~coarse & when, value)
 
     backend = F.when(et == "error", F.concat(F.lit("backend-"), _s(k % 10)))
-    reason = (F.when((et == "view") & (k % 10 == 0), F.lit(None).cast("string"))
+    reason = (F.when((et == "view") & (k % 10 == 0), null)
               .when((et == "signup") & (k < 30), F.lit("Ended"))
               .when(et == "error", F.lit("Began"))
               .otherwise(et))
-    namespace = F.when(k % 3 != 0, F.concat(F.lit("ns-"), _s(uid % 20), F.lit("-"), _s(k % 10)))
-    ns = F.when(k % 3 == 0, F.concat(F.lit("ns-"), _s(k % 10)))
-    node = F.when(k % 4 != 0, F.concat(F.lit("ip-10-0-"), _s(k)))
-    pod = F.when(et != "signup", F.concat(
-        et, F.lit("-"), _s(k % 10), F.lit("-u"), _s(uid % 75), F.lit("-"),
-        F.substring(h, 1, 10), F.lit("-"), F.substring(h, 11, 5)))
-    letters = F.concat(F.char(97 + uid % 26), F.char(97 + F.col("event_id") % 26), F.char(97 + k % 26))
-    message = (F.when(k % 7 == 0, F.lit(None).cast("string"))
+    namespace = F.when(coarse, F.lit("platform")).when(k % 3 != 0, F.concat(F.lit("ns-"), _s(uid % 20), F.lit("-"), _s(k % 10)))
+    ns = fine(F.concat(F.lit("ns-"), _s(k % 10)), k % 3 == 0)
+    node = fine(F.concat(F.lit("ip-10-0-"), _s(k)), k % 4 != 0)
+    pod = fine(F.concat(et, F.lit("-"), _s(k % 10), F.lit("-u"), _s(uid % 75), F.lit("-"),
+                        F.substring(h, 1, 10), F.lit("-"), F.substring(h, 11, 5)), et != "signup")
+    letters = F.concat(F.char(97 + uid % 26), F.char(97 + eid % 26), F.char(97 + k % 26))
+    message = (F.when(coarse, F.lit("state changed")).when(k % 7 == 0, null)
                .when(k % 7 < 3, F.concat(F.lit("took "), _s(k), F.lit("ms ref "), F.substring(h, 1, 12)))
                .when(k % 7 < 5, F.concat(F.lit("user "), _s(uid), F.lit(" code-"), et))
                .otherwise(F.concat(et, F.lit(" by u"), letters)))
-    display = (k % 3 != 0) | (et != "error")
-
-    payload = F.to_json(F.struct(
-        et.alias("source"),
-        display.alias("display"),
-        F.struct(F.struct(
-            namespace.alias("namespace"), ns.alias("ns"), backend.alias("backend-disruption-name"),
-            node.alias("node"), pod.alias("pod"),
-        ).alias("keys")).alias("locator"),
-        F.struct(reason.alias("reason"), message.alias("humanMessage")).alias("message"),
-    ))
-    even = F.col("event_id") % 2 == 0
+    error = et == "error"
+    keys = F.struct(
+        namespace.alias("namespace"), ns.alias("ns"), F.when(error, F.concat(F.lit("dis-"), _s(k % 4))).alias("disruption"),
+        F.when(error & (k % 2 == 0), F.concat(F.lit("route-"), _s(k % 3))).alias("route"),
+        F.when(error & (k % 2 == 1), F.lit("new")).alias("connection"), backend.alias("backend-disruption-name"),
+        node.alias("node"), pod.alias("pod"), fine(F.concat(F.lit("c"), _s(k % 3)), k % 11 == 0).alias("container"),
+        fine(F.substring(h, 1, 8), k % 11 == 3).alias("uid"), fine(_s(k), k % 11 == 4).alias("row"))
+    message_part = F.struct(
+        reason.alias("reason"), fine(F.concat(F.lit("cause-"), _s(k % 3)), k % 13 == 3).alias("cause"),
+        message.alias("humanMessage"), F.when(k % 9 == 4, k).alias("count"), fine(F.lit("worker"), k % 17 == 3).alias("roles"),
+        F.struct(fine(F.lit("yes"), k % 19 == 4).alias("constructed")).alias("annotations"))
+    head = [et.alias("source"), F.when(k % 2 == 0, F.lit("Info")).alias("level"), ((k % 3 != 0) | ~error).alias("display")]
+    locator = F.struct(fine(F.lit("Node"), k % 4 == 0).alias("type"), keys.alias("keys"))
+    # a few rows hold text where the locator object should be, both payload columns, or none
+    payload = F.when(~coarse & (k % 23 == 4), F.to_json(F.struct(*head, F.lit("gone").alias("locator"), message_part.alias("message")))
+                     ).otherwise(F.to_json(F.struct(*head, locator.alias("locator"), message_part.alias("message"))))
+    none, both, even = eid % 31 == 7, eid % 29 == 3, eid % 2 == 0
+    from_time = F.when(coarse, F.date_trunc("hour", "ts").cast("timestamp_ntz")).otherwise(F.col("ts"))
     return base.select(
         _s(uid).alias("job_id"),
-        F.col("event_id"),
-        F.col("ts").alias("from_time"),
-        (F.col("ts") + F.lit(dt.timedelta(seconds=1))).alias("to_time"),
+        "event_id",
+        from_time.alias("from_time"),
+        (from_time + F.lit(dt.timedelta(seconds=1))).alias("to_time"),
         F.when(k % 25 == 24, F.lit("observer")).otherwise(F.lit("collector")).alias("origin"),
-        F.when(even, payload).alias("interval"),
-        F.when(~even, payload).alias("interval_json"),
+        F.when(~none & (both | even), payload).alias("interval"),
+        F.when(~none & both, F.lit('{"source":"other"}')).when(~none & ~even, payload).alias("interval_json"),
     )
 
 

@@ -4,8 +4,8 @@
 and returns a DataFrame that reads it back, which also cuts the lineage: a lost
 executor re-reads files instead of recomputing the upstream plan.  The
 fingerprint is an md5 of the canonical JSON of the parameters plus a snapshot id
-of the input files (names, sizes, modification times), so a change of the
-data gives a new key.  Empty results are cached too.
+of the input files (names, sizes, modification times of all of them), so a change
+of the data gives a new key.  Empty results are cached too.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from precursor.session import scratch_dir
 
 
 # Bumped whenever the columns of a materialised stage change, so that a cache in a
 # persistent scratch folder is never read back with an old layout.
-LAYOUT_VERSION = 3
+LAYOUT_VERSION = 4
 
 
 def fingerprint(*parts) -> str:
@@ -29,30 +30,28 @@ def fingerprint(*parts) -> str:
     return hashlib.md5(text.encode("utf-8")).hexdigest()
 
 
-def snapshot_id(spark: SparkSession, *dfs: DataFrame, max_stat: int = 1000) -> str:
-    """Identity of the files behind ``dfs``.
+def snapshot_id(*dfs: DataFrame) -> str | None:
+    """Identity of the files behind ``dfs``: number, and hashes of path, length and modification time of all.
 
-    Path, length and modification time of each file when there are at most
-    ``max_stat`` files; beyond that the paths alone (Spark writers give every
-    new file a unique name), so the driver never issues one metadata call per
-    file of a huge table.
+    The folders are listed by a Spark job (one metadata call per file, in its tasks); only sums come
+    back.  None when a source has no files (a table behind JDBC, rows made in memory): its data cannot
+    be told from its plan, so nothing made from it may be reused.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    entries = []
+    parts = []
     for df in dfs:
-        files = sorted(df.inputFiles())
-        if len(files) > max_stat:
-            entries.append(files)
-            continue
-        for f in files:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            try:
-                st = path.getFileSystem(conf).getFileStatus(path)
-                entries.append((f, st.getLen(), st.getModificationTime()))
-            except Exception:  # file vanished: the key simply changes
-                entries.append((f, -1, -1))
-    return fingerprint(entries)
+        files = df.inputFiles()
+        if not files:
+            return None
+        folders = sorted({f.rsplit("/", 1)[0] for f in files})
+        spark = df.sparkSession
+        listed = spark.read.format("binaryFile").load(folders).select("path", "length", "modificationTime")
+        mine = spark.createDataFrame([(f,) for f in files], "path string")
+        plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")  # file:/x and file:///x are one path
+        marks = [F.bit_xor(F.xxhash64("path", "length", "modificationTime", F.lit(i))) for i in (1, 2)]
+        row = (listed.withColumn("path", plain).join(mine.withColumn("path", plain), "path", "left_semi")
+               .agg(F.count("*"), F.sum("length"), *marks).first())
+        parts.append([folders, *map(str, row)])
+    return fingerprint(parts)
 
 
 def cache_path(spark: SparkSession, name: str, fp: str) -> str:
@@ -65,8 +64,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def materialize(df: DataFrame, name: str, fp: str | None = None, partition_by: list[str] | None = None,
-                reuse: bool = True) -> DataFrame:
+def materialize(df: DataFrame, name: str, fp: str) -> DataFrame:
     """Write ``df`` as parquet under the scratch folder (once per fingerprint) and read it back.
 
     A folder counts as written only when its ``_SUCCESS`` marker exists, so a job
@@ -74,15 +72,8 @@ def materialize(df: DataFrame, name: str, fp: str | None = None, partition_by: l
     keeps empty and partitioned results readable and the column order stable.
     """
     spark = df.sparkSession
-    path = cache_path(spark, name, fp or fingerprint(name, df.semanticHash()))
-    if not (reuse and _exists(spark, f"{path}/_SUCCESS")):
-        w = df.write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
+    path = cache_path(spark, name, fp)
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
-
-def is_empty(df: DataFrame) -> bool:
-    """S3: emptiness test without pulling rows to the driver (reads at most one row)."""
-    return df.isEmpty()

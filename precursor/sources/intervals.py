@@ -6,7 +6,7 @@ the native schema are selected, so Catalyst prunes everything else at the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INTERVAL_COLUMNS = ["job_id", "event_id", "from_time", "to_time", "origin", "interval", "interval_json"]
@@ -21,45 +21,28 @@ def _load(spark: SparkSession, source) -> DataFrame:
     return spark.table(source)
 
 
-def _input_bytes(df: DataFrame, files: list[str]) -> int:
-    """Total size of ``files`` (file metadata only; nothing is executed)."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return total
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small file input over all cores before CPU-heavy map work (JSON parsing).
+    """An input of fewer partitions than cores, dealt to all cores before CPU-heavy map work (JSON parsing).
 
-    An input smaller than ``cores * spark.sql.files.maxPartitionBytes`` may be read
-    by fewer tasks than there are cores (one row group is one task).  A larger
-    input is split by the scan itself and is returned unchanged: it is never
-    reshuffled.  Only file metadata is consulted.
+    Only the layout changes; rows carry their ids already.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:       # at least one split per core already: no file is even looked at
-        return df
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
-    split_bytes = int(split) if split.isdigit() else 128 * 1024 * 1024
-    if not files or _input_bytes(df, files) < cores * split_bytes:
-        return df.repartition(cores)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def content_id() -> Column:
+    """An ``event_id`` made from a row's content, the same for any file layout; equal rows share it."""
+    return F.xxhash64(*[c for c in INTERVAL_COLUMNS if c != "event_id"])
 
 
 def read_intervals(spark: SparkSession, source) -> DataFrame:
-    """Native interval rows (``job_id, event_id, from_time, to_time, origin, interval, interval_json``)."""
+    """Native interval rows (``job_id, event_id, from_time, to_time, origin, interval, interval_json``).
+
+    A source without ``event_id`` gets :func:`content_id`, so ties are broken alike wherever it is read.
+    """
     df = _load(spark, source)
-    if not isinstance(source, DataFrame):
-        df = spread(df)
     if "event_id" not in df.columns:
-        df = df.withColumn("event_id", F.monotonically_increasing_id())
+        df = df.withColumn("event_id", content_id())
     return df.select(*INTERVAL_COLUMNS)
 
 
@@ -67,7 +50,3 @@ def read_jobs(spark: SparkSession, source) -> DataFrame:
     """Job runs (``job_id, job_name, job_url, job_start``)."""
     return _load(spark, source).select(*JOB_COLUMNS)
 
-
-def read_flat_intervals(spark: SparkSession, source) -> DataFrame:
-    """The flat interval table written by :func:`precursor.plans.analysis.prepare_intervals`."""
-    return _load(spark, source)
