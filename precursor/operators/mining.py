@@ -7,24 +7,24 @@
   longer has the same support.  Every one-item deletion of each pattern is
   generated and anti-joined on ``(target_id, freq, pattern)``: an equi join, so
   no pair of patterns is ever compared.
-* M3 :func:`topk_closed` - the k best closed patterns by support.  PrefixSpan
-  takes a support threshold, not k, so the threshold is searched: start at the
-  support of the k-th most frequent single token and halve until at least k
-  closed patterns are found or the floor (2 runs) is reached.  Targets that
-  share a threshold are mined by one PrefixSpan pass.  The result is
-  exact: the closed set mined at threshold ``s`` holds every closed pattern
-  with support >= s, and all others rank below them.
+* M3 :func:`topk_closed` - the k best closed patterns by support, by the pruned
+  pattern growth of :mod:`precursor.operators.closed`.  The least support is searched:
+  start at the support of the k-th most frequent token and halve until at least k
+  closed patterns are found or the floor (2 runs) is reached.  The result is exact:
+  the closed set mined at support ``s`` holds every closed pattern with support >= s,
+  and all others rank below them.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from precursor.operators.closed import closed_patterns
+
 # Separator of pattern items in the text form of a pattern (our own convention).
 PATTERN_SEPARATOR = " > "
 
@@ -144,84 +144,38 @@ def _decode(mined: DataFrame, dictionary: DataFrame) -> DataFrame:
             .select("target_id", F.transform("_t", lambda s: s["token"]).alias("pattern"), "freq"))
 
 
-def _mine_group(seqs: DataFrame, targets: list, rows: dict, threshold: int, max_length: int | None,
-                dictionary: DataFrame | None = None) -> DataFrame:
-    """Closed patterns of several targets that share the current threshold, in one PrefixSpan pass.
-
-    With a collision-free ``dictionary`` PrefixSpan mines 64-bit item ids (small
-    shuffles, small frequent-item lists on the driver) and patterns are decoded
-    back to tokens; otherwise it mines the token strings, namespaced by target.
-    """
-    group = seqs.where(F.col("target_id").isin(targets))
-    n = sum(rows[t]["n"] for t in targets)
-    longest = max(rows[t]["max_len"] or 1 for t in targets)
-    cap = longest if max_length is None else min(longest, max_length + 1)
-    if dictionary is not None:
-        hashed = group.select(F.transform("sequence", _item).alias("sequence"))
-        mined = frequent_sequences(hashed, threshold, cap, n_sequences=n).checkpoint(eager=True)
-        # ids include the target, so patterns of different targets never match: closedness
-        # needs no target key, and only the closed patterns are decoded to tokens
-        closed = closed_sequences(mined, keys=())
-        if max_length is not None:
-            closed = closed.where(F.size("pattern") <= max_length)
-        return _decode(closed, dictionary)
-    mined = frequent_sequences_by_key(group, threshold, cap, n_sequences=n, longest=longest).checkpoint(eager=True)
-    closed = closed_sequences(mined)
-    if max_length is not None:
-        closed = closed.where(F.size("pattern") <= max_length)
-    return closed
-
-
-def topk_closed(sequences: DataFrame, k: int = 25, min_count: int = 2, max_length: int | None = None,
-                parallelism: int = 8) -> DataFrame:
+def topk_closed(sequences: DataFrame, k: int = 25, min_count: int = 2) -> DataFrame:
     """M3: the top-k closed patterns of each target (``target_id, pattern, freq, rank``).
 
-    ``sequences`` is ``(target_id, job_id, sequence)``; it is checkpointed once so
-    every mining round reads it instead of recomputing the upstream plan.  In each
-    round, targets that share the current threshold are mined together by one
-    PrefixSpan pass (item ids include the target, so each target is still mined
-    at its own threshold only); groups with different thresholds run as
-    concurrent jobs.  Items are 64-bit ids of the tokens (checked free of
-    collisions once; the token strings are mined otherwise).  A target is done when it has k closed patterns or its
-    threshold reached ``min_count``; otherwise its threshold is halved.
-    ``max_length=None`` mines without a length limit (exact).
+    ``sequences`` is ``(target_id, job_id, sequence)``.  Tokens are mined as 64-bit item ids, dense
+    numbers where two tokens of a target share an id.  In each round the targets that are not done are
+    mined for closed patterns at their own thresholds (:func:`closed_patterns`); a target is done when
+    it has k of them or its threshold reached ``min_count``, otherwise its threshold is halved.
     """
     spark = sequences.sparkSession
-    seqs = sequences.select("target_id", "job_id", "sequence").checkpoint(eager=True)
+    seqs = sequences.select(F.col("target_id").cast("int").alias("target_id"), "job_id", "sequence").checkpoint(eager=True)
     rows = {r["target_id"]: r.asDict() for r in start_thresholds(seqs, k).collect()}   # one row per target
-    todo = {t: max(min_count, r["start"] or min_count) for t, r in rows.items()}
+    todo = {t: max(min_count, r["start"] or min_count) for t, r in rows.items() if r["n"] >= min_count}
+    if not todo:
+        return spark.createDataFrame([], "target_id int, pattern array<string>, freq long, rank int")
+    dictionary = token_items(seqs).checkpoint(eager=True)
+    if not _items_unique(dictionary):  # a 64-bit collision: number the ids of one hash apart
+        w = Window.partitionBy("item").orderBy("target_id", "token")
+        dictionary = dictionary.withColumn("item", F.xxhash64("item", F.row_number().over(w))).checkpoint(eager=True)
+    items = (seqs.select("target_id", F.xxhash64("target_id", "job_id").alias("run"), F.posexplode("sequence").alias("pos", "token"))
+             .join(dictionary, ["target_id", "token"]).groupBy("target_id", "run")
+             .agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("_s"))
+             .select("target_id", "run", F.transform("_s", lambda x: x["item"]).alias("seq"))).checkpoint(eager=True)
     done: list[DataFrame] = []
-    dictionary = token_items(seqs) if rows else None   # cheap to derive again from the checkpointed sequences
-    if dictionary is not None and not _items_unique(dictionary):
-        dictionary = None   # a 64-bit collision: mine the exact token strings instead
-
-    def round_for(item) -> tuple[int, list, DataFrame, dict]:
-        threshold, targets = item
-        closed = _mine_group(seqs, targets, rows, threshold, max_length, dictionary)
-        counts = {r["target_id"]: r["n"] for r in closed.groupBy("target_id").agg(F.count("*").alias("n")).collect()}
-        return threshold, targets, closed, counts
-
     while todo:
-        groups: dict[int, list] = {}
-        for t, thr in todo.items():
-            groups.setdefault(thr, []).append(t)
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(groups)))) as pool:
-            results = list(pool.map(round_for, groups.items()))
-        for threshold, targets, closed, counts in results:
-            finished = [t for t in targets if threshold <= min_count or counts.get(t, 0) >= k]
-            if finished:
-                done.append(closed.where(F.col("target_id").isin(finished)))
-            for t in targets:
-                if t in finished:
-                    del todo[t]
-                else:
-                    todo[t] = max(min_count, threshold // 2)
-    if not done:
-        return spark.createDataFrame([], "target_id int, pattern array<string>, freq long, rank int")
-    allp = done[0]
-    for p in done[1:]:
-        allp = allp.unionByName(p)
-    top = topk_patterns(allp, k, min_count=min_count)
+        found, counts = closed_patterns(items.where(F.col("target_id").isin(list(todo))), todo, k)
+        finished = [t for t, least in todo.items() if least <= min_count or counts.get(t, 0) >= k]
+        done.append(found.where(F.col("target_id").isin(finished)))
+        todo = {t: max(min_count, least // 2) for t, least in todo.items() if t not in finished}
+    mined = done[0]
+    for d in done[1:]:
+        mined = mined.unionByName(d)
+    top = topk_patterns(_decode(mined.drop("target_id"), dictionary), k, min_count=min_count)
     return top.select(F.col("target_id").cast("int"), "pattern", "freq", "rank")
 
 

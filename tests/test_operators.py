@@ -5,6 +5,7 @@ from __future__ import annotations
 import brute
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from precursor.functions.text import is_subsequence
 from precursor.operators import evidence as EV
@@ -165,18 +166,25 @@ def test_no_rows_on_empty_sequences(spark):
     assert MN.topk_closed(empty, k=3).count() == 0
 
 
-def test_hashed_and_string_mining_agree(spark):
-    """The 64-bit id path and the token-string fallback (used on an id collision) give the same patterns."""
+def test_mining_with_colliding_item_ids(spark, monkeypatch):
+    """Tokens that share a 64-bit id are numbered apart and give the same patterns."""
     s0 = {"1": list("abcab"), "2": list("bcab"), "3": list("cab"), "4": list("ab")}
     s1 = {"1": list("xyx"), "2": list("yx"), "5": list("xy")}
     seqs = seq_df(spark, s0, 0).unionByName(seq_df(spark, s1, 1))
-    rows = {r["target_id"]: r.asDict() for r in MN.start_thresholds(seqs, 5).collect()}
-    dictionary = MN.token_items(seqs)
-    assert MN._items_unique(dictionary)
-    hashed = MN._mine_group(seqs, [0, 1], rows, 2, None, dictionary)
-    strings = MN._mine_group(seqs, [0, 1], rows, 2, None, None)
-    as_set = lambda df: {(r["target_id"], tuple(r["pattern"]), r["freq"]) for r in df.collect()}
-    assert as_set(hashed) == as_set(strings)
-    want = {(t, p, f) for t, s in ((0, s0), (1, s1)) for p, f in brute.closed(
-        {p: f for p, f in brute.supports(s).items() if f >= 2}).items()}
-    assert as_set(hashed) == want
+    rows = lambda: sorted((r["target_id"], r["rank"], tuple(r["pattern"]), r["freq"]) for r in MN.topk_closed(seqs, 5).collect())
+    plain = rows()
+    monkeypatch.setattr(MN, "_item", lambda token: F.lit(7).cast("long"))
+    assert rows() == plain and len(plain) > 4
+
+
+def test_long_common_sequences_take_few_levels(spark, monkeypatch):
+    """20 equal runs of 40 events: the one closed pattern, found by a jump and not item by item."""
+    from precursor.operators import closed
+
+    levels = []
+    level = closed._level
+    monkeypatch.setattr(closed, "_level", lambda state: levels.append(1) or level(state))
+    seqs = {str(i): [f"e{j:02}" for j in range(40)] for i in range(20)}
+    got = MN.topk_closed(seq_df(spark, seqs), 25).collect()
+    assert [(r["pattern"], r["freq"], r["rank"]) for r in got] == [(seqs["0"], 20, 1)]
+    assert len(levels) <= 2 * 4  # two in each round of the threshold (20, 10, 5, 2)
