@@ -64,14 +64,14 @@ def _analysis(spark: SparkSession, sf_dir: str, noise: bool = True) -> Analysis:
     return hit
 
 
-def _ctx_variant(spark, sf_dir, closing=True, began=True, noise=True, targets=None):
+def _ctx_variant(spark, sf_dir, closing=True, began=True, noise=True, targets=None, keep_null=False):
     a = _analysis(spark, sf_dir)
     c = a.cfg
     t = targets if targets is not None else c.targets
     return CX.context_events(a.flat, a.anchors, t, c.start, c.end, c.lookback, c.lookahead,
                              c.closing_reason if closing else None,
                              c.began_reason if began else None, c.began_keep_backend,
-                             c.noise_rules if noise else [])
+                             c.noise_rules if noise else [], keep_null)
 
 
 # ---------------------------------------------------------------------------- sources
@@ -247,15 +247,15 @@ def q_exclude_ended_3vl(spark, sf):
 
 
 def q_exclude_self(spark, sf):
-    # T1 only (no ignore list): context with the self-exclusion as the only exclusion
+    # self and ignore exclusions only
     c = _ctx_variant(spark, sf, closing=False, began=False, noise=False)
-    return c.where("target_id = 0").select("target_id", "job_id", "e_event_id", "e_source", "e_reason")
+    return c.select("target_id", "job_id", "e_event_id", "e_source", "e_reason")
 
 
 def q_exclude_ignored(spark, sf):
-    # T2 (ignore list 'reason LIKE view'): self + ignore exclusions only
+    # what is left per target and reason (T2 ignores the reason 'view')
     c = _ctx_variant(spark, sf, closing=False, began=False, noise=False)
-    return c.where("target_id = 1").select("target_id", "job_id", "e_event_id", "e_source", "e_reason")
+    return c.groupBy("target_id", "e_reason").agg(F.count("*").alias("n_rows"))
 
 
 def q_began_unless_liveness(spark, sf):
@@ -272,7 +272,8 @@ def q_noise_rule_3vl(spark, sf):
 
 def q_drop_all_null(spark, sf):
     a = _analysis(spark, sf)
-    df = SQ.drop_all_null(SQ.normalize_context(a.context))
+    # rows without a reason are kept, so that rows without any field reach this step
+    df = SQ.drop_all_null(SQ.normalize_context(_ctx_variant(spark, sf, began=False, keep_null=True)))
     return df.select("target_id", "job_id", "e_event_id")
 
 
@@ -434,9 +435,9 @@ def q_event_hash(spark, sf):
 
 def q_is_subsequence(spark, sf):
     a = _analysis(spark, sf)
-    best = F.broadcast(a.patterns.where("rank = 1").select("target_id", "pattern"))
-    j = a.sequences.join(best, "target_id")
-    return j.select("target_id", "job_id", X.is_subsequence("sequence", "pattern").cast("string").alias("contains"))
+    # every run against every pattern of its target (at most k)
+    j = a.sequences.join(a.patterns.select("target_id", "rank", "pattern"), "target_id")
+    return j.select("target_id", "rank", "job_id", X.is_subsequence("sequence", "pattern").cast("string").alias("contains"))
 
 
 # ---------------------------------------------------------------------------- mining
@@ -580,16 +581,17 @@ _ORACLE = {
     "time_range_filter": f"SELECT event_id, {_t('from_time')} FROM ivf WHERE from_time BETWEEN {O.RANGE}",
     "anchor_admission": "SELECT event_id, origin, display FROM ivf WHERE origin <> 'observer' AND display = 'true'",
     "exclude_ended_3vl": "SELECT event_id, reason FROM ivf WHERE reason NOT LIKE 'Ended'",
-    "exclude_self": ("SELECT target_id, job_id, e_event_id, e_source, e_reason FROM ctx WHERE target_id = 0",
+    "exclude_self": ("SELECT target_id, job_id, e_event_id, e_source, e_reason FROM ctx",
                      {"closing": False, "began": False, "noise": False}),
-    "exclude_ignored": ("SELECT target_id, job_id, e_event_id, e_source, e_reason FROM ctx WHERE target_id = 1",
+    "exclude_ignored": ("SELECT target_id, e_reason, count(*) AS n_rows FROM ctx GROUP BY target_id, e_reason",
                         {"closing": False, "began": False, "noise": False}),
     "began_unless_liveness": "SELECT event_id, reason, backend FROM ivf WHERE reason NOT LIKE 'Began' OR backend LIKE '%-3'",
     "noise_rule_3vl": ("SELECT target_id, job_id, e_event_id, e_source FROM ctx WHERE "
                        + "(" + O.NOISE.replace("a.d_backend_disruption_name", "d_backend_disruption_name")
                        .replace("e.namespace", "e_ns").replace("e.source", "e_source").replace("e.reason", "e_reason")
                        .replace("e.message", "e_message") + ") IS NOT FALSE", {"noise": False}),
-    "drop_all_null": "SELECT target_id, job_id, e_event_id FROM norm",
+    "drop_all_null": ("SELECT target_id, job_id, e_event_id FROM norm WHERE coalesce(e_source, e_ns, e_pod, e_container, "
+                      "e_reason, e_cause, e_roles, e_row, e_message) IS NOT NULL", {"began": False, "keep_null": True}),
     "pattern_item_rows": "SELECT e.target_id, e.job_id, e.e_event_id, e.event FROM evs e WHERE EXISTS "
                          "(SELECT 1 FROM topk_items t WHERE t.target_id = e.target_id AND t.event = e.event)",
     "join_intervals_jobs": "SELECT target_id, job_id, event_id, job_name FROM adm",
@@ -628,10 +630,10 @@ _ORACLE = {
     "blank_rare": "SELECT target_id, job_id, e_event_id, e_message, e_pod, e_ns, e_node FROM norm",
     "event_token": "SELECT target_id, job_id, e_event_id, event FROM evs",
     "event_hash": "SELECT target_id, e_event_id, md5(event) AS event_md5 FROM evs",
-    "is_subsequence": """SELECT s.target_id, s.job_id,
-        CASE WHEN EXISTS (SELECT 1 FROM support p WHERE p.target_id = s.target_id AND p.rank = 1 AND p.job_id = s.job_id)
+    "is_subsequence": """SELECT s.target_id, t.rank, s.job_id,
+        CASE WHEN EXISTS (SELECT 1 FROM support p WHERE p.target_id = s.target_id AND p.rank = t.rank AND p.job_id = s.job_id)
              THEN 'true' ELSE 'false' END AS contains
-      FROM seqs s WHERE s.target_id IN (SELECT target_id FROM topk WHERE rank = 1)""",
+      FROM seqs s JOIN topk t ON t.target_id = s.target_id""",
     "frequent_sequences": "SELECT target_id, pattern_text, length, freq FROM freqpat",
     "closed_sequences": "SELECT target_id, pattern_text, freq FROM closedpat",
     "topk_closed": "SELECT target_id, rank, freq, pattern_text FROM topk",

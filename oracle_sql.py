@@ -23,6 +23,12 @@ TARGETS = [
 NOISE = ("(a.d_backend_disruption_name = 'backend-9' AND ((e.source = 'click' AND (e.namespace LIKE 'ns-1%' "
          "OR e.reason = 'Ended')) OR (e.source = 'view' AND e.message LIKE '%code-%')))")
 
+# Adapter rows with few different tokens, and the others.
+COARSE, FINE = "(k % 5 < 3)", "(k % 5 >= 3)"
+PLAIN_FIELDS = ["source", "level", "display", "reason", "cause", '"count"', "roles", "constructed", "message"]
+LOCATOR_FIELDS = ["locator_type", "keys_namespace", "keys_ns", "disruption", "route", "connection", "backend", "node", "pod",
+                  "container", "uid", '"row"']
+
 EVENT_FIELDS = ["e_diff", "e_source", "e_node", "e_ns", "e_pod", "e_container", "e_reason", "e_cause",
                 "e_roles", "e_row", "e_message"]
 
@@ -37,14 +43,14 @@ def _case(kind: int, p: str) -> str:
 
 
 def ctes(closing: bool = True, began: bool = True, self_excl: bool = True, ignore_excl: bool = True,
-         noise: bool = True) -> str:
+         noise: bool = True, keep_null: bool = False) -> str:
     """The WITH clause (without the word WITH) of all stages."""
     cand = "\n      UNION ALL ".join(
         f"SELECT CAST({i} AS BIGINT) AS target_id, * FROM ivf WHERE {c.format(p='')}" for i, (c, _) in enumerate(TARGETS))
     ctx_where = [f"e.from_time BETWEEN {RANGE}",
                  "e.from_time BETWEEN a.d_from_time - INTERVAL 3 DAY AND a.d_from_time + INTERVAL 1 HOUR"]
     if closing:
-        ctx_where.append("e.reason NOT LIKE 'Ended'")
+        ctx_where.append("(e.reason NOT LIKE 'Ended'" + (" OR e.reason IS NULL)" if keep_null else ")"))
     if began:
         ctx_where.append("(e.reason NOT LIKE 'Began' OR e.backend LIKE '%-3')")
     if self_excl:
@@ -61,37 +67,52 @@ ev AS (
          md5(CAST(event_id AS VARCHAR)) AS h
   FROM events
 ),
-iv AS (
-  SELECT CAST(user_id AS VARCHAR) AS job_id, event_id, ts AS from_time, ts + INTERVAL 1 SECOND AS to_time,
+raw AS (
+  SELECT CAST(user_id AS VARCHAR) AS job_id, event_id, {COARSE} AS coarse, event_id % 31 = 7 AS nothing,
+    NOT ({COARSE}) AND k % 23 = 4 AS gone,
+    CASE WHEN {COARSE} THEN date_trunc('hour', ts) ELSE ts END AS from_time,
     CASE WHEN k % 25 = 24 THEN 'observer' ELSE 'collector' END AS origin,
-    CASE WHEN event_id % 2 = 0 THEN 'interval' ELSE 'interval_json' END AS payload_in,
-    event_type AS source,
+    CASE WHEN event_id % 31 <> 7 AND (event_id % 29 = 3 OR event_id % 2 = 0) THEN 'interval' ELSE 'interval_json' END AS payload_in,
+    event_type AS source, CASE WHEN k % 2 = 0 THEN 'Info' END AS level,
     CASE WHEN k % 3 <> 0 OR event_type <> 'error' THEN 'true' ELSE 'false' END AS display,
-    CASE WHEN event_type = 'error' THEN 'backend-' || CAST(k % 10 AS VARCHAR) END AS backend,
     CASE WHEN event_type = 'view' AND k % 10 = 0 THEN NULL
          WHEN event_type = 'signup' AND k < 30 THEN 'Ended'
          WHEN event_type = 'error' THEN 'Began'
          ELSE event_type END AS reason,
-    CASE WHEN k % 3 <> 0 THEN 'ns-' || CAST(user_id % 20 AS VARCHAR) || '-' || CAST(k % 10 AS VARCHAR) END AS keys_namespace,
-    CASE WHEN k % 3 = 0 THEN 'ns-' || CAST(k % 10 AS VARCHAR) END AS keys_ns,
-    CASE WHEN k % 4 <> 0 THEN 'ip-10-0-' || CAST(k AS VARCHAR) END AS node,
-    CASE WHEN event_type <> 'signup' THEN event_type || '-' || CAST(k % 10 AS VARCHAR) || '-u'
-         || CAST(user_id % 75 AS VARCHAR) || '-' || substr(h, 1, 10) || '-' || substr(h, 11, 5) END AS pod,
-    CASE WHEN k % 7 = 0 THEN NULL
+    CASE WHEN {FINE} AND k % 13 = 3 THEN 'cause-' || CAST(k % 3 AS VARCHAR) END AS cause,
+    CASE WHEN k % 9 = 4 THEN CAST(k AS VARCHAR) END AS "count",
+    CASE WHEN {FINE} AND k % 17 = 3 THEN 'worker' END AS roles,
+    CASE WHEN {FINE} AND k % 19 = 4 THEN 'yes' END AS constructed,
+    CASE WHEN {COARSE} THEN 'state changed' WHEN k % 7 = 0 THEN NULL
          WHEN k % 7 < 3 THEN 'took ' || CAST(k AS VARCHAR) || 'ms ref ' || substr(h, 1, 12)
          WHEN k % 7 < 5 THEN 'user ' || CAST(user_id AS VARCHAR) || ' code-' || event_type
          ELSE event_type || ' by u' || chr(CAST(97 + user_id % 26 AS INTEGER)) || chr(CAST(97 + event_id % 26 AS INTEGER))
-              || chr(CAST(97 + k % 26 AS INTEGER)) END AS message
+              || chr(CAST(97 + k % 26 AS INTEGER)) END AS message,
+    CASE WHEN {FINE} AND k % 4 = 0 THEN 'Node' END AS locator_type,
+    CASE WHEN {COARSE} THEN 'platform'
+         WHEN k % 3 <> 0 THEN 'ns-' || CAST(user_id % 20 AS VARCHAR) || '-' || CAST(k % 10 AS VARCHAR) END AS keys_namespace,
+    CASE WHEN {FINE} AND k % 3 = 0 THEN 'ns-' || CAST(k % 10 AS VARCHAR) END AS keys_ns,
+    CASE WHEN event_type = 'error' THEN 'dis-' || CAST(k % 4 AS VARCHAR) END AS disruption,
+    CASE WHEN event_type = 'error' AND k % 2 = 0 THEN 'route-' || CAST(k % 3 AS VARCHAR) END AS route,
+    CASE WHEN event_type = 'error' AND k % 2 = 1 THEN 'new' END AS connection,
+    CASE WHEN event_type = 'error' THEN 'backend-' || CAST(k % 10 AS VARCHAR) END AS backend,
+    CASE WHEN {FINE} AND k % 4 <> 0 THEN 'ip-10-0-' || CAST(k AS VARCHAR) END AS node,
+    CASE WHEN {FINE} AND event_type <> 'signup' THEN event_type || '-' || CAST(k % 10 AS VARCHAR) || '-u'
+         || CAST(user_id % 75 AS VARCHAR) || '-' || substr(h, 1, 10) || '-' || substr(h, 11, 5) END AS pod,
+    CASE WHEN {FINE} AND k % 11 = 0 THEN 'c' || CAST(k % 3 AS VARCHAR) END AS container,
+    CASE WHEN {FINE} AND k % 11 = 3 THEN substr(h, 1, 8) END AS uid,
+    CASE WHEN {FINE} AND k % 11 = 4 THEN CAST(k AS VARCHAR) END AS "row"
   FROM ev
 ),
+iv AS (
+  SELECT job_id, event_id, from_time, from_time + INTERVAL 1 SECOND AS to_time, origin, payload_in,
+    {", ".join(f"CASE WHEN NOT nothing THEN {c} END AS {c}" for c in PLAIN_FIELDS)},
+    CASE WHEN gone AND NOT nothing THEN 'gone' END AS locator,
+    {", ".join(f"CASE WHEN NOT nothing AND NOT gone THEN {c} END AS {c}" for c in LOCATOR_FIELDS)}
+  FROM raw
+),
 ivf AS (
-  SELECT *, coalesce(keys_namespace, keys_ns) AS namespace,
-    CAST(NULL AS VARCHAR) AS level, CAST(NULL AS VARCHAR) AS locator_type, CAST(NULL AS VARCHAR) AS locator,
-    CAST(NULL AS VARCHAR) AS disruption, CAST(NULL AS VARCHAR) AS route, CAST(NULL AS VARCHAR) AS connection,
-    CAST(NULL AS VARCHAR) AS container, CAST(NULL AS VARCHAR) AS uid, CAST(NULL AS VARCHAR) AS "row",
-    CAST(NULL AS VARCHAR) AS cause, CAST(NULL AS VARCHAR) AS "count", CAST(NULL AS VARCHAR) AS roles,
-    CAST(NULL AS VARCHAR) AS constructed
-  FROM iv
+  SELECT *, coalesce(keys_namespace, keys_ns) AS namespace FROM iv
 ),
 jb AS (
   SELECT CAST(c_custkey AS VARCHAR) AS job_id, c_mktsegment || '-' || c_name AS job_name,

@@ -1,9 +1,8 @@
 """Pattern drill-down: supporting runs, example rows and the search-window evidence.
 
-Patterns are few (k per target, a parameter), so the pattern side of every join
-here has a size bound of ``k * #targets`` rows and is broadcast explicitly.
 Candidate (pattern, run) pairs come from an equi join on the pattern's first
-item, not from pairing every pattern with every run.
+item, not from pairing every pattern with every run.  The optimizer broadcasts the
+patterns where their size allows it.
 """
 
 from __future__ import annotations
@@ -24,8 +23,7 @@ KEYS = ("target_id", "job_id")
 
 def pattern_support(sequences: DataFrame, patterns: DataFrame) -> DataFrame:
     """``(target_id, pattern, freq, rank, job_id)`` for every run whose sequence contains the pattern."""
-    pats = F.broadcast(patterns.select("target_id", "pattern", "freq", "rank",
-                                       F.get("pattern", 0).alias("item")))
+    pats = patterns.select("target_id", "pattern", "freq", "rank", F.get("pattern", 0).alias("item"))
     items = sequences.select(*KEYS, F.explode(F.array_distinct("sequence")).alias("item"))
     cand = items.join(pats, ["target_id", "item"]).drop("item")
     return (cand.join(sequences.select(*KEYS, "sequence"), list(KEYS))
@@ -73,7 +71,7 @@ def pattern_examples(support: DataFrame, first_occ: DataFrame, payloads: DataFra
 
 def pattern_item_rows(events: DataFrame, patterns: DataFrame) -> DataFrame:
     """F16: the events of a run whose token is an item of one of its target's patterns."""
-    items = F.broadcast(patterns.select("target_id", F.explode("pattern").alias("event")).distinct())
+    items = patterns.select("target_id", F.explode("pattern").alias("event")).distinct()
     return events.join(items, ["target_id", "event"], "left_semi")
 
 
