@@ -15,8 +15,9 @@ judged on the input, and matches never cross documents.
    third of all rows sends one row per task.
 4. **Suffixes.**  Different phrases of one trigger can share windows (the edges of repeated
    passages).  Only for these the bytes are fetched; the phrases' suffixes that start at the same
-   distance from the trigger are grouped by their first ``length`` bytes, and all but the first in
-   corpus order are removed.
+   distance from the trigger are sorted by their first ``length`` bytes and by corpus order, and all
+   but the first of equal ones are removed.  Phrases of a trigger are compared in one task; the
+   windows of a trigger with more than ``TOGETHER`` phrases are grouped row by row instead.
 5. The removed runs of each document are merged and cut out.
 
 Strings are compared by two independent 64-bit hashes together.  Long texts are parsed in
@@ -38,17 +39,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precursor.llm.common import FILTER_BUCKETS, mix64, text_or_empty, written
+from precursor.llm.common import FILTER_BUCKETS, mix64, slices, text_or_empty, trimmed, written
 
 LENGTH = 100
 WIDTH = 32
 #: Bytes parsed together; a longer text is parsed in pieces that overlap by LENGTH - 1 bytes.
 PIECE = 1 << 18
 #: Bytes of parsed text whose phrases a task combines before it sends them.
-COMBINE = 32 << 20
+COMBINE = 8 << 20
 #: Bytes of text per partition of the phrase shuffle.
-PER_PARTITION = 24 << 20
+PER_PARTITION = 8 << 20
 
+#: Phrases of one trigger that one task compares; windows of a trigger with more are grouped one by one.
+TOGETHER = 10_000
+#: Low bits of a rolling hash that make room for a place in a block of pieces.
+_PLACE_BITS = np.uint64(22)
 _RNG = np.random.default_rng(31)
 #: Two independent polynomial hashes: a random value per byte, an odd base and its inverse.
 _BYTES = _RNG.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,7 +106,9 @@ def parse(texts: list[bytes], length: int = LENGTH, width: int = WIDTH) -> tuple
     one, two = Hashes(data, 0), Hashes(data, 1)
     grams = one.of(slice(0, len(data) - width + 1), slice(width, len(data) + 1))
     # the position in the low bits: the leftmost of equal hashes is the smallest
-    bits = np.uint64(max(1, int(len(data)).bit_length()))
+    bits = _PLACE_BITS
+    if len(data) >> int(bits):
+        raise ValueError("too many bytes for one call")
     low = _window_min((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), length - width + 1)
     trigger = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     windows = np.maximum(size - length + 1, 0)
@@ -170,8 +177,10 @@ def _first_and_rest(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(p):
         return p, p
     new = np.concatenate([[True], (p["g"][1:] != p["g"][:-1]) | (p["h"][1:] != p["h"][:-1])])
-    lead = p[np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))]
-    same = (p["id"] == lead["id"]) & (p["row"] == lead["row"]) & (p["a"] == lead["a"])  # a repeated row
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+    same = np.ones(len(p), dtype=bool)  # the first itself, or a repeated row
+    for f in ("id", "row", "a"):
+        same &= p[f] == p[f][lead]
     return p[new], p[~same]
 
 
@@ -192,7 +201,7 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, length: int) -> Iterato
         for lo in range(0, len(rows), 1000):
             yield _batch(rows[lo:lo + 1000])
 
-    for b in batches:
+    for b in slices(batches):
         ids = np.array([_NULL_ID if i is None else i for i in b.column("_id").to_pylist()], dtype=np.int64)
         hashes = b.column("_row").to_numpy()
         texts = [t.encode("utf-8", "surrogatepass") for t in b.column("_text").to_pylist()]
@@ -211,7 +220,7 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int, length: int) -> Iterato
         yield from flush()
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
     """Cuts of all but the first occurrence of each phrase; asks for triggers with several phrases."""
     held: list[np.ndarray] = []
     for b in batches:
@@ -222,9 +231,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     first, rest = _first_and_rest(np.concatenate(held))
-    same = first["g"][1:] == first["g"][:-1]
-    several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    rows = list(_by_row(rest, "cut")) + list(_by_row(first[several], "ask"))
+    _, n = np.unique(first["g"], return_counts=True)
+    n = np.repeat(n, n)
+    rows = list(_by_row(rest, "cut")) + list(_by_row(first[(n > 1) & (n <= together)], "ask"))
+    rows += _by_row(first[n > together], "hot")
     for lo in range(0, len(rows), 1000):
         yield _batch(rows[lo:lo + 1000])
 
@@ -234,7 +244,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     unzip = zstandard.ZstdDecompressor()
     names = ["_g", "_id", "_row", "_a", "_t", "_n", "_bytes"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    for b in batches:
+    for b in slices(batches):
         cols: list[list] = [[] for _ in names]
         for id, row, packed, asks in zip(*(b.column(c).to_pylist() for c in ("_id", "_row", "_packed", "_asks")), strict=True):
             text = unzip.decompress(packed)
@@ -251,36 +261,68 @@ def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
-_CHUNK = 20_000
+def _windows(b: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
+    """Per window of some phrases: the phrase, two hashes of (trigger, distance to it, first bytes), its start."""
+    g = b.column("_g").to_numpy().view(np.uint64)
+    a, t, n = (b.column(c).to_numpy().astype(np.int64) for c in ("_a", "_t", "_n"))
+    data = b.column("_bytes").to_pylist()
+    buffer = np.frombuffer(b"".join(data), dtype=np.uint8)
+    first = np.cumsum([0, *map(len, data)])[:-1]
+    who = np.repeat(np.arange(len(n)), n)
+    o = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+    at = first[who] + o
+    key = mix64(g[who] ^ mix64((t[who] - o).astype(np.uint64)))
+    one = Hashes(buffer, 0).of(at, at + length) ^ key
+    two = Hashes(buffer, 1).of(at, at + length) ^ mix64(key)
+    return who, one, two, a[who] + o
+
+
+_PHRASES = 2000
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Per window of the phrases asked for: a key (trigger, distance, first bytes) and its place."""
+    """One row per window: its hashes and its place."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, _CHUNK // 10):
-            b = batch.slice(lo, _CHUNK // 10)
-            g, ids, rows = (b.column(c).to_numpy() for c in ("_g", "_id", "_row"))
-            a, t, n = (b.column(c).to_numpy().astype(np.int64) for c in ("_a", "_t", "_n"))
-            data = b.column("_bytes").to_pylist()
-            buffer = np.frombuffer(b"".join(data), dtype=np.uint8)
-            first = np.cumsum([0, *map(len, data)])[:-1]
-            who = np.repeat(np.arange(len(n)), n)
-            o = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-            at = first[who] + o
-            key = mix64(g.view(np.uint64)[who] ^ mix64((t[who] - o).astype(np.uint64)))
-            one = Hashes(buffer, 0).of(at, at + length) ^ key
-            two = Hashes(buffer, 1).of(at, at + length) ^ mix64(key)
+        for lo in range(0, batch.num_rows, _PHRASES):
+            b = batch.slice(lo, _PHRASES)
+            who, one, two, s = _windows(b, length)
+            who = pa.array(who)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(ids[who]), pa.array(rows[who]),
-                 pa.array(a[who] + o)], names=["_one", "_two", "_id", "_row", "_s"])
+                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), b.column("_id").take(who),
+                 b.column("_row").take(who), pa.array(s)], names=["_one", "_two", "_id", "_row", "_s"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Cuts of the windows that are not the first of their kind, for phrases sorted by trigger."""
 
+    def later(b: pa.RecordBatch) -> pa.RecordBatch:
+        who, one, two, s = _windows(b, length)
+        w = np.zeros(len(who), dtype=PHRASE)
+        w["g"], w["h"], w["a"] = one, two, s
+        w["id"], w["row"] = b.column("_id").to_numpy()[who], b.column("_row").to_numpy()[who]
+        return _batch(list(_by_row(_first_and_rest(w)[1], "cut")))
 
-def _kept(text: bytes, cuts: list[bytes], windows: list[int], length: int) -> tuple[int, int, int, str]:
+    held: pa.Table | None = None
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        held = table if held is None else pa.concat_tables([held, table])
+        while held.num_rows > _PHRASES:  # whole triggers, at least _PHRASES rows if there are that many
+            g = held.column("_g").to_numpy()
+            ends = np.flatnonzero(g[1:] != g[:-1]) + 1
+            ends = ends[ends >= _PHRASES]
+            if not len(ends):
+                break
+            yield later(held.slice(0, int(ends[0])).combine_chunks().to_batches()[0])
+            held = held.slice(int(ends[0]))
+    if held is not None and held.num_rows:
+        yield later(held.combine_chunks().to_batches()[0])
+
+
+def _kept(text: bytes, cuts: list[bytes], length: int) -> tuple[int, int, int, str]:
     """(bytes, removed bytes, removed runs, SHA-256 of the rest) of a text."""
-    spans = np.concatenate([np.frombuffer(c, dtype=SPAN) for c in cuts]) if cuts else np.empty(0, dtype=SPAN)
-    w = np.array(windows, dtype=np.int64)
-    start = np.concatenate([spans["a"].astype(np.int64), w])
-    end = np.concatenate([spans["a"].astype(np.int64) + spans["b"] + length, w + length])
+    spans = np.frombuffer(b"".join(cuts), dtype=SPAN)
+    start = spans["a"].astype(np.int64)
+    end = start + spans["b"] + length
     if not len(start):
         return len(text), 0, 0, hashlib.sha256(text).hexdigest()
     order = np.argsort(start, kind="stable")
@@ -301,9 +343,9 @@ RESULT = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     unzip = zstandard.ZstdDecompressor()
     names = [f.split()[0] for f in RESULT.split(", ")]
-    for b in batches:
-        rows = [(id, *_kept(unzip.decompress(packed), cuts or [], windows or [], length)) for id, packed, cuts, windows in
-                zip(*(b.column(c).to_pylist() for c in ("_id", "_packed", "_cuts", "_windows")), strict=True)]
+    for b in slices(batches):
+        rows = [(id, *_kept(unzip.decompress(packed), cuts or [], length)) for id, packed, cuts in
+                zip(*(b.column(c).to_pylist() for c in ("_id", "_packed", "_cuts")), strict=True)]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, k) for c, k in zip(cols, [*[pa.int64()] * 4, pa.string()], strict=True)], names=names)
@@ -312,7 +354,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, for the shuffle."""
     pack = zstandard.ZstdCompressor(level=3)
-    for b in batches:
+    for b in slices(batches):
         packed = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("_text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), pa.array(packed, pa.binary())],
                                          names=["_id", "_row", "_packed"])
@@ -326,11 +368,18 @@ def _texts_of(docs: DataFrame, facts: DataFrame, how: str) -> DataFrame:
     """Packed texts joined with per-document ``facts``; a bounded filter drops most other texts on the scan."""
     mark = F.broadcast(facts.select(_bucket(F.col("_id"), F.col("_row")).alias("_b")).distinct())
     some = docs.withColumn("_b", _bucket(F.col("_id"), F.col("_row"))).join(mark, "_b", "left_semi")
-    packed = some.select("_id", "_row", "_text").mapInArrow(_pack, "_id long, _row long, _packed binary")
+    packed = some.select("_id", "_row", "_text").mapInArrow(lambda it: trimmed(_pack(it)), "_id long, _row long, _packed binary")
     return packed.join(facts, ["_id", "_row"], how)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text") -> DataFrame:
+def _packed_start(s: Column) -> Column:
+    """A SPAN of one window: four little-endian bytes and two zeros."""
+    big = F.lpad(F.hex(s), 8, "0")
+    return F.unhex(F.concat(*[F.substring(big, i, 2) for i in (7, 5, 3, 1)], F.lit("0000")))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", text: str = "text",
+                   together: int = TOGETHER) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans (removed runs), kept_sha256."""
     if not WIDTH < length <= 255:
         raise ValueError(f"length must be between {WIDTH + 1} and 255")
@@ -339,24 +388,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_PARTITION))
-    sent = docs.mapInArrow(lambda it: _send(it, parts, length), SENT)
-    settled = written(sent.repartitionById(parts, "_part").mapInArrow(_settle, SENT).drop("_part"), "pfp-settled")
-
-    asks = settled.where("_kind = 'ask'").groupBy("_id", "_row").agg(F.collect_list("_data").alias("_asks"))
-    asks = written(asks, "pfp-asks")
-    phrases = _texts_of(docs, asks, "inner").dropDuplicates(["_id", "_row"]).mapInArrow(
-        lambda it: _fetch(it, length), "_g long, _id long, _row long, _a int, _t int, _n int, _bytes binary")
-    windows = phrases.mapInArrow(lambda it: _suffixes(it, length), "_one long, _two long, _id long, _row long, _s long")
-    windows = written(windows, "pfp-windows")
-    place = F.struct("_id", "_row", "_s")
-    first = written(windows.groupBy("_one", "_two").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
-                    .where("_n > 1").drop("_n"), "pfp-first")
-    later = (windows.join(first, ["_one", "_two"]).where(place != F.col("_first"))
-             .groupBy("_id", "_row").agg(F.collect_list(F.col("_s").cast("int")).alias("_windows")))
-    cuts = settled.where("_kind = 'cut'").groupBy("_id", "_row").agg(F.collect_list("_data").alias("_cuts"))
-    removed = written(cuts.join(later, ["_id", "_row"], "full"), "pfp-removed")
-
-    touched = _texts_of(docs, removed, "left").mapInArrow(lambda it: _cut(it, length), RESULT)
+    sent = docs.mapInArrow(lambda it: trimmed(_send(it, parts, length)), SENT)
+    settled = written(sent.repartitionById(parts, "_part").mapInArrow(
+        lambda it: trimmed(_settle(it, together)), SENT).drop("_part"), "pfp-settled")
+
+    def phrases(kind: str) -> DataFrame:
+        asks = written(settled.where(F.col("_kind") == kind).groupBy("_id", "_row").agg(
+            F.collect_list("_data").alias("_asks")), f"pfp-{kind}")
+        return _texts_of(docs, asks, "inner").dropDuplicates(["_id", "_row"]).mapInArrow(
+            lambda it: trimmed(_fetch(it, length)), "_g long, _id long, _row long, _a int, _t int, _n int, _bytes binary")
+
+    compared = phrases("ask").repartition("_g").sortWithinPartitions("_g").mapInArrow(lambda it: trimmed(_compare(it, length)), SENT)
+    cuts = settled.where("_kind = 'cut'").unionByName(compared.drop("_part"))
+    if not settled.where("_kind = 'hot'").isEmpty():
+        windows = written(phrases("hot").mapInArrow(
+            lambda it: trimmed(_suffixes(it, length)), "_one long, _two long, _id long, _row long, _s long"), "pfp-windows")
+        place = F.struct("_id", "_row", "_s")
+        first = written(windows.groupBy("_one", "_two").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
+                        .where("_n > 1").drop("_n"), "pfp-first")
+        later = windows.join(first, ["_one", "_two"]).where(place != F.col("_first"))
+        cuts = cuts.unionByName(later.select("_id", "_row", F.lit("cut").alias("_kind"), _packed_start(F.col("_s")).alias("_data")))
+    removed = written(cuts.groupBy("_id", "_row").agg(F.collect_list("_data").alias("_cuts")), "pfp-removed")
+
+    touched = _texts_of(docs, removed, "left").mapInArrow(lambda it: trimmed(_cut(it, length)), RESULT)
     mark = F.broadcast(removed.select(_bucket(F.col("_id"), F.col("_row")).alias("_b")).distinct())
     whole = docs.withColumn("_b", _bucket(F.col("_id"), F.col("_row"))).join(mark, "_b", "left_anti").select(
         "_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
