@@ -24,7 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -33,18 +33,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precursor.llm.common import bucket_filter, bucket_of, mix64, permutations, shingles_of, text_blocks, written
+from precursor.llm.common import (bucket_filter, bucket_of, mix64, permutations, shingles_of, slices, text_blocks,
+                                  trimmed, written)
 from precursor.llm.components import components
 
 THRESHOLD = 0.8
 COORDINATES = 64
 #: Levels of recursion, and the sets that a bucket to brute-force holds at most.
-DEPTH, LEAF = 4, 512
+DEPTH, LEAF = 4, 8192
 RECALL = 0.995
 #: Share of equal MinHash values that makes a candidate: four standard deviations under the threshold.
 SLACK = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
-#: Sets per block of the exact verification.
-BLOCK = 256
+#: Sets, and bytes of sets, per block of the exact verification.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -83,7 +84,7 @@ _SETS = "_id long, _row long, _key binary, _n int, _sig binary"
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = permutations(COORDINATES, seed=7)
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("_text").to_pylist()
         for lo, hi in text_blocks(texts):
             h, bounds = shingles_of(texts[lo:hi])
@@ -102,14 +103,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _exact_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """The rows with their texts replaced by sorted shingle hashes."""
+    for batch in slices(batches):
         texts = batch.column("_text").to_pylist()
+        rest = [n for n in batch.schema.names if n != "_text"]
         for lo, hi in text_blocks(texts):
             h, bounds = shingles_of(texts[lo:hi])
             sets = [np.unique(h[bounds[d]:bounds[d + 1]]).tobytes() for d in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id")[lo:hi], pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary()),
-                 pa.array(sets, pa.binary())], names=["_id", "_key", "_set"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n)[lo:hi] for n in rest), pa.array(sets, pa.binary())],
+                                             names=[*rest, "_set"])
 
 
 # ---------------------------------------------------------------------------- paths
@@ -135,8 +137,8 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[list[d
         yield list(g)
 
 
-def forest(similar: "callable", n: int) -> np.ndarray:
-    """For each of ``n`` items the first item of its connected group; ``similar(i, others)`` tells links."""
+def forest(similar: Callable[[int, np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """For each of ``n`` items the first (smallest) item of its connected group; ``similar(i, others)`` tells links."""
     root = np.full(n, -1)
     left = np.arange(n)
     while len(left):
@@ -167,22 +169,30 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose key is not wanted, by a filter of bounded size before the shuffle."""
+    mark = bucket_filter(wanted.withColumn("_h", F.xxhash64(key)), "_h")
+    return rows.withColumn("_bucket", bucket_of(F.xxhash64(key))).join(mark, "_bucket", "left_semi").drop("_bucket")
+
+
 def _candidate_links(sets: DataFrame, threshold: float, runs: int, depth: int, leaf: int) -> DataFrame:
-    rows = sets.select("_key", "_sig").mapInArrow(lambda it: _paths(it, threshold, runs), "_path long, _key binary")
+    rows = sets.select("_key", "_sig").mapInArrow(lambda it: trimmed(_paths(it, threshold, runs)), "_path long, _key binary")
     found = []
     for level in range(1, depth + 1):
         marks = [F.bit_xor(F.xxhash64("_key", F.lit(i))).alias(f"_x{i}") for i in (1, 2)]
         buckets = written(rows.groupBy("_path").agg(F.count("*").alias("_n"), *marks).where("_n > 1")
                           .groupBy("_n", "_x1", "_x2").agg(F.min("_path").alias("_path")), "cpj-buckets")
-        found.append(rows.join(buckets.where(F.col("_n") <= leaf).select("_path"), "_path", "left_semi"))
+        small = buckets.where(F.col("_n") <= leaf).select("_path")
+        found.append(_likely(rows, small, "_path").join(small, "_path", "left_semi"))
         large = buckets.where(F.col("_n") > leaf)
         if large.isEmpty():
             break
-        inside = rows.join(large.select("_path", "_n"), "_path")
+        inside = _likely(rows, large, "_path").join(large.select("_path", "_n"), "_path")
         if level < depth:
-            inside = inside.join(sets.select("_key", "_sig"), "_key")
+            inside = written(inside, "cpj-inside")
+            inside = inside.join(_likely(sets, inside, "_key").select("_key", "_sig"), "_key")
             rows = written(inside.select("_path", "_key", "_sig").mapInArrow(
-                lambda it: _paths(it, threshold, runs), "_path long, _key binary"), "cpj-paths")
+                lambda it: trimmed(_paths(it, threshold, runs)), "_path long, _key binary"), "cpj-paths")
         else:  # still large: every pair of blocks of half a leaf is a bucket
             blocks = F.ceil(2 * F.col("_n") / leaf).cast("int")
             own = F.pmod(F.xxhash64("_key"), blocks).cast("int")
@@ -191,34 +201,34 @@ def _candidate_links(sets: DataFrame, threshold: float, runs: int, depth: int, l
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return (written(out, "cpj-members").join(sets.select("_key", "_sig"), "_key")
-            .repartition("_path").sortWithinPartitions("_path").mapInArrow(_bucket_links, "a binary, b binary"))
+    members = written(out, "cpj-members")
+    return (members.join(_likely(sets, members, "_key").select("_key", "_sig"), "_key")
+            .repartition("_path").sortWithinPartitions("_path", "_key").mapInArrow(lambda it: trimmed(_bucket_links(it)), "a binary, b binary"))
 
 
 # ---------------------------------------------------------------------------- exact verification
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections of sorted distinct arrays."""
-    n = len(sets)
-    out = np.zeros((n, n), dtype=np.int64)
-    if n <= 4:
-        for i in range(n):
-            for j in range(i + 1, n):
-                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        return out
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[col] > 1  # a shingle of one set takes no part
-    owner, col = owner[shared], (np.cumsum(count > 1) - 1)[col[shared]]
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of each of ``a`` with each of ``b`` (sorted distinct arrays)."""
+    if len(a) * len(b) <= 16:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a], dtype=np.int64)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)  # exact: sizes are far under 2**24
+    values, col = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    in_a = owner < len(a)
+    both = np.zeros(len(values), dtype=np.int8)  # only values on both sides take part
+    both[col[in_a]] |= 1
+    both[col[~in_a]] |= 2
+    used = both == 3
+    keep = used[col]
+    owner, col = owner[keep], (np.cumsum(used) - 1)[col[keep]]
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
-    width = 8192
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+    for lo in range(0, int(used.sum()), width):
         part = slice(*np.searchsorted(col, [lo, lo + width]))
-        m = np.zeros((n, width), dtype=np.float32)
+        m = np.zeros((len(a) + len(b), width), dtype=np.float32)
         m[owner[part], col[part] - lo] = 1
-        out += (m @ m.T).astype(np.int64)
-    np.fill_diagonal(out, 0)
-    return out
+        out += m[:len(a)] @ m[len(a):].T
+    return out.astype(np.int64)
 
 
 _VERIFIED = "_root binary, _key binary, _links long, _first binary, _alone boolean"
@@ -230,14 +240,19 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.bool_()]
     out: list[list] = [[] for _ in names]
     for rows in _groups(batches, ["_root", "_b1", "_b2"]):
+        rows = [r for i, r in enumerate(rows) if not i or r["_key"] != rows[i - 1]["_key"]]  # repeated rows: once
         sets = [np.frombuffer(r["_set"], dtype=np.uint64) for r in rows]
         size = np.array([len(s) for s in sets])
-        both = overlaps(sets)
-        linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-        np.fill_diagonal(linked, False)
-        if rows[0]["_b1"] != rows[0]["_b2"]:  # pairs inside a block are counted by that block alone
-            own = np.array([r["_b"] for r in rows])
-            linked &= own[:, None] != own[None, :]
+        # pairs of two blocks, or pairs inside one
+        pair = rows[0]["_b1"] != rows[0]["_b2"]
+        one = np.flatnonzero([r["_b"] == r["_b1"] for r in rows])
+        two = np.flatnonzero([r["_b"] != r["_b1"] for r in rows]) if pair else one
+        linked = np.zeros((len(rows), len(rows)), dtype=bool)
+        if len(two):
+            both = overlaps([sets[i] for i in one], [sets[i] for i in two])
+            linked[np.ix_(one, two)] = both >= threshold * (size[one][:, None] + size[two][None, :] - both) - 1e-9
+            linked |= linked.T
+            np.fill_diagonal(linked, False)
         root = forest(lambda i, others, linked=linked: linked[i, others], len(rows))
         links = linked @ np.array([r["_members"] for r in rows], dtype=np.int64)
         for i, r in enumerate(rows):
@@ -252,24 +267,26 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 def _exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, block: int) -> DataFrame:
     """(_key, _class, _links) of every set in a candidate group, verified on the exact sets."""
-    size = groups.groupBy("root").agg(F.count("*").alias("_size"))
-    wanted = written(groups.join(size, "root").select(
-        F.col("node").alias("_key"), F.col("root").alias("_root"), F.ceil(F.col("_size") / block).cast("int").alias("_blocks"))
-        .join(sets.select("_key", "_members", F.col("_min").alias("_want")), "_key")
-        .withColumn("_h", F.xxhash64("_want")), "cpj-wanted")
-    # only the first document of each wanted set is read again; a filter of bounded size finds most of them on the scan
-    texts = docs.withColumn("_bucket", bucket_of(F.xxhash64("_id"))).join(bucket_filter(wanted, "_h"), "_bucket", "left_semi")
-    full = texts.select("_id", "_text").mapInArrow(_exact_sets, "_id long, _key binary, _set binary")
-    full = (full.join(wanted.drop("_h"), "_key").where(F.col("_want").eqNullSafe(F.col("_id")))
-            .dropDuplicates(["_key"]))
+    members = written(groups.select(F.col("node").alias("_key"), F.col("root").alias("_root")).join(
+        sets.select("_key", "_members", "_n", "_pick"), "_key"), "cpj-wanted")
+    size = members.groupBy("_root").agg(F.ceil(F.greatest(
+        F.count("*") / block, F.sum(F.col("_n").cast("long")) * 8 / BLOCK_BYTES)).cast("int").alias("_blocks"))
+    wanted = written(members.join(written(size, "cpj-sizes"), "_root").select(
+        "_key", "_root", "_members", "_blocks", F.col("_pick._id").alias("_want"), F.col("_pick._row").alias("_want_row"),
+        F.xxhash64("_pick._id", "_pick._row").alias("_h")), "cpj-wanted")
+    # one document of each wanted set is read again; a filter of bounded size finds most of them on the scan
+    texts = docs.withColumn("_bucket", bucket_of(F.xxhash64("_id", "_row"))).join(bucket_filter(wanted, "_h"), "_bucket", "left_semi")
+    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_want")) & (F.col("_row") == F.col("_want_row")))
+    full = found.select("_key", "_root", "_members", "_blocks", "_text").mapInArrow(
+        lambda it: trimmed(_exact_sets(it)), "_key binary, _root binary, _members long, _blocks int, _set binary")
     own = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
     blocks = full.select("_root", "_key", "_members", "_set", "_blocks", own.alias("_b"),
                          F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o"))
     blocks = blocks.select("_root", "_key", "_members", "_set", "_blocks", "_b",
                            F.least("_b", "_o").alias("_b1"), F.greatest("_b", "_o").alias("_b2"))
     by = ["_root", "_b1", "_b2"]
-    found = written(blocks.repartition(*by).sortWithinPartitions(*by).mapInArrow(
-        lambda it: _verify(it, threshold), _VERIFIED), "cpj-verified")
+    found = written(blocks.repartition(*by).sortWithinPartitions(*by, "_key").mapInArrow(
+        lambda it: trimmed(_verify(it, threshold)), _VERIFIED), "cpj-verified")
     done = found.where("_alone").select("_key", F.col("_first").alias("_class"), "_links")
     parts = found.where("not _alone")
     if parts.isEmpty():
@@ -287,11 +304,12 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int
 
     ``row_hash`` adds ``_row``, a hash of the text, which with the id tells the row.
     """
-    docs = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows = written(docs.withColumn("_row", F.xxhash64("_text")).mapInArrow(_sketches, _SETS), "cpj-rows")
+    docs = docs.select(F.col(id).cast("long").alias("_id"), F.xxhash64(text).alias("_row"), F.col(text).alias("_text"))
+    rows = written(docs.mapInArrow(lambda it: trimmed(_sketches(it)), _SETS), "cpj-rows")
     some = rows.where("_key is not null")
     sets = written(some.groupBy("_key").agg(F.count("*").alias("_members"), F.min("_id").alias("_min"),
-                                            F.any_value("_sig").alias("_sig")), "cpj-sets")
+                                            F.min(F.struct("_id", "_row")).alias("_pick"),
+                                            F.any_value("_n").alias("_n"), F.any_value("_sig").alias("_sig")), "cpj-sets")
     groups = written(components(_candidate_links(sets, threshold, runs, depth, leaf)), "cpj-groups")
     exact = written(_exact_links(docs, sets, groups, threshold, block), "cpj-exact")
     info = sets.select("_key", "_members", "_min").join(exact, "_key", "left").withColumn(
