@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precursor.llm.common import permutations, shingle_set, shingles_of, text_blocks, written
+from precursor.llm.common import permutations, shingle_set, shingles_of, slices, text_blocks, trimmed, written
 
 THRESHOLD, RECALL = 0.8, 0.9999
 #: Shingles of the items in one block: bounds what is sent to each task (about 40 bytes a shingle).
@@ -121,7 +121,7 @@ RESULT = "_doc long, _item long, shared_shingles long, item_shingles long, conta
 
 def _search(batches: Iterator[pa.RecordBatch], block: ItemBlock, threshold: float, recall: float, filter_text: str | None):
     a, b = permutations(functions_for(threshold, recall), seed=8)
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(filter_text or "_text").to_pylist()
         if filter_text is not None:
             clean = np.ones(len(texts), dtype=bool)
@@ -174,7 +174,7 @@ def find_contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     rows = docs.select(F.col(id).cast("long").alias("_doc"), F.col(text).alias("_text"))
     out = None
     for block in item_blocks(items, item_id, item_text, threshold, recall):
-        part = rows.mapInArrow(lambda it, block=block: _search(it, block, threshold, recall, None), RESULT)
+        part = rows.mapInArrow(lambda it, block=block: trimmed(_search(it, block, threshold, recall, None)), RESULT)
         out = part if out is None else out.unionByName(part)
     out = docs.sparkSession.createDataFrame([], RESULT) if out is None else out
     return out.withColumnsRenamed({"_doc": id, "_item": item_id})
@@ -184,5 +184,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRE
                       text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
     for block in item_blocks(items, item_id, item_text, threshold, recall):
-        docs = docs.mapInArrow(lambda it, block=block: _search(it, block, threshold, recall, text), docs.schema)
+        docs = docs.mapInArrow(lambda it, block=block: trimmed(_search(it, block, threshold, recall, text)), docs.schema)
     return docs

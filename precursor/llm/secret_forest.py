@@ -36,7 +36,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precursor.llm.common import text_blocks, text_or_empty, word_hashes, written
+from precursor.llm.common import slices, text_blocks, text_or_empty, word_hashes, written
 
 MIN_LENGTH = 16
 THRESHOLD = 0.5
@@ -64,7 +64,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task: transitions at keys 0 to _SYMBOLS**2, then word entries."""
     pairs = np.zeros(_SYMBOLS * _SYMBOLS, dtype=np.int64)
     words = np.zeros(WORD_ENTRIES, dtype=np.int64)
-    for b in batches:
+    for b in slices(batches):
         texts = b.column("_text").to_pylist()
         for lo, hi in text_blocks(texts):
             data = " ".join(texts[lo:hi]).encode("utf-8", "surrogatepass")
@@ -159,7 +159,7 @@ def _find(batches: Iterator[pa.RecordBatch], stats: CorpusStatistics) -> Iterato
                                           names=names)
 
     rows: list[tuple] = []
-    for b in batches:
+    for b in slices(batches):
         for id, text, path in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "_path")), strict=True):
             for m in _CANDIDATE.finditer(text):
                 before, after, value = text[max(0, m.start() - _NEAR):m.start()], text[m.end():m.end() + _NEAR], m[0]

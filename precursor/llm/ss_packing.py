@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from precursor.llm.common import slices, trimmed
+
 CAPACITY = 2048
 END_ID = 1
 #: Open sequences a task holds before it fills them up (bounds memory to MAX_OPEN * CAPACITY ids).
@@ -231,7 +233,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, en
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def rows():
-        for b in batches:
+        for b in slices(batches):
             yield from zip(b.column("_id").to_pylist(), b.column("_text").to_pylist(), strict=True)
 
     block: list[tuple] = []
@@ -252,5 +254,5 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
          id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return (docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text"))
-            .mapInArrow(lambda it: _pack(it, tokenizer_path, capacity, end_id), SCHEMA)
+            .mapInArrow(lambda it: trimmed(_pack(it, tokenizer_path, capacity, end_id)), SCHEMA)
             .withColumnRenamed("_id", id))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from precursor.llm.common import written
+from precursor.llm.common import slices, trimmed, written
 
 #: Bound of the labelled sample: documents per language, and characters used of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 512
@@ -94,7 +94,7 @@ def learn(docs: DataFrame, labelled: Column, id: str = "doc_id", text: str = "te
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, text: str, kept: float | None):
     compressors = model.compressors()
-    for b in batches:
+    for b in slices(batches):
         found = [classify(t, compressors) for t in b.column(text).to_pylist()]
         if kept is not None:  # filter: the rows themselves
             yield b.filter(pa.array([lang != UNDETERMINED and score >= kept for lang, score in found], pa.bool_()))
@@ -110,7 +110,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
     """One row per input row: the ``keep`` columns, lang_pred, score, rejected."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return rows.mapInArrow(lambda it: _predict(it, model, "_text", None),
+    return rows.mapInArrow(lambda it: trimmed(_predict(it, model, "_text", None)),
                            f"{schema}, lang_pred string, score double").withColumn(
         "rejected", (F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_margin))
 
@@ -118,4 +118,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
 def keep_identified(docs: DataFrame, model: LanguageModel, text: str = "text",
                     min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with all their columns; nothing is shuffled."""
-    return docs.mapInArrow(lambda it: _predict(it, model, text, min_margin), docs.schema)
+    return docs.mapInArrow(lambda it: trimmed(_predict(it, model, text, min_margin)), docs.schema)
