@@ -4,11 +4,11 @@
 kind; a match that fails its check is dropped.  Each base span is a mention of a protected entity (its
 kind and normalised value).
 
-**Disclosing terms.**  The words beside a mention are its context.  With c an entity, t a word, counts
-over the whole corpus n(c) of mentions, n(t) of words and n(c, t) of contexts of c that hold t, and N
-words in all, the information t reveals about c is PMI(c; t) = ln(n(c, t) N / (n(c) n(t))), and c itself
-holds IC(c) = ln(N / n(c)).  disclosure = PMI / IC is 1 for a word that occurs nowhere but beside c.
-In contexts of c, words over ``GENERALISE`` are generalised and words over ``REMOVE`` removed, if they were
+**Disclosing terms.**  The words beside a mention are its context.  With c an entity, t a word, and the
+numbers over the whole corpus n(c) of documents that mention c, n(t) of documents that hold t, n(c, t)
+of documents with t beside c, and N of all documents, the information t reveals about c is
+PMI(c; t) = ln(n(c, t) N / (n(c) n(t))), and c itself holds IC(c) = ln(N / n(c)).  disclosure =
+PMI / IC is 1 for a word found in no document but beside c.  In contexts of c, words over ``GENERALISE`` are generalised and words over ``REMOVE`` removed, if they were
 seen beside c in ``SUPPORT`` different contexts (copies of one passage count once).  Documents
 without a protected entity are never touched.
 
@@ -123,18 +123,19 @@ def _mentions(text: Column, spans: Column) -> Column:
 def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(id).alias("_id"), text_or_empty(text).alias("_text"))
     rows = rows.select("_id", F.xxhash64("_text").alias("_row"), "_text").withColumn("_base", base_spans(F.col("_text")))
-    return rows.select("_id", "_row", _mentions(F.col("_text"), F.col("_base")).alias("_base"))
+    return rows.select("_id", "_row", F.monotonically_increasing_id().alias("_uid"),
+                       _mentions(F.col("_text"), F.col("_base")).alias("_base"))
 
 
 def _contexts(base: DataFrame) -> DataFrame:
-    """(_id, _row, entity, seen, term, start, end): the words beside each mention."""
-    m = base.where(F.size("_base") > 0).select("_id", "_row", F.explode("_base").alias("m")).select(
-        "_id", "_row", _entity(F.col("m.kind"), F.col("m.value")).alias("entity"),
+    """(_id, _row, _uid, entity, seen, term, start, end): the words beside each mention."""
+    m = base.where(F.size("_base") > 0).select("_id", "_row", "_uid", F.explode("_base").alias("m")).select(
+        "_id", "_row", "_uid", _entity(F.col("m.kind"), F.col("m.value")).alias("entity"),
         F.xxhash64("m.left", "m.right").alias("seen"), F.concat(
             matches(F.col("m.left"), _WORD, F.col("m.start") - F.length("m.left")),
             matches(F.col("m.right"), _WORD, F.col("m.end"))).alias("words"))
-    return (m.select("_id", "_row", "entity", "seen", F.explode("words").alias("w"))
-            .select("_id", "_row", "entity", "seen", F.lower("w.value").alias("term"), "w.start", "w.end")
+    return (m.select("_id", "_row", "_uid", "entity", "seen", F.explode("words").alias("w"))
+            .select("_id", "_row", "_uid", "entity", "seen", F.lower("w.value").alias("term"), "w.start", "w.end")
             .where(F.length("term") >= 3))
 
 
@@ -144,21 +145,23 @@ def _term_bucket(term: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, contexts: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the words whose disclosure is at least ``GENERALISE``."""
-    mentions = base.select(F.explode("_base").alias("m")).groupBy(
-        _entity(F.col("m.kind"), F.col("m.value")).alias("entity")).agg(F.count("*").alias("n_c"))
-    # one row per (entity, term, context) first: a hot entity is combined before the shuffle
-    pairs = contexts.groupBy("entity", "term", "seen").agg(F.count_distinct("_id", "_row").alias("n")).groupBy(
-        "entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("n_seen")).where(F.col("n_seen") >= SUPPORT)
-    pairs = written(pairs, "pii-pairs")
+    entities = F.array_distinct(F.transform("_base", lambda m: _entity(m["kind"], m["value"])))
+    mentions = base.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
+    n_all = float(base.count())
+    pairs = contexts.groupBy("entity", "term").agg(
+        F.count_distinct("_uid").alias("n_ct"), F.count_distinct("seen").alias("n_seen")).where(F.col("n_seen") >= SUPPORT)
+    # disclosure >= GENERALISE is n_t <= n_ct (N / n_c) ** (1 - GENERALISE); the documents that have a word
+    # in any context are some of its n_t documents, so words with too many of them need no count
+    beside = contexts.groupBy("term").agg(F.count_distinct("_uid").alias("n_beside"))
+    most = F.col("n_ct") * F.pow(F.lit(n_all) / F.col("n_c"), F.lit(1 - GENERALISE))
+    pairs = written(pairs.join(mentions, "entity").join(beside, "term").where(F.col("n_beside") <= most * (1 + 1e-9)),
+                    "pii-pairs")
     mark = F.broadcast(pairs.select(_term_bucket(F.col("term")).alias("b")).distinct())  # of bounded size
-    words = docs.select(F.explode(F.split(text_or_empty(text), _NOT_WORD)).alias("w")).where("w != ''")
-    total = docs.select(F.sum(F.size(F.filter(F.split(text_or_empty(text), _NOT_WORD), lambda w: w != "")).cast("long"))
-                        .alias("n_all"))
-    counts = (words.select(F.lower("w").alias("term")).withColumn("b", _term_bucket(F.col("term")))
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.split(text_or_empty(text), _NOT_WORD), F.lower))).alias("term"))
+    counts = (words.withColumn("b", _term_bucket(F.col("term")))
               .join(mark, "b", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")))
-    pmi = F.log(F.col("n_ct") * F.col("n_all") / (F.col("n_c") * F.col("n_t")))
-    return (pairs.join(mentions, "entity").join(counts, "term").crossJoin(F.broadcast(total))  # one row
-            .withColumn("disclosure", pmi / F.log(F.col("n_all") / F.col("n_c")))
+    pmi = F.log(F.col("n_ct") * F.lit(n_all) / (F.col("n_c") * F.col("n_t")))
+    return (pairs.join(counts, "term").withColumn("disclosure", pmi / F.log(F.lit(n_all) / F.col("n_c")))
             .where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"))
 
 
