@@ -13,8 +13,8 @@ Items are taken in blocks of bounded size: each block is sent to the tasks and a
 against it, so nothing is shuffled and no document is split from its text.
 
 Defined results: items without words are never found; an item of fewer than five words is one
-shingle; null and empty texts match nothing; repeated items and rows are reported each; empty tables
-give an empty result.
+shingle; null and empty texts match nothing; null ids stay null; repeated items and rows are reported
+each; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def functions_for(threshold: float, recall: float) -> int:
 class ItemBlock:
     """Benchmark items with their shingle sets and, per size class, the MinHash values by function."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     sets: list[np.ndarray]
     classes: dict[int, np.ndarray]       # class -> positions of its items
     minima: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # class -> per function (sorted values, item positions)
@@ -62,7 +62,7 @@ class ItemBlock:
             sig = np.array([[(sets[i] * x + y).min() for x, y in zip(a, b, strict=True)] for i in at], dtype=np.uint64)
             order = np.argsort(sig, axis=0, kind="stable")
             minima[c] = [(sig[order[:, f], f], at[order[:, f]]) for f in range(len(a))]
-        return ItemBlock(np.array([-1 if i is None else i for i, _ in items]), sets, classes, minima)
+        return ItemBlock([i for i, _ in items], sets, classes, minima)
 
 
 def _candidates(block: ItemBlock, h: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def _search(batches: Iterator[pa.RecordBatch], block: ItemBlock, threshold: floa
             yield batch.filter(pa.array(clean))
             continue
         ids = batch.column("_doc").to_pylist()
-        rows = [(ids[d], int(block.ids[i]), shared, n, shared / n)
+        rows = [(ids[d], block.ids[i], shared, n, shared / n)
                 for d, i, shared, n in contained(block, texts, a, b, threshold)]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         kinds = [pa.int64()] * 4 + [pa.float64()]
