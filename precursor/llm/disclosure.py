@@ -4,13 +4,18 @@
 kind; a match that fails its check is dropped.  Each base span is a mention of a protected entity (its
 kind and normalised value).
 
-**Disclosing terms.**  The words beside a mention are its context.  With c an entity, t a word, and the
-numbers over the whole corpus n(c) of documents that mention c, n(t) of documents that hold t, n(c, t)
-of documents with t beside c, and N of all documents, the information t reveals about c is
-PMI(c; t) = ln(n(c, t) N / (n(c) n(t))), and c itself holds IC(c) = ln(N / n(c)).  disclosure =
-PMI / IC is 1 for a word found in no document but beside c.  In contexts of c, words over ``GENERALISE`` are generalised and words over ``REMOVE`` removed, if they were
-seen beside c in ``SUPPORT`` different contexts (copies of one passage count once).  Documents
-without a protected entity are never touched.
+**Disclosing terms.**  Every word of a document that mentions an entity, wherever it stands outside the
+emails, is judged.  With c an entity, t a word, and the numbers over the different texts of the corpus
+(copies of a document count once) n(c) that mention c, n(t) that hold t, n(c, t) that do both, and N of
+all, c itself holds IC(c) = ln(N / n(c)) and t reveals PMI(c; t) = ln(P(c | t) N / n(c)) of it, where
+P(c | t) = (n(c, t) + n(c) / N) / (n(t) + 1) is smoothed by one document like the corpus: a single
+sighting proves less than many.  disclosure = PMI / IC comes near 1 for a word found in no document
+without c.  In all documents that mention c, words over ``GENERALISE`` are generalised and words over
+``REMOVE`` removed wherever they stand.  Documents without a protected entity are never touched; an
+entity in all documents holds no information.
+
+Entities that the same documents mention have the same numbers and are counted as one class, so a
+document with many entities of its own makes no more pairs than one with a single entity.
 
 Defined results: a null text is empty; offsets are code points, ends exclusive; rows that agree in
 doc_id and text get the same result, each its own row; an empty table gives an empty result; other
@@ -19,10 +24,10 @@ columns are never looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from precursor.llm.common import FILTER_BUCKETS, text_or_empty, written
+from precursor.llm.common import attach, bucket_filter, bucket_of, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns in a form that takes linear time: possessive repeats, and no start inside a run
@@ -42,10 +47,6 @@ _HINTS = {
 }
 _WORD = r"\p{L}+"
 _NOT_WORD = r"[^\p{L}]+"
-#: Code points on either side of a mention whose whole words are its context.
-CONTEXT = 48
-#: Different contexts of an entity that must hold a word.
-SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.98
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -104,65 +105,88 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of_kind(k) for k in KINDS])
 
 
-def _mentions(text: Column, spans: Column) -> Column:
-    """Spans with the text on either side; a word cut by the window's edge is left out."""
-    size = F.length(text)
+def _pieces(text: Column) -> Column:
+    """The text between emails; no other base span has letters."""
+    return F.when(text.contains("@"), F.split(text, _PATTERNS["email"], -1)).otherwise(F.array(text))
 
-    def around(s: Column) -> Column:
-        left_from = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left = F.substring(text, left_from + 1, s["start"] - left_from)
-        right = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        whole_left = F.when(left_from == 0, left).otherwise(F.regexp_replace(left, r"^\p{L}+", ""))
-        whole_right = F.when(s["end"] + CONTEXT >= size, right).otherwise(F.regexp_replace(right, r"\p{L}+$", ""))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-                        whole_left.alias("left"), whole_right.alias("right"))
 
-    return F.transform(spans, around)
+def _terms(text: Column) -> Column:
+    """Distinct words of a text, in lower case."""
+    words = F.flatten(F.transform(_pieces(text), lambda p: F.split(p, _NOT_WORD, -1)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), F.lower))
 
 
-def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(id).alias("_id"), text_or_empty(text).alias("_text"))
-    rows = rows.select("_id", F.xxhash64("_text").alias("_row"), "_text").withColumn("_base", base_spans(F.col("_text")))
-    return rows.select("_id", "_row", F.monotonically_increasing_id().alias("_uid"),
-                       _mentions(F.col("_text"), F.col("_base")).alias("_base"))
-
+def _places(texts: DataFrame) -> DataFrame:
+    """(_doc, term, start, end) of every word of (_doc, _text), in time linear in the text."""
+    t = F.col("_text")
+    emails = F.when(t.contains("@"), F.regexp_extract_all(t, F.lit(_PATTERNS["email"]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
-def _contexts(base: DataFrame) -> DataFrame:
-    """(_id, _row, _uid, entity, seen, term, start, end): the words beside each mention."""
-    m = base.where(F.size("_base") > 0).select("_id", "_row", "_uid", F.explode("_base").alias("m")).select(
-        "_id", "_row", "_uid", _entity(F.col("m.kind"), F.col("m.value")).alias("entity"),
-        F.xxhash64("m.left", "m.right").alias("seen"), F.concat(
-            matches(F.col("m.left"), _WORD, F.col("m.start") - F.length("m.left")),
-            matches(F.col("m.right"), _WORD, F.col("m.end"))).alias("words"))
-    return (m.select("_id", "_row", "_uid", "entity", "seen", F.explode("words").alias("w"))
-            .select("_id", "_row", "_uid", "entity", "seen", F.lower("w.value").alias("term"), "w.start", "w.end")
-            .where(F.length("term") >= 3))
+    def steps(p: Column) -> Column:  # (code points before the word, word); the last has no word
+        words = F.concat(F.regexp_extract_all(p, F.lit(_WORD), F.lit(0)), F.array(F.lit("")))
+        return F.zip_with(F.split(p, _WORD, -1), words, lambda gap, w: F.struct(F.length(gap).alias("gap"), w.alias("word")))
 
+    def email(e: Column) -> Column:
+        return F.array(F.struct(F.length(e).alias("gap"), F.lit("").alias("word")))
 
-def _term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(FILTER_BUCKETS)).cast("int")
+    none = F.array().cast("array<struct<gap:int,word:string>>")  # behind the last piece
+    all_ = F.flatten(F.zip_with(F.transform(_pieces(t), steps), F.concat(F.transform(emails, email), F.array(none)),
+                                lambda piece, between: F.concat(piece, between)))
+    order = Window.partitionBy("_doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = texts.select("_doc", F.posexplode(all_).alias("pos", "s")).select("_doc", "pos", "s.gap", "s.word")
+    end = F.sum(F.col("gap") + F.length("word")).over(order)
+    return rows.withColumn("_end", end).where("word != ''").select(
+        "_doc", F.lower("word").alias("term"), (F.col("_end") - F.length("word")).cast("int").alias("start"),
+        F.col("_end").cast("int").alias("end"))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, contexts: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the words whose disclosure is at least ``GENERALISE``."""
-    entities = F.array_distinct(F.transform("_base", lambda m: _entity(m["kind"], m["value"])))
-    mentions = base.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    n_all = float(base.count())
-    pairs = contexts.groupBy("entity", "term").agg(
-        F.count_distinct("_uid").alias("n_ct"), F.count_distinct("seen").alias("n_seen")).where(F.col("n_seen") >= SUPPORT)
-    # disclosure >= GENERALISE is n_t <= n_ct (N / n_c) ** (1 - GENERALISE); the documents that have a word
-    # in any context are some of its n_t documents, so words with too many of them need no count
-    beside = contexts.groupBy("term").agg(F.count_distinct("_uid").alias("n_beside"))
-    most = F.col("n_ct") * F.pow(F.lit(n_all) / F.col("n_c"), F.lit(1 - GENERALISE))
-    pairs = written(pairs.join(mentions, "entity").join(beside, "term").where(F.col("n_beside") <= most * (1 + 1e-9)),
-                    "pii-pairs")
-    mark = F.broadcast(pairs.select(_term_bucket(F.col("term")).alias("b")).distinct())  # of bounded size
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.split(text_or_empty(text), _NOT_WORD), F.lower))).alias("term"))
-    counts = (words.withColumn("b", _term_bucket(F.col("term")))
-              .join(mark, "b", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")))
-    pmi = F.log(F.col("n_ct") * F.lit(n_all) / (F.col("n_c") * F.col("n_t")))
-    return (pairs.join(counts, "term").withColumn("disclosure", pmi / F.log(F.lit(n_all) / F.col("n_c")))
-            .where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"))
+def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Base spans of every row, and the text of those that have any."""
+    rows = docs.select(F.col(id).alias("_id"), text_or_empty(text).alias("_text"))
+    rows = rows.select("_id", F.xxhash64("_text").alias("_row"), F.md5(F.col("_text").cast("binary")).alias("_key"), "_text",
+                       base_spans(F.col("_text")).alias("_base"))
+    return rows.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text")))
+
+
+def _term_counts(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """(term, n_t): different texts that hold each word; ``texts`` has the number of rows of each text."""
+    rows = docs.select(text_or_empty(text).alias("_text")).where("_text != ''")
+    copied = texts.where("n > 1").select(F.xxhash64("_key").alias("_h"))
+    # all rows, less the further copies: only texts in a copy's filter bucket are brought together
+    keyed = rows.withColumn("_key", F.md5(F.col("_text").cast("binary"))).withColumn("_bucket", bucket_of(F.xxhash64("_key")))
+    again = (keyed.join(bucket_filter(copied, "_h"), "_bucket", "left_semi").groupBy("_key")
+             .agg(F.first("_text").alias("_text"), F.count("*").alias("n")).where("n > 1"))
+    weighted = rows.select("_text", F.lit(1).cast("long").alias("w")).unionByName(again.select("_text", (1 - F.col("n")).alias("w")))
+    return weighted.select("w", F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.sum("w").alias("n_t"))
+
+
+def _disclosure(n_ct: Column, n_t: Column, n_c: Column, n_all: float) -> Column:
+    p = (n_ct + n_c / F.lit(n_all)) / (n_t + 1)
+    return F.when(n_c < n_all, 1 + F.log(p) / F.log(F.lit(n_all) / F.when(n_c < n_all, n_c))).otherwise(0.0)
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, held: DataFrame, text: str = "text") -> DataFrame:
+    """(_doc, term, disclosure) of the words of each text of ``held`` whose disclosure is at least ``GENERALISE``."""
+    texts = written(base.groupBy("_key").agg(F.count("*").alias("n")), "pii-texts")
+    n_all = float(max(texts.count(), 1))
+    mentions = written(held.select("_doc", F.explode("_entities").alias("entity")), "pii-mentions")
+    # the documents of an entity: their number and a 128-bit hash of the set
+    facts = written(mentions.groupBy("entity").agg(
+        F.count("*").alias("n_c"), F.bit_xor(F.xxhash64("_doc")).alias("a"),
+        F.bit_xor(F.xxhash64("_doc", F.lit(1))).alias("b")), "pii-entities")
+    classes = written(attach(mentions, facts, "entity", "inner").select("_doc", "n_c", "a", "b").distinct(), "pii-classes")
+    # n(c, t) <= n(c), so a word that may reach GENERALISE has n(t) + 1 <= n(c) ** .9 N ** .1 (1 + 1 / N), which grows with n(c)
+    most = lambda n_c: F.pow(n_c, F.lit(GENERALISE)) * n_all ** (1 - GENERALISE) * (1 + 1 / n_all) * (1 + 1e-9)
+    counts = written(_term_counts(docs, texts, text), "pii-words")
+    widest = classes.groupBy("_doc").agg(F.max("n_c").alias("widest"))
+    words = held.join(widest, "_doc").select("_doc", "widest", F.explode(_terms(F.col("_text"))).alias("term"))
+    near = written(attach(words, counts, "term", "inner").where(F.col("n_t") + 1 <= most(F.col("widest")))
+                   .select("_doc", "term", "n_t"), "pii-near")
+    best = _disclosure(F.least("n_c", "n_t"), F.col("n_t"), F.col("n_c"), n_all)
+    pairs = written(near.join(classes, "_doc").where(best >= GENERALISE - 1e-9), "pii-pairs")
+    found = written(pairs.groupBy("a", "b", "n_c", "term", "n_t").agg(F.count("*").alias("n_ct"))
+                    .withColumn("disclosure", _disclosure(F.col("n_ct"), F.col("n_t"), F.col("n_c"), n_all))
+                    .where(F.col("disclosure") >= GENERALISE).select("a", "b", "n_c", "term", "disclosure"), "pii-terms")
+    return pairs.join(found, ["a", "b", "n_c", "term"]).groupBy("_doc", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,16 +195,18 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     Term spans have kind ``generalise`` or ``remove`` and are ordered by start.
     """
     base = written(_rows(docs, id, text), "pii-base")
-    contexts = written(_contexts(base), "pii-contexts")
-    found = written(disclosing_terms(docs, base, contexts, text), "pii-terms")
-    level = F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    terms = (contexts.join(found, ["entity", "term"]).groupBy("_id", "_row", "start", "end").agg(level.alias("kind"))
-             .groupBy("_id", "_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_terms"))
-             .withColumnsRenamed({"_id": "_tid", "_row": "_trow"}))
-    terms = written(terms, "pii-spans")
+    entities = F.array_distinct(F.transform("_base", lambda m: _entity(m["kind"], m["value"])))
+    held = written(base.where("_text is not null").groupBy("_key").agg(F.first("_text").alias("_text"), F.first(entities).alias("_entities"))
+                   .withColumn("_doc", F.monotonically_increasing_id()), "pii-held")
+    found = written(disclosing_terms(docs, base, held, text), "pii-found-terms")
+    places = _places(held.join(found.select("_doc").distinct(), "_doc").select("_doc", "_text"))
+    level = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    marks = places.join(found, ["_doc", "term"]).groupBy("_doc").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", level.alias("kind")))).alias("_terms"))
+    terms = written(marks.join(held.select("_doc", "_key"), "_doc").select("_key", "_terms"), "pii-spans")
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    return base.join(terms, F.col("_id").eqNullSafe(F.col("_tid")) & (F.col("_row") == F.col("_trow")), "left").select(
+    return attach(base.select("_id", "_row", "_key", "_base"), terms, "_key").select(
         F.col("_id").alias(id), "_row",
         F.concat(F.transform("_base", plain), F.transform(F.coalesce("_terms", none), plain)).alias("spans"))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -71,6 +72,44 @@ def test_copies_of_one_passage_are_one_context(make_docs):
     assert all(s[0] == "email" for r in got for s in r["spans"])
 
 
+def test_terms_equal_brute_force_over_whole_documents(make_docs):
+    rng = random.Random(7)
+    words = [f"plain{c}{d}" for c in "abcdefgh" for d in "klmnopqr"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    # far from the mention, twice in a document, seen with the entity in two documents only, and a two-letter word
+    rows = [(i, f"Zanzibari é {say(60)} b\u00f6ss@corp.example,x@y.zz {say(60)} zanzibari \U0001f600 qx.") for i in range(2)]
+    rows += [(10 + i, f"{say(40)} once{'abc'[i]} boss{i}@corp.example, +1 (202) 555-014{i} {say(9)}") for i in range(3)]
+    rows += [(20, "no entity but quokka"), (21, "quokka a@b.cd"), (22, "quokka a@b.cd"), (23, "qx alone")]
+    rows += [(100 + i, f"{say(40)} other") for i in range(2000)]
+    texts = sorted({t for _, t in rows})
+    plain = {t: re.sub(PATTERNS["email"], lambda m: "#" * len(m[0]), t) for t in texts}
+    held = {t: {w.lower() for w in re.findall(r"[^\W\d_]+", plain[t])} for t in texts}
+    ents = {t: {(k, t[a:b].lower() if k == "email" else re.sub("[^0-9]", "", t[a:b])) for k, a, b in _base(t)} for t in texts}
+    n = len(texts)
+
+    def level(t, w):
+        n_t, out = sum(w in held[u] for u in texts), 0.0
+        for c in ents[t]:
+            n_c = sum(c in ents[u] for u in texts)
+            p = (sum(c in ents[u] and w in held[u] for u in texts) + n_c / n) / (n_t + 1)
+            out = max(out, 1 + math.log(p) / math.log(n / n_c))
+        return "remove" if out >= 0.98 else "generalise" if out >= 0.9 else None
+
+    got = {(r["doc_id"], tuple(tuple(s) for s in r["spans"] if s[0] not in PATTERNS)) for r in disclosure.personal_data(make_docs(rows)).collect()}
+    want = set()
+    for i, t in rows:
+        levels = {w: level(t, w) for w in held[t]} if ents[t] else {}
+        want.add((i, tuple((levels[m[0].lower()], *m.span()) for m in re.finditer(r"[^\W\d_]+", plain[t]) if levels.get(m[0].lower()))))
+    assert got == want
+    marked = {rows[0][1][a:b] for i, spans in got if i == 0 for _, a, b in spans}
+    assert {"Zanzibari", "zanzibari"} <= marked
+
+
+def test_entity_of_all_documents_discloses_nothing(make_docs):
+    rows = [(i, f"word{'abcde'[i]} boss@corp.example and some more") for i in range(5)]
+    assert all([s[0] for s in r["spans"]] == ["email"] for r in disclosure.personal_data(make_docs(rows)).collect())
+
+
 def test_empty_table_and_plan_without_python(make_docs):
     assert disclosure.personal_data(make_docs([])).count() == 0
     plan = disclosure.personal_data(make_docs(EDGE))._jdf.queryExecution().toString()
