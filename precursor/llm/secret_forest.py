@@ -1,6 +1,8 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of at least MIN_LENGTH key characters.  Each gets features of its length and
+Candidates are runs of at least MIN_LENGTH key characters, keys in a public issuer's format, and, at any
+length and of any characters, values assigned to a secret's name (in quotes, or up to white space
+without closing marks).  Spans that differ are reported each.  Each candidate gets features of its length and
 character classes, its character transitions (mean log-probability under the corpus's transitions),
 its dictionary coverage (share of it made of frequent corpus words), its path (the document's source,
 hashed) and its neighbouring words (hashed, with assignment and quote marks).  A random forest trained
@@ -12,7 +14,7 @@ indexed by hash; a word is frequent if its entry holds at least FREQUENT of all
 
 Labelled findings: any table with the features and a 0/1 label can be given; by default findings are
 labelled where a public issuer format or an assignment to a secret's name tells a secret, or plain
-words or digits tell none, and the rest is left unlabelled.  Training takes the SAMPLE findings per
+words or digits without such a name tell none, and the rest is left unlabelled.  Training takes the SAMPLE findings per
 label with the smallest hash.
 
 Defined results: null and empty texts have no candidate; rows that agree in all columns are reported
@@ -50,7 +52,10 @@ PATH_BUCKETS, NEAR_BUCKETS = 8, 24
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{%d,}={0,2}" % MIN_LENGTH)
 # Public formats of issued keys, and names that a secret is assigned to (fixed values).
 _ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{20,}")
-_ASSIGNED = re.compile(r"(?:password|passwd|pwd|secret|token|api_?key|access_?key)[\"']?\s*(?:=|:|:=)\s*[\"']?$", re.I)
+_ISSUED_KEY = re.compile(rf"(?<![A-Za-z0-9])(?:{_ISSUED.pattern})(?![A-Za-z0-9])")
+_TO_NAME = r"(?:password|passwd|pwd|secret|token|api_?key|access_?key)[\"']?\s*(?::=|=|:)\s*"
+_ASSIGNED = re.compile(_TO_NAME + r"[\"']?$", re.I)
+_VALUE = re.compile(_TO_NAME + r"""(?:""|''|"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|["']?(\S*[^\s,;.)\]}>"']))""", re.I)
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _SYMBOLS = 38  # 26 letters, 10 digits, other, edge
 _CODE = np.full(256, 36, dtype=np.int64)
@@ -126,8 +131,8 @@ def features(value: str, before: str, after: str, path: str, stats: CorpusStatis
     share = np.bincount(raw, minlength=256)
     p = share[share > 0] / len(raw)
     out = [len(raw), digit.mean(), upper.mean(), other.mean(), float(np.isin(raw, list(b"0123456789abcdef")).mean()),
-           float(-(p * np.log2(p)).sum()), float((kind[1:] != kind[:-1]).mean()),
-           float(stats.transitions[code[:-1], code[1:]].mean()), coverage(value, stats.frequent),
+           float(-(p * np.log2(p)).sum()), float((kind[1:] != kind[:-1]).sum() / max(len(raw) - 1, 1)),
+           float(stats.transitions[code[:-1], code[1:]].sum() / max(len(raw) - 1, 1)), coverage(value, stats.frequent),
            float(before.rstrip(" \"'").endswith(("=", ":"))), float(before.endswith(("\"", "'")))]
     paths, near = [0.0] * PATH_BUCKETS, [0.0] * NEAR_BUCKETS
     for w in re.findall(r"[A-Za-z]+|[0-9]+", path.lower()):
@@ -140,11 +145,22 @@ def features(value: str, before: str, after: str, path: str, stats: CorpusStatis
 def weak_label(value: str, before: str, covered: float) -> int | None:
     """1 or 0 where a public format or plain content tells, else None."""
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    if _ISSUED.fullmatch(value) or (mixed and _ASSIGNED.search(before)):
+    assigned = _ASSIGNED.search(before)
+    if _ISSUED.fullmatch(value) or (mixed and assigned):
         return 1
+    if assigned:  # a plain word or number can be a password
+        return None
     return 0 if not mixed or covered >= 0.8 else None
 
 
+def candidate_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of every candidate, each once."""
+    found = {m.span() for r in (_CANDIDATE, _ISSUED_KEY) for m in r.finditer(text)}
+    if "=" in text or ":" in text:
+        found.update(m.span(m.lastindex) for m in _VALUE.finditer(text) if m.lastindex)
+    return sorted(found)
+
+
 FINDINGS = "_id long, start long, end long, length long, value_sha256 string, features array<double>, label int"
 _NEAR = 40
 _COVERED = 8  # where features() has the coverage
@@ -161,10 +177,10 @@ def _find(batches: Iterator[pa.RecordBatch], stats: CorpusStatistics) -> Iterato
     rows: list[tuple] = []
     for b in slices(batches):
         for id, text, path in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "_path")), strict=True):
-            for m in _CANDIDATE.finditer(text):
-                before, after, value = text[max(0, m.start() - _NEAR):m.start()], text[m.end():m.end() + _NEAR], m[0]
+            for start, end in candidate_spans(text):
+                before, after, value = text[max(0, start - _NEAR):start], text[end:end + _NEAR], text[start:end]
                 f = features(value, before, after, path, stats)
-                rows.append((id, m.start(), m.end(), len(value), hashlib.sha256(value.encode()).hexdigest(), f,
+                rows.append((id, start, end, len(value), hashlib.sha256(value.encode()).hexdigest(), f,
                              weak_label(value, before, f[_COVERED])))
                 if len(rows) >= 5000:
                     yield batch(rows)
