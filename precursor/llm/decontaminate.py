@@ -7,7 +7,8 @@ window, and even a short item has a fair Jaccard similarity to it, however long
 MinHash values of blocks of shingles are combined to those of the windows of all classes.  The number
 of hash functions follows from the least similarity that the containment threshold implies for the
 class and the target recall; a window and an item that share the minimum of one function are
-candidates, verified by the exact containment of the item's shingles in the whole document.
+candidates.  Items of at most ``SHORT`` shingles, too small for the least class, are candidates of every
+document that holds one of their shingles (an exact lookup).  All candidates are verified by the exact containment of the item's shingles in the whole document.
 
 Items are taken in blocks of bounded size: each block is sent to the tasks and all documents are read
 against it, so nothing is shuffled and no document is split from its text.
@@ -35,6 +36,8 @@ THRESHOLD, RECALL = 0.8, 0.9999
 BLOCK_SHINGLES = 1 << 18
 #: Shingles in the smallest block of a document that gets MinHash values of its own.
 UNIT = 8
+#: Items up to this size (half the smallest class) are looked up exactly.
+SHORT = UNIT // 2
 
 
 def functions_for(threshold: float, recall: float) -> int:
@@ -51,22 +54,43 @@ class ItemBlock:
     sets: list[np.ndarray]
     classes: dict[int, np.ndarray]       # class -> positions of its items
     minima: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # class -> per function (sorted values, item positions)
+    short: tuple[np.ndarray, np.ndarray]  # (sorted shingles, item positions) of the items without a class
 
     @staticmethod
     def of(items: list[tuple[int | None, np.ndarray]], a: np.ndarray, b: np.ndarray) -> "ItemBlock":
         sets = [s for _, s in items]
         cls = np.array([max(UNIT, 1 << (len(s) - 1).bit_length()) for s in sets], dtype=np.int64)
-        classes = {int(c): np.flatnonzero(cls == c) for c in np.unique(cls)}
+        size = np.array([len(s) for s in sets])
+        classes = {int(c): np.flatnonzero((cls == c) & (size > SHORT)) for c in np.unique(cls[size > SHORT])}
+        few = np.flatnonzero(size <= SHORT)
+        values = np.concatenate([np.empty(0, dtype=np.uint64), *(sets[i] for i in few)])
+        by_value = np.argsort(values, kind="stable")
+        short = values[by_value], np.repeat(few, size[few])[by_value]
         minima = {}
         for c, at in classes.items():
             sig = np.array([[(sets[i] * x + y).min() for x, y in zip(a, b, strict=True)] for i in at], dtype=np.uint64)
             order = np.argsort(sig, axis=0, kind="stable")
             minima[c] = [(sig[order[:, f], f], at[order[:, f]]) for f in range(len(a))]
-        return ItemBlock([i for i, _ in items], sets, classes, minima)
+        return ItemBlock([i for i, _ in items], sets, classes, minima, short)
+
+
+def _short_candidates(block: ItemBlock, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(document, item position) pairs that share a shingle, for the items without a class."""
+    values, items = block.short
+    lo = np.searchsorted(values, h)
+    at = np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == h) if len(values) else np.empty(0, dtype=np.int64)
+    docs = np.searchsorted(bounds, at, "right") - 1
+    hits = np.unique(np.stack([docs, lo[at]], axis=1), axis=0)  # a shingle counts once in a document
+    n = np.searchsorted(values, values[hits[:, 1]], "right") - hits[:, 1]
+    each = np.arange(n.sum()) + np.repeat(hits[:, 1] - (np.cumsum(n) - n), n)
+    return np.stack([np.repeat(hits[:, 0], n), items[each]], axis=1)
 
 
 def _candidates(block: ItemBlock, h: np.ndarray, bounds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(document, item position) pairs that share a MinHash value, for documents with shingles h[bounds]."""
+    """(document, item position) pairs to verify, for documents with shingles h[bounds]."""
+    found = [_short_candidates(block, h, bounds)]
+    if not block.classes:
+        return np.unique(found[0], axis=0)
     widest = max(block.classes)
     n = np.diff(bounds)
     padded = -(-n // widest) * widest  # every document fills whole blocks of the widest class
@@ -78,7 +102,6 @@ def _candidates(block: ItemBlock, h: np.ndarray, bounds: np.ndarray, a: np.ndarr
     owner = np.repeat(np.arange(len(n)), padded // UNIT)
     docs = {c: owner[::c // UNIT] for c in block.classes}
     ends = {c: np.flatnonzero(np.append(d[1:] != d[:-1], True)) for c, d in docs.items()}
-    found: list[np.ndarray] = []
     for f in range(len(a)):
         v = units * a[f] + b[f]
         level, size = v[0], UNIT
@@ -95,7 +118,7 @@ def _candidates(block: ItemBlock, h: np.ndarray, bounds: np.ndarray, a: np.ndarr
             for w in np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == window):
                 hits = items[lo[w]:np.searchsorted(values, window[w], "right")]
                 found.append(np.stack([np.full(len(hits), docs[c][w]), hits], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def contained(block: ItemBlock, texts: list[str | None], a: np.ndarray, b: np.ndarray,

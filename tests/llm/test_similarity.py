@@ -164,3 +164,18 @@ def test_containment_edge_rows(spark, make_docs):
     assert decontaminate.find_contained(make_docs(rows), none).count() == 0
     assert decontaminate.drop_contaminated(make_docs(rows), none).count() == len(rows)
     assert decontaminate.find_contained(make_docs([]), bench).count() == 0
+
+
+@pytest.mark.parametrize("longer", [0, 3])
+def test_short_items_are_never_missed(spark, make_docs, longer):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(say(5 + i % 4))) for i in range(600)] + [(1000, items_twice := " ".join(say(5))), (1001, items_twice)]
+    items += [(2000 + i, " ".join(say(40))) for i in range(longer)]
+    docs = [(d, " ".join([*say(200), item, *say(200), item])) for d, (_, item) in enumerate(items)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_contained(make_docs(docs), bench).collect()
+    rows = [(r["doc_id"], r["item_id"], r["shared_shingles"], r["item_shingles"]) for r in got]
+    want = [(d, i, n, n) for d, (j, t) in enumerate(items) for i, u in items if t == u for n in [len(_set(t))]]
+    assert sorted(rows) == sorted(want)
