@@ -6,7 +6,7 @@ the native schema are selected, so Catalyst prunes everything else at the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INTERVAL_COLUMNS = ["job_id", "event_id", "from_time", "to_time", "origin", "interval", "interval_json"]
@@ -31,8 +31,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def content_id() -> Column:
-    """An ``event_id`` made from a row's content, the same for any file layout; equal rows share it."""
-    return F.xxhash64(*[c for c in INTERVAL_COLUMNS if c != "event_id"])
+    """An ``event_id`` made from a row's content and, for repeats, its number among equal rows; the same for any file layout."""
+    content = [c for c in INTERVAL_COLUMNS if c != "event_id"]
+    same = F.xxhash64(*content)
+    n = F.row_number().over(Window.partitionBy(same).orderBy(*content))  # only repeats share a group
+    return F.when(n == 1, same).otherwise(F.xxhash64(same, n))
 
 
 def read_intervals(spark: SparkSession, source) -> DataFrame:

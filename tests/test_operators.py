@@ -188,3 +188,13 @@ def test_long_common_sequences_take_few_levels(spark, monkeypatch):
     got = MN.topk_closed(seq_df(spark, seqs), 25).collect()
     assert [(r["pattern"], r["freq"], r["rank"]) for r in got] == [(seqs["0"], 20, 1)]
     assert len(levels) <= 2 * 4  # two in each round of the threshold (20, 10, 5, 2)
+
+
+def test_repeated_intervals_without_an_id_get_ids_of_their_own(spark):
+    from precursor.sources.intervals import read_intervals
+
+    rows = [("j", i // 4, i // 4 + 1, "o", None, '{"k": "v"}') for i in range(12)] + [("j", 0, 1, "o", '{"k": "v"}', None)]
+    cols = "job_id string, from_time int, to_time int, origin string, interval string, interval_json string"
+    ids = [sorted(r["event_id"] for r in read_intervals(spark, spark.createDataFrame(rows, cols).repartition(n)).collect()) for n in (1, 5)]
+    assert len(set(ids[0])) == len(rows)
+    assert ids[0] == ids[1]
