@@ -48,12 +48,16 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def stored(df: DataFrame, name: str, **options: str) -> str:
+    """Path of ``df`` written as Parquet to the cluster's shared checkpoint folder."""
+    path = f"{scratch_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return path
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet to the cluster's shared checkpoint folder and read back (cuts the lineage)."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name, **options))
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precursor.llm import (chosen_path, decontaminate, disclosure, exact_dedup, hilbert_shards, one_permutation, prefix_parsing,
-                           secret_forest, ss_packing, warc_salvage, zstd_langid)
+from precursor.llm import (chosen_path, conversation_repair, decontaminate, disclosure, exact_dedup, hilbert_shards, one_permutation, prefix_parsing,
+                           secret_forest, ss_packing, warc_salvage, whitening, zstd_langid)
 from precursor.llm.common import importable
 
 
@@ -80,6 +80,15 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dawg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.rows_of(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.report(conversation_repair.damaged(rows))
+
+
 def op13_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = one_permutation.fingerprints(_table(spark, sf_dir, "documents"))
     return found.withColumns({c: one_permutation.as_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
@@ -89,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_hilbert_shards, op2_prefix_free_parsing, op3_zstd_language, op4_progressive_dedup,
         op5_disclosure, op6_sum_of_squares_packing, op7_chosen_path_join, op8_containment_search, op9_warc_salvage, op10_secret_forest,
-        op13_one_permutation)}
+        op11_block_whitening, op12_suffix_dawg, op13_one_permutation)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_progressive_dedup": r"""
