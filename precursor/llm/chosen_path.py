@@ -6,8 +6,8 @@
    sets go to one child per sampled coordinate and value.  A child of at most ``LEAF`` sets is a
    bucket to brute-force; larger ones are split again, down to ``DEPTH`` levels, where they are cut into
    pairs of blocks.  Equal buckets of several runs are compared once.
-3. Buckets are compared on the MinHash values with a slack threshold; the links found connect sets to
-   candidate groups.
+3. Buckets are compared on the low bytes of the MinHash values with a slack threshold; the links found
+   connect sets to candidate groups.
 4. Within a candidate group all pairs are verified on the exact shingle sets, in blocks of bounded
    size: links are counted in the task (no pair is emitted) and a spanning forest of the links goes on.
 5. The forests are joined to classes.
@@ -45,7 +45,7 @@ RECALL = 0.995
 #: Share of equal MinHash values that makes a candidate: four standard deviations under the threshold.
 SLACK = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
 #: Sets, and bytes of sets, per block of the exact verification.
-BLOCK, BLOCK_BYTES = 2048, 8 << 20
+BLOCK, BLOCK_BYTES = 4096, 24 << 20
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -102,21 +102,17 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(n, pa.int32()), pa.array(sigs, pa.binary())], names=["_id", "_row", "_key", "_n", "_sig"])
 
 
-def _exact_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with their texts replaced by sorted shingle hashes."""
-    for batch in slices(batches):
-        texts = batch.column("_text").to_pylist()
-        rest = [n for n in batch.schema.names if n != "_text"]
-        for lo, hi in text_blocks(texts):
-            h, bounds = shingles_of(texts[lo:hi])
-            sets = [np.unique(h[bounds[d]:bounds[d + 1]]).tobytes() for d in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n)[lo:hi] for n in rest), pa.array(sets, pa.binary())],
-                                             names=[*rest, "_set"])
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_no, _low): the low byte of every MinHash value, which is what buckets compare."""
+    for b in batches:
+        sig = np.frombuffer(b"".join(b.column("_sig").to_pylist()), dtype="<u4").reshape(-1, COORDINATES)
+        low = sig.astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([b.column("_no"), pa.array([r.tobytes() for r in low], pa.binary())], names=["_no", "_low"])
 
 
 # ---------------------------------------------------------------------------- paths
 def _paths(batches: Iterator[pa.RecordBatch], threshold: float, runs: int) -> Iterator[pa.RecordBatch]:
-    """(path, key): rows with a path go to its children, rows without one to the children of every run's root."""
+    """(path, set): rows with a path go to its children, rows without one to the children of every run's root."""
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column("_sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
         if "_path" in batch.schema.names:
@@ -127,7 +123,7 @@ def _paths(batches: Iterator[pa.RecordBatch], threshold: float, runs: int) -> It
             row = np.repeat(np.arange(len(sig)), runs)
             at, path = _children(np.tile(roots, len(sig)), sig[row], threshold)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(path.view(np.int64)), batch.column("_key").take(pa.array(row[at]))], names=["_path", "_key"])
+            [pa.array(path.view(np.int64)), batch.column("_no").take(pa.array(row[at]))], names=["_path", "_no"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[list[dict]]:
@@ -153,20 +149,23 @@ def forest(similar: Callable[[int, np.ndarray], np.ndarray], n: int) -> np.ndarr
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) that connect the sets of each bucket whose MinHash values agree enough."""
+    """Links (a, b) that connect the sets of each bucket whose MinHash values agree enough.
+
+    Values are compared by their low byte; unequal ones that agree by chance only add candidates.
+    """
     need = math.ceil(SLACK * COORDINATES)
     a, b = [], []
     for rows in _groups(batches, ["_path"]):
-        sig = np.frombuffer(b"".join(r["_sig"] for r in rows), dtype=np.uint32).reshape(-1, COORDINATES)
-        root = forest(lambda i, others, sig=sig: (sig[others] == sig[i]).sum(axis=1) >= need, len(rows))
+        low = np.frombuffer(b"".join(r["_low"] for r in rows), dtype=np.uint8).reshape(-1, COORDINATES)
+        root = forest(lambda i, others, low=low: (low[others] == low[i]).sum(axis=1) >= need, len(rows))
         for i in np.flatnonzero(root != np.arange(len(rows))):
-            a.append(rows[i]["_key"])
-            b.append(rows[root[i]]["_key"])
+            a.append(rows[i]["_no"])
+            b.append(rows[root[i]]["_no"])
         if len(a) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             a, b = [], []
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -176,34 +175,32 @@ def _likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def _candidate_links(sets: DataFrame, threshold: float, runs: int, depth: int, leaf: int) -> DataFrame:
-    rows = sets.select("_key", "_sig").mapInArrow(lambda it: trimmed(_paths(it, threshold, runs)), "_path long, _key binary")
+    rows = sets.select("_no", "_sig").mapInArrow(lambda it: trimmed(_paths(it, threshold, runs)), "_path long, _no long")
     found = []
     for level in range(1, depth + 1):
-        marks = [F.bit_xor(F.xxhash64("_key", F.lit(i))).alias(f"_x{i}") for i in (1, 2)]
-        buckets = written(rows.groupBy("_path").agg(F.count("*").alias("_n"), *marks).where("_n > 1")
-                          .groupBy("_n", "_x1", "_x2").agg(F.min("_path").alias("_path")), "cpj-buckets")
-        small = buckets.where(F.col("_n") <= leaf).select("_path")
-        found.append(_likely(rows, small, "_path").join(small, "_path", "left_semi"))
-        large = buckets.where(F.col("_n") > leaf)
-        if large.isEmpty():
+        # of equal buckets (same size and same mark of their members) one stays
+        buckets = written(rows.groupBy("_path").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_no")).alias("_mark"))
+                          .where("_n > 1").groupBy("_n", "_mark").agg(F.min("_path").alias("_path")), "cpj-buckets")
+        inside = written(_likely(rows, buckets, "_path").join(buckets.select("_path", "_n"), "_path"), "cpj-inside")
+        found.append(inside.where(F.col("_n") <= leaf).select("_path", "_no"))
+        inside = inside.where(F.col("_n") > leaf)
+        if inside.isEmpty():
             break
-        inside = _likely(rows, large, "_path").join(large.select("_path", "_n"), "_path")
         if level < depth:
-            inside = written(inside, "cpj-inside")
-            inside = inside.join(_likely(sets, inside, "_key").select("_key", "_sig"), "_key")
-            rows = written(inside.select("_path", "_key", "_sig").mapInArrow(
-                lambda it: trimmed(_paths(it, threshold, runs)), "_path long, _key binary"), "cpj-paths")
+            inside = inside.join(_likely(sets, inside, "_no").select("_no", "_sig"), "_no")
+            rows = written(inside.select("_path", "_no", "_sig").mapInArrow(
+                lambda it: trimmed(_paths(it, threshold, runs)), "_path long, _no long"), "cpj-paths")
         else:  # still large: every pair of blocks of half a leaf is a bucket
             blocks = F.ceil(2 * F.col("_n") / leaf).cast("int")
-            own = F.pmod(F.xxhash64("_key"), blocks).cast("int")
-            inside = inside.select("_path", "_key", own.alias("_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
-            found.append(inside.select(F.xxhash64("_path", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("_path"), "_key"))
+            own = F.pmod(F.xxhash64("_no"), blocks).cast("int")
+            inside = inside.select("_path", "_no", own.alias("_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
+            found.append(inside.select(F.xxhash64("_path", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("_path"), "_no"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    members = written(out, "cpj-members")
-    return (members.join(_likely(sets, members, "_key").select("_key", "_sig"), "_key")
-            .repartition("_path").sortWithinPartitions("_path", "_key").mapInArrow(lambda it: trimmed(_bucket_links(it)), "a binary, b binary"))
+    low = _likely(sets, out, "_no").select("_no", "_sig").mapInArrow(lambda it: trimmed(_low_bytes(it)), "_no long, _low binary")
+    return (out.join(low, "_no").repartition("_path").sortWithinPartitions("_path", "_no")
+            .mapInArrow(lambda it: trimmed(_bucket_links(it)), "a long, b long"))
 
 
 # ---------------------------------------------------------------------------- exact verification
@@ -231,17 +228,26 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 2048) -> np.
     return out.astype(np.int64)
 
 
-_VERIFIED = "_root binary, _key binary, _links long, _first binary, _alone boolean"
+_VERIFIED = "_root long, _no long, _links long, _first long, _alone boolean"
+
+
+def _sets_of(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of texts."""
+    out: list[np.ndarray] = []
+    for lo, hi in text_blocks(texts):
+        h, bounds = shingles_of(texts[lo:hi])
+        out += [np.unique(h[bounds[d]:bounds[d + 1]]) for d in range(hi - lo)]
+    return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Per set and block pair: documents linked to it there, and the first set of its connected group there."""
     names = [f.split()[0] for f in _VERIFIED.split(", ")]
-    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.bool_()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     out: list[list] = [[] for _ in names]
-    for rows in _groups(batches, ["_root", "_b1", "_b2"]):
-        rows = [r for i, r in enumerate(rows) if not i or r["_key"] != rows[i - 1]["_key"]]  # repeated rows: once
-        sets = [np.frombuffer(r["_set"], dtype=np.uint64) for r in rows]
+    for rows in _groups((s for b in batches for s in slices([b], 200)), ["_root", "_b1", "_b2"]):
+        rows = [r for i, r in enumerate(rows) if not i or r["_no"] != rows[i - 1]["_no"]]  # repeated rows: once
+        sets = _sets_of([r.pop("_text") for r in rows])
         size = np.array([len(s) for s in sets])
         # pairs of two blocks, or pairs inside one
         pair = rows[0]["_b1"] != rows[0]["_b2"]
@@ -256,7 +262,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         root = forest(lambda i, others, linked=linked: linked[i, others], len(rows))
         links = linked @ np.array([r["_members"] for r in rows], dtype=np.int64)
         for i, r in enumerate(rows):
-            for c, v in zip(out, (r["_root"], r["_key"], int(links[i]), rows[root[i]]["_key"], r["_blocks"] == 1), strict=True):
+            for c, v in zip(out, (r["_root"], r["_no"], int(links[i]), rows[root[i]]["_no"], r["_blocks"] == 1), strict=True):
                 c.append(v)
         if len(out[0]) >= 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
@@ -266,35 +272,36 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def _exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(_key, _class, _links) of every set in a candidate group, verified on the exact sets."""
-    members = written(groups.select(F.col("node").alias("_key"), F.col("root").alias("_root")).join(
-        sets.select("_key", "_members", "_n", "_pick"), "_key"), "cpj-wanted")
+    """(_no, _class, _links) of every set in a candidate group, verified on the exact sets.
+
+    Texts go to their blocks, which are smaller than sets; the sets are made there.
+    """
+    members = written(groups.select(F.col("node").alias("_no"), F.col("root").alias("_root")).join(
+        sets.select("_no", "_members", "_n", "_pick"), "_no"), "cpj-members")
     size = members.groupBy("_root").agg(F.ceil(F.greatest(
         F.count("*") / block, F.sum(F.col("_n").cast("long")) * 8 / BLOCK_BYTES)).cast("int").alias("_blocks"))
     wanted = written(members.join(written(size, "cpj-sizes"), "_root").select(
-        "_key", "_root", "_members", "_blocks", F.col("_pick._id").alias("_want"), F.col("_pick._row").alias("_want_row"),
+        "_no", "_root", "_members", "_blocks", F.col("_pick._id").alias("_want"), F.col("_pick._row").alias("_want_row"),
         F.xxhash64("_pick._id", "_pick._row").alias("_h")), "cpj-wanted")
     # one document of each wanted set is read again; a filter of bounded size finds most of them on the scan
     texts = docs.withColumn("_bucket", bucket_of(F.xxhash64("_id", "_row"))).join(bucket_filter(wanted, "_h"), "_bucket", "left_semi")
-    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_want")) & (F.col("_row") == F.col("_want_row")))
-    full = found.select("_key", "_root", "_members", "_blocks", "_text").mapInArrow(
-        lambda it: trimmed(_exact_sets(it)), "_key binary, _root binary, _members long, _blocks int, _set binary")
-    own = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
-    blocks = full.select("_root", "_key", "_members", "_set", "_blocks", own.alias("_b"),
+    full = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_want")) & (F.col("_row") == F.col("_want_row")))
+    own = F.pmod(F.xxhash64("_no"), F.col("_blocks")).cast("int")
+    blocks = full.select("_root", "_no", "_members", "_text", "_blocks", own.alias("_b"),
                          F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_o"))
-    blocks = blocks.select("_root", "_key", "_members", "_set", "_blocks", "_b",
+    blocks = blocks.select("_root", "_no", "_members", "_text", "_blocks", "_b",
                            F.least("_b", "_o").alias("_b1"), F.greatest("_b", "_o").alias("_b2"))
     by = ["_root", "_b1", "_b2"]
-    found = written(blocks.repartition(*by).sortWithinPartitions(*by, "_key").mapInArrow(
+    found = written(blocks.repartition(*by).sortWithinPartitions(*by, "_no").mapInArrow(
         lambda it: trimmed(_verify(it, threshold)), _VERIFIED), "cpj-verified")
-    done = found.where("_alone").select("_key", F.col("_first").alias("_class"), "_links")
+    done = found.where("_alone").select("_no", F.col("_first").alias("_class"), "_links")
     parts = found.where("not _alone")
     if parts.isEmpty():
         return done
-    joined = components(parts.select(F.col("_key").alias("a"), F.col("_first").alias("b")))
-    links = parts.groupBy("_key").agg(F.sum("_links").alias("_links"))
-    return done.unionByName(links.join(joined.select(F.col("node").alias("_key"), F.col("root").alias("_class")), "_key")
-                            .select("_key", "_class", "_links"))
+    joined = components(parts.select(F.col("_no").alias("a"), F.col("_first").alias("b")))
+    links = parts.groupBy("_no").agg(F.sum("_links").alias("_links"))
+    return done.unionByName(links.join(joined.select(F.col("node").alias("_no"), F.col("root").alias("_class")), "_no")
+                            .select("_no", "_class", "_links"))
 
 
 def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH,
@@ -309,12 +316,13 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int
     some = rows.where("_key is not null")
     sets = written(some.groupBy("_key").agg(F.count("*").alias("_members"), F.min("_id").alias("_min"),
                                             F.min(F.struct("_id", "_row")).alias("_pick"),
-                                            F.any_value("_n").alias("_n"), F.any_value("_sig").alias("_sig")), "cpj-sets")
+                                            F.any_value("_n").alias("_n"), F.any_value("_sig").alias("_sig"))
+                   .withColumn("_no", F.monotonically_increasing_id()), "cpj-sets")  # the set's number from here on
     groups = written(components(_candidate_links(sets, threshold, runs, depth, leaf)), "cpj-groups")
     exact = written(_exact_links(docs, sets, groups, threshold, block), "cpj-exact")
-    info = sets.select("_key", "_members", "_min").join(exact, "_key", "left").withColumn(
-        "_class", F.coalesce("_class", "_key"))
-    classes = written(exact.join(sets.select("_key", "_members", "_min"), "_key").groupBy("_class").agg(
+    info = sets.select("_no", "_key", "_members", "_min").join(exact, "_no", "left").withColumn(
+        "_class", F.coalesce("_class", "_no"))
+    classes = written(exact.join(sets.select("_no", "_members", "_min"), "_no").groupBy("_class").agg(
         F.min("_min").alias("_class_id"), F.sum("_members").alias("_class_size")), "cpj-classes")
     info = written(info.join(classes, "_class", "left").select(
         "_key", F.coalesce("_class_id", "_min").alias("class_id"),
