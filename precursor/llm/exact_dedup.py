@@ -82,13 +82,21 @@ def dedup_report(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
 
 def dedup_filter(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns (whatever their names)."""
-    rows = docs.select(F.struct("*").alias("_doc"), F.col(id).alias("_id"), F.col(text).alias("_text"))
-    hashed = _full_hash(rows, "_text").select("_doc", "_id", "_full")
-    groups = written(_groups(hashed.select("_id", "_full"), "_id")
-                     .select("_full", F.col("_first._id").alias("_keep"), F.lit(True).alias("_many")), "exact-groups")
-    alone = hashed.where(F.col("_full").isNull()).select("_doc.*")
-    some = hashed.where(F.col("_full").isNotNull()).join(groups, "_full", "left")
-    single = some.where(F.col("_many").isNull()).select("_doc.*")
-    first = some.where(F.col("_many") & F.col("_keep").eqNullSafe(F.col("_id")))
-    return alone.unionByName(single).unionByName(first.dropDuplicates(["_full"]).select("_doc.*"))
+    """The rows of ``docs`` that stay, with all their columns (whatever their names).
+
+    Texts are normalised for the keys and for the full hashes; what goes is decided on narrow rows (id,
+    hash of the text as it is, full hash) and taken out of the documents by one anti-join.
+    """
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    hashed = written(_full_hash(rows, "_text").where(F.col("_full").isNotNull())
+                     .select("_id", "_full", F.xxhash64("_text").alias("_row")), "exact-hashed")
+    groups = _groups(hashed, "_id", "_row").select("_full", F.col("_first._id").alias("_keep"), F.col("_first._row").alias("_keep_row"))
+    members = written(hashed.join(groups, "_full"), "exact-members")  # rows with equals only
+    stays = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_row") == F.col("_keep_row"))
+    gone = written(members.where(~stays).select("_id", "_row").distinct(), "exact-gone")
+    out = docs.select(F.struct("*").alias("_doc"), F.col(id).alias("_doc_id"), F.xxhash64(text).alias("_text_hash"))
+    out = out.join(gone, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_row")), "left_anti")
+    again = members.where(stays).groupBy("_full").count().where("count > 1")
+    if not again.isEmpty():  # rows that repeat both id and text
+        out = out.dropDuplicates(["_doc_id", "_text_hash"])
+    return out.select("_doc.*")
