@@ -4,8 +4,8 @@ Writer: one gzip member per record, members appended to archives of bounded size
 equal payloads the one with the largest page_id is a ``response``, the others are ``revisit``
 records that refer to it and hold no payload.
 
-Reader: every member is checked (gzip CRC, WARC version line, Content-Length, block digest).  After a
-failed check the reader searches for the next valid member (or, in plain archives, the next version
+Reader: every member is checked (gzip CRC, WARC version line, header lines, lengths of at most 18
+digits, block digest).  After a failed check the reader searches for the next valid member (or, in plain archives, the next version
 line that starts a valid record), goes on from there and logs the skipped bytes as a gap.
 
 Defined results: a null html is an empty payload; of rows that agree in page_id and payload each one
@@ -32,6 +32,12 @@ from precursor.llm.common import text_or_empty, written
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_BLANK_LINE = b"\r\n\r\n"
+_MARKS = {"member": _MEMBER, "blank": _BLANK_LINE, "zero": b"\0"}
+#: Compressed bytes before the first inflated one at most (a false start may look like an endless file name).
+GZIP_HEADER = 1 << 12
+#: Bytes of a record's version line and headers at most (longer ones count as damaged).
+MAX_HEADERS = 1 << 24
 #: Target size of one archive, before compression of the last record.
 ARCHIVE_BYTES = 8 << 20
 #: Compressed bytes read at a time.
@@ -90,82 +96,138 @@ class _Failure(Exception):
     reason: str
 
 
+def number(text: str) -> int | None:
+    """A non-negative decimal number of at most 18 digits, else None."""
+    return int(text) if text.isascii() and text.isdigit() and len(text) <= 18 else None
+
+
+def parse_headers(data: bytes | bytearray, at: int, end: int) -> dict[str, str]:
+    """Headers of a record that starts at ``at`` and whose blank line is at ``end``; fails at the first bad line."""
+    headers: dict[str, str] = {}
+    lo = data.find(b"\r\n", at, end) + 2
+    while 1 < lo < end:
+        hi = data.find(b"\r\n", lo, end)
+        hi = end if hi < 0 else hi
+        k, colon, v = bytes(data[lo:hi]).partition(b":")
+        if not colon:
+            raise _Failure("header")
+        name = k.decode("latin-1").lower()
+        if name in headers and name != "warc-concurrent-to":  # two records run into each other
+            raise _Failure("repeated header")
+        headers[name] = v.strip().decode("utf-8", "replace")
+        lo = hi + 2
+    if number(headers.get("content-length", "")) is None:
+        raise _Failure("content length")
+    if number(headers.get("x-payload-length", "0")) is None:
+        raise _Failure("payload length")
+    return headers
+
+
+def checked(headers: dict[str, str], block: bytes) -> bytes:
+    told = headers.get("warc-block-digest")
+    if told and told != f"sha1:{payload_digest(block)}":
+        raise _Failure("block digest")
+    return block
+
+
 @dataclass
 class Salvage:
-    """Reads one archive; ``records`` yields valid records, ``gaps`` fills as bytes are skipped."""
+    """Reads one archive; ``records`` yields valid records, ``gaps`` fills as bytes are skipped.
+
+    The next member mark, version line and blank line are searched once each, not at every failure,
+    and a member is given up at its first bytes that are not a version line, so that false starts
+    cost no more than their own length.  A member is inflated as far as its headers declare.
+    """
 
     data: bytes
     gaps: list[Gap] = field(default_factory=list)
+    _seen: dict[str, int] = field(default_factory=dict)
 
     def records(self) -> Iterator[Record]:
         data, at, bad_from, reason = self.data, 0, None, ""
         while at < len(data):
             try:
-                record, end = self._member(at) if data.startswith(_MEMBER, at) else self._plain(data, at)
+                record, end = self._member(at) if data.startswith(_MEMBER, at) else self._plain(at)
             except _Failure as e:
                 if bad_from is None:
                     bad_from, reason = at, e.reason
-                at = self._next(at + 1)
+                at = min(self._next("member", at + 1), self._next("line", at + 1))
                 continue
             if bad_from is not None:
                 self.gaps.append(Gap(bad_from, at - bad_from, reason))
                 bad_from = None
-            record.offset = at
             yield record
             at = end
         if bad_from is not None:
             self.gaps.append(Gap(bad_from, len(data) - bad_from, reason))
 
-    def _next(self, at: int) -> int:
-        """The next place where a member or a version line may start."""
-        member = self.data.find(_MEMBER, at)
-        line = _VERSION_LINE.search(self.data, at)
-        places = [p for p in (member, line.start() if line else -1) if p >= 0]
-        return min(places, default=len(self.data))
+    def _next(self, mark: str, at: int) -> int:
+        """The first place of a mark at ``at`` or behind (the end of the data: none)."""
+        place = self._seen.get(mark, -1)
+        if place < at:
+            if mark == "line":
+                found = _VERSION_LINE.search(self.data, at)
+                place = found.start() if found else -1
+            else:
+                place = self.data.find(_MARKS[mark], at)
+            self._seen[mark] = place = len(self.data) if place < 0 else place
+        return place
 
     def _member(self, at: int) -> tuple[Record, int]:
-        inflate, plain, end = zlib.decompressobj(31), bytearray(), at
-        while not inflate.eof and end < len(self.data):
-            piece = self.data[end:end + STEP]
+        flags = self.data[at + 3] if at + 3 < len(self.data) else 0
+        if flags & 0xE0 or flags & 0x18 and self._next("zero", at + 10) > at + GZIP_HEADER:  # reserved bits; a name or comment without end
+            raise _Failure("gzip header")
+        inflate, plain, end, step = zlib.decompressobj(31), bytearray(), at, 1 << 7
+        headers: dict[str, str] = {}
+        start = need = 0
+        while not inflate.eof:
+            piece = inflate.unconsumed_tail
+            if not piece:
+                piece, step = self.data[end:end + step], min(4 * step, STEP)
+                end += len(piece)
+                if not piece:
+                    raise _Failure("truncated member")
+            most = need or MAX_HEADERS
             try:
-                plain += inflate.decompress(piece)
+                plain += inflate.decompress(piece, min(most - len(plain) + 1, 1 << 20))
             except zlib.error:
                 raise _Failure("gzip") from None
-            end += len(piece)
-        if not inflate.eof:
-            raise _Failure("truncated member")
-        record, stop = self._plain(bytes(plain), 0)
-        if stop != len(plain):
-            raise _Failure("more than one record in a member")
-        return record, end - len(inflate.unused_data)
-
-    @staticmethod
-    def _plain(data: bytes, at: int) -> tuple[Record, int]:
+            if not plain and end - at > GZIP_HEADER:
+                raise _Failure("gzip header")
+            if not need:
+                if not plain.startswith(b"WARC/"[:len(plain)]):
+                    raise _Failure("no version line")
+                head_end = plain.find(_BLANK_LINE)
+                if head_end >= 0:
+                    if not _VERSION_LINE.match(plain):
+                        raise _Failure("no version line")
+                    headers = parse_headers(plain, 0, head_end)
+                    start = head_end + 4
+                    need = start + int(headers["content-length"]) + 4
+                elif len(plain) > MAX_HEADERS:
+                    raise _Failure("no end of headers")
+            if need and len(plain) > need:
+                raise _Failure("more than one record in a member")
+        if not need:
+            raise _Failure("no end of headers")
+        if len(plain) != need or not plain.endswith(_BLANK_LINE):
+            raise _Failure("record end")
+        block = checked(headers, bytes(memoryview(plain)[start:need - 4]))
+        return Record(at, headers, block), end - len(inflate.unused_data)
+
+    def _plain(self, at: int) -> tuple[Record, int]:
+        data = self.data
         if not _VERSION_LINE.match(data, at):
             raise _Failure("no version line")
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0:
+        head_end = self._next("blank", at)
+        if not at <= head_end <= at + MAX_HEADERS:
             raise _Failure("no end of headers")
-        headers = {}
-        for line in data[at:head_end].split(b"\r\n")[1:]:
-            k, colon, v = line.partition(b":")
-            if not colon:
-                raise _Failure("header")
-            name = k.decode("latin-1").lower()
-            if name in headers and name != "warc-concurrent-to":  # two records run into each other
-                raise _Failure("repeated header")
-            headers[name] = v.strip().decode("utf-8", "replace")
-        size = headers.get("content-length", "")
-        if not (size.isascii() and size.isdigit()):
-            raise _Failure("content length")
-        start, end = head_end + 4, head_end + 4 + int(size)
-        if data[end:end + 4] != b"\r\n\r\n":
+        headers = parse_headers(data, at, head_end)
+        start = head_end + 4
+        end = start + int(headers["content-length"])
+        if data[end:end + 4] != _BLANK_LINE:
             raise _Failure("record end")
-        block = bytes(data[start:end])
-        told = headers.get("warc-block-digest")
-        if told and told != f"sha1:{payload_digest(block)}":
-            raise _Failure("block digest")
-        return Record(at, headers, block), end + 4
+        return Record(at, headers, checked(headers, data[start:end])), end + 4
 
 
 # ---------------------------------------------------------------------------- Spark jobs
@@ -195,7 +257,8 @@ def write_archives(pages: DataFrame, id: str = "page_id", url: str = "url", html
     """Archives (content binary, n_records) in the shared folder, one record per row of ``pages``.
 
     Only ids and digests are grouped; a digest that a third of the pages share is combined before
-    the shuffle, and the join back reads written tables, so a hot digest's partition is split.
+    the shuffle.  The join back is a plain join of the scanned pages with the written groups, whose hot
+    partitions adaptive execution splits.
     """
     rows = pages.select(F.col(id).cast("long").alias("_id"), F.col(url).alias("_url"), F.col(html).alias("_html"),
                         F.unhex(F.sha1(text_or_empty(html).cast("binary"))).alias("_digest"))
@@ -228,7 +291,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
                 payload = r.block if kind != "revisit" else None
                 digest = payload_digest(payload) if payload is not None else \
                     h.get("warc-payload-digest", "").removeprefix("sha1:")
-                size = len(payload) if payload is not None else int(h.get("x-payload-length", "0") or 0)
+                size = len(payload) if payload is not None else int(h.get("x-payload-length", "0"))
                 rows.append((r.offset, kind, h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"),
                              payload if with_payload else None, digest, size, None, None))
                 if len(rows) >= 1000:

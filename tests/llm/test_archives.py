@@ -101,3 +101,74 @@ def test_damaged_archives_through_spark(spark):
     got = read_archives(spark.createDataFrame([(bytearray(broken),), (None,)], "content binary")).collect()
     assert sum(r["gap_bytes"] is None for r in got) == 5
     assert [(r["archive_offset"], r["gap_bytes"]) for r in got if r["gap_bytes"] is not None] == [(ends[1], 50)]
+
+
+def _covered(data):
+    """The reader raises nothing, and records and gaps cover every byte once."""
+    s = Salvage(data)
+    at = [r.offset for r in s.records()]
+    ids = sorted([(o, "r") for o in at] + [(g.offset, g.length) for g in s.gaps])
+    place = 0
+    for i, (offset, kind) in enumerate(ids):
+        assert offset == place
+        place = (ids[i + 1][0] if i + 1 < len(ids) else len(data)) if kind == "r" else offset + kind
+    assert place == len(data)
+    return len(at), s.gaps
+
+
+def test_damaged_headers():
+    revisit = page_record(3, "http://x/3", b"", 2)
+    for told in (b"abc", b"-1", b"9" * 5000, b"1_0", "٣".encode()):
+        bad = revisit.replace(b"X-Payload-Length: 0", b"X-Payload-Length: " + told)
+        good = page_record(4, "u", b"after", None)
+        assert _read(bad + good) == ([4], [(0, len(bad))])
+        assert _read(gzip_member(bad) + gzip_member(good))[0] == [4]
+        bad = record_bytes([("WARC-Type", "response")], b"x").replace(b"Content-Length: 1", b"Content-Length: " + told)
+        assert _read(bad + good) == ([4], [(0, len(bad))])
+        assert _read(gzip_member(bad) + gzip_member(good))[0] == [4]
+
+
+def test_any_byte_may_be_damaged():
+    for zipped in (False, True):
+        rng = random.Random(7)
+        records = [page_record(i, f"http://x/{i}", rng.randbytes(60), None if i % 3 else i + 1) for i in range(4)]
+        heads = [r.index(b"\r\n\r\n") for r in records]
+        for seed in range(1000):
+            rng = random.Random(seed)
+            k = rng.randrange(4)
+            broken = bytearray(records[k])
+            broken[rng.randrange(heads[k])] = rng.randrange(256)  # in the headers
+            parts = [bytes(broken) if i == k else r for i, r in enumerate(records)]
+            n, _ = _covered(b"".join(gzip_member(p) if zipped else p for p in parts))
+            assert n >= 3 if zipped else n >= 2
+            data = bytearray(b"".join(gzip_member(p) if zipped else p for p in records))
+            data[rng.randrange(len(data))] = rng.randrange(256)  # anywhere
+            _covered(bytes(data))
+
+
+def test_false_starts_cost_their_length():
+    import time
+
+    good = page_record(1, "u", b"behind", None)
+    for mark in (b"\x1f\x8b\x08", b"WARC/1.0\r\n", b"WARC/1.0\r\nA: b\r\n", gzip_member(b"WARC/")[:15]):
+        data = mark * ((1 << 20) // len(mark)) + good
+        start = time.perf_counter()
+        assert _read(data) == ([1], [(0, len(data) - len(good))])
+        assert time.perf_counter() - start < 5
+
+
+def test_bombs_are_not_inflated():
+    import tracemalloc
+
+    bomb = gzip_member(page_record(1, "u", b"x", None) + bytes(300 << 20))
+    tracemalloc.start()
+    ids, gaps = _read(bomb + gzip_member(page_record(2, "u", b"y", None)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == [2] and gaps == [(0, len(bomb))] and peak < 64 << 20
+
+
+def test_long_header_survives(spark):
+    rows = [(1, "http://x/" + "y" * 300_000, "page")]
+    got = read_archives(write_archives(_pages(spark, rows))).collect()
+    assert [(r["record_type"], len(r["target_uri"])) for r in got] == [("response", 300_009)]
