@@ -1,7 +1,7 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-Each learned language has a raw-content dictionary: lower-cased heads of a bounded sample of its
-labelled documents (SAMPLE_DOCS documents of at most SAMPLE_CHARS characters per language).  A text is
+Each learned language has a raw-content dictionary: the lower-cased texts of a bounded sample of its
+labelled documents (SAMPLE_DOCS whole documents per language).  A text is
 lower-cased, cut into chunks that cover all of it, and every chunk is compressed with every
 dictionary; the language with the fewest bytes wins.  The score is 1 - fewest / second fewest, and a
 prediction whose score is under ``min_margin`` is marked as rejected.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from precursor.llm.common import slices, trimmed, written
 
-#: Bound of the labelled sample: documents per language, and characters used of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 256, 512
+#: Bound of the labelled sample: documents per language (whole texts).
+SAMPLE_DOCS = 64
 #: A label column with more values than this is not a language column.
 MAX_LANGUAGES = 512
 CHUNK = 4096
@@ -70,15 +70,14 @@ def classify(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompre
 
 
 def learn(docs: DataFrame, labelled: Column, id: str = "doc_id", text: str = "text", lang: str = "lang",
-          sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
+          sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """The model of the rows where ``labelled`` holds and the language is known.
 
     The sample is the rows with the smallest hash of the id per language (a limit per group before
     the shuffle, on ids and hashes only); its texts are then fetched by a small semi-join.
     """
     rows = docs.where(labelled & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).alias("_lang"), F.xxhash64(F.col(id)).alias("_h"),
-        F.substring(F.col(text), 1, sample_chars).alias("_text"))
+        F.col(lang).alias("_lang"), F.xxhash64(F.col(id)).alias("_h"), F.col(text).alias("_text"))
     first = F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))
     chosen = written(rows.select("_lang", "_h").withColumn("_n", first).where(F.col("_n") <= sample_docs)
                      .select("_lang", "_h").distinct(), "langid-sample")
@@ -86,10 +85,10 @@ def learn(docs: DataFrame, labelled: Column, id: str = "doc_id", text: str = "te
         raise ValueError(f"more than {MAX_LANGUAGES} values in the language column {lang!r}")
     sample = (rows.join(F.broadcast(chosen), ["_lang", "_h"], "left_semi").groupBy("_lang", "_h")
               .agg(F.min("_text").alias("_text")).collect())  # at most sample_docs rows per language
-    heads: dict[str, list[tuple[int, str]]] = {}
+    texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample:
-        heads.setdefault(r["_lang"], []).append((r["_h"], r["_text"]))
-    return LanguageModel(tuple((k, b"\n".join(_bytes(t) for _, t in sorted(heads[k]))) for k in sorted(heads)))
+        texts.setdefault(r["_lang"], []).append((r["_h"], r["_text"]))
+    return LanguageModel(tuple((k, b"\n".join(_bytes(t) for _, t in sorted(texts[k]))) for k in sorted(texts)))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, text: str, kept: float | None):
