@@ -103,6 +103,12 @@ def q_context_cache(spark, sf):
                      "e_source", "e_reason")
 
 
+def _fields(payload, prefix, names=("source", "reason", "message", "pod")):
+    """Fields read from a payload text, as ``<prefix>_<name>``."""
+    from precursor.schema import PAYLOAD_FIELDS
+    return [P.json_scalar_text(payload, PAYLOAD_FIELDS[n]).alias(f"{prefix}_{n}") for n in names]
+
+
 def q_report_nested(spark, sf):
     a = _analysis(spark, sf)
     r = RP.report_nested(a)
@@ -111,6 +117,8 @@ def q_report_nested(spark, sf):
                     F.size("examples").alias("n_examples"),
                     F.array_join(F.transform("examples", lambda e: e["example_event_id"].cast("string")), ",")
                     .alias("example_ids"),
+                    F.array_join(F.transform("examples", lambda e: F.coalesce(P.json_scalar(e["payload"], "$.message.humanMessage"), F.lit("_"))), ",")
+                    .alias("example_messages"),
                     P.json_scalar(F.col("target_payload"), "$.source").alias("target_source"))
 
 
@@ -149,13 +157,13 @@ def q_payload_text(spark, sf):
 
 
 def _anchor_cols(df):
-    return df.select("target_id", "job_id", "job_name", "job_url", _ts("d_from_time").alias("d_from_time"),
+    return df.select("target_id", "job_id", "job_name", "job_url", "row_num", _ts("d_from_time").alias("d_from_time"),
                      _ts("d_to_time").alias("d_to_time"), "d_reason", "d_cause", "d_ns", "d_disruption", "d_route",
-                     "d_connection", "d_backend_disruption_name", "d_message", "d_event_id")
+                     "d_connection", "d_backend_disruption_name", "d_message", "d_event_id", *_fields("d_payload", "d_payload"))
 
 
 def q_anchor_projection(spark, sf):
-    return _anchor_cols(_analysis(spark, sf).anchors)
+    return _anchor_cols(_analysis(spark, sf).anchors_full)
 
 
 _CTX_COLS = ["target_id", "job_id", "e_event_id", "e_diff", "e_source", "e_ns", "e_node", "e_pod", "e_container",
@@ -164,9 +172,9 @@ _CTX_COLS = ["target_id", "job_id", "e_event_id", "e_diff", "e_source", "e_ns",
 
 
 def q_context_projection(spark, sf):
-    c = _analysis(spark, sf).context
-    return c.select(*_CTX_COLS, _ts("d_from_time").alias("d_from_time"), _ts("e_from_time").alias("e_from_time"),
-                    _ts("e_to_time").alias("e_to_time"))
+    c = _analysis(spark, sf).context_full
+    return c.select(*_CTX_COLS, "row_num", _ts("d_from_time").alias("d_from_time"), _ts("e_from_time").alias("e_from_time"),
+                    _ts("e_to_time").alias("e_to_time"), *_fields("e_payload", "e_payload"), *_fields("d_payload", "d_payload", ("source",)))
 
 
 def q_relative_position(spark, sf):
@@ -321,7 +329,7 @@ def q_pattern_support(spark, sf):
 def q_pattern_examples(spark, sf):
     a = _analysis(spark, sf)
     return a.examples.select("target_id", "rank", "job_id", "item_pos", "event", "example_event_id",
-                             _ts("example_time").alias("example_time"))
+                             _ts("example_time").alias("example_time"), *_fields("example_payload", "example"))
 
 
 def q_token_dictionary(spark, sf):
@@ -374,6 +382,23 @@ def q_pattern_share(spark, sf):
 
 
 # ---------------------------------------------------------------------------- windows, order
+def _positions(rows, id):
+    """Place of every row in its run, and the number of rows before the run, from the ordinal of an ordered table."""
+    first = rows.groupBy("target_id", "job_id").agg(F.min("ordinal").alias("run_start"))
+    return rows.join(first, ["target_id", "job_id"]).select(
+        "target_id", "job_id", id, (F.col("ordinal") - F.col("run_start") + 1).alias("pos"), "run_start")
+
+
+def q_context_order(spark, sf):
+    a = _analysis(spark, sf)
+    return _positions(a.write_context(CA.cache_path(spark, "context_order", a.snapshot)), "e_event_id")
+
+
+def q_evidence_order(spark, sf):
+    a = _analysis(spark, sf)
+    return _positions(RP.ordered_evidence(a, CA.cache_path(spark, "evidence_order", a.snapshot)), "event_id")
+
+
 def q_first_anchor(spark, sf):
     a = _analysis(spark, sf)
     return a.anchors.select("target_id", "job_id", "d_event_id", _ts("d_from_time").alias("d_from_time"))
@@ -430,7 +455,8 @@ def q_event_token(spark, sf):
 
 def q_event_hash(spark, sf):
     e = _analysis(spark, sf).events
-    return e.select("target_id", "e_event_id", F.md5("event").alias("event_md5"))
+    n = e.groupBy("target_id").agg(F.countDistinct("event_hash").alias("n_hashes"), F.countDistinct("event").alias("n_tokens"))
+    return e.join(n, "target_id").select("target_id", "e_event_id", F.md5("event").alias("event_md5"), "n_hashes", "n_tokens")
 
 
 def q_is_subsequence(spark, sf):
@@ -462,7 +488,7 @@ def q_pattern_support_detail(spark, sf):
     a = _analysis(spark, sf)
     s = RP.support_table(a)
     return s.select("target_id", "rank", "freq", "job_id", "job_name", "job_url",
-                    _ts("d_from_time").alias("d_from_time"), "d_backend_disruption_name")
+                    _ts("d_from_time").alias("d_from_time"), "d_backend_disruption_name", *_fields("d_payload", "d_payload"))
 
 
 def q_all_targets_patterns(spark, sf):
@@ -519,6 +545,18 @@ def _t(c: str, alias: str | None = None) -> str:
     return f"{O.ts(c)} AS {alias or c.split('.')[-1]}"
 
 
+_PAYLOAD = "(SELECT event_id AS p_id, source AS p_source, reason AS p_reason, message AS p_message, pod AS p_pod FROM ivf)"
+
+
+def _payload_sql(prefix: str) -> str:
+    return ", ".join(f"p_{n} AS {prefix}_{n}" for n in ("source", "reason", "message", "pod"))
+
+
+_EVIDENCE = """SELECT a.target_id, a.job_id, e.event_id, e.from_time, e.origin, e.source
+        FROM ivf e JOIN anchors a ON e.job_id = a.job_id
+        WHERE (a.target_id, a.job_id) IN (SELECT target_id, job_id FROM support)
+          AND e.origin <> 'observer'
+          AND e.from_time BETWEEN a.d_from_time - INTERVAL 3 DAY AND a.d_from_time + INTERVAL 1 HOUR"""
 _FLAGS = "SELECT event_id, {} FROM ivf"
 _CTX_SQL = ", ".join(_CTX_COLS)
 _ORACLE = {
@@ -532,6 +570,9 @@ _ORACLE = {
         (SELECT count(*) FROM examples x WHERE x.target_id = s.target_id AND x.rank = s.rank AND x.job_id = s.job_id) AS n_examples,
         (SELECT string_agg(CAST(x.example_event_id AS VARCHAR), ',' ORDER BY x.item_pos, x.event, x.example_time)
            FROM examples x WHERE x.target_id = s.target_id AND x.rank = s.rank AND x.job_id = s.job_id) AS example_ids,
+        (SELECT string_agg(coalesce(xi.message, '_'), ',' ORDER BY x.item_pos, x.event, x.example_time)
+           FROM examples x JOIN ivf xi ON xi.event_id = x.example_event_id
+          WHERE x.target_id = s.target_id AND x.rank = s.rank AND x.job_id = s.job_id) AS example_messages,
         iv.source AS target_source
       FROM support s JOIN anchors a ON a.target_id = s.target_id AND a.job_id = s.job_id
       JOIN iv ON iv.event_id = a.d_event_id
@@ -541,7 +582,7 @@ _ORACLE = {
     "target_summary": """SELECT t.target_id, t.target_label, t.ignore_label,
         coalesce(na.n, 0) AS n_anchors, coalesce(nc.n, 0) AS n_context_rows, coalesce(r.n_runs, 0) AS n_runs,
         coalesce(np.n, 0) AS n_patterns,
-        CASE WHEN coalesce(nc.n, 0) = 0 THEN 'No matching intervals found in search.' ELSE 'ok' END AS status
+        CASE WHEN coalesce(nc.n, 0) = 0 THEN 'no context' ELSE 'ok' END AS status
       FROM (SELECT CAST(0 AS BIGINT) AS target_id, '[KEYS_BACKEND_DISRUPTION_NAME LIKE "backend-9%"]' AS target_label, '' AS ignore_label
             UNION ALL SELECT 1, '[SOURCE LIKE "purchase"]', '[REASON LIKE "view"]'
             UNION ALL SELECT 2, '[KEYS_BACKEND_DISRUPTION_NAME LIKE "backend-%"]', '') t
@@ -555,10 +596,22 @@ _ORACLE = {
                    "roles, constructed FROM ivf",
     "namespace_fallback": "SELECT event_id, keys_namespace, keys_ns, namespace FROM ivf",
     "payload_text": "SELECT event_id, source, display, backend, reason, message, pod, node, keys_ns FROM ivf",
-    "anchor_projection": f"SELECT target_id, job_id, job_name, job_url, {_t('d_from_time')}, {_t('d_to_time')}, d_reason, "
+    "anchor_projection": f"SELECT a.target_id, a.job_id, job_name, job_url, row_num, {_t('d_from_time')}, {_t('d_to_time')}, d_reason, "
                          "d_cause, d_ns, d_disruption, d_route, d_connection, d_backend_disruption_name, d_message, "
-                         "d_event_id FROM anchors",
-    "context_projection": f"SELECT {_CTX_SQL}, {_t('d_from_time')}, {_t('e_from_time')}, {_t('e_to_time')} FROM ctx",
+                         f"d_event_id, {_payload_sql('d_payload')} FROM anchors a JOIN {_PAYLOAD} ON p_id = a.d_event_id",
+    "context_projection": f"SELECT {_CTX_SQL}, row_num, {_t('d_from_time')}, {_t('e_from_time')}, {_t('e_to_time')}, "
+                          f"{_payload_sql('e_payload')}, d_payload_source FROM ctx c "
+                          f"JOIN {_PAYLOAD} ON p_id = c.e_event_id JOIN (SELECT event_id AS o_id, source AS d_payload_source FROM ivf) ON o_id = c.d_event_id",
+    "context_order": """SELECT target_id, job_id, e_event_id, pos, CAST(coalesce(sum(n) OVER (ORDER BY target_id, job_id
+                          RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS BIGINT) AS run_start FROM (
+        SELECT target_id, job_id, e_event_id, row_number() OVER w AS pos,
+               CASE WHEN row_number() OVER w = 1 THEN count(*) OVER (PARTITION BY target_id, job_id) ELSE 0 END AS n
+        FROM ctx WINDOW w AS (PARTITION BY target_id, job_id ORDER BY e_from_time, e_event_id))""",
+    "evidence_order": f"""SELECT target_id, job_id, event_id, pos, CAST(coalesce(sum(n) OVER (ORDER BY target_id, job_id
+                          RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS BIGINT) AS run_start FROM (
+        SELECT target_id, job_id, event_id, row_number() OVER w AS pos,
+               CASE WHEN row_number() OVER w = 1 THEN count(*) OVER (PARTITION BY target_id, job_id) ELSE 0 END AS n
+        FROM ({_EVIDENCE}) WINDOW w AS (PARTITION BY target_id, job_id ORDER BY from_time, event_id))""",
     "relative_position": ("SELECT target_id, job_id, e_event_id, e_diff, "
                           "date_sub('second', e_from_time, d_from_time) AS diff_seconds FROM ctx", {"noise": False}),
     "time_bounds": f"SELECT target_id, job_id, {_t('d_from_time - INTERVAL 3 DAY', 'win_start')}, "
@@ -598,14 +651,11 @@ _ORACLE = {
     "window_join": f"""SELECT a.target_id, a.job_id, e.event_id AS e_event_id FROM ivf e JOIN anchors a ON e.job_id = a.job_id
         WHERE e.from_time BETWEEN {O.RANGE}
           AND e.from_time BETWEEN a.d_from_time - INTERVAL 3 DAY AND a.d_from_time + INTERVAL 1 HOUR""",
-    "window_evidence": f"""SELECT a.target_id, a.job_id, e.event_id, {_t('e.from_time', 'from_time')}, e.origin, e.source
-        FROM ivf e JOIN anchors a ON e.job_id = a.job_id
-        WHERE (a.target_id, a.job_id) IN (SELECT target_id, job_id FROM support)
-          AND e.origin <> 'observer'
-          AND e.from_time BETWEEN a.d_from_time - INTERVAL 3 DAY AND a.d_from_time + INTERVAL 1 HOUR""",
+    "window_evidence": f"SELECT target_id, job_id, event_id, {_t('from_time')}, origin, source FROM ({_EVIDENCE})",
     "generalize_prefix": "SELECT kind, target_id, name, mapped FROM name_map",
     "pattern_support": "SELECT target_id, rank, freq, job_id, pattern_text FROM support",
-    "pattern_examples": f"SELECT target_id, rank, job_id, item_pos, event, example_event_id, {_t('example_time')} FROM examples",
+    "pattern_examples": f"SELECT target_id, rank, x.job_id, item_pos, event, example_event_id, {_t('example_time')}, "
+                        f"{_payload_sql('example')} FROM examples x JOIN {_PAYLOAD} ON p_id = x.example_event_id",
     "token_dictionary": "SELECT DISTINCT target_id, event, md5(event) AS event_md5, e_reason FROM evs",
     "runs_per_message": "SELECT target_id, e_message, n_runs FROM msg_runs",
     "shared_prefixes": "SELECT kind, target_id, prefix, n_runs FROM shared",
@@ -629,7 +679,8 @@ _ORACLE = {
                     "'[0-9]{1,30}', '###', 'g') AS message_masked FROM ivf",
     "blank_rare": "SELECT target_id, job_id, e_event_id, e_message, e_pod, e_ns, e_node FROM norm",
     "event_token": "SELECT target_id, job_id, e_event_id, event FROM evs",
-    "event_hash": "SELECT target_id, e_event_id, md5(event) AS event_md5 FROM evs",
+    "event_hash": "SELECT target_id, e_event_id, md5(event) AS event_md5, n_tokens AS n_hashes, n_tokens FROM evs "
+                  "JOIN (SELECT target_id, count(DISTINCT event) AS n_tokens FROM evs GROUP BY target_id) USING (target_id)",
     "is_subsequence": """SELECT s.target_id, t.rank, s.job_id,
         CASE WHEN EXISTS (SELECT 1 FROM support p WHERE p.target_id = s.target_id AND p.rank = t.rank AND p.job_id = s.job_id)
              THEN 'true' ELSE 'false' END AS contains
@@ -638,8 +689,9 @@ _ORACLE = {
     "closed_sequences": "SELECT target_id, pattern_text, freq FROM closedpat",
     "topk_closed": "SELECT target_id, rank, freq, pattern_text FROM topk",
     "pattern_support_detail": f"""SELECT s.target_id, s.rank, s.freq, s.job_id, a.job_name, a.job_url,
-        {_t('a.d_from_time', 'd_from_time')}, a.d_backend_disruption_name
-      FROM support s JOIN anchors a ON a.target_id = s.target_id AND a.job_id = s.job_id""",
+        {_t('a.d_from_time', 'd_from_time')}, a.d_backend_disruption_name, {_payload_sql('d_payload')}
+      FROM support s JOIN anchors a ON a.target_id = s.target_id AND a.job_id = s.job_id
+      JOIN {_PAYLOAD} ON p_id = a.d_event_id""",
     "all_targets_patterns": """SELECT t.target_id, t.rank, t.freq, r.n_runs, (t.freq * 100) // r.n_runs AS share_pct,
         t.length, t.pattern_text, replace(t.pattern_text, ':', ' ') AS display
       FROM topk t JOIN runs r USING (target_id)""",

@@ -34,7 +34,7 @@ def run_analysis(spark, sf_dir: str, out_dir: str) -> dict[str, float]:
         fn()
         times[name] = round(time.perf_counter() - t0, 3)
 
-    timed("flatten", lambda: a.flat)
+    timed("flatten", lambda: a.flat_in_range)
     timed("anchors", lambda: a.anchors)
     timed("context", lambda: a.context)
     timed("events", lambda: a.events)
@@ -45,6 +45,17 @@ def run_analysis(spark, sf_dir: str, out_dir: str) -> dict[str, float]:
     return times
 
 
+def mine_long_runs(spark, n_runs: int = 20, n_events: int = 40) -> float:
+    """Seconds to mine runs of equal events (2 ** n_events subsequences, one closed pattern)."""
+    from precursor.operators.mining import topk_closed
+
+    rows = [(0, f"r{r}", [f"e{i}" for i in range(n_events)]) for r in range(n_runs)]
+    seqs = spark.createDataFrame(rows, "target_id int, job_id string, sequence array<string>")
+    t0 = time.perf_counter()
+    topk_closed(seqs).collect()
+    return round(time.perf_counter() - t0, 3)
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -63,8 +74,12 @@ def main() -> None:
     t0 = time.perf_counter()
     times = run_analysis(spark, sf_dir, out)
     total = round(time.perf_counter() - t0, 3)
+    extra = {"mining_20_runs_of_40_equal_events": mine_long_runs(spark)}
+    if os.path.exists(f"{warm_sf}/events.parquet"):  # the small tables again, cold folders, warm JVM
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="precursor-bench-"))
+        extra["sf0.01"] = run_analysis(spark, warm_sf, tempfile.mkdtemp(prefix="precursor-report-"))
     print(json.dumps({"metric": "analysis_total_sec", "value": total, "unit": "sec", "queries": times, "sf": sf,
-                      "cpus": cpus}))
+                      "cpus": cpus, "extra": extra}))
     spark.stop()
 
 

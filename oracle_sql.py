@@ -134,7 +134,7 @@ adm AS (
 anchors AS (
   SELECT target_id, job_id, job_name, job_url, from_time AS d_from_time, to_time AS d_to_time,
     reason AS d_reason, cause AS d_cause, namespace AS d_ns, disruption AS d_disruption, route AS d_route,
-    connection AS d_connection, backend AS d_backend_disruption_name, message AS d_message, event_id AS d_event_id
+    connection AS d_connection, backend AS d_backend_disruption_name, message AS d_message, event_id AS d_event_id, rn AS row_num
   FROM (SELECT *, row_number() OVER (PARTITION BY target_id, job_id ORDER BY from_time, event_id) AS rn FROM adm)
   WHERE rn = 1
 ),

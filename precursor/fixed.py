@@ -73,9 +73,6 @@ REFERENCE_NOISE_ETCD = "EtcdLog"
 REFERENCE_NOISE_ALERT = "Alert"
 REFERENCE_NOISE_ALERT_MESSAGE = "%KubeDaemon%"
 
-# report text of a target without context
-NO_MATCH = "No matching intervals found in search."
-
 # masks
 POD_SUFFIX_PATTERN = r"-[0-9a-fA-F]{8,10}(-.*|$)"
 POD_SUFFIX_MASK = "-xxxxxxxxxx"

@@ -1,9 +1,9 @@
 """JSON payload functions (P1-P4) and the parse-once flattening of intervals.
 
-The payload is parsed once per row into a Variant (``try_parse_json``); every
-field is a cheap path lookup on that value.  Flattening is meant to be
-materialised (see :func:`precursor.sources.cache.materialize`) so that all later
-predicates are plain column filters that reach the parquet scan.
+Scalars are read from payload text by ``from_json`` with a string leaf per path: once per row for all
+fields in :func:`flatten_intervals`, for a single path in :func:`json_scalar_text`, by the same rule.
+Flattening is meant to be written (see :mod:`precursor.sources.flat`) so that all later predicates
+are plain column filters that reach the parquet scan.  Shown payloads are parsed into Variants.
 """
 
 from __future__ import annotations
@@ -41,9 +41,10 @@ def parse_payload(payload: Column | str) -> Column:
 
 
 def json_scalar(value: Column, path: str) -> Column:
-    """Scalar at ``path`` as a string.
+    """Scalar at ``path`` of a parsed payload as a string, for payloads that are nested in a report.
 
-    ``value`` is a Variant column (see :func:`parse_payload`).  Strings come back
+    ``value`` is a Variant column (see :func:`parse_payload`), which is NULL for text with repeated keys
+    and holds numbers by value; P2 on payload text is :func:`json_scalar_text`.  Strings come back
     unquoted, numbers and booleans as their text.  NULL when the path is absent,
     holds JSON null, an object or an array - the semantics of a scalar extractor.
     """
@@ -57,9 +58,31 @@ def json_scalar(value: Column, path: str) -> Column:
     return F.when(maybe_container & is_container, F.lit(None).cast("string")).otherwise(text)
 
 
+def _is_container(payload: Column, path: str) -> Column:
+    """Whether an object or an array (not a string that looks like one) is at ``path``."""
+    def held(kind: T.DataType) -> Column:
+        return _leaf(F.from_json(payload, _payload_struct({"": path}, kind)), path).isNotNull()
+    return held(T.MapType(T.StringType(), T.StringType())) | held(T.ArrayType(T.StringType()))
+
+
+def _scalar(payload: Column, text: Column, path: str) -> Column:
+    """P2's rule on the string leaf ``text`` that ``from_json`` gives at ``path``.
+
+    A leaf over an object or an array holds its JSON text; only text that starts like one is looked
+    at again (CASE evaluates its branches lazily).
+    """
+    maybe_container = text.startswith("{") | text.startswith("[")
+    return F.when(maybe_container & _is_container(payload, path), F.lit(None).cast("string")).otherwise(text)
+
+
 def json_scalar_text(payload: Column | str, path: str) -> Column:
-    """P2 on payload text: parse and extract one scalar (ad-hoc paths)."""
-    return json_scalar(parse_payload(payload), path)
+    """Scalar at ``path`` of payload text as a string, NULL for a missing path, JSON null, an object or an array.
+
+    Strings come back unquoted, numbers and booleans as the parser writes them (``1.0E20``), of
+    repeated keys the last counts; malformed text gives NULL.
+    """
+    p = _c(payload)
+    return _scalar(p, _leaf(F.from_json(p, _payload_struct({"": path})), path), path)
 
 
 def namespace_fallback(namespace: Column | str = "keys_namespace", ns: Column | str = "keys_ns") -> Column:
@@ -72,8 +95,8 @@ def payload_text(value: Column) -> Column:
     return F.to_json(value)
 
 
-def _payload_struct(paths: dict[str, str]) -> T.StructType:
-    """Nested struct schema with a string leaf for every path that is not a prefix of another path."""
+def _payload_struct(paths: dict[str, str], leaf: T.DataType | None = None) -> T.StructType:
+    """Nested struct schema with a leaf (a string) for every path that is not a prefix of another path."""
     tree: dict = {}
     for path in paths.values():
         node = tree
@@ -81,7 +104,7 @@ def _payload_struct(paths: dict[str, str]) -> T.StructType:
             node = node.setdefault(part, {})
 
     def build(node: dict) -> T.StructType:
-        return T.StructType([T.StructField(k, T.StringType() if not v else build(v)) for k, v in node.items()])
+        return T.StructType([T.StructField(k, build(v) if v else leaf or T.StringType()) for k, v in node.items()])
     return build(tree)
 
 
@@ -97,10 +120,8 @@ def flatten_intervals(intervals: DataFrame, fields: dict[str, str] | None = None
 
     Input columns: job_id, event_id, from_time, to_time, origin, interval,
     interval_json.  The payload is parsed once per row by ``from_json`` into a
-    nested struct with string leaves.  A string leaf that receives an object or
-    an array holds its JSON text; only such values (text starting with ``{`` or
-    ``[``) are re-checked through the Variant path, so the result is exactly
-    :func:`json_scalar` at a fraction of its cost.
+    nested struct with string leaves, and every field follows the rule of
+    :func:`json_scalar_text`.
     """
     fields = fields or PAYLOAD_FIELDS
     schema = _payload_struct(fields)
@@ -113,14 +134,12 @@ def flatten_intervals(intervals: DataFrame, fields: dict[str, str] | None = None
     inner = {p for p in leaf_paths if any(q.startswith(p + ".") for q in leaf_paths)}
     cols = []
     for name, path in fields.items():
-        exact = json_scalar_text(F.col("payload"), path)
         if path in inner:
             # An object here parses into a non-null struct: scalar extraction is NULL.
             node = _leaf(s, path)
-            col = F.when(node.isNull() & F.get_json_object("payload", path).isNotNull(), exact)
+            col = F.when(node.isNull() & F.get_json_object("payload", path).isNotNull(), json_scalar_text("payload", path))
         else:
-            text = _leaf(s, path)
-            col = F.when(text.startswith("{") | text.startswith("["), exact).otherwise(text)
+            col = _scalar(F.col("payload"), _leaf(s, path), path)
         cols.append(col.alias(name))
     flat = base.select("job_id", "event_id", "from_time", "to_time", "origin", "payload", *cols)
     return flat.withColumn("namespace", namespace_fallback())

@@ -57,9 +57,9 @@ def first_anchor(candidates: DataFrame, keys: Sequence[str] = ("target_id", "job
 
 
 def anchor_projection(df: DataFrame) -> DataFrame:
-    """P5: run name, id, url and the ``d_*`` fields of the anchor."""
+    """P5: run name, id, url, ``row_num`` and the ``d_*`` fields of the anchor (``d_payload``: see payloads.py)."""
     return df.select(
-        "target_id", "job_id", "job_name", "job_url",
+        "target_id", "job_id", "job_name", "job_url", "row_num",
         *[F.col(src).alias(dst) for dst, src in ANCHOR_FIELDS.items()],
     )
 

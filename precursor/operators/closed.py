@@ -1,29 +1,49 @@
-"""M2, M3: closed sequential patterns by pruned, level-wise pattern growth.
-
-A state row is one run that contains a prefix: the prefix, the places of its leftmost embedding and the
-run's item sequence.  Per level:
-
-* extensions are counted per (prefix, item) over the runs' remaining items and those under the
-  target's threshold are dropped;
-* a prefix is **pruned** when some item occurs, in every supporting run, in the same gap before the
-  last possible place of a pattern item (the gap's semi-maximum period): whatever grows from it can
-  take that item too without losing a run, so nothing closed grows from it;
-* when the remaining items of all supporting runs begin with the same items, the prefix **jumps**
-  along all of them at once (the common beginning of all rows is that of the smallest and the
-  largest), so long common sequences take one level instead of one per item;
-* a prefix is **closed** when no item can be appended, or inserted in a gap (its maximum period),
-  without losing a run.
+"""M2, M3: closed sequential patterns by pruned, level-wise pattern growth with pseudo-projection.
+
+The sequences are stored once, bucketed by run.  A prefix is a number with one row of its own (its
+pattern and support); a **state** row is (prefix, run, place of the prefix's last item in the run's
+leftmost embedding).  A level joins its states to the stored sequences by run, so that only
+states are moved, and counts (prefix, gap, item) rows of numbers:
+
+* gap -1 holds the items behind the place: the extensions, of which those under the target's threshold
+  are dropped;
+* gap i holds the items that could stand before the i-th item of the pattern (its maximum period), marked
+  where they even do so before the last possible place of that item in the leftmost embedding (its
+  semi-maximum period).  A prefix is **pruned** when a marked item occurs in every supporting run:
+  whatever grows from it can take that item too without losing a run, so nothing closed grows from it;
+* a prefix is **closed** when no item of any gap occurs in every supporting run.
+
+Before that, when the remaining items of all supporting runs begin with the same items, the prefix
+**jumps** along all of them at once (the common beginning of all rows is that of the smallest and the
+largest), so long common sequences take one level instead of one per item.
 
 The threshold of a target rises to the support of its k-th closed pattern as patterns are found.
-Everything is joins and aggregations over rows (prefix, run); the driver sees counts per target.
+The driver sees counts per target.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-P = ["target_id", "pattern"]
+from precursor.session import scratch_dir
+from precursor.sources.cache import scratch_table
+
+_IDS = "array<bigint>"
+_PLACES = "array<int>"
+EXTENSION = -1
+
+
+def stored_sequences(sequences: DataFrame) -> tuple[DataFrame, str]:
+    """(target_id, run, seq) as a table bucketed by run, and its name: joins by run leave it where it is."""
+    spark = sequences.sparkSession
+    name = f"precursor_sequences_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (sequences.repartition(buckets, "run").write.format("parquet").option("path", f"{scratch_dir(spark)}/precursor/{name}")
+     .bucketBy(buckets, "run").sortBy("run").saveAsTable(name))
+    return spark.table(name), name
 
 
 def _after(seq: Column, place: Column) -> Column:
@@ -31,96 +51,107 @@ def _after(seq: Column, place: Column) -> Column:
     return F.slice(seq, place + 1, F.greatest(F.size(seq) - place, F.lit(0)))
 
 
-def _last(places: Column) -> Column:
-    return F.coalesce(F.try_element_at(places, F.lit(-1)), F.lit(0))
+def _inside(seq: Column, begin: Column, end: Column) -> Column:
+    """Items behind place ``begin`` and before place ``end``."""
+    return F.slice(seq, begin + 1, F.greatest(end - 1 - begin, F.lit(0)))
 
 
-def _back(seq: Column, items: Column, limit: Column) -> Column:
-    """Latest places of ``items`` in order, all before ``limit``."""
+def _leftmost(seq: Column, items: Column) -> Column:
+    """First places of ``items`` in order."""
 
     def step(acc: Column, item: Column) -> Column:
-        place = acc["limit"] - F.array_position(F.reverse(F.slice(seq, 1, acc["limit"] - 1)), item).cast("int")
-        return F.struct(place.alias("limit"), F.concat(F.array(place), acc["out"]).alias("out"))
+        place = acc["place"] + F.array_position(_after(seq, acc["place"]), item).cast("int")
+        return F.struct(place.alias("place"), F.concat(acc["out"], F.array(place)).alias("out"))
 
-    start = F.struct(limit.cast("int").alias("limit"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(F.reverse(items), start, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("place"), F.array().cast(_PLACES).alias("out"))
+    return F.aggregate(items, start, step, lambda acc: acc["out"])
 
 
-def _shared_gaps(state: DataFrame, ends: Column) -> DataFrame:
-    """(target_id, pattern) with an item in the same gap of every supporting run; gap i ends before ``ends[i]``."""
-    seq, first = F.col("seq"), F.col("first")
+def _latest(seq: Column, items: Column, limit: Column) -> Column:
+    """Latest places of ``items`` in order, all before ``limit``."""
 
-    def gap(i: Column) -> Column:
-        begin = F.when(i == 0, 0).otherwise(F.get(first, i - 1))
-        items = F.array_distinct(F.slice(seq, begin + 1, F.greatest(F.get(ends, i) - 1 - begin, F.lit(0))))
-        return F.transform(items, lambda x: F.struct(i.alias("gap"), x.alias("item")))
+    def step(acc: Column, item: Column) -> Column:
+        place = acc["limit"] - F.array_position(F.reverse(F.slice(seq, 1, acc["limit"] - 1)), item).cast("int")
+        return F.struct(place.alias("limit"), F.concat(F.array(place), acc["out"]).alias("out"))
 
-    gaps = F.flatten(F.transform(F.sequence(F.lit(0), F.size("pattern") - 1), gap))
-    return (state.where(F.size("pattern") > 0).select(*P, "support", F.explode(gaps).alias("g"))
-            .groupBy(*P, "support", "g").agg(F.count("*").alias("n")).where(F.col("n") == F.col("support"))
-            .select(*P).distinct())
+    start = F.struct(limit.cast("int").alias("limit"), F.array().cast(_PLACES).alias("out"))
+    return F.aggregate(F.reverse(items), start, step, lambda acc: acc["out"])
 
 
-def _jump(state: DataFrame) -> DataFrame:
-    """Prefixes extended along the items that all their runs continue with."""
-    rest = _after(F.col("seq"), _last(F.col("first")))
-    ends = state.groupBy(*P).agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+def _jump(states: DataFrame, prefixes: DataFrame, seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(states, prefixes) moved along the items that all runs of a prefix continue with."""
+    rest = states.join(seqs, "run").select("prefix", _after(F.col("seq"), F.col("place")).alias("rest"))
+    ends = rest.groupBy("prefix").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
     same = F.transform(F.arrays_zip("lo", "hi"), lambda z: z["lo"].eqNullSafe(z["hi"]))
     n = F.when(F.forall(same, lambda x: x), F.least(F.size("lo"), F.size("hi"))).otherwise(
         F.array_position(same, F.lit(False)) - 1).cast("int")
-    step = ends.withColumn("n", n).where("n > 0").select(*P, F.slice("lo", 1, F.col("n")).alias("more"))
-    last = _last(F.col("first"))
-    more = F.coalesce("more", F.array().cast("array<bigint>"))
-    places = F.transform(more, lambda x, i: (last + i + 1).cast("int"))
-    return state.join(step, P, "left").select(
-        "target_id", F.concat("pattern", more).alias("pattern"), "run", F.concat("first", places).alias("first"),
-        "seq", "support")
-
-
-def _level(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pruned and jumped state, extension counts) of new prefixes; the state is checkpointed."""
-    last_places = _back(F.col("seq"), F.slice("pattern", 1, F.greatest(F.size("pattern") - 1, F.lit(0))), _last(F.col("first")))
-    bounded = F.concat(last_places, F.array(_last(F.col("first"))))
-    state = state.join(_shared_gaps(state, bounded), P, "left_anti")
-    state = _jump(state).checkpoint(eager=True)
-    rest = F.array_distinct(_after(F.col("seq"), _last(F.col("first"))))
-    ext = (state.select(*P, "support", F.explode(rest).alias("item")).groupBy(*P, "support", "item")
-           .agg(F.count("*").alias("n")))
-    return state, ext
-
-
-def _closed(state: DataFrame, ext: DataFrame) -> DataFrame:
-    """(target_id, pattern, freq) of the closed prefixes of a level."""
-    open_ahead = ext.where(F.col("n") == F.col("support")).select(*P).distinct()
-    latest = _back(F.col("seq"), F.col("pattern"), F.size("seq") + 1)
-    found = state.where(F.size("pattern") > 0)
-    found = found.join(open_ahead, P, "left_anti")
-    return (found.join(_shared_gaps(found, latest), P, "left_anti")
-            .groupBy(*P).agg(F.max("support").alias("freq")))
+    steps = ends.select("prefix", n.alias("n"), "lo").select("prefix", "n", F.slice("lo", F.lit(1), F.col("n")).alias("more"))
+    prefixes = scratch_table(prefixes.join(steps, "prefix").select(
+        "prefix", "target_id", F.concat("pattern", "more").alias("pattern"), "support", "n"), "mining-prefixes")
+    moved = states.join(prefixes.select("prefix", "n"), "prefix").select(
+        "prefix", "run", (F.col("place") + F.col("n")).alias("place"))
+    return moved, prefixes
+
+
+def _counts(states: DataFrame, prefixes: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(prefix, gap, item, n, marked): runs of a prefix with an item in a gap, and those where it is marked."""
+    rows = states.join(seqs.select("run", "seq"), "run").join(prefixes.select("prefix", "pattern"), "prefix")
+    seq, pattern, place = F.col("seq"), F.col("pattern"), F.col("place")
+    bound = F.concat(_latest(seq, F.slice(pattern, F.lit(1), F.greatest(F.size(pattern) - 1, F.lit(0))), place), F.array(place))
+    places = F.struct(_leftmost(seq, pattern).alias("first"), _latest(seq, pattern, F.size(seq) + 1).alias("latest"), bound.alias("bound"))
+
+    def gap(e: Column, i: Column) -> Column:
+        begin = F.when(i == 0, 0).otherwise(F.get(e["first"], i - 1))
+        near = _inside(seq, begin, F.get(e["bound"], i))
+        return F.transform(F.array_distinct(_inside(seq, begin, F.get(e["latest"], i))), lambda x: F.struct(
+            i.alias("gap"), x.alias("item"), F.array_contains(near, x).cast("int").alias("marked")))
+
+    # the places are computed once per state: a plain column would be put in for each use in the lambda
+    gaps = F.when(F.size("pattern") > 0, F.get(F.transform(F.array(places), lambda e: F.flatten(
+        F.transform(F.sequence(F.lit(0), F.size("pattern") - 1), lambda i: gap(e, i)))), 0))
+    ahead = F.transform(F.array_distinct(_after(seq, place)), lambda x: F.struct(
+        F.lit(EXTENSION).alias("gap"), x.alias("item"), F.lit(0).alias("marked")))
+    none = F.array().cast("array<struct<gap:int,item:bigint,marked:int>>")
+    found = rows.select("prefix", F.inline(F.concat(ahead, F.coalesce(gaps, none))))
+    return found.groupBy("prefix", "gap", "item").agg(F.count("*").alias("n"), F.sum("marked").alias("marked"))
+
+
+def _children(states: DataFrame, seqs: DataFrame, grown: DataFrame) -> DataFrame:
+    """States of the grown prefixes: ``grown`` is (prefix, item, child)."""
+    rows = states.join(seqs.select("run", "seq"), "run")
+    rest = _after(F.col("seq"), F.col("place"))
+    items = F.transform(F.array_distinct(rest), lambda x: F.struct(
+        x.alias("item"), (F.col("place") + F.array_position(rest, x).cast("int")).alias("next")))
+    return rows.select("prefix", "run", F.inline(items)).join(grown, ["prefix", "item"]).select(
+        F.col("child").alias("prefix"), "run", F.col("next").alias("place"))
 
 
 def closed_patterns(sequences: DataFrame, thresholds: dict[int, int], k: int) -> tuple[DataFrame, dict[int, int]]:
     """All closed patterns that can rank among the k best: (target_id, pattern, freq), and their number per target.
 
-    ``sequences`` is (target_id, run, seq array<long>), one row per run; ``thresholds`` has the least
-    support per target.  Patterns with support at the threshold are complete.  The driver keeps, per
-    target, the k best supports found so far.
+    ``sequences`` is (target_id, run, seq array<long>), one row per run, best a table of :func:`stored_sequences`;
+    ``thresholds`` has the least support per target.  Patterns with support at the threshold are
+    complete.  The driver keeps, per target, the k best supports found so far.
     """
     spark = sequences.sparkSession
     least = dict(thresholds)
     best: dict[int, list[int]] = {t: [] for t in least}
     n_found = dict.fromkeys(least, 0)
-    n_runs = sequences.groupBy("target_id").agg(F.count("*").alias("support"))
-    state = sequences.join(n_runs, "target_id").select(
-        "target_id", F.array().cast("array<bigint>").alias("pattern"), "run", F.array().cast("array<int>").alias("first"),
-        "seq", F.col("support").cast("long"))
+    sequences = sequences.where(F.col("target_id").isin(list(least)))
+    prefix = F.col("target_id").cast("long").alias("prefix")  # the empty prefix of a target
+    states = sequences.select(prefix, "run", F.lit(0).alias("place"))
+    prefixes = sequences.groupBy("target_id").agg(F.count("*").alias("support")).select(
+        prefix, "target_id", F.array().cast(_IDS).alias("pattern"), "support")
     levels: list[DataFrame] = []
     while True:
-        state, ext = _level(state)
-        if state.isEmpty():
-            break
-        limit = spark.createDataFrame(list(least.items()), "target_id int, least long")  # one row per target
-        new = _closed(state, ext).join(F.broadcast(limit), "target_id").where("freq >= least").drop("least")
+        states, prefixes = _jump(states, prefixes, sequences)
+        limit = F.broadcast(spark.createDataFrame(list(least.items()), "target_id int, least long"))  # one row per target
+        counts = _counts(states, prefixes, sequences).join(prefixes.select("prefix", "target_id", "support"), "prefix")
+        counts = scratch_table(counts.join(limit, "target_id").where((F.col("n") == F.col("support")) | (F.col("n") >= F.col("least")))
+                               .select("prefix", "gap", "item", "n", (F.col("n") == F.col("support")).alias("all"),
+                                       (F.col("marked") == F.col("support")).alias("prune")), "mining-counts")
+        new = (prefixes.where(F.size("pattern") > 0).join(counts.where("all").select("prefix").distinct(), "prefix", "left_anti")
+               .join(limit, "target_id").where("support >= least").select("target_id", "pattern", F.col("support").alias("freq")))
         supports = new.groupBy("target_id", "freq").agg(F.count("*").alias("n")).collect()
         if supports:
             levels.append(new)
@@ -131,15 +162,18 @@ def closed_patterns(sequences: DataFrame, thresholds: dict[int, int], k: int) ->
             best[t] = sorted(found, reverse=True)[:k]
             if len(best[t]) == k:
                 least[t] = max(least[t], best[t][-1])
-        limit = spark.createDataFrame(list(least.items()), "target_id int, least long")
-        grown = (ext.join(F.broadcast(limit), "target_id").where(F.col("n") >= F.col("least")).select(*P, "item", "n"))
-        rest = _after(F.col("seq"), _last(F.col("first")))
-        rows = state.withColumn("item", F.explode(F.array_distinct(rest)))
-        state = rows.join(grown, [*P, "item"]).select(
-            "target_id", F.concat("pattern", F.array("item")).alias("pattern"), "run",
-            F.concat("first", F.array((_last(F.col("first")) + F.array_position(rest, F.col("item"))).cast("int"))).alias("first"),
-            "seq", F.col("n").alias("support"))
+        limit = F.broadcast(spark.createDataFrame(list(least.items()), "target_id int, least long"))
+        pruned = counts.where("prune").select("prefix").distinct()
+        grown = scratch_table(
+            counts.where(F.col("gap") == EXTENSION).join(pruned, "prefix", "left_anti")
+            .join(prefixes.select("prefix", "target_id", "pattern"), "prefix").join(limit, "target_id").where("n >= least")
+            .select("prefix", "item", F.xxhash64("prefix", "item").alias("child"), "target_id",
+                    F.concat("pattern", F.array("item")).alias("pattern"), F.col("n").alias("support")), "mining-grown")
+        if grown.isEmpty():
+            break
+        states = scratch_table(_children(states, sequences, grown.select("prefix", "item", "child")), "mining-states")
+        prefixes = grown.select(F.col("child").alias("prefix"), "target_id", "pattern", "support")
     found = spark.createDataFrame([], "target_id int, pattern array<bigint>, freq long")
-    for new in levels:  # each reads its level's checkpointed state
+    for new in levels:  # each reads its level's written tables
         found = found.unionByName(new)
     return found, n_found

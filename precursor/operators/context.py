@@ -22,6 +22,10 @@ from precursor.operators.anchors import time_range
 from precursor.schema import CONTEXT_FIELDS
 
 
+#: Hash buckets of the runs with an anchor (what the run filter broadcasts at most).
+RUN_BUCKETS = 1 << 18
+
+
 def _interval(td: dt.timedelta) -> Column:
     return F.lit(td)  # DayTimeInterval literal
 
@@ -59,12 +63,16 @@ def in_window(lookback: dt.timedelta, lookahead: dt.timedelta) -> Column:
     return F.col("from_time").between(d - _interval(lookback), d + _interval(lookahead))
 
 
-def _bucket(ts: Column, width_us: int) -> Column:
+def time_bucket(ts: Column, width_us: int) -> Column:
     """Time bucket of ``ts``: whole ``width_us`` steps since the (zone-less) epoch."""
     micros = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts)
     return F.floor(micros / F.lit(width_us)).cast("long")
 
 
+def _run_bucket() -> Column:
+    return F.pmod(F.xxhash64("job_id"), F.lit(RUN_BUCKETS)).cast("int")
+
+
 def window_join(e: DataFrame, anchors: DataFrame, lookback: dt.timedelta, lookahead: dt.timedelta) -> DataFrame:
     """Intervals of the anchor's run within ``[d - lookback, d + lookahead]``.
 
@@ -74,20 +82,24 @@ def window_join(e: DataFrame, anchors: DataFrame, lookback: dt.timedelta, lookah
     exactly one bucket.  Small anchor sets are broadcast by the optimizer; beyond
     the threshold the shuffle is keyed by run *and* time, so a run holding a
     large share of all rows is spread over its buckets instead of one task.
+
+    Rows of runs without an anchor are dropped before that, where they are scanned, by the
+    hash buckets of the anchors' runs (a broadcast of bounded size).
     """
+    e = e.join(F.broadcast(anchors.select(_run_bucket().alias("_r")).distinct()), _run_bucket() == F.col("_r"), "left_semi")
     width = max(1, int((lookback + lookahead) / dt.timedelta(microseconds=1)))
     d = F.col("d_from_time")
-    a = anchors.withColumn("_b", F.explode(F.sequence(_bucket(d - _interval(lookback), width),
-                                                      _bucket(d + _interval(lookahead), width))))
-    e = e.withColumn("_b", _bucket(F.col("from_time"), width))
+    a = anchors.withColumn("_b", F.explode(F.sequence(time_bucket(d - _interval(lookback), width),
+                                                      time_bucket(d + _interval(lookahead), width))))
+    e = e.withColumn("_b", time_bucket(F.col("from_time"), width))
     return e.join(a, ["job_id", "_b"]).where(in_window(lookback, lookahead)).drop("_b")
 
 
-def context_projection(df: DataFrame) -> DataFrame:
-    """Anchor columns plus the ``e_*`` fields and ``e_diff``."""
-    anchor_cols = [c for c in df.columns if c.startswith("d_")]
+def context_projection(df: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Anchor columns plus the ``e_*`` fields and ``e_diff`` (payloads: see payloads.py)."""
+    anchor_cols = [c for c in anchors.columns if c.startswith("d_")]
     return df.select(
-        "target_id", "job_id", "job_name", "job_url", *anchor_cols,
+        "target_id", "job_id", "job_name", "job_url", "row_num", *anchor_cols,
         *[F.col(src).alias(dst) for dst, src in CONTEXT_FIELDS.items()],
         relative_position("d_from_time", "from_time").alias("e_diff"),
     )
@@ -98,15 +110,23 @@ def context_events(flat: DataFrame, anchors: DataFrame, targets: Sequence[Target
                    closing_reason: str | None = None,
                    began_reason: str | None = None, began_keep_backend: str | None = None,
                    noise_rules: Sequence[NoiseRule] = (), keep_null_reason: bool = False) -> DataFrame:
-    """Context rows of every anchor, after all exclusions (F10-F14), projected."""
+    """Context rows of every anchor, after all exclusions (F10-F14), projected.
+
+    The window join moves the anchors' keys, time and the columns that noise rules look at; the
+    other anchor columns are attached to the rows that are left.
+    """
+    used = " ".join(str(rule.keep()) for rule in noise_rules)
+    seen = [c for c in anchors.columns if c.startswith("d_") and c != "d_from_time" and c in used]
+    narrow = anchors.select("target_id", "job_id", "d_from_time", *seen)
+    rest = anchors.select("target_id", "job_id", *[c for c in anchors.columns if c not in narrow.columns])
     e = flat.where(time_range("from_time", start, end))
     if closing_reason is not None:
         e = e.where(exclude_closing(closing_reason, keep_null_reason))
     if began_reason is not None:
         e = e.where(began_unless(began_reason, began_keep_backend))
-    joined = window_join(e, anchors, lookback, lookahead)
+    joined = window_join(e, narrow, lookback, lookahead)
     joined = joined.where(~target_case(targets, "condition"))   # F11: not the target itself
     joined = joined.where(~target_case(targets, "ignore"))      # F12: not on the ignore list
     for rule in noise_rules:                                     # F14
         joined = joined.where(rule.keep())
-    return context_projection(joined)
+    return context_projection(joined.join(rest, ["target_id", "job_id"]), anchors)

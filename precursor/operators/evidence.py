@@ -1,6 +1,6 @@
 """Pattern drill-down: supporting runs, example rows and the search-window evidence.
 
-Candidate (pattern, run) pairs come from an equi join on the pattern's first
+Candidate (pattern, run) pairs come from an equi join on the pattern's rarest
 item, not from pairing every pattern with every run.  The optimizer broadcasts the
 patterns where their size allows it.
 """
@@ -15,17 +15,24 @@ from pyspark.sql import functions as F
 
 from precursor.functions.payload import parse_payload, payload_text
 from precursor.functions.text import is_subsequence
-from precursor.operators.anchors import time_range
 from precursor.operators.context import window_join
+from precursor.operators.payloads import between, time_bounds
 
 KEYS = ("target_id", "job_id")
 
 
+def rarest_items(items: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Patterns with ``item``: of their items the one that the fewest runs of the target have."""
+    runs = items.groupBy("target_id", "item").agg(F.count("*").alias("_runs"))
+    of = patterns.select("target_id", "rank", F.explode(F.array_distinct("pattern")).alias("item")).join(runs, ["target_id", "item"])
+    rare = of.groupBy("target_id", "rank").agg(F.min(F.struct("_runs", "item"))["item"].alias("item"))
+    return patterns.select("target_id", "pattern", "freq", "rank").join(rare, ["target_id", "rank"])
+
+
 def pattern_support(sequences: DataFrame, patterns: DataFrame) -> DataFrame:
     """``(target_id, pattern, freq, rank, job_id)`` for every run whose sequence contains the pattern."""
-    pats = patterns.select("target_id", "pattern", "freq", "rank", F.get("pattern", 0).alias("item"))
     items = sequences.select(*KEYS, F.explode(F.array_distinct("sequence")).alias("item"))
-    cand = items.join(pats, ["target_id", "item"]).drop("item")
+    cand = items.join(rarest_items(items, patterns), ["target_id", "item"]).drop("item")
     return (cand.join(sequences.select(*KEYS, "sequence"), list(KEYS))
             .where(is_subsequence("sequence", "pattern"))
             .select("target_id", "pattern", "freq", "rank", "job_id"))
@@ -45,12 +52,6 @@ def first_token_occurrence(events: DataFrame) -> DataFrame:
             .select(*KEYS, "event", "e_from_time", "e_event_id"))
 
 
-def _time_bounds(rows: DataFrame, col: str):
-    """(min, max) of a time column - two scalars, the only values brought to the driver."""
-    b = rows.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    return (b["lo"], b["hi"]) if b is not None and b["lo"] is not None else (None, None)
-
-
 def pattern_examples(support: DataFrame, first_occ: DataFrame, payloads: DataFrame | None = None) -> DataFrame:
     """One example row per pattern item per supporting run (the item's first occurrence in the run).
 
@@ -88,8 +89,8 @@ def window_rows(flat: DataFrame, anchors: DataFrame, lookback: dt.timedelta, loo
     This is the only stage that reads the wide payload column.
     """
     a = anchors.select("target_id", "job_id", "d_from_time")
-    lo, hi = _time_bounds(a, "d_from_time")
-    e = flat.where(time_range("from_time", lo - lookback, hi + lookahead)) if lo is not None else flat.where(F.lit(False))
+    lo, hi = time_bounds(a, "d_from_time")
+    e = between(flat, lo and lo - lookback, hi and hi + lookahead)
     out = window_join(e, a, lookback, lookahead)
     return out.select("target_id", "job_id", "d_from_time", "event_id", "from_time", "to_time",
                       "origin", "source", "reason", "message",

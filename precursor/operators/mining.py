@@ -9,7 +9,7 @@
   no pair of patterns is ever compared.
 * M3 :func:`topk_closed` - the k best closed patterns by support, by the pruned
   pattern growth of :mod:`precursor.operators.closed`.  The least support is searched:
-  start at the support of the k-th most frequent token and halve until at least k
+  start at the support of the k-th most frequent token and go down to a quarter until at least k
   closed patterns are found or the floor (2 runs) is reached.  The result is exact:
   the closed set mined at support ``s`` holds every closed pattern with support >= s,
   and all others rank below them.
@@ -23,7 +23,8 @@ from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precursor.operators.closed import closed_patterns
+from precursor.operators.closed import closed_patterns, stored_sequences
+from precursor.sources.cache import scratch_table
 
 # Separator of pattern items in the text form of a pattern (our own convention).
 PATTERN_SEPARATOR = " > "
@@ -150,28 +151,31 @@ def topk_closed(sequences: DataFrame, k: int = 25, min_count: int = 2) -> DataFr
     ``sequences`` is ``(target_id, job_id, sequence)``.  Tokens are mined as 64-bit item ids, dense
     numbers where two tokens of a target share an id.  In each round the targets that are not done are
     mined for closed patterns at their own thresholds (:func:`closed_patterns`); a target is done when
-    it has k of them or its threshold reached ``min_count``, otherwise its threshold is halved.
+    it has k of them or its threshold reached ``min_count``, otherwise it goes down to a quarter.
     """
     spark = sequences.sparkSession
-    seqs = sequences.select(F.col("target_id").cast("int").alias("target_id"), "job_id", "sequence").checkpoint(eager=True)
+    seqs = sequences.select(F.col("target_id").cast("int").alias("target_id"), "job_id", "sequence")
+    seqs = scratch_table(seqs, "mining-tokens")
     rows = {r["target_id"]: r.asDict() for r in start_thresholds(seqs, k).collect()}   # one row per target
     todo = {t: max(min_count, r["start"] or min_count) for t, r in rows.items() if r["n"] >= min_count}
     if not todo:
         return spark.createDataFrame([], "target_id int, pattern array<string>, freq long, rank int")
-    dictionary = token_items(seqs).checkpoint(eager=True)
+    dictionary = scratch_table(token_items(seqs), "mining-items")
     if not _items_unique(dictionary):  # a 64-bit collision: number the ids of one hash apart
         w = Window.partitionBy("item").orderBy("target_id", "token")
-        dictionary = dictionary.withColumn("item", F.xxhash64("item", F.row_number().over(w))).checkpoint(eager=True)
+        dictionary = scratch_table(dictionary.withColumn("item", F.xxhash64("item", F.row_number().over(w))), "mining-items")
     items = (seqs.select("target_id", F.xxhash64("target_id", "job_id").alias("run"), F.posexplode("sequence").alias("pos", "token"))
              .join(dictionary, ["target_id", "token"]).groupBy("target_id", "run")
              .agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("_s"))
-             .select("target_id", "run", F.transform("_s", lambda x: x["item"]).alias("seq"))).checkpoint(eager=True)
+             .select("target_id", "run", F.transform("_s", lambda x: x["item"]).alias("seq")))
+    items, name = stored_sequences(items)
     done: list[DataFrame] = []
     while todo:
-        found, counts = closed_patterns(items.where(F.col("target_id").isin(list(todo))), todo, k)
+        found, counts = closed_patterns(items, todo, k)
         finished = [t for t, least in todo.items() if least <= min_count or counts.get(t, 0) >= k]
         done.append(found.where(F.col("target_id").isin(finished)))
-        todo = {t: max(min_count, least // 2) for t, least in todo.items() if t not in finished}
+        todo = {t: max(min_count, least // 4) for t, least in todo.items() if t not in finished}
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     mined = done[0]
     for d in done[1:]:
         mined = mined.unionByName(d)

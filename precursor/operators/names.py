@@ -6,9 +6,10 @@
 * :func:`blank_rare` blanks a message seen in one run only.
 
 Both are an aggregation keyed by value (with map-side partial aggregation, so a
-hot value is pre-combined before the shuffle) joined back on the value.  No
-name-to-name comparison is ever made: prefix matching is an equi join on the
-exploded prefixes of each distinct name.
+hot value is pre-combined before the shuffle) joined back on the value
+(:func:`dictionary_join`, which spreads NULLs and heavy values).  No name-to-name
+comparison is ever made: prefix matching is an equi join on the prefixes of each
+distinct name that have the length of some shared prefix.
 """
 
 from __future__ import annotations
@@ -21,6 +22,12 @@ from pyspark.sql import functions as F
 from precursor.fixed import GENERALISED_SUFFIX, NAME_DELIMITER
 
 from precursor.functions.text import dash_prefixes
+from precursor.sources.cache import scratch_table
+
+#: Rows with a NULL are dealt to this many keys that match nothing.
+_NULL_PIECES = 1 << 16
+#: Pieces into which the share of one partition is cut, for values that fill more than that.
+_PIECES = 8
 
 
 
@@ -28,6 +35,38 @@ def _present(col: str):
     return F.col(col).isNotNull() & (F.col(col) != "")
 
 
+def _broadcastable(df: DataFrame) -> bool:
+    """Whether the planner will broadcast ``df`` by its known size."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def dictionary_join(df: DataFrame, facts: DataFrame, on: Sequence[str], value: str, spread_by: Sequence[str]) -> DataFrame:
+    """``df`` left join ``facts`` on the columns ``on`` (``value`` among them), at most one fact per key.
+
+    A dictionary under the broadcast threshold is broadcast.  Beyond it the rows are shuffled by key,
+    where NULLs and heavy values would meet in one task.  So NULLs get a spread key of their own, which
+    matches nothing, and a first count (combined before its shuffle) finds the values with more
+    rows than a partition's share, at most one per partition: their rows are dealt to pieces by a
+    hash of ``spread_by``, and their fact is repeated per piece.
+    """
+    if _broadcastable(facts):
+        return df.join(facts, list(on), "left")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*on).agg(F.count("*").alias("_rows"))
+    total = df.count()
+    heavy = scratch_table(sizes.where(F.col("_rows") > total / parts).select(
+        *on, F.ceil(F.col("_rows") * _PIECES * parts / max(total, 1)).cast("int").alias("_pieces")), "heavy-values")
+    heavy = F.broadcast(heavy)  # at most one row per partition
+    dealt = df.join(heavy, list(on), "left")
+    spread = F.xxhash64(*spread_by)
+    dealt = dealt.withColumn("_piece", F.when(F.col(value).isNull(), F.pmod(spread, F.lit(_NULL_PIECES)))
+                             .otherwise(F.pmod(spread, F.coalesce("_pieces", F.lit(1)))).cast("int")).drop("_pieces")
+    repeated = facts.join(heavy, list(on), "left").withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return dealt.join(repeated, [*on, "_piece"], "left").drop("_piece")
+
+
 def distinct_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct projection."""
     return df.select(*cols).distinct()
@@ -69,16 +108,13 @@ def prefix_mapping(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_
     """``(*keys, name, mapped)`` for every distinct non-empty name.
 
     The longest shared prefix is found among the *character* prefixes of the
-    name (``foobar-2`` can map to ``foo-...`` when ``foo`` is shared); with
+    name (``foobar-2`` can map to ``foo-...`` when ``foo`` is shared), of which only
+    those are tried that have the length of some shared prefix of the same keys; with
     ``token_boundary=True`` only delimiter-boundary prefixes are tried.
     """
     shared = shared_prefixes(df, name_col, keys, run_col, delimiter, min_runs, with_counts=False)
     names = distinct_pairs(df.where(_present(name_col)), [*keys, name_col]).withColumnRenamed(name_col, "name")
-    if token_boundary:
-        cands = dash_prefixes("name", delimiter)
-    else:
-        cands = F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring("name", 1, n))
-    cand = names.select(*keys, "name", F.explode(cands).alias("prefix"))
+    cand = prefix_candidates(names, shared, keys, delimiter, token_boundary)
     # Every candidate is a character prefix of the name, so the longest match is
     # substring(name, 1, max length): a hash aggregation on an int.
     best = (cand.join(shared, [*keys, "prefix"])
@@ -91,6 +127,17 @@ def prefix_mapping(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_
             .select(*keys, "name", mapped.alias("mapped")))
 
 
+def prefix_candidates(names: DataFrame, shared: DataFrame, keys: Sequence[str], delimiter: str = NAME_DELIMITER,
+                      token_boundary: bool = False) -> DataFrame:
+    """(*keys, name, prefix): the prefixes of each name that may be shared."""
+    if token_boundary:
+        return names.select(*keys, "name", F.explode(dash_prefixes("name", delimiter)).alias("prefix"))
+    lengths = shared.groupBy(*keys).agg(F.collect_set(F.length("prefix")).alias("_lengths"))  # no more than the longest name has
+    fit = F.filter("_lengths", lambda n: n <= F.length("name"))
+    return names.join(lengths, list(keys)).select(*keys, "name", F.explode(
+        F.transform(fit, lambda n: F.substring("name", F.lit(1), n))).alias("prefix"))
+
+
 def generalize_prefix(df: DataFrame, name_col: str, keys: Sequence[str] = ("target_id",),
                       run_col: str = "job_id", delimiter: str = NAME_DELIMITER, min_runs: int = 2,
                       token_boundary: bool = False) -> DataFrame:
@@ -98,7 +145,7 @@ def generalize_prefix(df: DataFrame, name_col: str, keys: Sequence[str] = ("targ
     m = prefix_mapping(df, name_col, keys, run_col, delimiter, min_runs, token_boundary)
     m = m.withColumnRenamed("name", name_col).withColumnRenamed("mapped", "__mapped")
     cols = [F.col("__mapped").alias(c) if c == name_col else F.col(c) for c in df.columns]
-    return df.join(m, [*keys, name_col], "left").select(*cols)
+    return dictionary_join(df, m, [*keys, name_col], name_col, df.columns).select(*cols)
 
 
 def prefix_mappings(df: DataFrame, name_cols: Sequence[str], keys: Sequence[str] = ("target_id",),
@@ -123,7 +170,7 @@ def apply_mappings(df: DataFrame, mappings: DataFrame, name_cols: Sequence[str],
     for c in name_cols:
         part = (mappings.where(F.col("kind") == c).select(*keys, F.col("name").alias(c), F.col("mapped").alias("__mapped")))
         cols = [F.col("__mapped").alias(x) if x == c else F.col(x) for x in out.columns]
-        out = out.join(part, [*keys, c], "left").select(*cols)
+        out = dictionary_join(out, part, [*keys, c], c, out.columns).select(*cols)
     return out
 
 
@@ -149,4 +196,4 @@ def blank_rare(df: DataFrame, col: str, keys: Sequence[str] = ("target_id",),
               .withColumn("__common", F.lit(True)))
     blanked = F.when(F.col(col).isNotNull() & F.col("__common").isNull(), F.lit("")).otherwise(F.col(col))
     cols = [blanked.alias(c) if c == col else F.col(c) for c in df.columns]
-    return df.join(common, [*keys, col], "left").select(*cols)
+    return dictionary_join(df, scratch_table(common, "common-values"), [*keys, col], col, df.columns).select(*cols)

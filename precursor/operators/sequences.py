@@ -8,12 +8,14 @@ one run inside one search window, which bounds its length.
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precursor.functions.text import event_hash, event_token, mask_message, mask_pod_suffix, node_flag
+from precursor.operators.context import time_bucket
 from precursor.operators.names import apply_mappings, blank_rare, prefix_mappings
 from precursor.schema import EVENT_FIELDS, EVENT_SORT_FIELDS
 
@@ -80,6 +82,27 @@ def ordered_events(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             .drop("_prev"))
 
 
+def ordered_events_by_bucket(df: DataFrame, bucket: dt.timedelta, keys: Sequence[str] = KEYS) -> DataFrame:
+    """:func:`ordered_events` for runs that are too large for a task: the same rows and ``pos``.
+
+    Events are ordered and compared inside (run, time bucket), so a run is spread over its buckets.
+    Of every bucket its count and its last event go on, one narrow row per bucket: the counts before
+    it shift the positions, and its first event is compared with the last one of the bucket before.
+    """
+    width = max(1, int(bucket / dt.timedelta(microseconds=1)))
+    rows = df.withColumn("_b", F.coalesce(time_bucket(F.col("e_from_time"), width), F.lit(1 << 62)))  # no time: last, as in the order
+    w = event_order([*keys, "_b"])
+    rows = rows.withColumn("_at", F.row_number().over(w)).withColumn("_prev", F.lag("event").over(w))
+    ends = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.max_by("event", "_at").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_b")
+    ends = ends.select(*keys, "_b", F.lag("_last").over(before).alias("_border"), F.coalesce(
+        F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    prev = F.when(F.col("_at") == 1, F.col("_border")).otherwise(F.col("_prev"))
+    return (rows.join(ends, [*keys, "_b"]).withColumn("_prev", prev)
+            .where(F.col("_prev").isNull() | (F.col("_prev") != F.col("event")))
+            .withColumn("pos", (F.col("_before") + F.col("_at")).cast("int")).select(*df.columns, "pos"))
+
+
 def build_sequences(events: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """A3: ``(*keys, sequence array<string>, n_events)`` ordered by ``pos``."""
     return (events.groupBy(*keys)
@@ -89,7 +112,7 @@ def build_sequences(events: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def token_events(ctx: DataFrame, node_compat: bool = False, token_boundary: bool = False,
-                 min_runs: int = 2, mappings: DataFrame | None = None) -> DataFrame:
-    """Normalised, tokenised, ordered and collapsed events of every run."""
-    df = normalize_context(ctx, node_compat, token_boundary, min_runs, mappings)
-    return ordered_events(add_tokens(drop_all_null(df)))
+                 min_runs: int = 2, mappings: DataFrame | None = None, bucket: dt.timedelta | None = None) -> DataFrame:
+    """Normalised, tokenised, ordered and collapsed events of every run (by time ``bucket`` where given)."""
+    df = add_tokens(drop_all_null(normalize_context(ctx, node_compat, token_boundary, min_runs, mappings)))
+    return ordered_events(df) if bucket is None else ordered_events_by_bucket(df, bucket)

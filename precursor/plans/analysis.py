@@ -3,7 +3,7 @@
 Stages and where they are cut (materialised under the shared scratch folder,
 keyed by a fingerprint of the inputs' snapshot and the stage's parameters):
 
-1. ``flat``        - payload parsed once (S1, P1-P4).
+1. ``flat``        - payload parsed once (S1, P1-P4), by day; the analysis asks for the days of its range alone.
 2. ``anchors``     - first admitted interval per (target, run) (F6-F9, J1, W1, P5).
 3. ``context``     - window join + exclusions (F10-F14, J2, P6-P8); read by the name
    mapping, the message statistic and the tokens.
@@ -14,12 +14,13 @@ keyed by a fingerprint of the inputs' snapshot and the stage's parameters):
 8. ``support``     - supporting runs of each pattern (J6).
 9. ``window_rows`` - intervals in the windows of supporting runs, with payload text (J3).
 
-Examples, evidence and the report tables are lazy views over these.
+Examples, evidence and the report tables are lazy views over these.  ``anchors_full`` and
+``context_full`` attach payloads to the rows of 2 and 3, which never read them.
 """
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,25 +31,22 @@ from precursor.operators import anchors as anc
 from precursor.operators import context as ctx
 from precursor.operators import evidence as ev
 from precursor.operators import mining as mn
+from precursor.operators import payloads as pay
 from precursor.operators import sequences as sq
 from precursor.plans.config import AnalysisConfig
-from precursor.sources.cache import fingerprint, materialize, snapshot_id
+from precursor.sources.cache import fingerprint, materialize, snapshot
+from precursor.sources.flat import FlatStore, date_of, day_range, raw_rows, DAY
+from precursor.sources.ordered import read_ordered, write_ordered
 
 
-def _snapshot(*dfs: DataFrame) -> str:
-    """Identity of the data and plans of ``dfs``; a new one each time when their data cannot be identified."""
-    files = snapshot_id(*dfs) or uuid.uuid4().hex
-    # the plans cover what is computed from the files, such as the adapter's expressions
-    plans = [df._jdf.queryExecution().analyzed().canonicalized().toString() for df in dfs]
-    return fingerprint(files, plans, [df.semanticHash() for df in dfs], [df.schema.json() for df in dfs])
+def flat_store(intervals: DataFrame, known: str | None = None) -> FlatStore:
+    """The flat interval table of an input snapshot, partitioned by day."""
+    return FlatStore(intervals, fingerprint("flat", known or snapshot(intervals)))
 
 
-def prepare_intervals(intervals: DataFrame, snapshot: str | None = None) -> DataFrame:
-    """Flat interval table, written once per input snapshot (parse once)."""
-    # Sorted by time inside each file: row-group min/max stats then let literal
-    # time filters skip data (range filters, payload fetches of the report).
-    flat = flatten_intervals(intervals).sortWithinPartitions("from_time")
-    return materialize(flat, "flat", fingerprint("flat", snapshot or _snapshot(intervals)))
+def prepare_intervals(intervals: DataFrame, known: str | None = None) -> DataFrame:
+    """The whole flat interval table, every day parsed once per input snapshot."""
+    return flat_store(intervals, known).all()
 
 
 class Analysis:
@@ -66,8 +64,8 @@ class Analysis:
         self.cache = cache
         self._flat = flat
         # the flat table depends on the intervals alone: a new job file doesn't parse them again
-        self.intervals_snapshot = _snapshot(intervals if intervals is not None else flat)
-        self.snapshot = fingerprint(self.intervals_snapshot, _snapshot(jobs))
+        self.intervals_snapshot = snapshot(intervals if intervals is not None else flat)
+        self.snapshot = fingerprint(self.intervals_snapshot, snapshot(jobs))
 
     def _fp(self, stage: str) -> str:
         return fingerprint(stage, self.snapshot, self.cfg.stage_description(stage))
@@ -84,6 +82,18 @@ class Analysis:
             return flatten_intervals(self.intervals)
         return prepare_intervals(self.intervals, self.intervals_snapshot)
 
+    @cached_property
+    def flat_in_range(self) -> DataFrame:
+        """The flat rows that the analysis can reach: the date range and the search windows at its ends."""
+        c = self.cfg
+        lo, hi = (dt.datetime.fromisoformat(str(t)) for t in (c.start, c.end))
+        lo, hi = lo - c.lookback, hi + c.lookahead
+        if self._flat is not None:
+            return self._flat.where(day_range(date_of(lo), date_of(hi))) if DAY in self._flat.columns else self._flat
+        if not self.cache:
+            return flatten_intervals(raw_rows(self.intervals, [(date_of(lo), date_of(hi))]))
+        return flat_store(self.intervals, self.intervals_snapshot).days(lo, hi)
+
     @cached_property
     def jobs(self) -> DataFrame:
         return self.jobs_raw
@@ -91,13 +101,13 @@ class Analysis:
     @cached_property
     def anchors(self) -> DataFrame:
         c = self.cfg
-        found = anc.find_anchors(self.flat, self.jobs, c.targets, c.start, c.end, c.job_includes,
+        found = anc.find_anchors(self.flat_in_range, self.jobs, c.targets, c.start, c.end, c.job_includes,
                                  c.job_excludes, c.excluded_origin, c.display_value)
         return self._cut(found, "anchors")
 
     def context_plan(self) -> DataFrame:
         c = self.cfg
-        return ctx.context_events(self.flat, self.anchors, c.targets, c.start, c.end, c.lookback, c.lookahead,
+        return ctx.context_events(self.flat_in_range, self.anchors, c.targets, c.start, c.end, c.lookback, c.lookahead,
                                   c.closing_reason, c.began_reason, c.began_keep_backend, c.noise_rules,
                                   c.keep_null_reason)
 
@@ -114,7 +124,7 @@ class Analysis:
     @cached_property
     def events(self) -> DataFrame:
         c = self.cfg
-        ev_ = sq.token_events(self.context, c.node_compat, c.token_boundary, c.min_runs, self.name_map)
+        ev_ = sq.token_events(self.context, c.node_compat, c.token_boundary, c.min_runs, self.name_map, c.event_bucket)
         return self._cut(ev_, "events")
 
     @cached_property
@@ -127,6 +137,22 @@ class Analysis:
         top = mn.topk_closed(self.sequences, c.k, c.min_runs)
         return self._cut(top, "patterns")
 
+    # -- rows with payloads -------------------------------------------------------
+    @cached_property
+    def anchors_full(self) -> DataFrame:
+        """P5: anchors with ``d_payload``."""
+        return self._cut(pay.anchor_payloads(self.anchors, self.flat_in_range), "anchors_full")
+
+    @cached_property
+    def context_full(self) -> DataFrame:
+        """Context rows with ``d_payload`` and ``e_payload``."""
+        return pay.context_payloads(self.context, self.anchors_full, self.flat_in_range)
+
+    def write_context(self, path: str, mode: str = "overwrite") -> DataFrame:
+        """O1: the context with payloads in the order of (target, run, time), read back with its ordinal."""
+        order = ["target_id", "job_id", "e_from_time", "e_event_id"]
+        return read_ordered(self.spark, write_ordered(self.context_full, path, *order, mode=mode))
+
     # -- drill-down ---------------------------------------------------------------
     @cached_property
     def support(self) -> DataFrame:
@@ -138,7 +164,7 @@ class Analysis:
         runs = self.support.select("target_id", "job_id").distinct()
         supporting = self.anchors.join(runs, ["target_id", "job_id"], "left_semi")
         c = self.cfg
-        return self._cut(ev.window_rows(self.flat, supporting, c.lookback, c.lookahead), "window_rows")
+        return self._cut(ev.window_rows(self.flat_in_range, supporting, c.lookback, c.lookahead), "window_rows")
 
     @cached_property
     def support_detail(self) -> DataFrame:

@@ -45,6 +45,7 @@ class AnalysisConfig:
     min_runs: int = 2
     node_compat: bool = False
     token_boundary: bool = False
+    event_bucket: dt.timedelta | None = None  # order events by (run, time bucket): for windows too large for a task
 
     def describe(self) -> dict:
         """Canonical description (for fingerprints and report headings)."""

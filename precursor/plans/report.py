@@ -20,12 +20,14 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precursor.fixed import NO_MATCH
-
 from precursor.functions.text import display_text
 from precursor.operators.mining import PATTERN_SEPARATOR, pattern_text, support_fraction
 from precursor.plans.analysis import Analysis
+from precursor.sources.ordered import read_ordered, write_ordered
+
 
+#: Status of a target whose anchors have no context rows.
+NO_CONTEXT = "no context"
 
 
 def target_summary(a: Analysis) -> DataFrame:
@@ -39,7 +41,7 @@ def target_summary(a: Analysis) -> DataFrame:
     counts = ["n_anchors", "n_context_rows", "n_runs", "n_patterns"]
     out = out.select("target_id", "target_name", "target_label", "ignore_label",
                      *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts])
-    return out.withColumn("status", F.when(F.col("n_context_rows") == 0, F.lit(NO_MATCH)).otherwise(F.lit("ok")))
+    return out.withColumn("status", F.when(F.col("n_context_rows") == 0, F.lit(NO_CONTEXT)).otherwise(F.lit("ok")))
 
 
 def patterns_table(a: Analysis) -> DataFrame:
@@ -76,8 +78,18 @@ def report_nested(a: Analysis) -> DataFrame:
         "d_backend_disruption_name", F.try_parse_json("d_payload").alias("target_payload"), "examples")
 
 
+#: O3: evidence is ordered by time within each run; the range partitions split a hot run by time.
+EVIDENCE_ORDER = ("target_id", "job_id", "from_time", "event_id")
+
+
+def ordered_evidence(a: Analysis, path: str) -> DataFrame:
+    """O3: the evidence rows written in their order, read back with their ordinal."""
+    return read_ordered(a.spark, write_ordered(a.evidence, path, *EVIDENCE_ORDER))
+
+
 def write_report(a: Analysis, path: str, mode: str = "overwrite", parallelism: int = 4) -> dict[str, str]:
-    """Write all report tables under ``path`` (parquet partitioned by target; nested report as JSON lines).
+    """Write all report tables under ``path`` (parquet partitioned by target; nested report as JSON lines;
+    the evidence as an ordered table).
 
     The tables are independent, so they are written by concurrent Spark jobs.
     """
@@ -87,15 +99,15 @@ def write_report(a: Analysis, path: str, mode: str = "overwrite", parallelism: i
         "patterns": (patterns_table(a), True),
         "pattern_support": (support_table(a), True),
         "pattern_examples": (a.examples, True),
-        # O3: ordered by time within each run; range partitioning splits a hot run by time
-        "window_evidence": (a.evidence.repartitionByRange("target_id", "job_id", "from_time")
-                            .sortWithinPartitions("target_id", "job_id", "from_time"), True),
+        "window_evidence": (a.evidence, False),
         "report_nested": (nested.select("target_id", F.to_json(F.struct(*nested.columns)).alias("value")), True),
     }
 
     def write(item: tuple[str, tuple[DataFrame, bool]]) -> tuple[str, str]:
         name, (df, by_target) = item
         p = f"{path}/{name}"
+        if name == "window_evidence":
+            return name, write_ordered(df, p, *EVIDENCE_ORDER, mode=mode)
         w = df.write.mode(mode)
         if by_target:
             w = w.partitionBy("target_id")

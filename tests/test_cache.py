@@ -8,9 +8,9 @@ import os
 from pyspark.sql import functions as F
 
 from precursor.functions.criteria import Field, FieldLike, Target
-from precursor.plans.analysis import Analysis, _snapshot
+from precursor.plans.analysis import Analysis
 from precursor.plans.config import AnalysisConfig
-from precursor.sources.cache import snapshot_id
+from precursor.sources.cache import snapshot, snapshot_id
 from precursor.sources.intervals import read_intervals
 
 
@@ -32,7 +32,7 @@ def test_a_rewritten_file_changes_the_key_of_a_large_table(spark, tmp_path):
 def test_data_without_files_is_never_identified(spark):
     df = spark.range(3)
     assert snapshot_id(df) is None
-    assert _snapshot(df) != _snapshot(df)
+    assert snapshot(df) != snapshot(df)
 
 
 def _tables(spark, folder):

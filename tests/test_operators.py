@@ -182,12 +182,12 @@ def test_long_common_sequences_take_few_levels(spark, monkeypatch):
     from precursor.operators import closed
 
     levels = []
-    level = closed._level
-    monkeypatch.setattr(closed, "_level", lambda state: levels.append(1) or level(state))
+    counts = closed._counts
+    monkeypatch.setattr(closed, "_counts", lambda *state: levels.append(1) or counts(*state))
     seqs = {str(i): [f"e{j:02}" for j in range(40)] for i in range(20)}
     got = MN.topk_closed(seq_df(spark, seqs), 25).collect()
     assert [(r["pattern"], r["freq"], r["rank"]) for r in got] == [(seqs["0"], 20, 1)]
-    assert len(levels) <= 2 * 4  # two in each round of the threshold (20, 10, 5, 2)
+    assert len(levels) <= 2 * 3  # two in each round of the threshold (20, 5, 2)
 
 
 def test_repeated_intervals_without_an_id_get_ids_of_their_own(spark):
@@ -198,3 +198,93 @@ def test_repeated_intervals_without_an_id_get_ids_of_their_own(spark):
     ids = [sorted(r["event_id"] for r in read_intervals(spark, spark.createDataFrame(rows, cols).repartition(n)).collect()) for n in (1, 5)]
     assert len(set(ids[0])) == len(rows)
     assert ids[0] == ids[1]
+
+
+def test_prefix_candidates_have_shared_lengths(spark):
+    """A name gives one candidate per length of a shared prefix, not one per character."""
+    from precursor.operators import names as N
+
+    rows = [(0, f"run{r}", f"service-{'x' * 40}-{i}-{r}") for i in range(20) for r in range(2)]
+    df = spark.createDataFrame(rows, "target_id int, job_id string, name string")
+    shared = N.shared_prefixes(df, "name", with_counts=False)
+    names = df.select("target_id", "name").distinct()
+    lengths = shared.selectExpr("length(prefix) AS n").distinct().count()
+    made = N.prefix_candidates(names, shared, ["target_id"]).count()
+    assert made <= names.count() * lengths and lengths <= 4
+    mapped = {r["name"]: r["mapped"] for r in N.prefix_mapping(df, "name").collect()}
+    assert mapped == {n: f"service-{'x' * 40}-{n.split('-')[2]}-..." for _, _, n in rows}
+
+
+def test_dictionary_join_spreads_nulls_and_heavy_values(spark):
+    """A third NULL, a third one value; no partition holds twice the mean, and the result is the plain join's."""
+    from pyspark.sql import functions as F
+
+    from precursor.operators.names import dictionary_join
+
+    df = spark.range(30_000).selectExpr("0 AS target_id", "id", "CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'hot' ELSE concat('v', id % 5000) END AS m")
+    facts = df.where("m IS NOT NULL").selectExpr("target_id", "m", "length(m) AS fact").distinct().where("m <> 'v7'")
+    want = sorted(map(tuple, df.join(facts, ["target_id", "m"], "left").select("id", "m", "fact").collect()))
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = dictionary_join(df, facts, ["target_id", "m"], "m", ["id"])
+        assert sorted(map(tuple, out.select("id", "m", "fact").collect())) == want
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) <= 2 * 30_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+
+
+def test_support_candidates_join_on_the_rarest_item(spark):
+    """Where every run has the first item, candidate pairs come from an item that few runs have."""
+    from precursor.operators import evidence as E
+
+    seqs = spark.createDataFrame([(0, f"r{i}", ["common", f"own{i % 10}"]) for i in range(100)], "target_id int, job_id string, sequence array<string>")
+    pats = spark.createDataFrame([(0, ["common", f"own{i}"], 10, i) for i in range(10)], "target_id int, pattern array<string>, freq long, rank int")
+    items = seqs.selectExpr("target_id", "job_id", "explode(sequence) AS item")
+    assert items.join(E.rarest_items(items, pats), ["target_id", "item"]).count() == 100  # the first item would give 1000
+    got = {(r["rank"], r["job_id"]) for r in E.pattern_support(seqs, pats).collect()}
+    assert got == {(i % 10, f"r{i}") for i in range(100)}
+
+
+def test_one_scalar_rule(spark):
+    """The parse-once and the ad-hoc path agree on repeated keys, large and exponent numbers, containers and odd text."""
+    from precursor.functions import payload as P
+
+    texts = ['{"source": "a", "source": "b"}', '{"source": 100000000000000000000.0}', '{"source": 1e3}', '{"source": 1.50}',
+             '{"source": {"a": 1}}', '{"source": [1]}', '{"source": "{not json"}', '{"source": "[1]"}', '{"source": null}', '{"source": true}',
+             '{"source": "{\\"a\\": 1}"}', "{", "", "[1]", None, '{"locator": "gone", "source": {}}', '{"message": {"reason": {"x": 1}}, "source": ""}']
+    df = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "job_id string, event_id long, interval string").selectExpr(
+        "*", "timestamp_ntz'2024-01-01 00:00:00' AS from_time", "timestamp_ntz'2024-01-01 00:00:00' AS to_time", "'o' AS origin",
+        "CAST(NULL AS string) AS interval_json")
+    flat = P.flatten_intervals(df)
+    from precursor.schema import PAYLOAD_FIELDS
+    got = flat.select("event_id", *[F_.alias(n) for n, F_ in [(f"a_{n}", P.json_scalar_text("payload", p)) for n, p in PAYLOAD_FIELDS.items()]], *PAYLOAD_FIELDS)
+    for r in got.collect():
+        for n in PAYLOAD_FIELDS:
+            assert r[n] == r[f"a_{n}"], (texts[r["event_id"]], n)
+    source = {r["event_id"]: r["source"] for r in got.collect()}
+    assert [source[i] for i in range(11)] == ["b", "1.0E20", "1000.0", "1.5", None, None, "{not json", "[1]", None, "true", '{"a": 1}']
+    assert [source[i] for i in range(11, 17)] == [None, None, None, None, None, ""]
+
+
+def test_a_run_over_many_buckets_is_ordered_alike(spark):
+    """Events ordered by (run, time bucket) with the border event carried equal the window over the whole run."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from precursor.operators import sequences as S
+
+    df = spark.range(4000).selectExpr(
+        "0 AS target_id", "CAST(id % 3 AS string) AS job_id", "id AS e_event_id",
+        "CASE WHEN id % 97 = 0 THEN NULL ELSE timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(hash(id) % 3000 AS int)) END AS e_from_time",
+        *[f"CAST(NULL AS string) AS {c}" for c in S.EVENT_SORT_FIELDS], "concat('t', hash(id, 1) % 2) AS event").repartition(5)
+    want = sorted(map(tuple, S.ordered_events(df).select("job_id", "pos", "event", "e_event_id").collect()))
+    for minutes in (1, 117, 10**6):
+        got = S.ordered_events_by_bucket(df, dt.timedelta(minutes=minutes))
+        assert sorted(map(tuple, got.select("job_id", "pos", "event", "e_event_id").collect())) == want
+    buckets = df.where("e_from_time IS NOT NULL").select(F.expr("timestampdiff(MINUTE, timestamp_ntz'2024-01-01 00:00:00', e_from_time) div 117")).distinct()
+    assert buckets.count() > 50 and len(want) < 4000

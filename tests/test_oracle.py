@@ -14,8 +14,11 @@ SF = "/root/testdata/sf0.01"
 def test_all_queries_match_oracle(spark):
     import __spark_entry__ as E
 
-    assert set(E.queries()) == set(E.oracle_sql()), "every query has an oracle"
-    res = oracle_compare.compare(spark, SF, verbose=False)
+    queries, oracles = set(E.queries()), set(E.oracle_sql())
+    assert oracles <= queries
+    own = {q for q in queries if not q.startswith("op") and q != "pipeline"}  # the corpus part has its own tests
+    assert own <= oracles, "every query of the analysis has an oracle"
+    res = oracle_compare.compare(spark, SF, sorted(own), verbose=False)
     bad = {k: {x: y for x, y in r.items() if not x.startswith("_")} for k, r in res.items() if r["status"] != "match"}
     assert not bad, bad
 

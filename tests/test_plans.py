@@ -80,7 +80,7 @@ def test_window_join_without_broadcast_is_keyed_by_run_and_time(a, spark):
     try:
         df = a.context_plan()
         p = plan(df)
-        assert "SortMergeJoin [job_id" in p and "_b" in p.split("SortMergeJoin", 1)[1].split("\n", 1)[0]
+        assert any("SortMergeJoin [job_id" in x and "_b#" in x for x in p.splitlines())
         assert rows(df) == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
@@ -120,3 +120,54 @@ def test_hot_run_is_spread_over_partitions(spark):
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v)
+
+
+def test_mining_moves_states_not_sequences(spark):
+    """M3: a level joins its states to the bucketed sequences, which stay where they are; shuffle keys are numbers."""
+    import re
+
+    from precursor.operators import closed as C
+
+    rows = [(0, r, [1, 2, r % 3 + 3, 9]) for r in range(60)]
+    seqs, name = C.stored_sequences(spark.createDataFrame(rows, "target_id int, run long, seq array<bigint>"))
+    states = seqs.selectExpr("CAST(target_id AS bigint) AS prefix", "run", "0 AS place")
+    prefixes = spark.createDataFrame([(0, 0, [], 60)], "prefix long, target_id int, pattern array<bigint>, support long")
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counts = C._counts(states, prefixes, seqs)
+        p = plan(counts)
+        scans = [x for x in p.splitlines() if "FileScan" in x and "seq#" in x]
+        assert scans and all("Bucketed: true" in x for x in scans)
+        assert not re.search(r"Exchange hashpartitioning\(run", p)  # the states come from the same buckets here
+        keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", p)
+        assert keys and not any("pattern" in k or "seq" in k for k in keys)
+        moved = spark.createDataFrame([(0, r, 0) for r in range(60)], "prefix long, run long, place int")
+        p = plan(C._counts(moved, prefixes, seqs))
+        assert len(re.findall(r"Exchange hashpartitioning\(run", p)) == 1
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_window_join_is_narrow_and_filtered_by_runs(a, spark):
+    """Rows of runs without an anchor are dropped where they are scanned, and the join moves narrow anchors."""
+    import re
+
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        p = plan(a.context_plan())
+        lines = p.splitlines()
+        join = next(i for i, x in enumerate(lines) if "SortMergeJoin [job_id" in x and "_b#" in x)
+        assert any("BroadcastHashJoin" in x and "LeftSemi" in x for x in lines[join:])  # the run filter, under the join
+        scans = [re.search(r"ReadSchema: struct<(.*)", x)[1] for x in p.splitlines() if "d_from_time" in x and "ReadSchema" in x]
+        narrow = [s for s in scans if "job_url" not in s and "d_message" not in s and "d_from_time" in s]
+        assert narrow  # the side that meets the intervals; the other scan attaches the rest afterwards
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
