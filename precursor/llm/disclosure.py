@@ -7,12 +7,14 @@ kind and normalised value).
 **Disclosing terms.**  Every word of a document that mentions an entity, wherever it stands outside the
 emails, is judged.  With c an entity, t a word, and the numbers over the different texts of the corpus
 (copies of a document count once) n(c) that mention c, n(t) that hold t, n(c, t) that do both, and N of
-all, c itself holds IC(c) = ln(N / n(c)) and t reveals PMI(c; t) = ln(P(c | t) N / n(c)) of it, where
-P(c | t) = (n(c, t) + n(c) / N) / (n(t) + 1) is smoothed by one document like the corpus: a single
-sighting proves less than many.  disclosure = PMI / IC comes near 1 for a word found in no document
-without c.  In all documents that mention c, words over ``GENERALISE`` are generalised and words over
-``REMOVE`` removed wherever they stand.  Documents without a protected entity are never touched; an
-entity in all documents holds no information.
+all, c itself holds IC(c) = log2(N / n(c)) bits and t reveals PMI(c; t) = log2(P(c | t) N / n(c)) of
+them.  What t leaves hidden, IC - PMI = -log2 P(c | t), does not depend on N, so a word is judged alike in a
+small and in a large corpus.  P(c | t) is taken at the lower end of its confidence interval (Wilson's, one
+standard error), and t must be seen with c in ``SEEN`` different texts: few sightings prove less than
+many.  In all documents that mention c, words that leave at most ``GENERALISE`` bits hidden are
+generalised and words that leave at most ``REMOVE`` bits removed, wherever they stand.  ``disclosure`` is
+the lower end of P(c | t).  Documents without a protected entity are never touched; an entity in all
+documents holds no information.
 
 Entities that the same documents mention have the same numbers and are counted as one class, so a
 document with many entities of its own makes no more pairs than one with a single entity.
@@ -47,7 +49,10 @@ _HINTS = {
 }
 _WORD = r"\p{L}+"
 _NOT_WORD = r"[^\p{L}]+"
-GENERALISE, REMOVE = 0.9, 0.98
+#: Bits of an entity that a word may leave hidden to be generalised, and to be removed.
+GENERALISE, REMOVE = 1.0, 0.25
+#: Different texts in which a word must stand with the entity.
+SEEN = 2
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -159,13 +164,19 @@ def _term_counts(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     return weighted.select("w", F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.sum("w").alias("n_t"))
 
 
-def _disclosure(n_ct: Column, n_t: Column, n_c: Column, n_all: float) -> Column:
-    p = (n_ct + n_c / F.lit(n_all)) / (n_t + 1)
-    return F.when(n_c < n_all, 1 + F.log(p) / F.log(F.lit(n_all) / F.when(n_c < n_all, n_c))).otherwise(0.0)
+def _disclosure(n_ct: Column, n_t: Column) -> Column:
+    """Lower end of P(c | t): Wilson's interval at one standard error."""
+    p = n_ct / n_t
+    return (p + 0.5 / n_t - F.sqrt(p * (1 - p) / n_t + 0.25 / (n_t * n_t))) / (1 + 1.0 / n_t)
+
+
+def _told(bits: float) -> float:
+    """The least P(c | t) that leaves ``bits`` hidden (not the bound itself: one half is even odds)."""
+    return 2.0 ** -bits * (1 + 1e-9)
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, held: DataFrame, text: str = "text") -> DataFrame:
-    """(_doc, term, disclosure) of the words of each text of ``held`` whose disclosure is at least ``GENERALISE``."""
+    """(_doc, term, disclosure) of the words of each text of ``held`` that leave at most ``GENERALISE`` bits hidden."""
     texts = written(base.groupBy("_key").agg(F.count("*").alias("n")), "pii-texts")
     n_all = float(max(texts.count(), 1))
     mentions = written(held.select("_doc", F.explode("_entities").alias("entity")), "pii-mentions")
@@ -174,25 +185,25 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, held: DataFrame, text: st
         F.count("*").alias("n_c"), F.bit_xor(F.xxhash64("_doc")).alias("a"),
         F.bit_xor(F.xxhash64("_doc", F.lit(1))).alias("b")), "pii-entities")
     classes = written(attach(mentions, facts, "entity", "inner").select("_doc", "n_c", "a", "b").distinct(), "pii-classes")
-    # n(c, t) <= n(c), so a word that may reach GENERALISE has n(t) + 1 <= n(c) ** .9 N ** .1 (1 + 1 / N), which grows with n(c)
-    most = lambda n_c: F.pow(n_c, F.lit(GENERALISE)) * n_all ** (1 - GENERALISE) * (1 + 1 / n_all) * (1 + 1e-9)
+    classes = classes.where((F.col("n_c") >= SEEN) & (F.col("n_c") < n_all))
+    # n(c, t) <= n(c) and P(c | t) <= n(c, t) / n(t), so a word that may be marked has n(t) <= n(c) / P
     counts = written(_term_counts(docs, texts, text), "pii-words")
     widest = classes.groupBy("_doc").agg(F.max("n_c").alias("widest"))
     words = held.join(widest, "_doc").select("_doc", "widest", F.explode(_terms(F.col("_text"))).alias("term"))
-    near = written(attach(words, counts, "term", "inner").where(F.col("n_t") + 1 <= most(F.col("widest")))
+    near = written(attach(words, counts, "term", "inner").where((F.col("n_t") >= SEEN) & (F.col("n_t") * _told(GENERALISE) <= F.col("widest")))
                    .select("_doc", "term", "n_t"), "pii-near")
-    best = _disclosure(F.least("n_c", "n_t"), F.col("n_t"), F.col("n_c"), n_all)
-    pairs = written(near.join(classes, "_doc").where(best >= GENERALISE - 1e-9), "pii-pairs")
-    found = written(pairs.groupBy("a", "b", "n_c", "term", "n_t").agg(F.count("*").alias("n_ct"))
-                    .withColumn("disclosure", _disclosure(F.col("n_ct"), F.col("n_t"), F.col("n_c"), n_all))
-                    .where(F.col("disclosure") >= GENERALISE).select("a", "b", "n_c", "term", "disclosure"), "pii-terms")
+    best = _disclosure(F.least("n_c", "n_t"), F.col("n_t"))
+    pairs = written(near.join(classes, "_doc").where(best >= _told(GENERALISE)), "pii-pairs")
+    found = written(pairs.groupBy("a", "b", "n_c", "term", "n_t").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= SEEN)
+                    .withColumn("disclosure", _disclosure(F.col("n_ct"), F.col("n_t")))
+                    .where(F.col("disclosure") >= _told(GENERALISE)).select("a", "b", "n_c", "term", "disclosure"), "pii-terms")
     return pairs.join(found, ["a", "b", "n_c", "term"]).groupBy("_doc", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, _row (a hash of the text) and ``spans`` (kind, start, end): base, then terms.
 
-    Term spans have kind ``generalise`` or ``remove`` and are ordered by start.
+    Term spans have kind ``generalise`` or ``remove`` and are ordered by kind, then start.
     """
     base = written(_rows(docs, id, text), "pii-base")
     entities = F.array_distinct(F.transform("_base", lambda m: _entity(m["kind"], m["value"])))
@@ -200,12 +211,12 @@ def personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
                    .withColumn("_doc", F.monotonically_increasing_id()), "pii-held")
     found = written(disclosing_terms(docs, base, held, text), "pii-found-terms")
     places = _places(held.join(found.select("_doc").distinct(), "_doc").select("_doc", "_text"))
-    level = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    level = F.when(F.col("disclosure") >= _told(REMOVE), "remove").otherwise("generalise")
     marks = places.join(found, ["_doc", "term"]).groupBy("_doc").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", level.alias("kind")))).alias("_terms"))
+        F.sort_array(F.collect_list(F.struct(level.alias("kind"), "start", "end"))).alias("_terms"))
     terms = written(marks.join(held.select("_doc", "_key"), "_doc").select("_key", "_terms"), "pii-spans")
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return attach(base.select("_id", "_row", "_key", "_base"), terms, "_key").select(
         F.col("_id").alias(id), "_row",
         F.concat(F.transform("_base", plain), F.transform(F.coalesce("_terms", none), plain)).alias("spans"))
