@@ -119,6 +119,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def prefix_sums(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total, down) of bytes: the hash of part[i:j] before mixing is (total[j] - total[i]) * down[i]."""
+    up, down = _powers(len(part) + 1)
+    total = np.zeros(len(part) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[part] * up[:len(part)], out=total[1:])
+    return total, down
+
+
 def word_hashes(data: bytes, piece: int = 4 * BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of every word of UTF-8 text, a bounded piece at a time."""
     starts, hashes, lo = [], [], 0
@@ -136,9 +144,7 @@ def word_hashes(data: bytes, piece: int = 4 * BLOCK_CHARS) -> tuple[np.ndarray,
         space[1:-1] = _SPACE[part]
         begin = np.flatnonzero(space[:-1] & ~space[1:])
         end = np.flatnonzero(~space[:-1] & space[1:])
-        up, down = _powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[part] * up[:len(part)], out=total[1:])
+        total, down = prefix_sums(part)
         starts.append(begin + lo)
         hashes.append(mix64((total[end] - total[begin]) * down[begin]))
         lo = hi

@@ -30,6 +30,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precursor.llm.common import slices, text_blocks, text_or_empty, word_hashes, written
+from precursor.llm.common import mix64, prefix_sums, slices, text_blocks, text_or_empty, word_hashes, written
 
 MIN_LENGTH = 16
 THRESHOLD = 0.5
@@ -106,20 +107,38 @@ def corpus_statistics(docs: DataFrame, text: str = "text") -> CorpusStatistics:
 
 
 # ---------------------------------------------------------------------------- candidates
-def coverage(value: str, frequent: frozenset[int]) -> float:
-    """Share of the characters that lie in frequent words of 4 letters or more, longest first from the left."""
-    low = value.lower().encode()
-    spans = [low[i:j] for i in range(len(low)) for j in range(i + 4, min(i + 12, len(low)) + 1)]
-    spans = [s for s in spans if s.isalpha()]
-    if not spans:
+@lru_cache(maxsize=4)
+def _entries(frequent: frozenset[int]) -> np.ndarray:
+    entries = np.zeros(WORD_ENTRIES, dtype=bool)
+    entries[list(frequent)] = True
+    return entries
+
+
+def coverage(value: str, frequent: frozenset[int], piece: int = 1 << 16) -> float:
+    """Share of the bytes that lie in frequent words of 4 to 12 letters, longest first from the left.
+
+    The words that begin at each byte are hashed from prefix sums, a piece of the value at a time.
+    """
+    raw = np.frombuffer(value.lower().encode(), dtype=np.uint8)
+    letter = (raw >= 0x61) & (raw <= 0x7A)
+    if len(raw) < 4 or not letter.any():
         return 0.0
-    _, h = word_hashes(b" ".join(spans))
-    known = {s for s, k in zip(spans, (h % np.uint64(WORD_ENTRIES)).tolist(), strict=True) if k in frequent}
+    entries = _entries(frequent)
+    longest = np.zeros(len(raw), dtype=np.uint8)  # longest frequent word that begins here
+    for lo in range(0, len(raw), piece):
+        part, ok = raw[lo:lo + piece + 11], np.concatenate([[0], np.cumsum(letter[lo:lo + piece + 11])])
+        total, down = prefix_sums(part)
+        for n in range(4, min(12, len(part)) + 1):
+            begin = np.flatnonzero(ok[n:] - ok[:-n] == n)
+            begin = begin[begin < piece]
+            h = mix64((total[begin + n] - total[begin]) * down[begin])
+            longest[lo + begin[entries[(h % np.uint64(WORD_ENTRIES)).astype(np.int64)]]] = n
     at = covered = 0
-    while at < len(low):
-        n = next((n for n in range(min(12, len(low) - at), 3, -1) if low[at:at + n] in known), 0)
-        covered, at = covered + n, at + max(n, 1)
-    return covered / len(low)
+    for start in np.flatnonzero(longest).tolist():
+        if start >= at:
+            n = int(longest[start])
+            covered, at = covered + n, start + n
+    return covered / len(raw)
 
 
 def features(value: str, before: str, after: str, path: str, stats: CorpusStatistics) -> list[float]:
