@@ -36,7 +36,7 @@ END_ID = 1
 #: Open sequences a task holds before it fills them up (bounds memory to MAX_OPEN * CAPACITY ids).
 MAX_OPEN = 4096
 #: Parts of texts whose ids a worker remembers between blocks (a cache: it changes no result).
-CACHED_PARTS = 1_000_000
+CACHED_PARTS = 400_000
 # Parts made of these characters are split into words here; the rest is left to the tokeniser.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,!?]+")
 _WORDS = re.compile(r"[a-zà-öø-ÿß]+|[.,!?]+")
