@@ -9,6 +9,7 @@ are plain column filters that reach the parquet scan.  Shown payloads are parsed
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,21 +59,22 @@ def json_scalar(value: Column, path: str) -> Column:
     return F.when(maybe_container & is_container, F.lit(None).cast("string")).otherwise(text)
 
 
-def _is_container(payload: Column, path: str) -> Column:
-    """Whether an object or an array (not a string that looks like one) is at ``path``."""
-    def held(kind: T.DataType) -> Column:
-        return _leaf(F.from_json(payload, _payload_struct({"": path}, kind)), path).isNotNull()
-    return held(T.MapType(T.StringType(), T.StringType())) | held(T.ArrayType(T.StringType()))
+#: Leaf types that only an object, and only an array, can be read as.
+_CONTAINERS = (T.MapType(T.StringType(), T.StringType()), T.ArrayType(T.StringType()))
 
 
-def _scalar(payload: Column, text: Column, path: str) -> Column:
+def _like_container(text: Column) -> Column:
+    return text.startswith("{") | text.startswith("[")
+
+
+def _scalar(text: Column, read_as: list[Column], path: str) -> Column:
     """P2's rule on the string leaf ``text`` that ``from_json`` gives at ``path``.
 
-    A leaf over an object or an array holds its JSON text; only text that starts like one is looked
-    at again (CASE evaluates its branches lazily).
+    A leaf over an object or an array holds its JSON text.  Only text that starts like one is looked at
+    again: ``read_as`` are the payload parsed with each of the leaf types of containers.
     """
-    maybe_container = text.startswith("{") | text.startswith("[")
-    return F.when(maybe_container & _is_container(payload, path), F.lit(None).cast("string")).otherwise(text)
+    held = reduce(Column.__or__, [_leaf(s, path).isNotNull() for s in read_as])
+    return F.when(_like_container(text) & held, F.lit(None).cast("string")).otherwise(text)
 
 
 def json_scalar_text(payload: Column | str, path: str) -> Column:
@@ -81,8 +83,9 @@ def json_scalar_text(payload: Column | str, path: str) -> Column:
     Strings come back unquoted, numbers and booleans as the parser writes them (``1.0E20``), of
     repeated keys the last counts; malformed text gives NULL.
     """
-    p = _c(payload)
-    return _scalar(p, _leaf(F.from_json(p, _payload_struct({"": path})), path), path)
+    p, one = _c(payload), {"": path}
+    text = _leaf(F.from_json(p, _payload_struct(one)), path)
+    return _scalar(text, [F.from_json(p, _payload_struct(one, kind)) for kind in _CONTAINERS], path)
 
 
 def namespace_fallback(namespace: Column | str = "keys_namespace", ns: Column | str = "keys_ns") -> Column:
@@ -132,6 +135,10 @@ def flatten_intervals(intervals: DataFrame, fields: dict[str, str] | None = None
     s = F.col("__s")
     leaf_paths = {p for p in fields.values()}
     inner = {p for p in leaf_paths if any(q.startswith(p + ".") for q in leaf_paths)}
+    # rows with a leaf that looks like a container are parsed again, once per kind of container for all fields
+    again = reduce(Column.__or__, [F.coalesce(_like_container(_leaf(s, p)), F.lit(False)) for p in leaf_paths - inner])
+    read_as = [F.when(again, F.from_json("payload", _payload_struct(fields, kind))).alias(f"__c{i}") for i, kind in enumerate(_CONTAINERS)]
+    base = base.select("*", *read_as)
     cols = []
     for name, path in fields.items():
         if path in inner:
@@ -139,7 +146,7 @@ def flatten_intervals(intervals: DataFrame, fields: dict[str, str] | None = None
             node = _leaf(s, path)
             col = F.when(node.isNull() & F.get_json_object("payload", path).isNotNull(), json_scalar_text("payload", path))
         else:
-            col = _scalar(F.col("payload"), _leaf(s, path), path)
+            col = _scalar(_leaf(s, path), [F.col(f"__c{i}") for i in range(len(_CONTAINERS))], path)
         cols.append(col.alias(name))
     flat = base.select("job_id", "event_id", "from_time", "to_time", "origin", "payload", *cols)
     return flat.withColumn("namespace", namespace_fallback())

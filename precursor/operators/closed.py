@@ -2,7 +2,7 @@
 
 The sequences are stored once, bucketed by run.  A prefix is a number with one row of its own (its
 pattern and support); a **state** row is (prefix, run, place of the prefix's last item in the run's
-leftmost embedding).  A level joins its states to the stored sequences by run, so that only
+leftmost embedding), with the prefix's target and support.  A level joins its states to the stored sequences by run, so that only
 states are moved, and counts (prefix, gap, item) rows of numbers:
 
 * gap -1 holds the items behind the place: the extensions, of which those under the target's threshold
@@ -13,7 +13,7 @@ states are moved, and counts (prefix, gap, item) rows of numbers:
   whatever grows from it can take that item too without losing a run, so nothing closed grows from it;
 * a prefix is **closed** when no item of any gap occurs in every supporting run.
 
-Before that, when the remaining items of all supporting runs begin with the same items, the prefix
+Before that, where the level before showed items that all runs of a prefix still have, and the remaining items of all supporting runs begin with the same items, the prefix
 **jumps** along all of them at once (the common beginning of all rows is that of the smallest and the
 largest), so long common sequences take one level instead of one per item.
 
@@ -34,6 +34,7 @@ from precursor.sources.cache import scratch_table
 _IDS = "array<bigint>"
 _PLACES = "array<int>"
 EXTENSION = -1
+STATE = ("prefix", "target_id", "support", "run", "place")
 
 
 def stored_sequences(sequences: DataFrame) -> tuple[DataFrame, str]:
@@ -80,7 +81,7 @@ def _latest(seq: Column, items: Column, limit: Column) -> Column:
 
 def _jump(states: DataFrame, prefixes: DataFrame, seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(states, prefixes) moved along the items that all runs of a prefix continue with."""
-    rest = states.join(seqs, "run").select("prefix", _after(F.col("seq"), F.col("place")).alias("rest"))
+    rest = states.join(seqs.select("run", "seq"), "run").select("prefix", _after(F.col("seq"), F.col("place")).alias("rest"))
     ends = rest.groupBy("prefix").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
     same = F.transform(F.arrays_zip("lo", "hi"), lambda z: z["lo"].eqNullSafe(z["hi"]))
     n = F.when(F.forall(same, lambda x: x), F.least(F.size("lo"), F.size("hi"))).otherwise(
@@ -88,14 +89,12 @@ def _jump(states: DataFrame, prefixes: DataFrame, seqs: DataFrame) -> tuple[Data
     steps = ends.select("prefix", n.alias("n"), "lo").select("prefix", "n", F.slice("lo", F.lit(1), F.col("n")).alias("more"))
     prefixes = scratch_table(prefixes.join(steps, "prefix").select(
         "prefix", "target_id", F.concat("pattern", "more").alias("pattern"), "support", "n"), "mining-prefixes")
-    moved = states.join(prefixes.select("prefix", "n"), "prefix").select(
-        "prefix", "run", (F.col("place") + F.col("n")).alias("place"))
-    return moved, prefixes
+    moved = states.join(prefixes.select("prefix", "n"), "prefix").withColumn("place", F.col("place") + F.col("n"))
+    return moved.select(*STATE), prefixes.drop("n")
 
 
-def _counts(states: DataFrame, prefixes: DataFrame, seqs: DataFrame) -> DataFrame:
-    """(prefix, gap, item, n, marked): runs of a prefix with an item in a gap, and those where it is marked."""
-    rows = states.join(seqs.select("run", "seq"), "run").join(prefixes.select("prefix", "pattern"), "prefix")
+def _items() -> Column:
+    """The (gap, item, marked) structs of a state with its sequence and pattern."""
     seq, pattern, place = F.col("seq"), F.col("pattern"), F.col("place")
     bound = F.concat(_latest(seq, F.slice(pattern, F.lit(1), F.greatest(F.size(pattern) - 1, F.lit(0))), place), F.array(place))
     places = F.struct(_leftmost(seq, pattern).alias("first"), _latest(seq, pattern, F.size(seq) + 1).alias("latest"), bound.alias("bound"))
@@ -112,18 +111,30 @@ def _counts(states: DataFrame, prefixes: DataFrame, seqs: DataFrame) -> DataFram
     ahead = F.transform(F.array_distinct(_after(seq, place)), lambda x: F.struct(
         F.lit(EXTENSION).alias("gap"), x.alias("item"), F.lit(0).alias("marked")))
     none = F.array().cast("array<struct<gap:int,item:bigint,marked:int>>")
-    found = rows.select("prefix", F.inline(F.concat(ahead, F.coalesce(gaps, none))))
-    return found.groupBy("prefix", "gap", "item").agg(F.count("*").alias("n"), F.sum("marked").alias("marked"))
+    return F.inline(F.concat(ahead, F.coalesce(gaps, none)))
+
+
+def _counts(states: DataFrame, prefixes: DataFrame, seqs: DataFrame, items: Column | None = None) -> DataFrame:
+    """(prefix, target_id, support, gap, item, n, marked): runs of a prefix with an item in a gap, and those where it is marked."""
+    rows = states.join(seqs.select("run", "seq"), "run").join(prefixes.select("prefix", "pattern"), "prefix")
+    found = rows.select("prefix", "target_id", "support", _items() if items is None else items)
+    return found.groupBy("prefix", "target_id", "support", "gap", "item").agg(
+        F.count("*").alias("n"), F.sum("marked").alias("marked"))
 
 
 def _children(states: DataFrame, seqs: DataFrame, grown: DataFrame) -> DataFrame:
-    """States of the grown prefixes: ``grown`` is (prefix, item, child)."""
-    rows = states.join(seqs.select("run", "seq"), "run")
+    """States of the grown prefixes: ``grown`` is (prefix, item, child, support)."""
+    rows = states.drop("support").join(seqs.select("run", "seq"), "run")
     rest = _after(F.col("seq"), F.col("place"))
     items = F.transform(F.array_distinct(rest), lambda x: F.struct(
         x.alias("item"), (F.col("place") + F.array_position(rest, x).cast("int")).alias("next")))
-    return rows.select("prefix", "run", F.inline(items)).join(grown, ["prefix", "item"]).select(
-        F.col("child").alias("prefix"), "run", F.col("next").alias("place"))
+    return rows.select("prefix", "target_id", "run", F.inline(items)).join(grown, ["prefix", "item"]).select(
+        F.col("child").alias("prefix"), "target_id", "support", "run", F.col("next").alias("place"))
+
+
+def _of_target(values: dict[int, int]) -> Column:
+    """A value per target (a literal: one entry per target of the parameter list)."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("target_id"))
 
 
 def closed_patterns(sequences: DataFrame, thresholds: dict[int, int], k: int) -> tuple[DataFrame, dict[int, int]]:
@@ -139,19 +150,20 @@ def closed_patterns(sequences: DataFrame, thresholds: dict[int, int], k: int) ->
     n_found = dict.fromkeys(least, 0)
     sequences = sequences.where(F.col("target_id").isin(list(least)))
     prefix = F.col("target_id").cast("long").alias("prefix")  # the empty prefix of a target
-    states = sequences.select(prefix, "run", F.lit(0).alias("place"))
-    prefixes = sequences.groupBy("target_id").agg(F.count("*").alias("support")).select(
-        prefix, "target_id", F.array().cast(_IDS).alias("pattern"), "support")
-    levels: list[DataFrame] = []
+    prefixes = scratch_table(sequences.groupBy("target_id").agg(F.count("*").alias("support")).select(
+        prefix, "target_id", F.array().cast(_IDS).alias("pattern"), "support"), "mining-prefixes")
+    states = sequences.select(prefix, "run", F.lit(0).alias("place")).join(prefixes, "prefix").select(*STATE)
+    items, levels, jump = _items(), [], True
     while True:
-        states, prefixes = _jump(states, prefixes, sequences)
-        limit = F.broadcast(spark.createDataFrame(list(least.items()), "target_id int, least long"))  # one row per target
-        counts = _counts(states, prefixes, sequences).join(prefixes.select("prefix", "target_id", "support"), "prefix")
-        counts = scratch_table(counts.join(limit, "target_id").where((F.col("n") == F.col("support")) | (F.col("n") >= F.col("least")))
-                               .select("prefix", "gap", "item", "n", (F.col("n") == F.col("support")).alias("all"),
-                                       (F.col("marked") == F.col("support")).alias("prune")), "mining-counts")
-        new = (prefixes.where(F.size("pattern") > 0).join(counts.where("all").select("prefix").distinct(), "prefix", "left_anti")
-               .join(limit, "target_id").where("support >= least").select("target_id", "pattern", F.col("support").alias("freq")))
+        if jump:
+            states, prefixes = _jump(states, prefixes, sequences)
+        counts = scratch_table(
+            _counts(states, prefixes, sequences, items).where((F.col("n") == F.col("support")) | (F.col("n") >= _of_target(least)))
+            .select("prefix", "target_id", "gap", "item", "n", (F.col("n") == F.col("support")).alias("all"),
+                    (F.col("marked") == F.col("support")).alias("prune")), "mining-counts")
+        new = (prefixes.where((F.size("pattern") > 0) & (F.col("support") >= _of_target(least)))
+               .join(counts.where("all").select("prefix"), "prefix", "left_anti")
+               .select("target_id", "pattern", F.col("support").alias("freq")))
         supports = new.groupBy("target_id", "freq").agg(F.count("*").alias("n")).collect()
         if supports:
             levels.append(new)
@@ -162,16 +174,15 @@ def closed_patterns(sequences: DataFrame, thresholds: dict[int, int], k: int) ->
             best[t] = sorted(found, reverse=True)[:k]
             if len(best[t]) == k:
                 least[t] = max(least[t], best[t][-1])
-        limit = F.broadcast(spark.createDataFrame(list(least.items()), "target_id int, least long"))
-        pruned = counts.where("prune").select("prefix").distinct()
         grown = scratch_table(
-            counts.where(F.col("gap") == EXTENSION).join(pruned, "prefix", "left_anti")
-            .join(prefixes.select("prefix", "target_id", "pattern"), "prefix").join(limit, "target_id").where("n >= least")
-            .select("prefix", "item", F.xxhash64("prefix", "item").alias("child"), "target_id",
+            counts.where((F.col("gap") == EXTENSION) & (F.col("n") >= _of_target(least)))
+            .join(counts.where("prune").select("prefix"), "prefix", "left_anti").join(prefixes.select("prefix", "pattern"), "prefix")
+            .select("prefix", "item", "all", F.xxhash64("prefix", "item").alias("child"), "target_id",
                     F.concat("pattern", F.array("item")).alias("pattern"), F.col("n").alias("support")), "mining-grown")
-        if grown.isEmpty():
+        n, jump = grown.agg(F.count("*"), F.max("all")).first()
+        if not n:
             break
-        states = scratch_table(_children(states, sequences, grown.select("prefix", "item", "child")), "mining-states")
+        states = scratch_table(_children(states, sequences, grown.select("prefix", "item", "child", "support")), "mining-states")
         prefixes = grown.select(F.col("child").alias("prefix"), "target_id", "pattern", "support")
     found = spark.createDataFrame([], "target_id int, pattern array<bigint>, freq long")
     for new in levels:  # each reads its level's written tables

@@ -130,7 +130,7 @@ def test_mining_moves_states_not_sequences(spark):
 
     rows = [(0, r, [1, 2, r % 3 + 3, 9]) for r in range(60)]
     seqs, name = C.stored_sequences(spark.createDataFrame(rows, "target_id int, run long, seq array<bigint>"))
-    states = seqs.selectExpr("CAST(target_id AS bigint) AS prefix", "run", "0 AS place")
+    states = seqs.selectExpr("CAST(target_id AS bigint) AS prefix", "target_id", "60L AS support", "run", "0 AS place")
     prefixes = spark.createDataFrame([(0, 0, [], 60)], "prefix long, target_id int, pattern array<bigint>, support long")
     saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -143,7 +143,7 @@ def test_mining_moves_states_not_sequences(spark):
         assert not re.search(r"Exchange hashpartitioning\(run", p)  # the states come from the same buckets here
         keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", p)
         assert keys and not any("pattern" in k or "seq" in k for k in keys)
-        moved = spark.createDataFrame([(0, r, 0) for r in range(60)], "prefix long, run long, place int")
+        moved = spark.createDataFrame([(0, 0, 60, r, 0) for r in range(60)], "prefix long, target_id int, support long, run long, place int")
         p = plan(C._counts(moved, prefixes, seqs))
         assert len(re.findall(r"Exchange hashpartitioning\(run", p)) == 1
     finally:

@@ -28,14 +28,14 @@ def main() -> None:
     a = Analysis(spark, iv, jobs, adapter_config())
     c = a.cfg
     stages = {
-        "anchors": AN.find_anchors(a.flat, a.jobs, c.targets, c.start, c.end, c.job_includes, c.job_excludes,
+        "anchors": AN.find_anchors(a.flat_in_range, a.jobs, c.targets, c.start, c.end, c.job_includes, c.job_excludes,
                                    c.excluded_origin),
         "context": a.context_plan(),
         "events": SQ.token_events(a.context, mappings=a.name_map),
         "sequences": SQ.build_sequences(a.events),
         "closed_sequences": MN.closed_sequences(MN.frequent_sequences_by_key(a.sequences, 2)),
         "pattern_support": EV.pattern_support(a.sequences, a.patterns),
-        "window_rows": EV.window_rows(a.flat, a.anchors, c.lookback, c.lookahead),
+        "window_rows": EV.window_rows(a.flat_in_range, a.anchors, c.lookback, c.lookahead),
     }
     for name, df in stages.items():
         print(f"\n### {name}\n")
