@@ -37,31 +37,25 @@ END_ID = 1
 MAX_OPEN = 4096
 #: Parts of texts whose ids a worker remembers between blocks (a cache: it changes no result).
 CACHED_PARTS = 400_000
-# Parts made of these characters are split into words here; the rest is left to the tokeniser.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,!?]+")
-_WORDS = re.compile(r"[a-zà-öø-ÿß]+|[.,!?]+")
+# Space-separated parts made of these characters are split into words here; the others are left to the tokeniser.
+_MARKS = r"!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~"
+_PLAIN = rf"A-Za-zÀ-ÖØ-öø-ÿ0-9{_MARKS}"
+_LINES = re.compile(rf"[{_PLAIN} \n]*")
+_OTHER = re.compile(rf"(?<![^ \n])[{_PLAIN}]*+[^{_PLAIN} \n][^ \n]*+")
+_HELD = "\x01"  # stands for a part left to the tokeniser
+_BREAKS = re.compile(rf"[{_MARKS}]+|[0-9]|{_HELD}")  # words of their own beside the letters
 #: Texts encoded together.
 BLOCK = 256
 _ENCODERS: dict[str | None, Callable[[list[str]], list[bytes]]] = {}
 SCHEMA = "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class _Seen(dict):
-    """Remembered ids; an unknown part is noted in ``new`` and stands for itself until it is learnt."""
+def _word_encoder(tok) -> Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+    """Ids of lines of plain words, and where among them the lines end and held parts stand.
 
-    def __init__(self):
-        self.new: set[str] = set()
-
-    def __missing__(self, part: str) -> str:
-        self.new.add(part)
-        return part
-
-
-def _word_encoder(tok) -> Callable[[str], bytes] | None:
-    """Ids of one lower-case word, by rank merging with the vocabulary's own merges.
-
-    The word end is marked by a byte that UTF-8 never has: a letter and the mark merge first, then
-    the vocabulary's merges follow in their order.  None for a vocabulary of another kind.
+    Words are merged by rank with the vocabulary's own merges.  The word end is marked by a space, which
+    no word has: a letter and the mark merge first, then the vocabulary's merges follow in their order.
+    None for a vocabulary of another kind.
     """
     spec = json.loads(tok.to_str())
     model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
@@ -73,7 +67,7 @@ def _word_encoder(tok) -> Callable[[str], bytes] | None:
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
     def raw(token: str) -> bytes:
-        return bytes(byte[c] for c in token.removesuffix(suffix)) + b"\xff" * token.endswith(suffix)
+        return bytes(byte[c] for c in token.removesuffix(suffix)) + b" " * token.endswith(suffix)
 
     vocab = {t: i for t, i in model["vocab"].items() if all(c in byte for c in t.removesuffix(suffix))}
     ranks = {bytes([b]): b for b in range(256)}
@@ -82,20 +76,28 @@ def _word_encoder(tok) -> Callable[[str], bytes] | None:
     for token in (*ends, *merged):
         ranks.setdefault(raw(token), len(ranks))
     ids = {ranks[raw(t)]: i for t, i in vocab.items() if raw(t) in ranks}
-    out = [np.array([ids.get(r, 0)], dtype="<u4").tobytes() for r in range(len(ranks))]
+    id_of = np.array([ids.get(r, 0) for r in range(len(ranks))], dtype="<u4")
 
     import tiktoken
 
-    merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-    return lambda word: b"".join([out[r] for r in merge(word.encode() + b"\xff")])
+    # line ends and held parts are pieces of their own; the special token is never met, as no line has "<"
+    words = tiktoken.Encoding("words", pat_str=rf"{_HELD}|[^ \n{_HELD}]+ |\n", mergeable_ranks=ranks,
+                              special_tokens={"<|none|>": len(ranks)})
+
+    def encode(lines: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        spaced = _BREAKS.sub(r" \g<0> ", lines.lower()).replace("\n", " \n")
+        found = words.encode_to_numpy(spaced, disallowed_special=())
+        return id_of[found], np.flatnonzero(found == ranks[b"\n"]), np.flatnonzero(found == ranks[_HELD.encode()])
+
+    return encode
 
 
 def encoder(path: str | None) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian uint32 ids, one encoder per worker process.
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so the ids of a text
-    are those of its space-separated parts.  Parts are remembered; an unknown part of plain words is
-    encoded word by word, any other by the tokeniser.
+    are those of its space-separated parts.  Plain words of all texts are merged in one call; other
+    parts are left to the tokeniser, and their ids are remembered.
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
@@ -108,31 +110,50 @@ def encoder(path: str | None) -> Callable[[list[str]], list[bytes]]:
         tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     else:
         tok = Tokenizer.from_file(path)
-    seen = _Seen()
+    seen: dict[str, bytes] = {}
     word_ids = _word_encoder(tok)
 
-    def learn(parts: set[str]) -> None:
-        whole = [p for p in parts if not (word_ids and _PLAIN.fullmatch(p))]
-        for p in parts.difference(whole):
-            seen[p] = b"".join([word_ids(w) for w in _WORDS.findall(p.lower())])
-        for p, e in zip(whole, tok.encode_batch(whole, add_special_tokens=False), strict=True):
-            seen[p] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
+    def by_tokeniser(parts: list[str]) -> list[bytes]:
         if len(seen) > CACHED_PARTS:
             seen.clear()
-        # a special token's string may span parts, so such a text is encoded whole
-        found = [list(map(seen.__getitem__, [t] if "<|" in t else t.replace("\n", " ").split(" ")))
-                 for t in texts]
-        new = seen.new
-        if not new:
-            return [b"".join(x) for x in found]
-        learn(new)
-        out = [b"".join([x if type(x) is bytes else seen[x] for x in xs]) for xs in found]
+        new = list(set(parts).difference(seen))
+        for p, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
+            seen[p] = np.array(e.ids, dtype="<u4").tobytes()
+        out = [seen[p] for p in parts]
         for p in new:
             if len(p) > 64:  # too long to be worth remembering
                 del seen[p]
-        seen.new = set()
+        return out
+
+    def by_words(texts: list[str]) -> list[bytes]:
+        lines, held = "\n".join([t.replace("\n", " ") for t in texts] + [""]), []
+        if not _LINES.fullmatch(lines):
+            held = _OTHER.findall(lines)
+            lines = _OTHER.sub(_HELD, lines)
+        ids, ends, at_held = word_ids(lines)
+        raw, others = ids.tobytes(), by_tokeniser(held)
+        first = np.searchsorted(at_held, ends).tolist()  # held parts before each line's end
+        out, at, k = [], 0, 0
+        for end, last in zip((4 * ends).tolist(), first, strict=True):
+            if k == last:
+                out.append(raw[at:end])
+            else:
+                pieces = []
+                for mark in (4 * at_held[k:last]).tolist():
+                    pieces += (raw[at:mark], others[k])
+                    at, k = mark + 4, k + 1
+                out.append(b"".join([*pieces, raw[at:end]]))
+            at = end + 4
+        return out
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if word_ids is None:
+            return [b"".join(by_tokeniser([t] if "<|" in t else t.replace("\n", " ").split(" "))) for t in texts]
+        # a special token's string may span parts, so such a text is encoded whole
+        out = by_words(["" if "<|" in t else t for t in texts])
+        whole = [i for i, t in enumerate(texts) if "<|" in t]
+        for i, ids in zip(whole, by_tokeniser([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         return out
 
     _ENCODERS[path] = encode

@@ -86,3 +86,18 @@ def test_level_minimises_the_sum_of_squares():
         list(packer.add((0, 0, b"\x01\0\0\0" * size, size), size))
     left = list(packer.fill_up())
     assert sum(sum(len(p[2]) // 4 for p in pieces) < 20 for _, pieces in left) <= 1
+
+
+def test_plain_words_are_merged_without_the_tokeniser():
+    from precursor.llm.ss_packing import _HELD, _word_encoder
+    lines = ["Über 12 Straßen, 3.5% (ÉTÉ)!", "", "foo_bar&&& a|b -- c"]
+    ids, ends, held = _word_encoder(TOK)("\n".join([*lines, ""]))
+    assert [p.tolist() for p in np.split(ids, ends)[:1]] == [_ids(lines[0])[:-1]]
+    assert len(ends) == 3 and not len(held)
+    assert _word_encoder(TOK)(f"a {_HELD} b\n")[2].tolist() == [1]
+
+
+def test_other_parts_stand_among_plain_words():
+    texts = ["don't stop 日本 now\n\x01 x\ty", "", "\x01", "a<|endoftext|>b c", "'s", "é é ²", "a  b", "x'y z'"]
+    got = encoder(None)(texts)
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [_ids(t)[:-1] for t in texts]
