@@ -164,3 +164,16 @@ def test_dash_prefixes(spark):
     df = one_col(spark, ["a-b-c", "-x", "a--b", "solo"])
     out = collect(df.select("i", X.dash_prefixes("v").alias("r")))
     assert out == [["a", "a-b", "a-b-c"], ["", "-x"], ["a", "a-", "a--b"], ["solo"]]
+
+
+def test_scalars_of_many_paths_parse_once(spark):
+    paths = {"source": "$.source", "pod": "$.locator.keys.pod", "message": "$.message.humanMessage"}
+    rows = ['{"source":"a","locator":{"keys":{"pod":"{p"}},"message":{"humanMessage":"x\\n{y"}}',
+            '{"source":{"x":1},"locator":{"keys":{"pod":["p"]}},"message":{"humanMessage":"[z"}}',
+            '{"source":12.50,"locator":"gone"}', '{"source":""}', "not json", "[1]", None]
+    df = one_col(spark, rows)
+    out = P.with_scalars(df, paths, "v")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") <= 3
+    want = df.select("i", *[P.json_scalar_text("v", p).alias(n) for n, p in paths.items()]).orderBy("i").collect()
+    assert out.select("i", *paths).orderBy("i").collect() == want
+    assert want[0].message == "x\n{y" and want[1].source is None and want[1].message == "[z"
