@@ -87,3 +87,10 @@ def test_generated_ids_do_not_depend_on_the_layout(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
     assert first_rows(f"{tmp_path}/one", "1k") == first_rows(f"{tmp_path}/one", "256m") == first_rows(f"{tmp_path}/seven", "1m")
+
+
+def test_generated_methods_stay_compilable(spark):
+    # HotSpot leaves methods of more than 8000 bytes to the interpreter
+    from precursor.session import apply_recommended_conf
+    apply_recommended_conf(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
